@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_counts, token_output
+from . import packing, quality, token_counts, token_output, warc
 
 #: Files of the public tokenizers.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -21,6 +21,25 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_tables(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), budget=512)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), least=1000)
+
+
+OP5_SQL = """
+WITH own AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+digests AS (SELECT page_id, octet_length(encode(payload)) AS payload_bytes, sha1(payload) AS payload_digest FROM own),
+keepers AS (SELECT payload_digest, max(page_id) AS keeper FROM digests WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, d.payload_digest,
+       CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM digests d LEFT JOIN keepers k ON d.payload_digest = k.payload_digest AND payload_bytes >= 1000
+"""
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=2)
 
@@ -29,5 +48,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=0, capacity=1024)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_counts, op6_token_output, op9_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_counts, op5_warc, op6_token_output, op7_quality_rules, op9_packing)}
+ORACLES: dict[str, str] = {"op5_warc": OP5_SQL}
