@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, quality, simhash, token_counts, token_output, toxicity, warc
+from . import decontamination, lm_scoring, packing, quality, simhash, token_counts, token_output, toxicity, warc
 
 #: Files of the public tokenizers.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -30,6 +30,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_tables(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), budget=512)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), held_out=(7, 2))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), least=1000)
 
@@ -67,5 +71,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_token_counts, op5_warc, op6_token_output, op7_quality_rules, op9_packing, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_token_counts, op4_lm_scoring, op5_warc, op6_token_output, op7_quality_rules, op9_packing, op10_toxicity)}
 ORACLES: dict[str, str] = {"op5_warc": OP5_SQL}
