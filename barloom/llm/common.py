@@ -101,6 +101,9 @@ class Store:
         with self.open(name) as f:
             return f.read()
 
+    def has(self, name: str) -> bool:
+        return self.fs.get_file_info(f"{self.root}/{name}").type == pafs.FileType.File
+
     def drop(self, name: str = "") -> None:
         path = f"{self.root}/{name}" if name else self.root
         kind = self.fs.get_file_info(path).type
