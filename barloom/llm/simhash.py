@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Columns, documents_of, rows_of, scratch_table
 from .components import components
@@ -217,13 +218,40 @@ def links(distinct: DataFrame, radius: int, most: int = 20_000, depth: int = 3)
     return every.repartition(n, "path", "key").sortWithinPartitions("path", "key", "fp").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, radius: int = 2, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id that links reach)."""
-    own = scratch_table(fingerprints(df, width, seed, id_col, text_col), "simhash")
+def classes(own: DataFrame, radius: int) -> DataFrame:
+    """fp, component_id for each distinct fp of own (doc_id, fp)."""
     distinct = scratch_table(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     found = components(scratch_table(links(distinct, radius).distinct(), "simhash-links"))  # node, root
     smallest = found.join(distinct, found.node == distinct.fp).groupBy("root").agg(F.min("first").alias("first"))
     member = found.join(smallest, "root").select(F.col("node").alias("fp"), F.col("first").alias("linked"))
-    named = distinct.join(member, "fp", "left").select("fp", F.coalesce("linked", "first").alias("component_id"))
+    return distinct.join(member, "fp", "left").select("fp", F.coalesce("linked", "first").alias("component_id"))
+
+
+def near_duplicates(df: DataFrame, radius: int = 2, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id that links reach)."""
+    own = scratch_table(fingerprints(df, width, seed, id_col, text_col), "simhash")
     hexadecimal = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return own.join(named, "fp").select("doc_id", hexadecimal.alias("fingerprint"), "component_id")
+    return own.join(classes(own, radius), "fp").select("doc_id", hexadecimal.alias("fingerprint"), "component_id")
+
+
+def one_of_each(df: DataFrame, radius: int = 2, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df, all columns, one of each component: the smallest doc_id's; of repeated rows one; where a component has no ids, one row a fingerprint."""
+    id_at, text_at, names = df.columns.index(id_col), df.columns.index(text_col), df.columns
+    plain = [f"c{i}" for i in range(len(names))]
+    inner = df.toDF(*plain).withColumn("row", F.monotonically_increasing_id())
+    fields = T.StructType([*inner.schema.fields, T.StructField("fp", T.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            found = (fingerprint(t.encode("utf-8") if t else b"", width, seed) for t in batch.column(text_at).to_pylist())
+            fp = pa.array([x - (x >> 63 << 64) for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, fp], names=[*batch.schema.names, "fp"])
+
+    rows = scratch_table(inner.mapInArrow(run, fields), "simhash-rows")
+    own = rows.select(F.col(f"c{id_at}").cast("long").alias("doc_id"), "fp", "row")
+    named = own.join(classes(own, radius), "fp")
+    # the smallest row of each component, by (doc_id, row); ids that are null come last
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    best = named.groupBy(F.coalesce("component_id", F.col("fp")).alias("of"), F.col("component_id").isNull().alias("nameless")).agg(F.min(order).alias("best"))
+    kept = best.select(F.col("best.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select(*plain).toDF(*names)

@@ -348,17 +348,22 @@ def digests(df: DataFrame, least: int = 400, id_col: str = "doc_id", text_col: s
     return found.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
-def deduplicated(df: DataFrame, least: int = 400, text_col: str = "text") -> DataFrame:
-    """df with the repeated strings taken out of its texts."""
+def deduplicated(df: DataFrame, least: int = 400, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """df with the repeated strings taken out of its texts; length_col, if given, becomes the code points of changed texts."""
+
+    names = df.columns
+    place, n, length_at = names.index(text_col), len(names), names.index(length_col) if length_col else None
 
     def run(batches):
         for batch in batches:
-            kept = batch.column(len(df.columns)).to_pylist()
-            place, was = df.columns.index(text_col), batch.column(df.columns.index(text_col)).to_pylist()
-            text = pa.array([w if w is None else k.decode("utf-8", "ignore") for w, k in zip(was, kept, strict=True)], pa.string())
-            columns = list(batch.columns[: len(df.columns)])
-            columns[place] = text
-            yield pa.RecordBatch.from_arrays(columns, names=df.columns)
+            kept, was = batch.column(n).to_pylist(), batch.column(place).to_pylist()
+            texts = [w if w is None else k.decode("utf-8", "ignore") for w, k in zip(was, kept, strict=True)]
+            columns = list(batch.columns[:n])
+            columns[place] = pa.array(texts, pa.string())
+            if length_at is not None:
+                told = columns[length_at].to_pylist()
+                columns[length_at] = pa.array([c if t == w else len(t) for c, t, w in zip(told, texts, was, strict=True)], columns[length_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     found = removed(df, least, text_col=text_col)
-    return found.select(*(found[c] for c in df.columns), "_kept").mapInArrow(run, df.schema)
+    return found.select(*(found[c] for c in names), "_kept").mapInArrow(run, df.schema)
