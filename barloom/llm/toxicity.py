@@ -45,22 +45,33 @@ REPORTING = frozenset("said says wrote writes quoted quote called calls reported
 
 
 class LevenshteinAutomaton:
-    """Accepts the strings within `radius` edits of a word. A state is the row of distances to the word's prefixes."""
+    """Accepts the strings within `radius` edits of a word.
+
+    A state maps places in the word to distances, only those within the
+    radius: at most 2 * radius + 1 of them are live at once.
+    """
 
     def __init__(self, word: str, radius: int):
-        self.word, self.radius = word, radius
+        self.word, self.radius, self.end = word, radius, len(word)
 
-    def start(self) -> tuple[int, ...]:
-        return tuple(min(i, self.radius + 1) for i in range(len(self.word) + 1))
+    def start(self) -> dict[int, int]:
+        return {i: i for i in range(min(self.radius, self.end) + 1)}
 
-    def step(self, state: tuple[int, ...], letter: str) -> tuple[int, ...]:
-        out, over = [min(state[0] + 1, self.radius + 1)], self.radius + 1
-        for i, c in enumerate(self.word):
-            out.append(min(state[i] + (c != letter), state[i + 1] + 1, out[i] + 1, over))
-        return tuple(out)
+    def step(self, state: dict[int, int], letter: str) -> dict[int, int]:
+        out: dict[int, int] = {}
+        over = self.radius + 1
+        for i, d in state.items():
+            out[i] = min(out.get(i, over), d + 1)  # the letter is one too many
+            if i < self.end:
+                out[i + 1] = min(out.get(i + 1, over), d + (self.word[i] != letter))
+        for i in sorted(out):  # letters of the word left out
+            while out[i] < self.radius and i < self.end and out.get(i + 1, over) > out[i] + 1:
+                out[i + 1] = out[i] + 1
+                i += 1
+        return {i: out[i] for i in sorted(out) if out[i] <= self.radius}
 
-    def alive(self, state: tuple[int, ...]) -> bool:
-        return min(state) <= self.radius
+    def accepts(self, state: dict[int, int]) -> bool:
+        return self.end in state
 
 
 class LexiconTrie:
@@ -104,14 +115,14 @@ class LexiconTrie:
         waiting, found = [(self.root, own.start())], None
         while waiting:
             node, state = waiting.pop()
-            if whole and "term" in node and state[-1] <= 1:
+            if whole and "term" in node and own.accepts(state):
                 return self.NEAR
-            if "stem" in node and own.alive(state):  # some beginning of the word is near the stem
+            if "stem" in node:  # some beginning of the word is near the stem
                 found = self.NEAR_STEM
             for c, below in node.items():
                 if len(c) == 1:
                     after = own.step(state, c)
-                    if own.alive(after):
+                    if after:
                         waiting.append((below, after))
         return found
 
@@ -163,10 +174,34 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> n
     return w
 
 
-def learn_lexicon(train: DataFrame, least_docs: int = 3, purity: float = 0.9, most: int = 2000) -> tuple[set[str], set[str]]:
+def _entries(text: bytes) -> list[str]:
+    return [w for w in _WORD.findall(text.decode("utf-8", "replace").lower()) if len(w) >= 3]
+
+
+def _varied(train: DataFrame, marked: list, least: int) -> set[tuple[bool, str]]:
+    """The marked entries that follow at least `least` different words: copies of one text name one neighbour only."""
+    own = {(r.stem, r.entry) for r in marked}  # bounded by the caller
+
+    def run(batches):
+        found = set()
+        for batch in batches:
+            for (text,) in rows_of(batch):
+                words = _entries(text)
+                for before, w in zip(["", *words], words, strict=False):
+                    found.update((stem, e, before) for stem, e in ((False, w), *((True, w[:n]) for n in range(4, min(len(w), 8)))) if (stem, e) in own)
+        rows = list(found)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.bool_()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["stem", "entry", "before"])
+
+    pairs = train.where("label = 1").select("text").mapInArrow(run, "stem boolean, entry string, before string").distinct()
+    return {(r.stem, r.entry) for r in pairs.groupBy("stem", "entry").count().where(F.col("count") >= least).collect()}
+
+
+def learn_lexicon(train: DataFrame, least_docs: int = 6, purity: float = 0.9, most: int = 2000) -> tuple[set[str], set[str]]:
     """Terms and stems that mark label 1: Spark counts, for each word and word beginning, the documents of either label.
 
-    Of beginnings that say the same, the shortest is kept. `most` bounds the lexicon by documents covered.
+    An entry needs `least_docs` documents and as many different words before
+    it. Of beginnings that say the same, the shortest is kept. `most` bounds
+    the lexicon, by documents covered.
     """
 
     def run(batches):
@@ -178,7 +213,7 @@ def learn_lexicon(train: DataFrame, least_docs: int = 3, purity: float = 0.9, mo
 
         for batch in batches:
             for text, label in rows_of(batch):
-                words = {w for w in _WORD.findall(text.decode("utf-8", "replace").lower()) if len(w) >= 3}
+                words = set(_entries(text))
                 found.update((False, w, label == 1) for w in words)
                 found.update((True, s, label == 1) for s in {w[:n] for w in words for n in range(4, min(len(w), 8))})
                 if len(found) > 500_000:
@@ -188,6 +223,8 @@ def learn_lexicon(train: DataFrame, least_docs: int = 3, purity: float = 0.9, mo
 
     counts = train.select("text", "label").mapInArrow(run, "entry string, stem boolean, bad long, good long").groupBy("entry", "stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     marked = counts.where((F.col("bad") >= least_docs) & (F.col("bad") >= purity * (F.col("bad") + F.col("good")))).orderBy(F.desc("bad"), "entry", "stem").limit(10 * most).collect()
+    varied = _varied(train, marked, least_docs)
+    marked = [r for r in marked if (r.stem, r.entry) in varied]
     covered = {(r.stem, r.entry): r.bad for r in marked}
     stems: set[str] = set()
     for r in sorted(marked, key=lambda r: (len(r.entry), -r.bad, r.entry)):
