@@ -196,7 +196,7 @@ def _varied(train: DataFrame, marked: list, least: int) -> set[tuple[bool, str]]
     return {(r.stem, r.entry) for r in pairs.groupBy("stem", "entry").count().where(F.col("count") >= least).collect()}
 
 
-def learn_lexicon(train: DataFrame, least_docs: int = 6, purity: float = 0.9, most: int = 2000) -> tuple[set[str], set[str]]:
+def learn_lexicon(train: DataFrame, least_docs: int = 5, purity: float = 0.9, most: int = 2000) -> tuple[set[str], set[str]]:
     """Terms and stems that mark label 1: Spark counts, for each word and word beginning, the documents of either label.
 
     An entry needs `least_docs` documents and as many different words before
@@ -241,9 +241,7 @@ def train_model(docs: DataFrame, labels: DataFrame, sample: int = 20_000, window
     """docs: doc_id, text (bytes); labels: doc_id, label 0/1. `sample`: labelled rows that are used at most."""
     chosen = labels.where("doc_id is not null and label is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
     train = scratch_table(docs.join(F.broadcast(chosen), "doc_id"), "toxic-train")  # broadcast bound: `sample` rows of 12 bytes
-    # half of the rows name the lexicon, the other half, to which it is as new as to any text, weigh it
-    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    terms, stems = learn_lexicon(train.where(half))
+    terms, stems = learn_lexicon(train)
     model = ToxicityModel(terms, stems, np.zeros(N_FEATURES), window)
 
     def run(batches):
@@ -252,7 +250,7 @@ def train_model(docs: DataFrame, labels: DataFrame, sample: int = 20_000, window
             for text, label in rows_of(batch):
                 yield pa.RecordBatch.from_pylist([{"x": model.features(text, cache).tolist(), "y": label}], schema=pa.schema([("x", pa.list_(pa.float64())), ("y", pa.int32())]))
 
-    rows = train.where(~half).select("text", F.col("label").cast("int")).mapInArrow(run, "x array<double>, y int").collect()  # at most `sample` rows of 9 numbers
+    rows = train.select("text", F.col("label").cast("int")).mapInArrow(run, "x array<double>, y int").collect()  # at most `sample` rows of 9 numbers
     y = np.array([r.y for r in rows], float)
     if len(set(y)) == 2:
         model.weights = fit(np.array([r.x for r in rows]), y)
