@@ -1,14 +1,10 @@
 """Connected components by rounds of local union-find.
 
-A round deals the links by one end, finds the components among each
-partition's own links, and replaces them by stars: each node and its local
-root. Rounds deal by the node, then by the root, in turn. A round over stars
-by the root joins nothing new but keeps stars; a round by the node meets the
-different roots of a node and joins them. It ends when a round by the node
-finds no node with two roots and no root below another. Each round is written
-to the shared folder. A partition's memory grows with its links; a node of
-many links is split first, because links of a round are made distinct and
-every node keeps one link a partition.
+The components among each partition's own links become stars: each node and
+its local root. A round moves every star to the smallest root that its node or
+its root knows, ties the roots that met, and deals the links by their smaller
+end for the next local union-find. It ends when no node has two roots and no
+root has one. Each round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -53,10 +49,16 @@ def _contract(links: DataFrame) -> DataFrame:
     return links.mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, root (the component's smallest node) for each node of the links a, b, the roots included."""
+def components(links: DataFrame, most_rounds: int = 60, one_task: int = 500_000) -> DataFrame:
+    """node, root (the component's smallest node) for each node of the links a, b, the roots included.
+
+    At most `one_task` links that are left after the first round are joined by
+    one task, which holds some 100 bytes a link; more go through the rounds.
+    """
     ends = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     stars = scratch_table(_contract(ends), "components")
+    if stars.count() <= one_task:
+        return _with_roots(scratch_table(_contract(stars.coalesce(1)), "components"))
     n = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for _ in range(most_rounds):
         # a node with several roots, or a root that has a root itself, is still open
@@ -65,14 +67,19 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         is_open = roots.join(above.withColumn("above", F.lit(1)), "a", "left").where("low <> high or above = 1")
         if not is_open.head(1):
             break
-        # each star (a, b) moves to a's smallest root, and that root is tied to b: large and small stars in one pass
+        # a star (a, b) moves to the smallest root that a or b knows, and b is tied to both
         lowest = roots.select("a", "low")
         up = stars.join(lowest.select(F.col("a").alias("b"), F.col("low").alias("b_low")), "b", "left")
         moved = up.join(lowest, "a").select("a", "low", "b", "b_low")
-        tied = moved.select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct(F.col("low").alias("a"), F.col("b_low").alias("b")))).alias("s")).select("s.a", "s.b")
+        pairs = (F.col("a"), F.least("low", "b_low")), (F.col("b"), F.col("low")), (F.col("b"), F.col("b_low"))
+        tied = moved.select(F.explode(F.array(*(F.struct(x.alias("a"), y.alias("b")) for x, y in pairs))).alias("s")).select("s.a", "s.b")
         tied = tied.where("b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         stars = scratch_table(_contract(tied.repartition(n, "b")), "components")
     else:
         raise RuntimeError("components did not settle")
+    return _with_roots(stars)
+
+
+def _with_roots(stars: DataFrame) -> DataFrame:
     own = stars.select(F.col("a").alias("node"), F.col("b").alias("root")).distinct()
     return own.unionByName(own.select(F.col("root").alias("node"), "root").distinct())

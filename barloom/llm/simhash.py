@@ -19,7 +19,8 @@ Components come from rounds of local union-find over dealt links, each round
 written to the shared folder; no table of all links, components or
 fingerprints is ever in one place.
 
-Defined cases: null text is empty; without words the fingerprint is zero and
+Defined cases: rows with one doc_id are one document, which links by each of
+its texts. Null text is empty; without words the fingerprint is zero and
 links as any other; with fewer words than a shingle the whole sequence is one
 shingle. Repeated rows give repeated results. A null doc_id is never a
 component's id unless all members lack one.
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Columns, documents_of, rows_of, scratch_table
+from .common import Columns, documents_of, keep_in_place, rows_of, scratch_table, slices_of
 from .components import components
 
 BITS = 64
@@ -161,10 +162,10 @@ def _levels(radius: int, bits: list[int], depth: int) -> list[tuple[str, list[in
 
 
 def links(distinct: DataFrame, radius: int, most: int = 20_000, depth: int = 3) -> DataFrame:
-    """a, b: links between distinct fingerprints (column fp) that connect all within the radius."""
+    """a, b: links between the nodes of distinct fingerprints (columns fp, node) that connect all within the radius."""
     spark = distinct.sparkSession
-    # rows: fp, path (the blocks fixed so far, by name), key (their bits' values)
-    open_rows = distinct.select("fp", F.lit("").alias("path"), F.lit(0).cast("long").alias("key"))
+    # rows: fp, node, path (the blocks fixed so far, by name), key (their bits' values)
+    open_rows = distinct.select("fp", "node", F.lit("").alias("path"), F.lit(0).cast("long").alias("key"))
     fixed: dict[str, list[int]] = {"": []}
     ready = []
     for level in range(depth):
@@ -175,7 +176,7 @@ def links(distinct: DataFrame, radius: int, most: int = 20_000, depth: int = 3)
                 after[f"{path}/{name}"] = bits + part
                 branches.append((path, f"{path}/{name}", bits + part))
         shard = F.explode(F.array(*(F.when(F.col("path") == p, F.struct(F.lit(q).alias("path"), _masked(bits).alias("key"))) for p, q, bits in branches)))
-        rows = open_rows.select("fp", shard.alias("s")).where("s is not null").select("fp", "s.path", "s.key")
+        rows = open_rows.select("fp", "node", shard.alias("s")).where("s is not null").select("fp", "node", "s.path", "s.key")
         if level == depth - 1:
             ready.append(rows)
             break
@@ -186,29 +187,28 @@ def links(distinct: DataFrame, radius: int, most: int = 20_000, depth: int = 3)
             ready.append(rows)
             break
         ready.append(rows.join(large, ["path", "key"], "left_anti"))
-        open_rows = rows.join(large, ["path", "key"], "left_semi").select("fp", "path", "key")
+        open_rows = rows.join(large, ["path", "key"], "left_semi").select("fp", "node", "path", "key")
         fixed = after
     every = ready[0]
     for more in ready[1:]:
         every = every.unionByName(more)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    signed = lambda x: x - (x >> 63 << 64)
 
     def run(batches):
-        at, held = None, []
+        at, held = None, {}
 
         def close():
             if len(held) > 1:
-                for v, w in forest([x & ((1 << 64) - 1) for x in held], radius):
-                    out.add(signed(v), signed(w))
+                for v, w in forest(list(held), radius):
+                    out.add(held[v], held[w])
 
         out = Columns(schema)
         for batch in batches:
-            for fp, path, key in rows_of(batch):
+            for fp, node, path, key in rows_of(batch):
                 if (path, key) != at:
                     close()
-                    at, held = (path, key), []
-                held.append(fp)
+                    at, held = (path, key), {}
+                held[fp & ((1 << 64) - 1)] = node
                 if len(out) > 10_000:
                     yield out.take()
         close()
@@ -218,13 +218,17 @@ def links(distinct: DataFrame, radius: int, most: int = 20_000, depth: int = 3)
     return every.repartition(n, "path", "key").sortWithinPartitions("path", "key", "fp").mapInArrow(run, "a long, b long")
 
 
+#: Nodes of fingerprints whose documents all lack an id: above any other, so that they name no component with ids in it.
+NAMELESS = 1 << 62
+
+
 def classes(own: DataFrame, radius: int) -> DataFrame:
-    """fp, component_id for each distinct fp of own (doc_id, fp)."""
-    distinct = scratch_table(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    found = components(scratch_table(links(distinct, radius).distinct(), "simhash-links"))  # node, root
-    smallest = found.join(distinct, found.node == distinct.fp).groupBy("root").agg(F.min("first").alias("first"))
-    member = found.join(smallest, "root").select(F.col("node").alias("fp"), F.col("first").alias("linked"))
-    return distinct.join(member, "fp", "left").select("fp", F.coalesce("linked", "first").alias("component_id"))
+    """fp, component_id for each distinct fp of own (doc_id, fp). A fingerprint's node is its smallest doc_id, so a component's smallest node is its id."""
+    node = F.coalesce(F.min("doc_id"), F.lit(NAMELESS) + F.shiftrightunsigned(F.first("fp"), 2))
+    distinct = scratch_table(own.groupBy("fp").agg(node.alias("node")), "simhash-distinct")
+    found = components(links(distinct, radius)).withColumnRenamed("node", "member")
+    root = F.coalesce("root", "node")
+    return distinct.join(found, distinct.node == found.member, "left").select("fp", F.when(root < NAMELESS, root).alias("component_id"))
 
 
 def near_duplicates(df: DataFrame, radius: int = 2, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,7 +246,7 @@ def one_of_each(df: DataFrame, radius: int = 2, width: int = 3, seed: int = 42,
     fields = T.StructType([*inner.schema.fields, T.StructField("fp", T.LongType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices_of(b)):
             found = (fingerprint(t.encode("utf-8") if t else b"", width, seed) for t in batch.column(text_at).to_pylist())
             fp = pa.array([x - (x >> 63 << 64) for x in found], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, fp], names=[*batch.schema.names, "fp"])
@@ -254,4 +258,4 @@ def one_of_each(df: DataFrame, radius: int = 2, width: int = 3, seed: int = 42,
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     best = named.groupBy(F.coalesce("component_id", F.col("fp")).alias("of"), F.col("component_id").isNull().alias("nameless")).agg(F.min(order).alias("best"))
     kept = best.select(F.col("best.row").alias("row"))
-    return rows.join(kept, "row", "left_semi").select(*plain).toDF(*names)
+    return keep_in_place(rows, kept, "row", "simhash-kept").select(*plain).toDF(*names)
