@@ -14,6 +14,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -61,8 +62,59 @@ def stored_bytes(df: DataFrame) -> int:
     return min(int(str(size)), 1 << 62)
 
 
+def slices_of(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batch in parts, so that only a few rows at a time become Python objects."""
+    return (batch.slice(start, rows) for start in range(0, batch.num_rows, rows))
+
+
 def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
-    return zip(*(c.to_pylist() for c in batch.columns), strict=True)
+    for part in slices_of(batch):
+        yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
+
+
+def keep_in_place(rows: DataFrame, kept: DataFrame, row_col: str, name: str) -> DataFrame:
+    """The rows of a written table whose row_col (from monotonically_increasing_id) is among kept's.
+
+    The wanted numbers go to a file for each writing partition; the table is
+    filtered where it is read and never shuffled.
+    """
+    spark, folder = rows.sparkSession, scratch_path(rows.sparkSession, name)
+    at = rows.columns.index(row_col)
+
+    def store(batches):
+        out, number, held = Store(folder), None, []
+
+        def close():
+            with out.write(str(number)) as f:
+                f.write(np.array(held, "<i8").tobytes())
+            return pa.RecordBatch.from_pylist([{"n": len(held)}], schema=pa.schema([("n", pa.int64())]))
+
+        for batch in batches:
+            for row, part in rows_of(batch):
+                if part != number:
+                    if number is not None:
+                        yield close()
+                    number, held = part, []
+                held.append(row)
+        if number is not None:
+            yield close()
+
+    numbers = kept.select(F.col(row_col).cast("long").alias("row"), F.shiftright(F.col(row_col), 33).alias("part"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbers.repartition(n, "part").sortWithinPartitions("part", "row").mapInArrow(store, "n long").agg(F.sum("n")).collect()
+
+    def keep(batches):
+        out, wanted = Store(folder), {}
+        for batch in batches:
+            row = batch.column(at).to_numpy()
+            mask = np.zeros(len(row), bool)
+            for part in np.unique(row >> 33).tolist():
+                if part not in wanted:
+                    wanted[part] = np.frombuffer(out.read(str(part)), "<i8") if out.has(str(part)) else np.zeros(0, np.int64)
+                mask |= np.isin(row, wanted[part])
+            yield batch.filter(pa.array(mask))
+
+    return rows.mapInArrow(keep, rows.schema)
 
 
 class Columns:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Columns, rows_of
+from .common import Columns, rows_of, slices_of
 from .encoding import by_size
 
 #: Which tokens of a window a seed looks at.
@@ -215,7 +215,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, identity: float = 0.8, overlap:
 
         def run(batches, sent=sent):
             matcher = Matcher(sent.value, identity, overlap)
-            for batch in batches:
+            for batch in (part for b in batches for part in slices_of(b)):
                 texts = ((t.encode("utf-8") if t else b"",) for t in batch.column(at).to_pylist())
                 keep = [not got for rows in by_size(texts) for got in matcher.matches([t for (t,) in rows])]
                 yield batch.filter(pa.array(keep, pa.bool_()))

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import Answers, exchange, new_block_id, pack, unpack
-from .common import Columns, Store, rows_of, scratch_path, scratch_table
+from .common import Columns, Store, rows_of, scratch_path, scratch_table, slices_of
 
 BLOCK_BYTES = 4 << 20
 TRIGGER = 8
@@ -355,7 +355,7 @@ def deduplicated(df: DataFrame, least: int = 400, text_col: str = "text", length
     place, n, length_at = names.index(text_col), len(names), names.index(length_col) if length_col else None
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices_of(b)):
             kept, was = batch.column(n).to_pylist(), batch.column(place).to_pylist()
             texts = [w if w is None else k.decode("utf-8", "ignore") for w, k in zip(was, kept, strict=True)]
             columns = list(batch.columns[:n])
