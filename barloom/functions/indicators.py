@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import (
-    SERIES,
     bars_since,
     correlation,
     col,
@@ -38,6 +37,7 @@ from .kernels import (
     rolling,
     row_number,
     running_sum,
+    series,
     skewness,
     sma,
     total,
@@ -130,7 +130,7 @@ def fisher_value() -> Column:
 
 
 put("", "_MID", _FISHER=fisher_value)
-put("momentum", "_FISHER", FISHER=lambda: F.last(0.5 * F.ln((1 + c("_FISHER")) / (1 - c("_FISHER"))), ignorenulls=True).over(SERIES.rowsBetween(-(1 << 30), 0)))
+put("momentum", "_FISHER", FISHER=lambda: F.last(0.5 * F.ln((1 + c("_FISHER")) / (1 - c("_FISHER"))), ignorenulls=True).over(series().rowsBetween(-(1 << 30), 0)))
 
 # --- volatility
 for _n in (14, 20):
@@ -187,7 +187,7 @@ for _n in (20, 50, 200):
 
 def turn(above: Column) -> Column:
     now = flag(above)
-    return now - F.coalesce(F.lag(now).over(SERIES), now)
+    return now - F.coalesce(F.lag(now).over(series()), now)
 
 
 put("price", "EMA_20 EMA_50 EMA_200", ema_20_50_cross=lambda: turn(c("EMA_20") > c("EMA_50")), ema_50_200_cross=lambda: turn(c("EMA_50") > c("EMA_200")), ema_aligned_bull=lambda: flag((c("EMA_20") > c("EMA_50")) & (c("EMA_50") > c("EMA_200"))))

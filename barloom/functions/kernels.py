@@ -13,7 +13,9 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 KEYS = ("symbol", "timeframe")
-SERIES = Window.partitionBy(*KEYS).orderBy("ts")
+def series():
+    """The window of a series; needs a session, so it is made when asked for."""
+    return Window.partitionBy(*KEYS).orderBy("ts")
 
 
 def col(x: Column | str) -> Column:
@@ -21,15 +23,15 @@ def col(x: Column | str) -> Column:
 
 
 def frame(n: int):
-    return SERIES.rowsBetween(1 - n, 0)
+    return series().rowsBetween(1 - n, 0)
 
 
 def lag(x, n: int = 1) -> Column:
-    return F.lag(col(x), n).over(SERIES)
+    return F.lag(col(x), n).over(series())
 
 
 def lead(x, n: int = 1) -> Column:
-    return F.lead(col(x), n).over(SERIES)
+    return F.lead(col(x), n).over(series())
 
 
 def diff(x, n: int = 1) -> Column:
@@ -129,15 +131,15 @@ def linreg(x, n: int) -> tuple[Column, Column]:
 
 
 def running_sum(x) -> Column:
-    return F.sum(col(x)).over(SERIES.rowsBetween(Window.unboundedPreceding, 0))
+    return F.sum(col(x)).over(series().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def running_max(x) -> Column:
-    return F.max(col(x)).over(SERIES.rowsBetween(Window.unboundedPreceding, 0))
+    return F.max(col(x)).over(series().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def row_number() -> Column:
-    return F.row_number().over(SERIES)
+    return F.row_number().over(series())
 
 
 def flag(condition: Column) -> Column:
@@ -161,5 +163,5 @@ def crossed_below(a, b) -> Column:
 def bars_since(hit: Column) -> Column:
     """Rows since the last row where hit holds; NULL before the first."""
     n = row_number()
-    last = F.max(F.when(hit, n)).over(SERIES.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.max(F.when(hit, n)).over(series().rowsBetween(Window.unboundedPreceding, 0))
     return n - last
