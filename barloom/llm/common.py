@@ -24,9 +24,21 @@ from pyspark.sql import functions as F
 WHITE = b" \t\n\x0b\x0c\r"
 
 
+#: Rows of text that go to Python at once, at most. Whole texts are wide: the default of 10 000 rows takes hundreds of MB of buffers a task.
+ROWS_PER_BATCH = 500
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Lowers the session's Arrow batches to ROWS_PER_BATCH rows; lower settings stay."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_PER_BATCH:
+        spark.conf.set(key, str(ROWS_PER_BATCH))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where unset, a fresh local one (single-machine sessions only)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = bounded_batches(spark).conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
@@ -50,6 +62,7 @@ def scratch_table(df: DataFrame, name: str, compression: str = "zstd") -> DataFr
 
 def documents_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id long and text as UTF-8 bytes (null: empty); other columns are not read."""
+    bounded_batches(df.sparkSession)
     return df.select(
         df[id_col].cast("long").alias("doc_id"),
         F.coalesce(df[text_col].cast("string"), F.lit("")).cast("binary").alias("text"),

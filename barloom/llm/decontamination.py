@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Columns, rows_of, slices_of
+from .common import Columns, bounded_batches, rows_of, slices_of
 from .encoding import by_size
 
 #: Which tokens of a window a seed looks at.
@@ -185,7 +185,7 @@ def slices(benchmark: DataFrame, most: int, id_col: str, text_col: str) -> Itera
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, identity: float = 0.8, overlap: int = 13, slice_tokens: int = 200_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, start and length of the overlap in tokens, matched: one row a document and item found in it."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("text"))
     spark_schema = "doc_id long, item_id long, start long, length long, matched long"
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "item_id", "start", "length", "matched")])
@@ -209,7 +209,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, identity: float = 0.8, o
 
 def clean(docs: DataFrame, benchmark: DataFrame, identity: float = 0.8, overlap: int = 13, slice_tokens: int = 200_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, in which no test item is found."""
-    spark, at = docs.sparkSession, docs.columns.index(text_col)
+    spark, at = bounded_batches(docs.sparkSession), docs.columns.index(text_col)
     for items in slices(benchmark, slice_tokens, item_col, item_text_col):
         sent = spark.sparkContext.broadcast(items)
 
