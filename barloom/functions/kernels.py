@@ -109,7 +109,9 @@ def mean_deviation(x, n: int) -> Column:
 
 def correlation(a, b, n: int) -> Column:
     both = F.when(col(a).isNotNull() & col(b).isNotNull(), 1)
-    return F.when(F.count(both).over(frame(n)) == n, F.corr(col(a), col(b)).over(frame(n)))
+    w = frame(n)
+    moves = (F.max(col(a)).over(w) > F.min(col(a)).over(w)) & (F.max(col(b)).over(w) > F.min(col(b)).over(w))
+    return F.when((F.count(both).over(w) == n) & moves, F.nullif(F.corr(col(a), col(b)).over(w), F.lit(float("nan"))))
 
 
 def weighted(x, weights: list[float]) -> Column:

@@ -296,7 +296,8 @@ def _mcginley(d, n: int = 14):
     out = x.copy()
     for i in range(1, len(x)):
         before = out[i - 1]
-        out[i] = before + (x[i] - before) / (n * (x[i] / before) ** 4) if before and x[i] else before
+        part = n * (x[i] / before) ** 4 if before else 0.0
+        out[i] = before + (x[i] - before) / part if part > 1e-12 else x[i]  # a fall to almost nothing starts anew
     return pd.Series(out)
 
 
