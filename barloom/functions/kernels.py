@@ -107,11 +107,21 @@ def mean_deviation(x, n: int) -> Column:
     return full(x, n, F.aggregate(window_values(x, n), F.lit(0.0), lambda s, v: s + F.abs(v - mean)) / n)
 
 
+def pearson(a, b, over=lambda x: x) -> Column:
+    """Pearson's correlation of the rows in which both have values; NULL where a side is constant.
+
+    `corr` itself divides by zero there. `over` puts the aggregates over a frame.
+    """
+    both = col(a).isNotNull() & col(b).isNotNull()
+    x, y = F.when(both, col(a)), F.when(both, col(b))
+    moves = (over(F.max(x)) > over(F.min(x))) & (over(F.max(y)) > over(F.min(y)))
+    spread = over(F.stddev_pop(x)) * over(F.stddev_pop(y))
+    return F.when(moves, F.try_divide(over(F.covar_pop(x, y)), F.nullif(spread, F.lit(0.0))))
+
+
 def correlation(a, b, n: int) -> Column:
     both = F.when(col(a).isNotNull() & col(b).isNotNull(), 1)
-    w = frame(n)
-    moves = (F.max(col(a)).over(w) > F.min(col(a)).over(w)) & (F.max(col(b)).over(w) > F.min(col(b)).over(w))
-    return F.when((F.count(both).over(w) == n) & moves, F.nullif(F.corr(col(a), col(b)).over(w), F.lit(float("nan"))))
+    return F.when(F.count(both).over(frame(n)) == n, pearson(a, b, lambda x: x.over(frame(n))))
 
 
 def weighted(x, weights: list[float]) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kernels import pearson
+
 
 def effect_sizes(entries: DataFrame, columns: list[str]) -> DataFrame:
     """col, n_winners, n_losers, winner_mean, loser_mean, winner_p25, winner_p75, cohens_d: winners against losers, by one pass."""
@@ -95,7 +97,7 @@ def correlation_matrix(df: DataFrame, columns: list[str], least: int = 5, share:
     own = [c for c in columns if counts["_n"] >= least and counts[c] >= share * counts["_n"]]
     if not own:
         return df.sparkSession.createDataFrame([], "a string, b string, correlation double")
-    row = df.agg(*(F.corr(a, b).alias(f"{i}|{j}") for i, a in enumerate(own) for j, b in enumerate(own)))
+    row = df.agg(*(pearson(a, b).alias(f"{i}|{j}") for i, a in enumerate(own) for j, b in enumerate(own)))
     long = row.unpivot([], list(row.columns), "pair", "correlation")
     name = F.array(*map(F.lit, own))
     at = F.split("pair", r"\|")

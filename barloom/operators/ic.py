@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kernels import pearson
 from .stats import ranked, t_sf
 
 #: The horizons in bars.
@@ -26,12 +27,6 @@ def unpivot(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.unpivot([*BY, "ts", "close"], [F.col(c).cast("double").alias(c) for c in columns], "col", "value")
 
 
-def safe_corr(a: str, b: str, told: Column) -> Column:
-    """Pearson's correlation; NULL where a side is constant or not told."""
-    n, top = F.count("*"), F.covar_pop(a, b)
-    return F.when(told & (n > 1), F.try_divide(top, F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))))
-
-
 def strength(x: Column) -> Column:
     return F.when(F.abs(x) >= 0.2, "strong").when(F.abs(x) >= 0.1, "moderate").when(F.abs(x) >= 0.05, "weak").otherwise("noise")
 
@@ -59,7 +54,7 @@ def information(df: DataFrame, columns: list[str], horizons: tuple[int, ...] = H
     rows = base.withColumn("_v", value).where("_v.value is not null").withColumn("_f", future).select(*BY, "ts", "_v.col", "_v.value", "_f.horizon", "_f.future").where("future is not null")
     by = (*BY, "col", "horizon")
     r = ranked(rows, by, ["value", "future"])
-    return r.groupBy(*by).agg(F.count("*").alias("n"), safe_corr("rank_value", "rank_future", F.count("*") >= least).alias("ic"))
+    return r.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, pearson("rank_value", "rank_future")).alias("ic"))
 
 
 def summary(per_series: DataFrame) -> DataFrame:

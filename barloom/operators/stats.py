@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kernels import pearson
+
 SAMPLES_PER_TASK = 100
 
 
@@ -156,7 +158,7 @@ def mean_spearman(found: DataFrame, by: str, value: str = "r", order: str = "exi
     filled = grid.join(own, [by, "step"], "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
     r = ranked(filled, (by,), ["r"]).select(by, "step", F.col("rank_r").alias("rank"))
     other = r.select(F.col(by).alias("other"), "step", F.col("rank").alias("other_rank"))
-    pairs = r.join(other, "step").where(F.col(by) < F.col("other")).groupBy(by, "other").agg(F.try_divide(F.covar_pop("rank", "other_rank"), F.nullif(F.stddev_pop("rank") * F.stddev_pop("other_rank"), F.lit(0.0))).alias("rho"))
+    pairs = r.join(other, "step").where(F.col(by) < F.col("other")).groupBy(by, "other").agg(pearson("rank", "other_rank").alias("rho"))
     return pairs.agg(F.coalesce(F.avg("rho"), F.lit(0.0)).alias("avg_correlation"), F.count("rho").alias("n_pairs"))
 
 
