@@ -15,7 +15,11 @@ from array import array
 from functools import lru_cache
 from itertools import islice
 
+import numpy as np
+
 _CHUNK = re.compile(rb"[\t-\r ]*+[A-Za-z]++(?![\x80-\xff])|[\t-\r ]*+[^\t-\r ]++|[\t-\r ]++")
+#: ASCII letters that no other letter follows, or any other bytes.
+_PART = re.compile(rb"[A-Za-z]++(?![\x80-\xff])|.++", re.DOTALL)
 #: Bytes without which _RARE can't match; most texts have none of them.
 _LEADS = [bytes([b]) for b in (0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3)]
 #: White space that some library may take as such: C0 separators, U+0085, U+00A0, U+1680, U+2000-200A, U+2028/9, U+202F, U+205F, U+3000.
@@ -48,30 +52,48 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.cache, self.old = Tokenizer.from_file(path), limit, {}, {}
+        self.pieces: dict[bytes, bytes] = {}
+        self.old_pieces: dict[bytes, bytes] = {}
         told = json.loads(self.tokenizer.to_str())
         steps = {x["type"] for x in (told["normalizer"] or {}).get("normalizers", [])}
         cuts = (told["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         self.words = {"Replace", "Lowercase"} <= steps and cuts[0].get("behavior") == "Removed"
-        self.parting = next(((t["content"], t["id"]) for t in told["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"])), None)
+        self.parting = next(((t["content"].encode(), t["id"]) for t in told["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"])), None)
         self.marks = {t["content"][:2].encode() for t in told["added_tokens"]}
 
     def library(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def library_of_chunks(self, chunks: list[bytes]) -> list[bytes]:
-        """The same for many chunks at less cost: a special token, which splits a text before all else, parts them."""
-        plain = [c for c in chunks if not any(m in c for m in self.marks)] if self.parting else []
-        found = {}
-        for start in range(0, len(plain), 200):
-            part = plain[start : start + 200]
-            ids = self.tokenizer.encode_batch_fast([self.parting[0].join(c.decode("utf-8", "replace") for c in part)], add_special_tokens=False)[0].ids
-            ends = [i for i, x in enumerate(ids) if x == self.parting[1]]
-            raw = array("I", ids).tobytes()
-            found.update(zip(part, [raw[4 * a : 4 * b] for a, b in zip([0, *(i + 1 for i in ends)], [*ends, len(ids)], strict=True)], strict=True))
-        rest = [c for c in chunks if c not in found]
-        found.update(zip(rest, self.library(rest), strict=True) if rest else ())
-        return list(map(found.__getitem__, chunks))
+    def library_of_chunks(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of many chunks at less cost: a special token, which splits a text before all else, parts them."""
+        found: dict[bytes, bytes] = {}
+        for start in range(0, len(chunks), 200):
+            part = chunks[start : start + 200]
+            if self.parting and sum(map((joined := self.parting[0].join(part)).count, self.marks)) == len(part) - 1:
+                ids = np.array(self.tokenizer.encode_batch_fast([joined.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
+                ends = 4 * np.flatnonzero(ids == self.parting[1])
+                raw = ids.tobytes()
+                found.update(zip(part, map(raw.__getitem__, map(slice, [0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)])), strict=True))
+            else:
+                found.update(zip(part, self.library(part), strict=True))
+        return found
+
+    def parts(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of new words: letters and what follows them are looked up apart, so that punctuation makes no new words."""
+        if not self.words:
+            return self.library_of_chunks(new)
+        every = b" ".join(new)
+        marked = any(m in every for m in self.marks)
+        cut = [[w] if marked and any(m in w for m in self.marks) else _PART.findall(w) for w in new]
+        known, old = self.pieces, self.old_pieces
+        missing = [p for p in set().union(*cut) if p not in known]
+        known.update((p, old[p]) for p in missing if p in old)
+        known.update(self.library_of_chunks([p for p in missing if p not in old]))
+        out = {w: b"".join(map(known.__getitem__, ps)) for w, ps in zip(new, cut, strict=True)}
+        if len(known) > self.limit // 2:
+            self.old_pieces, self.pieces = known, {}
+        return out
 
     def cut(self, text: bytes) -> list[bytes] | None:
         if not self.words:
@@ -90,9 +112,7 @@ class ChunkEncoder:
         old = self.old
         self.cache.update((c, old[c]) for c in missing if c in old)
         new = [c for c in missing if c not in old]
-        for start in range(0, len(new), 10_000):
-            part = new[start : start + 10_000]
-            self.cache.update(zip(part, self.library_of_chunks(part), strict=True))
+        self.cache.update(self.parts(new))
         for chunks, ids, open_at in zip(cut, found, gaps, strict=True):
             for i in open_at:
                 ids[i] = self.cache[chunks[i]]
