@@ -69,12 +69,6 @@ def documents_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def stored_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of df's stored size, without a job; sizes partition counts only, never results."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return min(int(str(size)), 1 << 62)
-
-
 def slices_of(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batch in parts, so that only a few rows at a time become Python objects."""
     return (batch.slice(start, rows) for start in range(0, batch.num_rows, rows))

@@ -132,8 +132,8 @@ def bucket_of(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(np.log2(np.maximum(counts, 0.5))).astype(np.int64) + 1, TOP_BUCKET)
 
 
-def expectation_maximisation(bucket: np.ndarray, p2: np.ndarray, p1: np.ndarray, p0: float, times: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Weights (bigram, word, uniform) of each bucket; a bucket without held-out counts takes those of all, an unseen context none for the bigram."""
+def expectation_maximisation(bucket: np.ndarray, p2: np.ndarray, p1: np.ndarray, p0: float, times: np.ndarray, rounds: int = 60, prior: float = 1.0) -> np.ndarray:
+    """Weights (bigram, word, uniform) of each bucket, each estimate credited with `prior` more tokens, so that none is ruled out; a bucket without held-out counts takes those of all, an unseen context none for the bigram."""
 
     def learned(use: np.ndarray) -> np.ndarray:
         parts = np.stack([p2[use], p1[use], np.full(int(use.sum()), p0)], 1)
@@ -141,9 +141,8 @@ def expectation_maximisation(bucket: np.ndarray, p2: np.ndarray, p1: np.ndarray,
         for _ in range(rounds):
             share = parts * w
             share /= share.sum(1, keepdims=True)
-            w = (share * n[:, None]).sum(0) / n.sum()
-        w = np.maximum(w, 1e-9)  # no estimate is ever ruled out
-        return w / w.sum()
+            w = ((share * n[:, None]).sum(0) + prior) / (n.sum() + 3 * prior)
+        return w
 
     every = learned(np.ones(len(times), bool)) if times.sum() else np.full(3, 1 / 3)
     out = np.tile(every, (TOP_BUCKET + 1, 1))

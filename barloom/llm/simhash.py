@@ -192,6 +192,7 @@ def links(distinct: DataFrame, radius: int, most: int = 20_000, depth: int = 3)
     every = ready[0]
     for more in ready[1:]:
         every = every.unionByName(more)
+    every = every.select("fp", "node", "path", "key")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):

@@ -29,13 +29,13 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Columns, Store, documents_of, rows_of, scratch_path, scratch_table, stored_bytes
+from .common import Columns, Store, documents_of, rows_of, scratch_path, scratch_table
 from .encoding import by_size, encoder
 
 MAGIC = b"BLIDS1"
 NULL_ID = -(1 << 63)
-#: Stored bytes of input that go to one shard.
-SHARD_BYTES = 12 << 20
+#: Bytes of text that go to one shard, about.
+SHARD_BYTES = 24 << 20
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,6 @@ def _narrow(ids: bytes, width: int) -> bytes:
 
 def train(docs: DataFrame, tokenizer: str, end: bytes, width: int, sample: int, size: int) -> bytes:
     """The dictionary; empty if there is too little to train one."""
-    spark = docs.sparkSession
     chosen = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bound: `sample` rows of 8 bytes
     few = docs.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi")
     first = few.select(F.expr("substring(text, 1, 65536)").alias("text"))
@@ -74,7 +73,6 @@ def train(docs: DataFrame, tokenizer: str, end: bytes, width: int, sample: int,
                 yield pa.RecordBatch.from_arrays([pa.array([_narrow(x + end, width)[:16384] for x in ids], pa.binary())], ["ids"])
 
     got = [bytes(r[0]) for r in first.mapInArrow(run, "ids binary").limit(2 * sample).toLocalIterator()]  # at most 2 * sample * 16 KiB
-    del spark
     try:
         return zstandard.train_dictionary(size, sorted(got)).as_bytes()
     except zstandard.ZstdError:
@@ -90,7 +88,8 @@ def write_shards(df: DataFrame, tokenizer: str, end_id: int = 2, vocabulary: int
     coding = Coding(width, train(docs, tokenizer, end, width, sample, dictionary_size))
     with Store(folder).write("dictionary.zstd") as f:
         f.write(coding.dictionary)
-    shards = max(1, -(-stored_bytes(df.select(id_col, text_col)) // SHARD_BYTES))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(1, -(-size // SHARD_BYTES))
     bounds = docs.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.1 / shards) if shards > 1 else []
     edges = np.unique(np.array([int(x) for x in bounds], np.int64))  # where shards begin
 
