@@ -182,10 +182,10 @@ def asof_exec_signal(spark, sf_dir):
     return shown(asof.execution_signals(source.event_bars(spark, sf_dir, "15m"), signals), ["close", "entry_signal", "exit_signal"])
 
 
-@query(f"WITH {BARS}, p AS (SELECT event_type AS symbol, event_id, ts FROM events WHERE event_id % 20 = 0), n AS (SELECT p.symbol, p.event_id, arg_min(b.ts, (abs(epoch_us(b.ts) - epoch_us(p.ts)), epoch_us(b.ts))) AS bar_ts, arg_min(b.close, (abs(epoch_us(b.ts) - epoch_us(p.ts)), epoch_us(b.ts))) AS close FROM p JOIN bars b USING (symbol) GROUP BY 1, 2) SELECT symbol, event_id, strftime(bar_ts, '%Y-%m-%d %H:%M:%S') AS bar_ts, round(close, 6) AS close FROM n")
+@query(f"WITH {BARS}, p AS (SELECT event_type AS symbol, event_id, ts FROM events), n AS (SELECT p.symbol, p.event_id, arg_min(b.ts, (abs(epoch_us(b.ts) - epoch_us(p.ts)), epoch_us(b.ts))) AS bar_ts, arg_min(b.close, (abs(epoch_us(b.ts) - epoch_us(p.ts)), epoch_us(b.ts))) AS close FROM p JOIN bars b USING (symbol) GROUP BY 1, 2) SELECT symbol, event_id, strftime(bar_ts, '%Y-%m-%d %H:%M:%S') AS bar_ts, round(close, 6) AS close FROM n")
 def nearest_bar(spark, sf_dir):
-    """The bar nearest to every twentieth event, which are the points asked for."""
-    points = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 20 = 0").select(F.col("event_type").alias("symbol"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    """The bar nearest to each event."""
+    points = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("symbol"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
     out = asof.nearest(points, hourly(spark, sf_dir), ["close"])
     return out.select("symbol", "event_id", F.date_format("bar_ts", "yyyy-MM-dd HH:mm:ss").alias("bar_ts"), F.round("close", 6).alias("close"))
 
@@ -310,12 +310,12 @@ def portfolio_metrics(spark, sf_dir):
     return stats.portfolio(found, "symbol", n_pairs=10).join(F.broadcast(stats.mean_spearman(found, "symbol")))
 
 
-_PV = "WITH t AS (SELECT p_partkey AS id, (p_partkey * 7919 % 1000) / 1000.0 AS p_value FROM part WHERE p_partkey <= 500), r AS (SELECT *, row_number() OVER (ORDER BY p_value, id) AS k, count(*) OVER () AS n FROM t), a AS (SELECT *, least(1, min(p_value * n / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS adj, coalesce(max(CASE WHEN p_value <= k / n * 0.05 THEN k / n * 0.05 END) OVER (), 0) AS thr FROM r)"
+_PV = "WITH t AS (SELECT p_partkey AS id, (p_partkey * 7919 % 1000) / 1000.0 AS p_value FROM part), r AS (SELECT *, row_number() OVER (ORDER BY p_value, id) AS k, count(*) OVER () AS n FROM t), a AS (SELECT *, least(1, min(p_value * n / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS adj, coalesce(max(CASE WHEN p_value <= k / n * 0.05 THEN k / n * 0.05 END) OVER (), 0) AS thr FROM r)"
 
 
 @query(f"{_PV} SELECT id, k AS fdr_rank, round(adj, 9) AS adjusted_p, adj <= 0.05 AS is_significant, round(thr, 9) AS fdr_threshold FROM a")
 def fdr(spark, sf_dir):
-    tests = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey <= 500").select(F.col("p_partkey").alias("id"), ((F.col("p_partkey") * 7919 % 1000) / 1000.0).alias("p_value"))
+    tests = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), ((F.col("p_partkey") * 7919 % 1000) / 1000.0).alias("p_value"))
     out = stats.false_discovery(tests, order=("id",))
     return out.select("id", F.col("fdr_rank").cast("long").alias("fdr_rank"), F.round("adjusted_p", 9).alias("adjusted_p"), "is_significant", F.round("fdr_threshold", 9).alias("fdr_threshold"))
 
