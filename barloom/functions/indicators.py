@@ -35,7 +35,7 @@ from .kernels import (
     quantile,
     ratio,
     rolling,
-    row_number,
+    running_max,
     running_sum,
     series,
     skewness,
@@ -196,9 +196,10 @@ put("price", TYPPRICE=typical, MEDPRICE=lambda: (c(H) + c(L)) / 2, WCLPRICE=lamb
 # --- structure
 put("structure", PP=lambda: (highest(H, 20) + lowest(L, 20) + sma(C, 20)) / 3)
 put("structure", "PP", R1=lambda: 2 * c("PP") - lowest(L, 20), S1=lambda: 2 * c("PP") - highest(H, 20), R2=lambda: c("PP") + highest(H, 20) - lowest(L, 20), S2=lambda: c("PP") - highest(H, 20) + lowest(L, 20), PP_dist_pct=lambda: ratio(c(C) - c("PP"), "PP") * 100)
-put("structure", PRICE_RANGE_PCT=lambda: ratio(highest(H, 20) - lowest(L, 20), lowest(L, 20)) * 100)
+put("structure", PRICE_RANGE_PCT=lambda: ratio(c(C) - lowest(L, 20), highest(H, 20) - lowest(L, 20)) * 100)
 put("", _HI20=lambda: highest(H, 20), _LO20=lambda: lowest(L, 20))
-put("structure", "_HI20 _LO20", HH=lambda: flag(c(H) > lag("_HI20")), LL=lambda: flag(c(L) < lag("_LO20")), BARS_SINCE_HIGH=lambda: F.coalesce(bars_since(c(H) == c("_HI20")), row_number() - 1), BARS_SINCE_LOW=lambda: F.coalesce(bars_since(c(L) == c("_LO20")), row_number() - 1))
+put("", _TOP=lambda: running_max(H), _BOTTOM=lambda: -running_max(-c(L)))
+put("structure", "_HI20 _LO20 _TOP _BOTTOM", HH=lambda: flag(c(H) > lag("_HI20")), LL=lambda: flag(c(L) < lag("_LO20")), BARS_SINCE_HIGH=lambda: bars_since(c(H) == c("_TOP")), BARS_SINCE_LOW=lambda: bars_since(c(L) == c("_BOTTOM")))
 put("structure", "ATR_14", HIGH_VOL_REGIME=lambda: flag(c("ATR_14") > quantile("ATR_14", 100, 0.75)))
 put("structure", FRACTAL_BEAR=lambda: flag((c(H) > lag(H)) & (c(H) > lag(H, 2)) & (c(H) > lead(H)) & (c(H) > lead(H, 2))), FRACTAL_BULL=lambda: flag((c(L) < lag(L)) & (c(L) < lag(L, 2)) & (c(L) < lead(L)) & (c(L) < lead(L, 2))))
 
@@ -231,11 +232,11 @@ put("trend", "_ABSDIFF", VHF_28=lambda: ratio(highest(C, 28) - lowest(C, 28), to
 put("momentum", CG_10=lambda: -ratio(weighted(C, list(range(10, 0, -1))), total(C, 10)))
 put("", _DD=lambda: F.pow(ratio(c(C) - highest(C, 14), highest(C, 14)) * 100, F.lit(2.0)))
 put("volatility", "_DD", UI_14=lambda: F.sqrt(sma("_DD", 14)))
-put("", _ACCU=lambda: c(H) * (1 + 4 * ratio(c(H) - c(L), c(H) + c(L))), _ACCL=lambda: c(L) * (1 - 4 * ratio(c(H) - c(L), c(H) + c(L))), _UPBAR=lambda: flag(diff(C) > 0), _HO=lambda: c(H) - c(O), _OL=lambda: c(O) - c(L), _HC=lambda: F.greatest(c(H) - lag(C), F.lit(0.0)), _CL=lambda: F.greatest(lag(C) - c(L), F.lit(0.0)))
+put("", _ACCU=lambda: c(H) * (1 + 4 * ratio(c(H) - c(L), c(H) + c(L))), _ACCL=lambda: c(L) * (1 - 4 * ratio(c(H) - c(L), c(H) + c(L))), _UPBAR=lambda: flag(diff(C) > 0), _HO=lambda: F.greatest(c(H) - c(O), F.lit(0.0)), _OL=lambda: F.greatest(c(O) - c(L), F.lit(0.0)), _HC=lambda: F.greatest(c(H) - lag(C), F.lit(0.0)), _CL=lambda: F.greatest(lag(C) - c(L), F.lit(0.0)))
 put("volatility", "_ACCU _ACCL", ACCB_UPPER=lambda: sma("_ACCU", 20), ACCB_MID=lambda: sma(C, 20), ACCB_LOWER=lambda: sma("_ACCL", 20))
 put("momentum", "_UPBAR", PSL_12=lambda: sma("_UPBAR", 12) * 100, TREND_STR_14=lambda: sma("_UPBAR", 14) * 100)
 put("momentum", "_HO _OL _HC _CL", AR_14=lambda: ratio(total("_HO", 14), total("_OL", 14)) * 100, BR_14=lambda: ratio(total("_HC", 14), total("_CL", 14)) * 100)
-put("", "_UP _DOWN", _INERTIA=lambda: ratio(total("_UP", 14), total("_UP", 14) + total("_DOWN", 14)) * 100)
+put("", "_UP _DOWN", _INERTIA=lambda: ratio(total("_UP", 20), total("_UP", 20) + total("_DOWN", 20)))
 put("momentum", "_INERTIA", INERTIA_20=lambda: line_at("_INERTIA", 20, 19))
 put("", _C3=lambda: (c(C) + lag(C) + lag(C, 2)) / 3)
 put("trend", "_C3", TTM_TREND_6=lambda: F.when(c(C) > sma("_C3", 6), 1).otherwise(-1))
@@ -267,7 +268,7 @@ put("", "RSI_14", _MAXC14=lambda: highest(C, 14), _MAXRSI14=lambda: highest("RSI
 put("momentum", "RSI_14 _MAXC14 _MAXRSI14", RSI_DIVERG=lambda: flag((c(C) > lag("_MAXC14")) & (c("RSI_14") < lag("_MAXRSI14"))))
 put("momentum", "MACD MACD_signal", MACD_cross=lambda: turn(c("MACD") > c("MACD_signal")))
 put("", _SH13=lambda: sma(H, 13), _SL21=lambda: sma(L, 21))
-put("trend", "_SH13 _SL21", HILO_HIGH=lambda: c("_SH13"), HILO_LOW=lambda: c("_SL21"), HILO_dir=lambda: F.when(c(C) > c("_SH13"), 1).when(c(C) < c("_SL21"), -1).otherwise(0))
+put("trend", "_SH13 _SL21", HILO_HIGH=lambda: c("_SH13"), HILO_LOW=lambda: c("_SL21"), HILO_dir=lambda: flag(c(C) > c("_SH13")) - flag(c(C) < c("_SL21")))
 
 
 # --- candlestick patterns, +-100 or 0
@@ -278,7 +279,7 @@ def candles() -> None:
     share = ratio(body, size)
     p = {x: lag(x) for x in (O, H, L, C)}
     q = {x: lag(x, 2) for x in (O, H, L, C)}
-    body1, body2 = F.abs(p[C] - p[O]), F.abs(q[C] - q[O])
+    body1 = F.abs(p[C] - p[O])
     up1, down1, up2, down2 = p[C] > p[O], p[C] < p[O], q[C] > q[O], q[C] < q[O]
     half1, half2 = (p[O] + p[C]) / 2, (q[O] + q[C]) / 2
     inside = {"up": down1 & up & (c(O) > p[C]) & (c(C) < p[O]) & (body < 0.5 * body1), "down": up1 & down & (c(O) < p[C]) & (c(C) > p[O]) & (body < 0.5 * body1)}
@@ -293,11 +294,11 @@ def candles() -> None:
         "BULL_HARAMI": (inside["up"], 100), "BEAR_HARAMI": (inside["down"], -100),
         "DARK_CLOUD": (up1 & down & (c(O) > p[H]) & (c(C) < half1) & (c(C) > p[O]), -100), "PIERCING": (down1 & up & (c(O) < p[L]) & (c(C) > half1) & (c(C) < p[O]), 100),
         "TWEEZER_TOP": (up1 & down & (F.abs(c(H) - p[H]) < 0.02 * size), -100), "TWEEZER_BOTTOM": (down1 & up & (F.abs(c(L) - p[L]) < 0.02 * size), 100),
-        "INSIDE_BAR": ((c(H) < p[H]) & (c(L) > p[L]), 100), "OUTSIDE_BAR": ((c(H) > p[H]) & (c(L) < p[L]), 100),
+        "INSIDE_BAR": ((c(H) <= p[H]) & (c(L) >= p[L]), 100), "OUTSIDE_BAR": ((c(H) > p[H]) & (c(L) < p[L]), 100),
         "3_WHITE_SOLDIERS": (up & up1 & up2 & (c(O) > p[O]) & (c(O) < p[C]) & (p[O] > q[O]) & (p[O] < q[C]) & (c(C) > p[C]) & (p[C] > q[C]), 100),
-        "3_BLACK_CROWS": (down & down1 & up2 & (c(O) < p[O]) & (c(O) > p[C]) & (c(C) < p[C]), -100),
-        "MORNING_STAR": (down2 & up & (body1 < 0.3 * body2) & (c(C) > half2), 100), "EVENING_STAR": (up2 & down & (body1 < 0.3 * body2) & (c(C) < half2), -100),
-        "3_INSIDE_UP": (harami1["up"] & up & (c(C) > q[O]), 100), "3_INSIDE_DOWN": (harami1["down"] & down & (c(C) < q[O]), -100),
+        "3_BLACK_CROWS": (down & down1 & up2 & (c(O) < p[O]) & (c(O) > p[C]) & (c(C) < p[C]) & (p[C] < q[C]), -100),
+        "MORNING_STAR": (down2 & up & (body1 < 0.3 * body) & (c(C) > half2), 100), "EVENING_STAR": (up2 & down & (body1 < 0.3 * body) & (c(C) < half2), -100),
+        "3_INSIDE_UP": (harami1["up"] & up & (c(C) > p[C]), 100), "3_INSIDE_DOWN": (harami1["down"] & down & (c(C) < p[C]), -100),
     }
     for name, (condition, value) in patterns.items():
         put("candles", **{f"CDL_{name}": lambda condition=condition, value=value: flag(condition) * value})

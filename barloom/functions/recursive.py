@@ -201,25 +201,28 @@ def _psar(d, step: float = 0.02, most: float = 0.2):
 
 
 def supertrend(d: Frame, n: int, factor: float, centre: pd.Series | None = None):
-    """Line and direction: bands around the middle price carry over until the close leaves them."""
-    close = (d["close"] if centre is None else centre).to_numpy(float)
+    """Line and direction. The line is the band that prices are held by; a band only moves towards prices while it holds them."""
+    if centre is not None:
+        d = {**d, "close": centre}
+    close = d["close"].to_numpy(float)
     reach, middle = factor * ewm(true_range(d), span=n).to_numpy(float), ((d["high"] + d["low"]) / 2).to_numpy(float)
-    upper, lower = middle + reach, middle - reach
     line, way = np.full(len(close), np.nan), np.zeros(len(close))
+    at, rising = math.nan, False
     for i in range(1, len(close)):
-        if not (upper[i] < upper[i - 1] or close[i - 1] > upper[i - 1]):
-            upper[i] = upper[i - 1]
-        if not (lower[i] > lower[i - 1] or close[i - 1] < lower[i - 1]):
-            lower[i] = lower[i - 1]
-        way[i] = 1 if close[i] > upper[i - 1] else -1 if close[i] < lower[i - 1] else way[i - 1] or 1
-        line[i] = lower[i] if way[i] > 0 else upper[i]
+        floor, ceiling = middle[i] - reach[i], middle[i] + reach[i]
+        if not math.isnan(at):
+            floor = floor if close[i - 1] < at else max(floor, at)
+            ceiling = ceiling if close[i - 1] > at else min(ceiling, at)
+        rising = not close[i] < floor if rising else bool(close[i] > ceiling)
+        at = floor if rising else ceiling
+        line[i], way[i] = at, 1 if rising else -1
     return pd.Series(line), pd.Series(way)
 
 
 for _n, _f in ((10, 3), (14, 2), (7, 3), (10, 2), (14, 3), (20, 2)):
     recursive(f"SUPERT_{_n}_{_f}", f"SUPERT_dir_{_n}_{_f}")(lambda d, n=_n, f=_f: supertrend(d, n, f))
 recursive("SUPERT_dir")(lambda d: of(d, "SUPERT_dir_10_3"))
-recursive("PMAX_dir")(lambda d: supertrend(d, 10, 3, over((d["close"] * d["volume"]).rolling(10).sum(), d["volume"].rolling(10).sum()))[1])
+recursive("PMAX_dir")(lambda d: supertrend(d, 10, 3, over((d["close"] * d["volume"]).rolling(10).sum(), d["volume"].rolling(10).sum()).fillna(d["close"]))[1])
 
 
 @recursive("KAMA")
@@ -296,8 +299,9 @@ def _mcginley(d, n: int = 14):
     out = x.copy()
     for i in range(1, len(x)):
         before = out[i - 1]
-        part = n * (x[i] / before) ** 4 if before else 0.0
-        out[i] = before + (x[i] - before) / part if part > 1e-12 else x[i]  # a fall to almost nothing starts anew
+        part = n * (x[i] / before) ** 4 if before else math.nan
+        value = before + (x[i] - before) / part if part > 1e-300 else before if part == 0 else math.nan
+        out[i] = value if math.isfinite(value) and abs(value) < 1e150 else x[i]  # what runs away starts anew
     return pd.Series(out)
 
 
@@ -323,20 +327,26 @@ recursive("BULL_POWER_13")(lambda d: d["high"] - ewm(d["close"], span=13))
 recursive("BEAR_POWER_13")(lambda d: d["low"] - ewm(d["close"], span=13))
 
 
+def open_rsi(x: pd.Series, n: int) -> pd.Series:
+    """RSI without a warm-up; undefined while nothing was lost."""
+    up, down = ewm(x.diff().clip(lower=0), alpha=1 / n), ewm(-x.diff().clip(upper=0), alpha=1 / n)
+    return 100 - 100 / (1 + over(up, down))
+
+
 @recursive("QQE_LINE", "QQE_HIST")
 def _qqe(d):
-    line = ewm(of(d, "RSI_14"), span=5)
-    return line, line - 4.236 * ewm(line.diff().abs(), span=5)
+    line = ewm(open_rsi(d["close"], 14), span=5)
+    return line, 4.236 * ewm(line.diff().abs(), span=5)
 
 
 @recursive("SMI", "SMI_signal")
 def _smi(d):
-    high, low = d["high"].rolling(14).max(), d["low"].rolling(14).min()
-    line = over(_twice(d["close"] - (high + low) / 2, 5, 20), _twice(high - low, 5, 20) / 2) * 100
+    step = d["close"].diff()
+    line = 100 * over(_twice(step, 5, 20), _twice(step.abs(), 5, 20))
     return line, ewm(line, span=5)
 
 
-recursive("RSX_14")(lambda d: ewm(of(d, "RSI_14"), span=7))
+recursive("RSX_14")(lambda d: ewm(open_rsi(d["close"], 14), span=7))
 recursive("VOL_OSC")(lambda d: (lambda s: over(ewm(d["volume"], span=5) - s, s) * 100)(ewm(d["volume"], span=10)))
 for _n in (20, 50):
     recursive(f"ZLEMA_{_n}")(lambda d, n=_n: ewm(2 * d["close"] - d["close"].shift((n - 1) // 2), span=n))
@@ -359,8 +369,8 @@ def cmo(x: pd.Series, n: int) -> pd.Series:
 
 
 @recursive("VIDYA_14")
-def _vidya(d, n: int = 14):
-    x, pace = d["close"].to_numpy(float), cmo(d["close"], n).abs().to_numpy(float) / 100 * 2 / (n + 1)
+def _vidya(d, n: int = 14, smooth: int = 12):
+    x, pace = d["close"].to_numpy(float), cmo(d["close"], n).abs().to_numpy(float) / 100 * 2 / (smooth + 1)
     out = x.copy()
     for i in range(1, len(x)):
         if not math.isnan(pace[i]):
@@ -370,27 +380,25 @@ def _vidya(d, n: int = 14):
 
 @recursive("KVO")
 def _klinger(d):
-    price, size = (d["high"] + d["low"] + d["close"]).to_numpy(float), (d["high"] - d["low"]).to_numpy(float)
-    way = np.where(np.diff(price, prepend=price[:1]) > 0, 1.0, -1.0)
-    run = size.copy()
+    way = np.sign((d["high"] + d["low"] + d["close"]).diff()).to_numpy(float)
+    size = (d["high"] - d["low"]).to_numpy(float)
+    run = np.zeros(len(size))
     for i in range(1, len(size)):
-        run[i] = (run[i - 1] if way[i] == way[i - 1] else size[i - 1]) + size[i]
-    share = np.divide(size, run, out=np.full(len(size), 0.5), where=run != 0)
-    force = pd.Series(d["volume"].to_numpy(float) * way * np.abs(2 * share - 1) * 100)
+        run[i] = size[i] + (run[i - 1] if way[i] == way[i - 1] else size[i - 1])
+    force = pd.Series(way) * d["volume"] * (2 * over(pd.Series(size), pd.Series(run)) - 1).abs()
     return ewm(force, span=34) - ewm(force, span=55)
 
 
 @recursive("HWMA")
 def _holt_winter(d, na: float = 0.2, nb: float = 0.1, nc: float = 0.1):
     x = d["close"].to_numpy(float)
-    out = np.empty(len(x))
-    level, speed, pull = (x[0] if len(x) else 0.0), 0.0, 0.0
-    for i, c in enumerate(x):
-        level_now = (1 - na) * (level + speed + pull / 2) + na * c
-        speed_now = (1 - nb) * (speed + pull) + nb * (level_now - level)
-        pull = (1 - nc) * pull + nc * (speed_now - speed)
-        level, speed = level_now, speed_now
-        out[i] = level + speed + pull / 2
+    out = np.full(len(x), np.nan)
+    if len(x) > 1:
+        out[0], speed = x[0], x[1] - x[0]
+        for i in range(1, len(x)):
+            level = (1 - na) * (out[i - 1] + speed) + na * x[i]
+            speed += nb * (level - out[i - 1] - speed)
+            out[i] = level + nc * (x[i] - level)
     return pd.Series(out)
 
 

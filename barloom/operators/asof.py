@@ -10,11 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.indicators import with_indicators
-from ..functions.kernels import ratio
 from ..sources.bars import with_minimum, width
 
 #: Fixed value: what a longer timeframe hands to a shorter.
-HIGHER_COLUMNS = "close EMA_20 EMA_50 EMA_200 RSI_14 ADX_14 DMP_14 DMN_14 MACD MACD_signal MACD_hist SUPERT_dir PSAR_dir STOCH_K STOCH_D CCI_20 MFI_14 ATR_14 NATR_14 BB_pct_20 volume_ratio ICH_above_cloud".split()
+HIGHER_COLUMNS = "RSI_14 RSI_7 EMA_20 EMA_50 EMA_200 MACD_hist MACD ADX_14 BB_pct_20 BB_width_20 ATR_14 NATR_14 STOCH_K SUPERT_dir CCI_20 MFI_14 volume_ratio EMA50_slope HIGH_VOL_REGIME PRICE_RANGE_PCT ema_20_50_cross ema_50_200_cross".split()
 
 
 def asof(left: DataFrame, right: DataFrame, columns: list[str], by: tuple[str, ...] = ("symbol",), on: str = "ts", fill: bool = False, prefix: str = "") -> DataFrame:
@@ -35,7 +34,7 @@ def asof(left: DataFrame, right: DataFrame, columns: list[str], by: tuple[str, .
 
 
 def inject_higher(bars: DataFrame, higher: DataFrame, timeframe: str, columns: list[str] | None = None, completed_only: bool = False) -> DataFrame:
-    """bars with HTF_{timeframe}_* columns of the longer timeframe and two derived from them.
+    """bars with HTF_{timeframe}_* columns of the longer timeframe, and trend_dir (close against EMA_50) and regime (EMA50_slope), told there.
 
     A bar is stamped with its beginning, so by default a bar sees the longer
     bar that is still forming; completed_only waits for its end.
@@ -44,13 +43,12 @@ def inject_higher(bars: DataFrame, higher: DataFrame, timeframe: str, columns: l
     enriched = with_indicators(with_minimum(higher, "higher"), [c for c in columns if c not in higher.columns])
     if completed_only:
         enriched = enriched.withColumn("ts", F.timestamp_seconds(F.unix_timestamp("ts") + width(timeframe)))
-    out = asof(bars, enriched, columns, fill=True, prefix=prefix)
     derived = {}
-    if "EMA_50" in columns:
-        derived[f"{prefix}close_vs_EMA_50"] = (ratio("close", f"{prefix}EMA_50") - 1) * 100
-    if {"EMA_20", "EMA_50"} <= set(columns):
-        derived[f"{prefix}trend_up"] = F.coalesce((F.col(f"{prefix}EMA_20") > F.col(f"{prefix}EMA_50")).cast("int"), F.lit(0))
-    return out.withColumns(derived)
+    if "EMA_50" in enriched.columns:
+        derived["trend_dir"] = F.when(F.col("close") >= F.col("EMA_50"), 1).otherwise(-1)
+    if "EMA50_slope" in enriched.columns:
+        derived["regime"] = F.when(F.col("EMA50_slope") > 0.05, 1).when(F.col("EMA50_slope") < -0.05, -1).otherwise(0)
+    return asof(bars, enriched.withColumns(derived), [*columns, *derived], fill=True, prefix=prefix)
 
 
 def execution_signals(fine: DataFrame, signals: DataFrame) -> DataFrame:

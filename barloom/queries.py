@@ -121,10 +121,10 @@ def candle_sql() -> str:
         "DRAGONFLY": "p < .1 AND d > .7 * r", "GRAVESTONE": "-p < .1 AND u > .7 * r", "BULL_ENGULFING": f"{up} AND c1 < o1 AND open <= c1 AND close >= o1", "BEAR_ENGULFING": f"-{down} AND c1 > o1 AND open >= c1 AND close <= o1",
         "BULL_HARAMI": f"c1 < o1 AND {up} AND open > c1 AND close < o1 AND b < .5 * b1", "BEAR_HARAMI": f"-c1 > o1 AND {down} AND open < c1 AND close > o1 AND b < .5 * b1",
         "DARK_CLOUD": f"-c1 > o1 AND {down} AND open > h1 AND close < (o1 + c1) / 2 AND close > o1", "PIERCING": f"c1 < o1 AND {up} AND open < l1 AND close > (o1 + c1) / 2 AND close < o1",
-        "TWEEZER_TOP": f"-c1 > o1 AND {down} AND abs(high - h1) < .02 * r", "TWEEZER_BOTTOM": f"c1 < o1 AND {up} AND abs(low - l1) < .02 * r", "INSIDE_BAR": "high < h1 AND low > l1", "OUTSIDE_BAR": "high > h1 AND low < l1",
-        "3_WHITE_SOLDIERS": f"{up} AND c1 > o1 AND c2 > o2 AND open > o1 AND open < c1 AND o1 > o2 AND o1 < c2 AND close > c1 AND c1 > c2", "3_BLACK_CROWS": f"-{down} AND c1 < o1 AND c2 > o2 AND open < o1 AND open > c1 AND close < c1",
-        "MORNING_STAR": f"c2 < o2 AND {up} AND b1 < .3 * b2 AND close > (o2 + c2) / 2", "EVENING_STAR": f"-c2 > o2 AND {down} AND b1 < .3 * b2 AND close < (o2 + c2) / 2",
-        "3_INSIDE_UP": f"c2 < o2 AND c1 > o1 AND o1 > c2 AND c1 < o2 AND {up} AND close > o2", "3_INSIDE_DOWN": f"-c2 > o2 AND c1 < o1 AND o1 < c2 AND c1 > o2 AND {down} AND close < o2",
+        "TWEEZER_TOP": f"-c1 > o1 AND {down} AND abs(high - h1) < .02 * r", "TWEEZER_BOTTOM": f"c1 < o1 AND {up} AND abs(low - l1) < .02 * r", "INSIDE_BAR": "high <= h1 AND low >= l1", "OUTSIDE_BAR": "high > h1 AND low < l1",
+        "3_WHITE_SOLDIERS": f"{up} AND c1 > o1 AND c2 > o2 AND open > o1 AND open < c1 AND o1 > o2 AND o1 < c2 AND close > c1 AND c1 > c2", "3_BLACK_CROWS": f"-{down} AND c1 < o1 AND c2 > o2 AND open < o1 AND open > c1 AND close < c1 AND c1 < c2",
+        "MORNING_STAR": f"c2 < o2 AND {up} AND b1 < .3 * b AND close > (o2 + c2) / 2", "EVENING_STAR": f"-c2 > o2 AND {down} AND b1 < .3 * b AND close < (o2 + c2) / 2",
+        "3_INSIDE_UP": f"c2 < o2 AND c1 > o1 AND o1 > c2 AND c1 < o2 AND {up} AND close > c1", "3_INSIDE_DOWN": f"-c2 > o2 AND c1 < o1 AND o1 < c2 AND c1 > o2 AND {down} AND close < c1",
     }
     body = ", ".join(f'CASE WHEN {c.lstrip("-")} THEN {-100 if c[0] == "-" else 100} ELSE 0 END AS "CDL_{n}"' for n, c in conditions.items())
     return f"WITH {BARS}, {d} SELECT symbol, {TS}, {body} FROM e"
@@ -133,9 +133,9 @@ def candle_sql() -> str:
 indicators("candle_patterns", CANDLES, candle_sql())
 _H, _L = roll("max", "high", 20), roll("min", "low", 20)
 _PP = f"p AS (SELECT *, {_H} AS h20, {_L} AS l20, ({_H} + {_L} + {roll('avg', 'close', 20)}) / 3 AS pp FROM bars {windows(20)})"
-indicators("pivots_structure", ["PP", "R1", "R2", "S1", "S2", "PP_dist_pct", "PRICE_RANGE_PCT", "HH", "LL"], select({"PP": "pp", "R1": "2 * pp - l20", "R2": "pp + h20 - l20", "S1": "2 * pp - h20", "S2": "pp - h20 + l20", "PP_dist_pct": "(close - pp) / nullif(pp, 0) * 100", "PRICE_RANGE_PCT": "(h20 - l20) / nullif(l20, 0) * 100", "HH": "coalesce(high > lag(h20) OVER w, false)::INT", "LL": "coalesce(low < lag(l20) OVER w, false)::INT"}, (20,), _PP, "p"))
-_BS = f"p AS (SELECT *, {_H} AS h20, {_L} AS l20, row_number() OVER w AS rn FROM bars {windows(20)})"
-indicators("bars_since_high", ["BARS_SINCE_HIGH", "BARS_SINCE_LOW"], select({"BARS_SINCE_HIGH": "coalesce(rn - max(CASE WHEN high = h20 THEN rn END) OVER w, rn - 1)", "BARS_SINCE_LOW": "coalesce(rn - max(CASE WHEN low = l20 THEN rn END) OVER w, rn - 1)"}, (20,), _BS, "p"))
+indicators("pivots_structure", ["PP", "R1", "R2", "S1", "S2", "PP_dist_pct", "PRICE_RANGE_PCT", "HH", "LL"], select({"PP": "pp", "R1": "2 * pp - l20", "R2": "pp + h20 - l20", "S1": "2 * pp - h20", "S2": "pp - h20 + l20", "PP_dist_pct": "(close - pp) / nullif(pp, 0) * 100", "PRICE_RANGE_PCT": "(close - l20) / nullif(h20 - l20, 0) * 100", "HH": "coalesce(high > lag(h20) OVER w, false)::INT", "LL": "coalesce(low < lag(l20) OVER w, false)::INT"}, (20,), _PP, "p"))
+_BS = f"p AS (SELECT *, max(high) OVER w AS top, min(low) OVER w AS bottom, row_number() OVER w AS rn FROM bars {windows(20)})"
+indicators("bars_since_high", ["BARS_SINCE_HIGH", "BARS_SINCE_LOW"], select({"BARS_SINCE_HIGH": "rn - max(CASE WHEN high = top THEN rn END) OVER w", "BARS_SINCE_LOW": "rn - max(CASE WHEN low = bottom THEN rn END) OVER w"}, (20,), _BS, "p"))
 _M = {n: f"({roll('max', 'high', n)} + {roll('min', 'low', n)}) / 2" for n in (9, 26, 52)}
 _IK = f"i AS (SELECT *, {_M[9]} AS t, {_M[26]} AS k, ({_M[9]} + {_M[26]}) / 2 AS a, {_M[52]} AS b FROM bars {windows(9, 26, 52)})"
 indicators("ichimoku", ["ICH_tenkan", "ICH_kijun", "ICH_senkou_a", "ICH_senkou_b", "ICH_above_cloud", "ICH_below_cloud"], select({"ICH_tenkan": "t", "ICH_kijun": "k", "ICH_senkou_a": "a", "ICH_senkou_b": "b", "ICH_above_cloud": "coalesce(close > a AND close > b, false)::INT", "ICH_below_cloud": "coalesce(close < a AND close < b, false)::INT"}, (), _IK, "i"))
@@ -169,7 +169,7 @@ def asof_htf(spark, sf_dir):
 @query()
 def htf_injection(spark, sf_dir):
     b = hourly(spark, sf_dir)
-    out = asof.inject_higher(b, source.higher(b, "4h"), "4h", ["close", "EMA_20", "EMA_50", "RSI_14"], completed_only=True)
+    out = asof.inject_higher(b, source.higher(b, "4h"), "4h", completed_only=True)
     return shown(out, [c for c in out.columns if c.startswith("HTF_")])
 
 
