@@ -12,20 +12,23 @@ import json
 import os
 import re
 from array import array
+from collections import Counter
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 
 _CHUNK = re.compile(rb"[\t-\r ]*+[A-Za-z]++(?![\x80-\xff])|[\t-\r ]*+[^\t-\r ]++|[\t-\r ]++")
-#: ASCII letters that no other letter follows, or any other bytes.
-_PART = re.compile(rb"[A-Za-z]++(?![\x80-\xff])|.++", re.DOTALL)
 #: Bytes without which _RARE can't match; most texts have none of them.
 _LEADS = [bytes([b]) for b in (0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3)]
 #: White space that some library may take as such: C0 separators, U+0085, U+00A0, U+1680, U+2000-200A, U+2028/9, U+202F, U+205F, U+3000.
 _RARE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
+#: Chunks of the first texts that go to a table small enough for the processor's cache.
+HOT = 16_384
+
+
 def chunks_of(text: bytes) -> list[bytes] | None:
     """The chunks of a text, or None if it has to be taken whole."""
     if any(b in text for b in _LEADS) and _RARE.search(text):
@@ -52,8 +55,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.cache, self.old = Tokenizer.from_file(path), limit, {}, {}
-        self.pieces: dict[bytes, bytes] = {}
-        self.old_pieces: dict[bytes, bytes] = {}
+        self.hot: dict[bytes, bytes] | None = None
         told = json.loads(self.tokenizer.to_str())
         steps = {x["type"] for x in (told["normalizer"] or {}).get("normalizers", [])}
         cuts = (told["pre_tokenizer"] or {}).get("pretokenizers", [{}])
@@ -68,8 +70,8 @@ class ChunkEncoder:
     def library_of_chunks(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """The ids of many chunks at less cost: a special token, which splits a text before all else, parts them."""
         found: dict[bytes, bytes] = {}
-        for start in range(0, len(chunks), 200):
-            part = chunks[start : start + 200]
+        for start in range(0, len(chunks), 100):
+            part = chunks[start : start + 100]
             if self.parting and sum(map((joined := self.parting[0].join(part)).count, self.marks)) == len(part) - 1:
                 ids = np.array(self.tokenizer.encode_batch_fast([joined.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
                 ends = 4 * np.flatnonzero(ids == self.parting[1])
@@ -79,43 +81,40 @@ class ChunkEncoder:
                 found.update(zip(part, self.library(part), strict=True))
         return found
 
-    def parts(self, new: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of new words: letters and what follows them are looked up apart, so that punctuation makes no new words."""
-        if not self.words:
-            return self.library_of_chunks(new)
-        every = b" ".join(new)
-        marked = any(m in every for m in self.marks)
-        cut = [[w] if marked and any(m in w for m in self.marks) else _PART.findall(w) for w in new]
-        known, old = self.pieces, self.old_pieces
-        missing = [p for p in set().union(*cut) if p not in known]
-        known.update((p, old[p]) for p in missing if p in old)
-        known.update(self.library_of_chunks([p for p in missing if p not in old]))
-        out = {w: b"".join(map(known.__getitem__, ps)) for w, ps in zip(new, cut, strict=True)}
-        if len(known) > self.limit // 2:
-            self.old_pieces, self.pieces = known, {}
-        return out
-
     def cut(self, text: bytes) -> list[bytes] | None:
         if not self.words:
             return chunks_of(text)
         return (text if any(m in text for m in self.marks) else text.lower()).split()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        get, cut, missing = self.cache.get, [self.cut(t) for t in texts], set()
+        cut = [self.cut(t) for t in texts]
+        if self.hot is None and (counts := Counter(chain.from_iterable(c for c in cut if c))):
+            first = [c for c, n in counts.most_common(HOT) if n > 1]
+            self.hot = dict(zip(first, map(self.library_of_chunks(first).__getitem__, first), strict=True))
+        hot, get, missing = (self.hot or {}).get, self.cache.get, set()
         found, gaps = [], []
         for chunks in cut:
-            ids = None if chunks is None else list(map(get, chunks))
-            open_at = [i for i, x in enumerate(ids) if x is None] if ids and None in ids else []
-            missing.update(map(chunks.__getitem__, open_at) if open_at else ())
+            if chunks is None:
+                found.append(None)
+                gaps.append(())
+                continue
+            ids, still = list(map(hot, chunks)), []
+            rare = [i for i, x in enumerate(ids) if x is None]
+            for i, x in zip(rare, map(get, map(chunks.__getitem__, rare)), strict=True):
+                if x is None:
+                    still.append(i)
+                else:
+                    ids[i] = x
+            missing.update(map(chunks.__getitem__, still))
             found.append(ids)
-            gaps.append(open_at)
+            gaps.append(still)
         old = self.old
         self.cache.update((c, old[c]) for c in missing if c in old)
-        new = [c for c in missing if c not in old]
-        self.cache.update(self.parts(new))
-        for chunks, ids, open_at in zip(cut, found, gaps, strict=True):
-            for i in open_at:
-                ids[i] = self.cache[chunks[i]]
+        self.cache.update(self.library_of_chunks([c for c in missing if c not in old]))
+        cache = self.cache
+        for chunks, ids, still in zip(cut, found, gaps, strict=True):
+            for i in still:
+                ids[i] = cache[chunks[i]]
         out = [self.library([t])[0] if ids is None else b"".join(ids) for t, ids in zip(texts, found, strict=True)]
         if len(self.cache) > self.limit:  # what is used again comes back from the older half
             self.old, self.cache = self.cache, {}
