@@ -1,6 +1,6 @@
 """A training-data pipeline over `documents`: each stage reads what the stage before kept.
 
-quality rules -> SimHash near-duplicates -> suffix-array dedup -> benchmark
+quality rules -> near-duplicates -> suffix-array dedup -> benchmark
 decontamination -> packing. All but the last return the columns of documents.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontamination, packing, quality, simhash, suffix_dedup
+from barloom.llm import decontamination, packing, quality, resemblance, suffix_dedup
 from barloom.llm.common import scratch_table
 
 
@@ -20,8 +20,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    return simhash.one_of_each(docs, radius=2, width=3, seed=42)
+    """One document of each group of near-duplicates, whose five-word shingles have a Jaccard similarity of 0.8 or more: the one with the smallest doc_id."""
+    return resemblance.one_of_each(docs, similarity=0.8, width=5)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
