@@ -5,10 +5,10 @@ ignored, so a replaced word spoils only the seeds that look at it. Every seed
 of the test items is hashed into sorted arrays; every seed of a training text
 is looked up there. A hit names an item and the diagonal on which text and
 item are aligned. Along the diagonal, the overlap around the hit is verified
-token by token: of all stretches, the one with the highest sum (a match gains
-1, a mismatch costs `1 / (1 - identity) - 1`) must be as long as the item or
-as `overlap` tokens, with at least `identity` of them equal. Words inserted or
-left out only move an overlap to another diagonal.
+token by token: any stretch counts that is as long as the item or as `overlap`
+tokens, with at least `identity` of them equal. The whole item is reported if
+it counts, else the stretch with the most equal tokens, the shortest of those.
+Words inserted or left out only move an overlap to another diagonal.
 
 Test items are sent to the workers in slices of at most `slice_tokens` tokens
 (100 bytes a token with four masks), each slice one pass over the texts: the
@@ -42,6 +42,7 @@ from .encoding import by_size
 MASKS = ("111111", "11101011", "1100110101", "110100100011")
 _OTHER = re.compile(r"[\W_]+")
 _TABLE_BITS = 22
+_ROUNDING = 1e-9
 
 
 class _Tokens(dict):
@@ -105,7 +106,6 @@ class Items:
 class Matcher:
     def __init__(self, items: Items, identity: float, overlap: int):
         self.items, self.identity, self.overlap = items, identity, overlap
-        self.loss = 1 / (1 - identity) - 1
         self.known = _Tokens()
         self.tables = [(m, np.unpackbits(b).view(bool), h, at) for m, b, h, at in items.tables]
 
@@ -126,21 +126,29 @@ class Matcher:
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
     def verify(self, tokens: np.ndarray, item: int, shift: int) -> tuple[int, int, int] | None:
-        """Start in the text, length and matches of the best overlap on a diagonal, if it is long and equal enough."""
+        """Start in the text, length and matches of the best overlap on a diagonal, if any is long and equal enough."""
         own = self.items.tokens[self.items.starts[item] : self.items.starts[item + 1]]
         first, last = max(0, -shift), min(len(own), len(tokens) - shift)
         same = own[first:last] == tokens[first + shift : last + shift]
-        sums = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -self.loss))])
-        gain = sums - np.minimum.accumulate(sums)
-        end = int(gain.argmax())
-        start = int(sums[: end + 1].argmin())
-        length, matched = end - start, int(same[start:end].sum())
-        # a replaced word at the very border gains nothing, so the whole item counts too
-        if len(same) == len(own) and same.sum() >= self.identity * len(own):
-            start, length, matched = 0, len(own), int(same.sum())
-        if length >= min(self.overlap, len(own)) and matched >= self.identity * length:
-            return first + start + shift, length, matched
-        return None
+        least, whole = min(self.overlap, len(own)), int(same.sum())
+        if len(same) == len(own) and whole >= self.identity * len(own) - _ROUNDING:
+            return first + shift, len(own), whole
+        if len(same) < least:
+            return None
+        # a stretch is equal enough if the sum of match - identity doesn't fall over it; for each end, the earliest such start
+        matched = np.concatenate([[0], np.cumsum(same)])
+        sums = matched - self.identity * np.arange(len(matched))
+        ends = np.arange(least, len(matched))
+        starts = np.searchsorted(-np.minimum.accumulate(sums), -sums[ends] - _ROUNDING)
+        fits = starts <= ends - least
+        if not fits.any():
+            return None
+        ends, starts = ends[fits], starts[fits]
+        # unequal tokens at the start count only where the stretch would be too short without them
+        starts = np.minimum(np.searchsorted(matched, matched[starts], "right") - 1, ends - least)
+        found = matched[ends] - matched[starts]
+        k = np.lexsort((ends - starts, -found))[0]
+        return first + int(starts[k]) + shift, int(ends[k] - starts[k]), int(found[k])
 
     def matches(self, texts: list[bytes]) -> list[list[tuple]]:
         """For each text: (item_id, start, length, matched), one an item, the best."""
