@@ -8,6 +8,7 @@ enriched bars; each (trial, series) is one group of the fold.
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,8 +41,16 @@ def propose(n: int, seed: int = 42) -> list[dict]:
     return out
 
 
-def evaluate(enriched: DataFrame, proposals: list[dict], splits: int = 3) -> DataFrame:
-    """trial, symbol, timeframe, fold, total_trades, sharpe, profit_factor, total_return of the out-of-sample parts."""
+def evaluate(enriched: DataFrame, proposals: list[dict], splits: int = 3, lot: int = 10) -> DataFrame:
+    """trial, symbol, timeframe, fold, total_trades, sharpe, profit_factor, total_return of the out-of-sample parts.
+
+    More than `lot` proposals are run a lot at a time, each written to the
+    checkpoint folder where there is one, so that no plan holds them all.
+    """
+    if len(proposals) > lot and enriched.sparkSession.sparkContext.getCheckpointDir():
+        enriched = enriched.checkpoint()
+        lots = [evaluate(enriched, proposals[i : i + lot], splits, lot).checkpoint() for i in range(0, len(proposals), lot)]
+        return reduce(DataFrame.unionByName, lots)
     out = None
     for p in proposals:
         parts = walk_forward(slot_signals(enriched, p), splits).where("part = 'oos'")

@@ -376,22 +376,22 @@ def regime_label(spark, sf_dir):
 
 @query()
 def monte_carlo(spark, sf_dir):
-    return stats.monte_carlo(returns_of(spark, sf_dir), "symbol", draws=500)
+    return stats.monte_carlo(returns_of(spark, sf_dir), "symbol")
 
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return stats.bootstrap(returns_of(spark, sf_dir), "symbol", draws=500)
+    return stats.bootstrap(returns_of(spark, sf_dir), "symbol")
 
 
 @query()
 def permutation(spark, sf_dir):
-    return stats.permutation(returns_of(spark, sf_dir), "symbol", draws=500, flip_signs=True)
+    return stats.permutation(returns_of(spark, sf_dir), "symbol", flip_signs=True)
 
 
 def search_results(spark, sf_dir) -> DataFrame:
     enriched = with_indicators(hourly(spark, sf_dir), ["EMA_20", "EMA_50", "RSI_14", "MACD", "MACD_signal", "MACD_hist", "ATR_14", "volume_ratio", "SUPERT_dir", "STOCH_K"])
-    return search.evaluate(enriched, search.propose(4))
+    return search.evaluate(enriched, search.propose(100))
 
 
 @query()
