@@ -5,7 +5,9 @@ token that (a) is a suffix of the prefix and (b) may follow the last token of
 the encoding of what is before it. So ``count[i] = count[i - len(token)] + 1``
 runs over the bytes once and gives the exact count of *every* prefix. Whether
 a token may follow another is decided by the merges along their common border
-and is remembered by pair.
+and is remembered by pair. The last token of a prefix doesn't depend on what
+comes after it, so it is remembered by prefix, too: words that begin alike
+share that part of the work.
 
 A text's table holds, for each code point, the change in the token count when
 the prefix grows by it. Truncation and budget questions read the table:
@@ -34,6 +36,8 @@ from .encoding import by_size, chunks_of, trim
 #: The published pre-tokenizer pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NEVER = 1 << 60
+#: Bytes of the longest prefix that is remembered; what lies beyond is computed each time.
+_REMEMBERED = 24
 
 
 def byte_names() -> dict[str, int]:
@@ -50,7 +54,6 @@ class PrefixCounter:
         byte = byte_names()
         raw = lambda s: bytes(byte[c] for c in s)
         self.ids = {raw(s): i for s, i in told["model"]["vocab"].items() if all(c in byte for c in s)}
-        self.longest = max(map(len, self.ids))
         self.made: dict[tuple[int, int], tuple[int, int]] = {}  # pair: rank, token
         self.parts: dict[int, tuple[int, int, int]] = {}  # token: rank, left, right
         for rank, pair in enumerate(told["model"]["merges"]):
@@ -65,6 +68,15 @@ class PrefixCounter:
         self.split = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.border: dict[tuple[int, int], bool] = {}
         self.cache: dict[bytes, bytes] = {}
+        self.size = [0] * (1 + max(self.ids.values()))
+        #: Each token and each end of one: the token, or -1.
+        self.ends: dict[bytes, int] = {}
+        for token, i in self.ids.items():
+            self.size[i] = len(token)
+            self.ends[token] = i
+            for start in range(1, len(token)):
+                self.ends.setdefault(token[start:], -1)
+        self.last: dict[bytes, int] = {}  # prefix of a pre-token: the last token of its encoding
 
     def stands(self, x: int, y: int) -> bool:
         """Whether the border between the tokens x and y outlives all merges."""
@@ -88,19 +100,31 @@ class PrefixCounter:
 
     def piece(self, word: bytes) -> list[int]:
         """Token counts of the prefixes of one pre-token, from 1 byte on."""
-        ids, border, stands, longest, last, count = self.ids.get, self.border.get, self.stands, self.longest, [-1], [0]
+        ends, border, stands, size, known = self.ends.get, self.border.get, self.stands, self.size, self.last
+        last, count = [-1], [0]
         for end in range(1, len(word) + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                if (token := ids(word[start:end])) is not None:
-                    if start:
-                        kept = border((last[start], token))
-                        if kept is None:
-                            kept = stands(last[start], token)
-                        if not kept:
-                            continue
-                    last.append(token)
-                    count.append(count[start] + 1)
-                    break
+            prefix = word[:end]
+            token = known.get(prefix)
+            if token is None:
+                fits = []  # tokens that end here, short ones first
+                for start in range(end - 1, -1, -1):
+                    found = ends(word[start:end])
+                    if found is None:
+                        break
+                    if found >= 0:
+                        fits.append((start, found))
+                for start, token in reversed(fits):
+                    if not start:
+                        break
+                    kept = border((last[start], token))
+                    if kept is None:
+                        kept = stands(last[start], token)
+                    if kept:
+                        break
+                if end <= _REMEMBERED:
+                    known[prefix] = token
+            last.append(token)
+            count.append(count[end - size[token]] + 1)
         del count[0]
         return count
 
@@ -111,9 +135,8 @@ class PrefixCounter:
         for k, word in enumerate(pieces):
             data = word.encode("utf-8")
             own = self.piece(data)
-            if len(data) != len(word):
-                ends = np.cumsum([len(c.encode("utf-8")) for c in word]) - 1
-                own = [own[i] for i in ends]
+            if len(data) != len(word):  # a code point ends before a byte that continues none
+                own = [n for n, after in zip(own, (*data[1:], 0), strict=True) if after & 0xC0 != 0x80]
             at = [total + n for n in own]
             if word in ("'re", "'ve", "'ll"):  # cut after the first letter, the letter is a piece of its own
                 at[1] = total + 2
@@ -128,11 +151,11 @@ class PrefixCounter:
 
     def whole(self, text: str) -> list[int]:
         """Counts after each code point; special strings are single tokens."""
-        if not self.split or not (found := list(self.split.finditer(text))):
+        if not any(s in text for s in self.special):
             return self.plain(text)
         counts: list[int] = []
         total = start = 0
-        for m in found:
+        for m in self.split.finditer(text):
             with_part = self.plain(text[start : m.end() - 1])  # a cut special string is ordinary text
             before = self.plain(text[start : m.start()])
             total_before = before[-1] if before else 0
@@ -144,8 +167,9 @@ class PrefixCounter:
         """The table: 16-bit changes of the count, one a code point."""
         if text[text[:1] == b" " :].isalpha():  # a single pre-token of ASCII letters
             counts = self.piece(text)
-            return array("h", map(sub, counts, [0, *counts])).tobytes()
-        return np.diff(np.array(self.whole(text.decode("utf-8", "replace")), np.int64), prepend=0).astype("<i2").tobytes()
+        else:
+            counts = self.whole(text.decode("utf-8", "replace"))
+        return array("h", map(sub, counts, [0, *counts])).tobytes()
 
     def table(self, text: bytes) -> np.ndarray:
         """Token counts after 1, 2, ... code points of a text."""
@@ -156,6 +180,7 @@ class PrefixCounter:
             self.cache[c] = self.steps(c)
         out = np.cumsum(np.frombuffer(b"".join(map(self.cache.__getitem__, chunks)), "<i2"), dtype=np.int64)
         trim(self.cache, self.limit)
+        trim(self.last, self.limit)
         return out
 
 
