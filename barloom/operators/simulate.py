@@ -14,7 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TRADE_FIELDS = "entry_idx int, exit_idx int, entry_ts timestamp, exit_ts timestamp, entry_price double, exit_price double, pnl_pct double, is_winner boolean, duration_bars int, exit_reason string, position_size double, capital double"
+from .stats import benchmark
+
+TRADE_FIELDS = "entry_idx int, exit_idx int, entry_ts timestamp, exit_ts timestamp, entry_price double, exit_price double, pnl_pct double, is_winner boolean, duration_bars int, exit_reason string, position_size double, capital double, capital_in double, final_capital double"
 
 
 @dataclass(frozen=True)
@@ -26,7 +28,7 @@ class Risk:
     slippage: float = 0.0005
     size: float = 0.1
     sizing: str = "fixed"
-    kelly_fraction: float = 0.5
+    kelly_fraction: float = 0.25
     risk: float = 0.01
     sl_mode: str = "fixed"
     sl_pct: float = 0.03
@@ -38,7 +40,13 @@ class Risk:
     trail_mode: str = "none"
     trail_pct: float = 0.02
     trail_atr: float = 1.5
-    atr_period: int = 14
+    sl_atr_period: int = 14
+    tp_atr_period: int = 14
+    trail_atr_period: int = 14
+    size_atr_period: int = 14
+
+    def periods(self) -> list[int]:
+        return sorted({self.sl_atr_period, self.tp_atr_period, self.trail_atr_period, self.size_atr_period})
 
     @classmethod
     def of(cls, params: dict) -> Risk:
@@ -62,22 +70,35 @@ def wilder(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int) -> np.n
     return out
 
 
-def kelly(results: list[float], fraction: float) -> float:
-    """Fraction of Kelly's share by the last 20 results (percent), between 0.01 and 0.5; 0.05 where it can't be told."""
+def kelly(results: list[float], fraction: float, share: float) -> float:
+    """Fraction of Kelly's share by the last 20 results (percent), between 0.01 and 0.5.
+
+    0.05 where losses are nothing; the share so far where all won or all lost.
+    """
     last = results[-20:]
     wins, losses = [x for x in last if x > 0], [-x for x in last if x <= 0]
-    if not wins or not losses or not sum(losses):
+    if not wins or not losses:
+        return share
+    if not sum(losses):
         return 0.05
     odds, p = np.mean(wins) / np.mean(losses), len(wins) / len(last)
     return float(np.clip((p - (1 - p) / odds) * fraction, 0.01, 0.5))
 
 
 def fold(rows: pd.DataFrame, r: Risk) -> list[tuple]:
-    """The trades of one series, by time. A signal enters at the next bar's close; one position at a time."""
+    """The trades of one series, by time. A signal enters at the next bar's close; one position at a time.
+
+    A bar without a positive close is passed over.
+    """
     close, ts = rows["close"].to_numpy(float), rows["ts"].tolist()
     enter, leave = rows["entry_signal"].fillna(0).to_numpy() == 1, rows["exit_signal"].fillna(0).to_numpy() == 1
-    name = f"ATR_{r.atr_period}"
-    atr = np.nan_to_num(rows[name].to_numpy(float)) if name in rows else wilder(rows["high"].to_numpy(float), rows["low"].to_numpy(float), close, r.atr_period)
+
+    def ranges(n: int) -> np.ndarray:
+        name = f"ATR_{n}"
+        return np.nan_to_num(rows[name].to_numpy(float)) if name in rows else wilder(rows["high"].to_numpy(float), rows["low"].to_numpy(float), close, n)
+
+    atr = {n: ranges(n) for n in r.periods()}
+    sl_atr, tp_atr, trail_atr, size_atr = (atr[n] for n in (r.sl_atr_period, r.tp_atr_period, r.trail_atr_period, r.size_atr_period))
     capital, share, trades, results = r.capital, r.size, [], []
     start = -1
     for i in range(1, len(close)):
@@ -87,31 +108,27 @@ def fold(rows: pd.DataFrame, r: Risk) -> list[tuple]:
         if start < 0:
             if enter[i - 1]:
                 paid = price * (1 + r.slippage)
-                wide = atr[i]
-                stop = None if r.sl_mode == "none" else paid - r.sl_atr * wide if r.sl_mode == "atr" and wide > 0 else paid * (1 - r.sl_pct)
-                if r.tp_mode == "none" or r.tp_mode == "rr" and stop is None:
-                    target = None
+                wide = sl_atr[i]
+                stop = 0.0 if r.sl_mode == "none" else paid - r.sl_atr * wide if r.sl_mode == "atr" and wide > 0 else paid * (1 - r.sl_pct)
+                wide = tp_atr[i]
+                if r.tp_mode == "none" or r.tp_mode == "rr" and not stop > 0:
+                    target = 0.0
                 elif r.tp_mode == "rr":
                     target = paid + (paid - stop) * r.tp_rr
                 else:
                     target = paid + r.tp_atr * wide if r.tp_mode == "atr" and wide > 0 else paid * (1 + r.tp_pct)
-                trail = None if r.trail_mode == "none" else r.trail_atr * wide if r.trail_mode == "atr" and wide > 0 else paid * r.trail_pct
-                if r.sizing == "kelly":
-                    if results and len(results) >= 20 and len(results) % 10 == 0:
-                        share = kelly(results, r.kelly_fraction)
-                    used = share
-                elif r.sizing == "atr_risk" and wide > 0:
-                    used = min(capital * r.risk / wide, 0.5)
-                else:
-                    used = r.size
+                wide = trail_atr[i]
+                trail = 0.0 if r.trail_mode == "none" else r.trail_atr * wide if r.trail_mode == "atr" and wide > 0 else paid * r.trail_pct
+                wide = size_atr[i]
+                used = share if r.sizing == "kelly" else min(capital * r.risk / wide, 0.5) if r.sizing == "atr_risk" and wide > 0 else r.size
                 capital -= capital * used * r.fee
-                start, peak = i, price
+                start, peak, after_fee = i, paid, capital
             continue
         peak = max(peak, price)
         reason = (
-            "stop_loss" if stop is not None and price <= stop
-            else "take_profit" if target is not None and price >= target
-            else "trailing_stop" if trail is not None and price <= peak - trail
+            "stop_loss" if stop > 0 and price <= stop
+            else "take_profit" if target > 0 and price >= target
+            else "trailing_stop" if trail > 0 and peak - price >= trail
             else "exit_signal" if leave[i - 1]
             else "end_of_data" if i == len(close) - 1
             else ""
@@ -122,14 +139,16 @@ def fold(rows: pd.DataFrame, r: Risk) -> list[tuple]:
             capital += capital * used * pnl / 100
             capital -= capital * used * r.fee
             results.append(pnl)
-            trades.append((start, i, ts[start], ts[i], paid, got, pnl, pnl > 0, i - start, reason, used, capital))
+            trades.append((start, i, ts[start], ts[i], paid, got, pnl, pnl > 0, i - start, reason, used, capital, after_fee))
             start = -1
-    return trades
+            if len(results) % 10 == 0:
+                share = kelly(results, r.kelly_fraction, share)
+    return [(*t, capital) for t in trades]
 
 
 def trades(signals: DataFrame, risk: Risk, by: tuple[str, ...] = ("symbol", "timeframe")) -> DataFrame:
     """The trades of each series of signals (bars with entry_signal, exit_signal and, if there, ATR)."""
-    columns = [c for c in ("ts", "open", "high", "low", "close", "entry_signal", "exit_signal", f"ATR_{risk.atr_period}") if c in signals.columns and c not in by]
+    columns = [c for c in ("ts", "open", "high", "low", "close", "entry_signal", "exit_signal", *(f"ATR_{n}" for n in risk.periods())) if c in signals.columns and c not in by]
     own = signals.select(*by, *columns)
     types = {f.name: f.dataType.simpleString() for f in own.schema.fields}
     names = [f.split(" ")[0] for f in TRADE_FIELDS.split(", ")]
@@ -150,39 +169,59 @@ def profit_factor(pnl: Column) -> Column:
     return F.try_divide(F.sum(F.when(pnl > 0, pnl).otherwise(0.0)), F.when(F.count_if(pnl <= 0) == 0, 1e-9).otherwise(lost))
 
 
-def metrics(found: DataFrame, by: tuple[str, ...], capital: float = 10_000.0) -> DataFrame:
-    """By group: trades, win rate, profit factor, expectancy, average duration, return, Sharpe and Sortino by trade."""
+#: Measures of trades that are 0 where a series has none.
+MEASURES = ("total_trades", "winning_trades", "win_rate", "profit_factor", "expectancy", "avg_duration", "total_return", "sharpe", "sortino")
+
+
+def metrics(found: DataFrame, by: tuple[str, ...], capital: float = 10_000.0, series: DataFrame | None = None) -> DataFrame:
+    """By group: trades, win rate, profit factor, expectancy, average duration, return, Sharpe and Sortino by trade.
+
+    series: rows with the groups, each of which gets a row, of zeros if it has no trades.
+    """
     pnl = F.col("pnl_pct")
     r = pnl / 100 * F.col("position_size")
     won, lost = F.avg(F.when(pnl > 0, pnl)), F.avg(F.when(pnl <= 0, -pnl))
     rate = F.avg(F.when(pnl > 0, 1.0).otherwise(0.0))
-    return found.groupBy(*by).agg(
+    out = found.groupBy(*by).agg(
         F.count("*").alias("total_trades"), F.count_if(pnl > 0).alias("winning_trades"), rate.alias("win_rate"), profit_factor(pnl).alias("profit_factor"),
         (rate * F.coalesce(won, F.lit(0.0)) - (1 - rate) * F.coalesce(lost, F.lit(0.0))).alias("expectancy"), F.avg("duration_bars").alias("avg_duration"),
-        ((F.max_by("capital", "exit_idx") / capital - 1) * 100).alias("total_return"), (F.avg(r) / (F.stddev_pop(r) + 1e-9) * 252**0.5).alias("sharpe"),
+        ((F.max("final_capital") / capital - 1) * 100).alias("total_return"), (F.avg(r) / (F.stddev_pop(r) + 1e-9) * 252**0.5).alias("sharpe"),
         (F.avg(r) / (F.stddev_pop(F.when(r < 0, r)) + 1e-9) * 252**0.5).alias("sortino"),
     )
-
-
-def equity(found: DataFrame, by: tuple[str, ...], capital: float = 10_000.0) -> DataFrame:
-    """The trades with equity before and after, the highest so far and the drawdown in percent."""
-    w = Window.partitionBy(*by).orderBy("exit_idx")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = found.withColumns({"equity": F.col("capital"), "before": F.coalesce(F.lag("capital").over(w), F.lit(capital))})
-    out = out.withColumn("highest", F.greatest(F.max("equity").over(so_far), F.lit(capital)))
-    return out.withColumn("drawdown", (F.col("highest") - F.col("equity")) / (F.col("highest") + 1e-12) * 100)
-
-
-def equity_metrics(found: DataFrame, by: tuple[str, ...], capital: float = 10_000.0) -> DataFrame:
-    """Drawdown, Sharpe, Sortino, Calmar and recovery of the equity after each trade."""
-    step = F.try_divide(F.col("equity") - F.col("before"), F.nullif(F.col("before"), F.lit(0.0)))
-    out = equity(found, by, capital).withColumn("_r", step)
+    if series is None:
+        return out
+    every = series.select(*by).distinct().join(out, list(by), "left")
+    return every.select(*by, *(F.when(F.col("total_trades").isNull(), F.lit(0).cast(out.schema[c].dataType)).otherwise(F.col(c)).alias(c) for c in MEASURES))
+
+
+def equity(signals: DataFrame, found: DataFrame, by: tuple[str, ...] = ("symbol", "timeframe"), capital: float = 10_000.0) -> DataFrame:
+    """by, ts, equity, highest so far and drawdown in percent at every bar: capital changes by the fee where a trade begins and by its result where it ends."""
+    ordered = Window.partitionBy(*by).orderBy("ts")
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    bars = signals.select(*by, "ts", (F.row_number().over(ordered) - 1).alias("_i"), F.count("*").over(Window.partitionBy(*by)).alias("_n"))
+    events = F.array(F.struct(F.col("entry_idx").alias("_i"), F.col("capital_in").alias("_c")), F.struct(F.col("exit_idx").alias("_i"), F.col("capital").alias("_c")))
+    changes = found.select(*by, F.explode(events).alias("_e")).select(*by, "_e._i", "_e._c")
+    last = found.groupBy(*by).agg(F.max("final_capital").alias("_last"))
+    out = bars.join(changes, [*by, "_i"], "left").join(last, list(by), "left")
+    out = out.withColumn("equity", F.coalesce(F.when(F.col("_i") == F.col("_n") - 1, F.col("_last")), F.last("_c", True).over(so_far), F.lit(capital)))
+    out = out.withColumn("highest", F.max("equity").over(so_far))
+    return out.select(*by, "ts", "equity", "highest", ((F.col("highest") - F.col("equity")) / (F.col("highest") + 1e-12) * 100).alias("drawdown"))
+
+
+def equity_metrics(signals: DataFrame, found: DataFrame, by: tuple[str, ...] = ("symbol", "timeframe"), capital: float = 10_000.0) -> DataFrame:
+    """By group: deepest drawdown, Sharpe, Sortino, Calmar and recovery of the equity at every bar; zeros where there are no trades."""
+    before = F.lag("equity").over(Window.partitionBy(*by).orderBy("ts"))
+    out = equity(signals, found, by, capital).withColumn("_r", (F.col("equity") - before) / (before + 1e-12))
+    falls = F.coalesce(F.stddev_pop(F.when(F.col("_r") < 0, F.col("_r"))), F.lit(0.0))
     made = out.groupBy(*by).agg(
-        F.max("drawdown").alias("max_drawdown"), (F.avg("_r") / (F.stddev_pop("_r") + 1e-9) * (252 * 24) ** 0.5).alias("sharpe"),
-        (F.avg("_r") / (F.stddev_pop(F.when(F.col("_r") < 0, F.col("_r"))) + 1e-9) * (252 * 24) ** 0.5).alias("sortino"), ((F.max_by("equity", "exit_idx") / capital - 1) * 100).alias("total_return"),
+        F.max("drawdown").alias("max_drawdown"), (F.avg("_r") / (F.stddev_pop("_r") + 1e-9) * (252 * 24) ** 0.5).alias("bar_sharpe"),
+        (F.avg("_r") / (falls + 1e-9) * (252 * 24) ** 0.5).alias("bar_sortino"), ((F.max_by("equity", "ts") / capital - 1) * 100).alias("_ret"),
     )
-    per = F.nullif(F.col("max_drawdown"), F.lit(0.0))
-    return made.withColumns({"calmar": F.try_divide(F.col("total_return"), per), "recovery": F.try_divide(F.abs("total_return"), per)})
+    traded = found.select(*by).distinct().withColumn("_t", F.lit(True))
+    deep = F.col("max_drawdown") > 0
+    ratios = {"calmar": F.when(deep, F.col("_ret") / F.col("max_drawdown")), "recovery": F.when(deep, F.abs("_ret") / F.col("max_drawdown"))}
+    full = made.withColumns(ratios).join(traded, list(by), "left")
+    return full.select(*by, *(F.when(F.col("_t"), F.coalesce(c, F.lit(0.0))).otherwise(0.0).alias(c) for c in ("max_drawdown", "bar_sharpe", "bar_sortino", "calmar", "recovery")))
 
 
 def walk_forward(signals: DataFrame, splits: int = 5, ratio: float = 0.7, anchored: bool = False, by: tuple[str, ...] = ("symbol", "timeframe")) -> DataFrame:
@@ -207,6 +246,13 @@ def walk_forward(signals: DataFrame, splits: int = 5, ratio: float = 0.7, anchor
     return out.where("_in >= 50 and _out >= 20").drop("_i", "_n", "_in", "_out")
 
 
+def without_holdout(bars: DataFrame, share: float = 0.2, least: int = 20, by: tuple[str, ...] = ("symbol", "timeframe")) -> DataFrame:
+    """The rows that `holdout` leaves."""
+    w = Window.partitionBy(*by)
+    out = bars.withColumns({"_i": F.row_number().over(w.orderBy("ts")), "_n": F.count("*").over(w)})
+    return out.where(F.col("_i") <= F.col("_n") - F.greatest(F.lit(least), F.floor(F.col("_n") * share))).drop("_i", "_n")
+
+
 def holdout(bars: DataFrame, share: float = 0.2, least: int = 20, by: tuple[str, ...] = ("symbol", "timeframe")) -> DataFrame:
     """The last rows of each series: the share of them, at least so many. Indicators on them start anew."""
     w = Window.partitionBy(*by)
@@ -214,5 +260,47 @@ def holdout(bars: DataFrame, share: float = 0.2, least: int = 20, by: tuple[str,
     return out.where(F.col("_i") > F.col("_n") - F.greatest(F.lit(least), F.floor(F.col("_n") * share))).drop("_i", "_n")
 
 
+def fold_means(per_fold: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """By group: the means over its folds, by part (is_, oos_), and the sums of trades; of measures, one row a (by, fold, part)."""
+    means = {"return": "total_return", "win_rate": "win_rate", "sharpe": "sharpe", "sortino": "sortino", "profit_factor": "profit_factor", "expectancy": "expectancy"}
+    own = lambda part, c: F.when(F.col("part") == part, F.col(c))
+    return per_fold.groupBy(*by).agg(*(F.coalesce(F.avg(own(p, c)), F.lit(0.0)).alias(f"{p}_{n}") for p in ("is", "oos") for n, c in means.items()), *(F.coalesce(F.sum(own(p, "total_trades")), F.lit(0)).alias(f"{p}_trades") for p in ("is", "oos")))
+
+
+def full_run(signals: DataFrame, risk: Risk, splits: int = 5, ratio: float = 0.7, anchored: bool = False, share: float = 0.2, least: int = 100, by: tuple[str, ...] = ("symbol", "timeframe")) -> tuple[DataFrame, DataFrame]:
+    """A whole backtest: a row a series, and one row for the run.
+
+    The last bars are held out and simulated once; on the others there is one
+    simulation of all and the walk-forward's. Series with fewer than `least`
+    bars before the holdout are left out. Signals are as given, so they may
+    look back over the border of a part, never ahead. The run's row averages
+    the series, but for trades, which it measures together; alpha is the
+    in-sample return over buying and holding.
+    """
+    bars = without_holdout(signals, share, by=by)
+    enough = bars.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(*by)
+    keys = list(by)
+    bars, kept = bars.join(enough, keys, "left_semi"), holdout(signals, share, by=by).join(enough, keys, "left_semi")
+    found = trades(bars, risk, by)
+    full = metrics(found, by, risk.capital, bars).join(equity_metrics(bars, found, by, risk.capital), keys)
+    parts = walk_forward(bars, splits, ratio, anchored, by)
+    in_fold = (*by, "fold", "part")
+    folds = fold_means(metrics(trades(parts, fast(risk), in_fold), in_fold, risk.capital, parts), by)
+    late = trades(kept, risk, by)
+    held = metrics(late, by, risk.capital, kept).join(equity_metrics(kept, late, by, risk.capital), keys)
+    held = held.select(*by, *(F.col(c).alias(f"holdout_{n}") for n, c in (("return", "total_return"), ("sharpe", "bar_sharpe"), ("trades", "total_trades"), ("win_rate", "win_rate"), ("max_drawdown", "max_drawdown"), ("profit_factor", "profit_factor"))))
+    held_against = benchmark(signals.join(enough, keys, "left_semi"), by).select(*by, "benchmark_return", "benchmark_sharpe", "benchmark_max_drawdown")
+    series = full.join(folds, keys, "left").join(held, keys, "left").join(held_against, keys, "left")
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0)).alias(c)
+    one = series.agg(
+        F.count("*").alias("series"), F.count_if(F.col("total_return") > 0).alias("series_profitable"), mean("is_return"), mean("oos_return"), mean("oos_win_rate"), mean("is_sharpe"), mean("is_sortino"), mean("oos_profit_factor"), mean("oos_expectancy"),
+        mean("holdout_return"), mean("holdout_sharpe"), F.coalesce(F.sum("holdout_trades"), F.lit(0)).alias("holdout_trades"), mean("holdout_win_rate"), mean("holdout_max_drawdown"), mean("benchmark_return"), mean("benchmark_sharpe"),
+    )
+    all_trades = metrics(found.withColumn("_all", F.lit(1)), ("_all",), risk.capital).select("total_trades", "win_rate", "profit_factor", "expectancy", "avg_duration")
+    run = one.withColumns({"coverage": F.try_divide("series_profitable", "series"), "alpha": F.col("is_return") - F.col("benchmark_return")})
+    return series, run.join(F.broadcast(all_trades), how="left")  # a row on either side
+
+
 def fast(risk: Risk) -> Risk:
+    """For walk-forward parts and trials: no sizing by results so far."""
     return replace(risk, sizing="fixed")

@@ -259,35 +259,164 @@ def filter_suggestions(spark, sf_dir):
     return out.select("col", "operator", F.round("threshold", 6).alias("threshold"), F.round("abs_d", 6).alias("abs_d"))
 
 
+TRADED = simulate.Risk(sl_pct=0.3, tp_pct=0.6, trail_mode="atr", trail_atr=3.0)
+BY = ("symbol", "timeframe")
+
+
 def trades_of(spark, sf_dir) -> DataFrame:
-    return simulate.trades(signals_of(spark, sf_dir), simulate.Risk(sl_pct=0.3, tp_pct=0.6, trail_mode="atr", trail_atr=3.0))
+    return simulate.trades(signals_of(spark, sf_dir), TRADED)
 
 
-@query()
+#: SQL of the signals: crosses of the close over and under its mean of 20 bars; Wilder's range of 14 bars, 0 before it begins.
+SIGNALS = f"""
+m AS (SELECT *, {roll('avg', 'close', 20)} AS s20, row_number() OVER w - 1 AS rn, count(*) OVER (PARTITION BY symbol) AS n,
+      greatest(high - low, coalesce(abs(high - lag(close) OVER w), 0), coalesce(abs(low - lag(close) OVER w), 0)) AS tr FROM bars {windows(20)}),
+tr AS (SELECT *, avg(tr) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS tr14 FROM m),
+wilder(symbol, rn, atr) AS (SELECT symbol, rn, tr14 FROM tr WHERE rn = 13 UNION ALL SELECT t.symbol, t.rn, w.atr + (t.tr - w.atr) / 14 FROM wilder w JOIN tr t ON t.symbol = w.symbol AND t.rn = w.rn + 1),
+signals AS (SELECT t.symbol, t.ts, t.close, t.rn, t.n, coalesce(w.atr, 0) AS atr, coalesce(lag(close) OVER o <= lag(s20) OVER o AND close > s20, false) AS en, coalesce(lag(close) OVER o >= lag(s20) OVER o AND close < s20, false) AS ex
+            FROM tr t LEFT JOIN wilder w USING (symbol, rn) WINDOW o AS (PARTITION BY t.symbol ORDER BY t.ts))"""
+
+
+def simulated(name: str, source: str, risk: simulate.Risk, size: str = "0.1") -> str:
+    """SQL of the fold, a row a bar: source has k (the series), ts, close, atr, en, ex. CTEs: {name}_bars, {name} (states), {name}_trades."""
+    stop = {"none": "0.0", "fixed": f"paid0 * (1 - {risk.sl_pct})"}[risk.sl_mode]
+    target = {"none": "0.0", "fixed": f"paid0 * (1 + {risk.tp_pct})"}[risk.tp_mode]
+    trail = {"none": "0.0", "fixed": f"paid0 * {risk.trail_pct}", "atr": f"CASE WHEN atr > 0 THEN {risk.trail_atr} * atr ELSE paid0 * {risk.trail_pct} END"}[risk.trail_mode]
+    kept = ", ".join(f"CASE WHEN s.open THEN s.{c} ELSE x.{c}0 END AS {c}" for c in ("start", "paid", "stop", "target", "trail", "cap_in"))
+    return f"""
+{name}_bars AS (SELECT k, ts, close, atr, row_number() OVER o - 1 AS i, count(*) OVER (PARTITION BY k) AS n, lag(en) OVER o AS enter, lag(ex) OVER o AS leave FROM {source} WINDOW o AS (PARTITION BY k ORDER BY ts)),
+{name}_in AS (SELECT *, i AS start0, {stop} AS stop0, {target} AS target0, {trail} AS trail0 FROM (SELECT *, close * (1 + {risk.slippage}) AS paid0 FROM {name}_bars)),
+{name}(k, i, ts, open, start, paid, stop, target, trail, cap_in, peak, cap, got, reason) AS (
+  SELECT k, i, ts, false, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, {risk.capital}::DOUBLE, 0.0::DOUBLE, '' FROM {name}_in WHERE i = 0
+  UNION ALL
+  SELECT k, i, ts, (was AND reason = '') OR (NOT was AND enter), start, paid, stop, target, trail, cap_in, peak,
+         CASE WHEN reason <> '' THEN (cap0 + cap0 * {size} * (got / paid - 1)) * (1 - {size} * {risk.fee}) WHEN NOT was AND enter THEN cap_in ELSE cap0 END, got, reason
+  FROM (SELECT *, CASE WHEN NOT was THEN '' WHEN stop > 0 AND close <= stop THEN 'stop_loss' WHEN target > 0 AND close >= target THEN 'take_profit' WHEN trail > 0 AND peak - close >= trail THEN 'trailing_stop' WHEN leave THEN 'exit_signal' WHEN i = n - 1 THEN 'end_of_data' ELSE '' END AS reason
+        FROM (SELECT x.k, x.i, x.ts, x.n, x.close, x.enter, x.leave, s.open AS was, s.cap AS cap0, {kept}, CASE WHEN s.open THEN greatest(s.peak, x.close) ELSE x.paid0 END AS peak, x.close * (1 - {risk.slippage}) AS got
+              FROM {name} s JOIN (SELECT *, NULL::DOUBLE AS cap_in00 FROM {name}_in) y ON y.k = s.k AND y.i = s.i + 1, LATERAL (SELECT y.*, s.cap * (1 - {size} * {risk.fee}) AS cap_in0) x))),
+{name}_trades AS (SELECT s.k, s.start::INT AS entry_idx, s.i::INT AS exit_idx, b.ts AS entry_ts, s.ts AS exit_ts, s.paid AS entry_price, s.got AS exit_price, (s.got / s.paid - 1) * 100 AS pnl_pct, s.got > s.paid AS is_winner,
+  (s.i - s.start)::INT AS duration_bars, s.reason AS exit_reason, {size} AS position_size, s.cap AS capital, s.cap_in AS capital_in, f.cap AS final_capital
+  FROM {name} s JOIN {name}_bars b ON b.k = s.k AND b.i = s.start JOIN (SELECT k, arg_max(cap, i) AS cap FROM {name} GROUP BY k) f ON f.k = s.k WHERE s.reason <> '')"""
+
+
+def measured(name: str, by: str = "k", size: str = "0.1") -> str:
+    """SQL of the measures of a simulation's trades by series; series without trades have zeros."""
+    r = f"pnl_pct / 100 * {size}"
+    return f"""
+{name}_some AS (SELECT {by}, count(*) AS total_trades, count(*) FILTER (WHERE pnl_pct > 0) AS winning_trades, avg((pnl_pct > 0)::INT) AS win_rate,
+  sum(greatest(pnl_pct, 0)) / CASE WHEN count(*) FILTER (WHERE pnl_pct <= 0) = 0 THEN 1e-9 ELSE nullif(sum(greatest(-pnl_pct, 0)), 0) END AS profit_factor,
+  avg((pnl_pct > 0)::INT) * coalesce(avg(pnl_pct) FILTER (WHERE pnl_pct > 0), 0) - (1 - avg((pnl_pct > 0)::INT)) * coalesce(avg(-pnl_pct) FILTER (WHERE pnl_pct <= 0), 0) AS expectancy, avg(duration_bars) AS avg_duration,
+  (max(final_capital) / 10000 - 1) * 100 AS total_return, avg({r}) / (stddev_pop({r}) + 1e-9) * sqrt(252) AS sharpe, avg({r}) / (stddev_pop({r}) FILTER (WHERE pnl_pct < 0) + 1e-9) * sqrt(252) AS sortino FROM {name}_trades GROUP BY {by}),
+{name}_measures AS (SELECT d.k, {', '.join(f'CASE WHEN s.total_trades IS NULL THEN 0 ELSE s.{c} END AS {c}' for c in simulate.MEASURES)} FROM (SELECT DISTINCT k FROM {name}_bars) d LEFT JOIN {name}_some s ON s.k = d.k)"""
+
+
+def equity_sql(name: str) -> str:
+    """SQL of the measures of a simulation's equity at every bar."""
+    return f"""
+{name}_eq AS (SELECT k, i, cap, max(cap) OVER o AS top, (cap - lag(cap) OVER o) / (lag(cap) OVER o + 1e-12) AS r FROM {name} WINDOW o AS (PARTITION BY k ORDER BY i)),
+{name}_eqm AS (SELECT k, max((top - cap) / (top + 1e-12) * 100) AS dd, avg(r) / (stddev_pop(r) + 1e-9) * sqrt(252 * 24) AS sh, avg(r) / (coalesce(stddev_pop(r) FILTER (WHERE r < 0), 0) + 1e-9) * sqrt(252 * 24) AS so, (arg_max(cap, i) / 10000 - 1) * 100 AS ret FROM {name}_eq GROUP BY k),
+{name}_equity AS (SELECT e.k, CASE WHEN t.k IS NULL THEN 0 ELSE dd END AS max_drawdown, CASE WHEN t.k IS NULL THEN 0 ELSE sh END AS bar_sharpe, CASE WHEN t.k IS NULL THEN 0 ELSE so END AS bar_sortino,
+  CASE WHEN t.k IS NULL OR dd <= 0 THEN 0 ELSE ret / dd END AS calmar, CASE WHEN t.k IS NULL OR dd <= 0 THEN 0 ELSE abs(ret) / dd END AS recovery FROM {name}_eqm e LEFT JOIN (SELECT DISTINCT k FROM {name}_trades) t ON t.k = e.k)"""
+
+
+BARS_R = BARS.replace("\nbars AS", "RECURSIVE bars AS", 1)
+
+
+#: Measures that compounding spreads over many orders of magnitude: shown as log_x = sign(x) * log10(1 + |x|).
+WIDE = {f"{p}{c}" for p in ("", "is_", "oos_", "holdout_", "benchmark_") for c in ("total_return", "return", "profit_factor")} | {"capital", "capital_in", "final_capital", "equity", "calmar", "recovery", "alpha"}
+
+
+def rounded(columns: list[str] | tuple[str, ...], places: int = 4) -> str:
+    return ", ".join(f"round(sign({c}) * log10(1 + abs({c})), 6) AS log_{c}" if c in WIDE else f"round({c}, {places}) AS {c}" for c in columns)
+
+
+def rounding(df: DataFrame, keys: list[str], columns: list[str] | tuple[str, ...], places: int = 4) -> DataFrame:
+    def one(c: str) -> Column:
+        x = F.col(c).cast("double")
+        return F.round(F.signum(x) * F.log10(1 + F.abs(x)), 6).alias(f"log_{c}") if c in WIDE else F.round(x, places).alias(c)
+
+    return df.select(*keys, *map(one, columns))
+
+
+_BYK = "(SELECT symbol AS k, * FROM signals)"
+_T = simulated("sim", _BYK, TRADED)
+_TRADE_DOUBLES = ["entry_price", "exit_price", "pnl_pct", "position_size", "capital", "capital_in", "final_capital"]
+
+
+@query(f"WITH {BARS_R}, {SIGNALS}, {_T} SELECT k AS symbol, entry_idx, exit_idx, strftime(entry_ts, '%Y-%m-%d %H:%M:%S') AS entry_ts, strftime(exit_ts, '%Y-%m-%d %H:%M:%S') AS exit_ts, is_winner, duration_bars, exit_reason, {rounded(_TRADE_DOUBLES, 6)} FROM sim_trades")
 def backtest_trades(spark, sf_dir):
-    return trades_of(spark, sf_dir)
+    at = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("entry_ts", "exit_ts")]
+    return rounding(trades_of(spark, sf_dir), ["symbol", "entry_idx", "exit_idx", *at, "is_winner", "duration_bars", "exit_reason"], _TRADE_DOUBLES, 6)
 
 
-@query()
+_EQUITY = ("max_drawdown", "bar_sharpe", "bar_sortino", "calmar", "recovery")
+
+
+@query(f"WITH {BARS_R}, {SIGNALS}, {_T}, {measured('sim')}, {equity_sql('sim')} SELECT k AS symbol, {rounded([*simulate.MEASURES, *_EQUITY])} FROM sim_measures JOIN sim_equity USING (k)")
 def backtest_metrics(spark, sf_dir):
-    found = trades_of(spark, sf_dir)
-    by = ("symbol", "timeframe")
-    full = simulate.equity_metrics(found, by).select(*by, "max_drawdown", "calmar", "recovery")
-    return simulate.metrics(found, by).join(full, list(by))
+    signals, found = signals_of(spark, sf_dir), trades_of(spark, sf_dir)
+    out = simulate.metrics(found, BY, series=signals).join(simulate.equity_metrics(signals, found), list(BY))
+    return rounding(out, ["symbol"], [*simulate.MEASURES, *_EQUITY])
 
 
-@query()
+@query(f"WITH {BARS_R}, {SIGNALS}, {_T} SELECT k AS symbol, {TS}, {rounded(['equity'])} FROM (SELECT *, cap AS equity FROM sim)")
+def equity_curve(spark, sf_dir):
+    """Equity at every bar."""
+    return rounding(simulate.equity(signals_of(spark, sf_dir), trades_of(spark, sf_dir)), ["symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts")], ["equity"])
+
+
+def folds_sql(source: str, splits: int = 5, ratio: float = 0.7) -> str:
+    """SQL of the walk-forward's parts of the signals: k is symbol, fold and part."""
+    return f"""
+placed AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS j, count(*) OVER (PARTITION BY symbol) AS c FROM {source}),
+dealt AS (SELECT *, least(j // (c // {splits}), {splits - 1}) AS fold, c // {splits} AS len FROM placed),
+parts AS (SELECT *, CASE WHEN fold = {splits - 1} THEN c - fold * len ELSE len END AS own, j - fold * len AS inner_j FROM dealt),
+folds AS (SELECT symbol, ts, close, atr, en, ex, fold, CASE WHEN inner_j < floor(own * {ratio}) THEN 'is' ELSE 'oos' END AS part, symbol || '/' || fold || '/' || CASE WHEN inner_j < floor(own * {ratio}) THEN 'is' ELSE 'oos' END AS k FROM parts WHERE floor(own * {ratio}) >= 50 AND own - floor(own * {ratio}) >= 20)"""
+
+
+@query(f"WITH {BARS_R}, {SIGNALS}, {folds_sql('signals')}, {simulated('wf', 'folds', simulate.Risk())}, {measured('wf')} SELECT split_part(k, '/', 1) AS symbol, split_part(k, '/', 2)::INT AS fold, split_part(k, '/', 3) AS part, {rounded(simulate.MEASURES)} FROM wf_measures")
 def walk_forward(spark, sf_dir):
-    by = ("symbol", "timeframe", "fold", "part")
-    return simulate.metrics(simulate.trades(simulate.walk_forward(signals_of(spark, sf_dir)), simulate.Risk(), by), by)
+    by = (*BY, "fold", "part")
+    parts = simulate.walk_forward(signals_of(spark, sf_dir))
+    return rounding(simulate.metrics(simulate.trades(parts, simulate.Risk(), by), by, series=parts), ["symbol", "fold", "part"], simulate.MEASURES)
 
 
-@query()
+_HELD_BARS = BARS_R.replace("bars AS", "all_bars AS", 1) + ", bars AS (SELECT * EXCLUDE (j, c) FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS j, count(*) OVER (PARTITION BY symbol) AS c FROM all_bars) WHERE j > c - greatest(20, floor(c * 0.2)))"
+
+
+@query(f"WITH {_HELD_BARS}, {SIGNALS}, {simulated('sim', _BYK, simulate.Risk())}, {measured('sim')} SELECT k AS symbol, {rounded(simulate.MEASURES)} FROM sim_measures")
 def holdout_eval(spark, sf_dir):
     own = with_indicators(simulate.holdout(hourly(spark, sf_dir)), ["SMA_20", "ATR_14"])
     signals = own.withColumns({"entry_signal": rules.condition(("close", "up", "SMA_20"), own.columns, False).cast("int"), "exit_signal": rules.condition(("close", "down", "SMA_20"), own.columns, False).cast("int")})
-    by = ("symbol", "timeframe")
-    return simulate.metrics(simulate.trades(signals, simulate.Risk()), by)
+    return rounding(simulate.metrics(simulate.trades(signals, simulate.Risk()), BY, series=signals), ["symbol"], simulate.MEASURES)
+
+
+_CUT = "cut AS (SELECT *, rn >= n - greatest(20, floor(n * 0.2)) AS held FROM signals)"
+_MEANS = {"return": "total_return", "win_rate": "win_rate", "sharpe": "sharpe", "sortino": "sortino", "profit_factor": "profit_factor", "expectancy": "expectancy"}
+_FOLDED = ", ".join(f"coalesce(avg({c}) FILTER (WHERE part = '{p}'), 0) AS {p}_{n}" for p in ("is", "oos") for n, c in _MEANS.items()) + ", " + ", ".join(f"coalesce(sum(total_trades) FILTER (WHERE part = '{p}'), 0) AS {p}_trades" for p in ("is", "oos"))
+_SERIES = ["total_return", "total_trades", "win_rate", "profit_factor", "max_drawdown", "calmar", "is_return", "oos_return", "is_sharpe", "oos_sharpe", "is_trades", "oos_trades", "oos_expectancy", "holdout_return", "holdout_sharpe", "holdout_trades", "holdout_max_drawdown", "benchmark_return", "benchmark_sharpe"]
+_FULL = f"""WITH {BARS_R}, {SIGNALS}, {_CUT}, {simulated('sim', '(SELECT symbol AS k, * FROM cut WHERE NOT held)', TRADED)}, {measured('sim')}, {equity_sql('sim')},
+{folds_sql('(SELECT * FROM cut WHERE NOT held)')}, {simulated('wf', 'folds', TRADED)}, {measured('wf')}, wfs AS (SELECT split_part(k, '/', 1) AS k, {_FOLDED} FROM (SELECT *, split_part(k, '/', 3) AS part FROM wf_measures) GROUP BY 1),
+{simulated('held', '(SELECT symbol AS k, * FROM cut WHERE held)', TRADED)}, {measured('held')}, {equity_sql('held')},
+held_all AS (SELECT k, total_return AS holdout_return, bar_sharpe AS holdout_sharpe, total_trades AS holdout_trades, win_rate AS holdout_win_rate, max_drawdown AS holdout_max_drawdown, profit_factor AS holdout_profit_factor FROM held_measures JOIN held_equity USING (k)),
+q AS (SELECT *, close / nullif(lag(close) OVER s, 0) - 1 AS r FROM bars WINDOW s AS (PARTITION BY symbol ORDER BY ts)), bench AS (SELECT symbol AS k, (arg_max(close, ts) / nullif(arg_min(close, ts), 0) - 1) * 100 AS benchmark_return, avg(r) / (stddev_pop(r) + 1e-9) * sqrt(252) AS benchmark_sharpe FROM q GROUP BY 1),
+series AS (SELECT * FROM sim_measures JOIN sim_equity USING (k) LEFT JOIN wfs USING (k) LEFT JOIN held_all USING (k) LEFT JOIN bench USING (k))"""
+
+
+@query(f"{_FULL} SELECT k AS symbol, {rounded(_SERIES)} FROM series")
+def full_run_series(spark, sf_dir):
+    """A whole backtest, a row a series: simulation, walk-forward, holdout, benchmark."""
+    return rounding(simulate.full_run(signals_of(spark, sf_dir), TRADED)[0], ["symbol"], _SERIES)
+
+
+_RUN_MEANS = ["is_return", "oos_return", "oos_win_rate", "is_sharpe", "is_sortino", "oos_profit_factor", "oos_expectancy", "holdout_return", "holdout_sharpe", "holdout_win_rate", "holdout_max_drawdown", "benchmark_return", "benchmark_sharpe"]
+_RUN = ["series", "series_profitable", *_RUN_MEANS, "holdout_trades", "coverage", "alpha", "total_trades", "win_rate", "profit_factor", "expectancy", "avg_duration"]
+
+
+@query(f"{_FULL}, one AS (SELECT count(*) AS series, count(*) FILTER (WHERE total_return > 0) AS series_profitable, {', '.join(f'coalesce(avg({c}), 0) AS {c}' for c in _RUN_MEANS)}, sum(holdout_trades) AS holdout_trades, count(*) FILTER (WHERE total_return > 0) / count(*) AS coverage, avg(is_return) - avg(benchmark_return) AS alpha FROM series), every_trades AS (SELECT 1 AS k, * EXCLUDE (k) FROM sim_trades), every_bars AS (SELECT 1 AS k), {measured('every')} SELECT {rounded(_RUN)} FROM one, (SELECT total_trades, win_rate, profit_factor, expectancy, avg_duration FROM every_measures)")
+def full_run(spark, sf_dir):
+    """The one row of a whole backtest."""
+    return rounding(simulate.full_run(signals_of(spark, sf_dir), TRADED)[1], [], _RUN)
 
 
 _RET = "q AS (SELECT *, close / nullif(lag(close) OVER s, 0) - 1 AS r, max(close) OVER s AS top FROM bars WINDOW s AS (PARTITION BY symbol ORDER BY ts))"

@@ -114,7 +114,7 @@ def test_simulator_last_bar_and_no_trades(spark):
     df = series(spark, [1, 2, 3], extra={"entry_signal": [0, 1, 1], "exit_signal": [0, 0, 0]})
     assert simulate.trades(df, simulate.Risk()).count() == 0  # an entry on the last bar never closes
     assert simulate.trades(df.where("false"), simulate.Risk()).count() == 0
-    assert simulate.kelly([], 0.5) == 0.05 and simulate.kelly([5, -1] * 10, 1.0) == pytest.approx(0.4)
+    assert simulate.kelly([1, 2], 0.5, 0.3) == 0.3 and simulate.kelly([1, 0], 0.5, 0.3) == 0.05 and simulate.kelly([5, -1] * 10, 1.0, 0.1) == pytest.approx(0.4)
     assert simulate.Risk.of({"stop_loss_pct": 0.05}).sl_mode == "fixed" and simulate.Risk.of({"trailing_pct": 0}).trail_mode == "none"
 
 
