@@ -87,16 +87,29 @@ def permutation(found: DataFrame, by: str, value: str = "r", draws: int = 1000,
     return found.select(by, value).groupBy(by).applyInPandas(run, f"{by} {kind}, p_value double")
 
 
+#: Slices of [0, 1] that p-values are ranked in; what is told of each slice is a row.
+SLICES = 1024
+
+
 def false_discovery(tests: DataFrame, p: str = "p_value", alpha: float = 0.05, order: tuple[str, ...] = ()) -> DataFrame:
-    """Benjamini-Hochberg: rank, adjusted_p, is_significant, fdr_threshold. tests is a table of results, small by nature."""
-    w = Window.orderBy(p, *order)
-    n = F.count("*").over(Window.partitionBy())
-    ranked = tests.withColumns({"fdr_rank": F.row_number().over(w), "_n": n})
-    raw = F.col(p) * F.col("_n") / F.col("fdr_rank")
-    adjusted = F.least(F.lit(1.0), F.min(raw).over(Window.orderBy("fdr_rank").rowsBetween(0, Window.unboundedFollowing)))
-    limit = F.col("fdr_rank") / F.col("_n") * alpha
-    out = ranked.withColumns({"adjusted_p": adjusted, "fdr_threshold": F.coalesce(F.max(F.when(F.col(p) <= limit, limit)).over(Window.partitionBy()), F.lit(0.0))})
-    return out.withColumn("is_significant", F.col("adjusted_p") <= alpha).drop("_n")
+    """Benjamini-Hochberg: rank, adjusted_p, is_significant, fdr_threshold.
+
+    p-values are dealt by slices of their range and ranked within; counts and
+    minima of the slices, SLICES rows at most, give each slice its offset and
+    what the ranks above it allow.
+    """
+    w = Window.partitionBy("_slice").orderBy(p, *order)
+    own = tests.withColumn("_slice", F.least(F.greatest(F.floor(F.col(p) * SLICES), F.lit(0)), F.lit(SLICES - 1)))
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # over slices
+    sizes = own.groupBy("_slice").agg(F.count("*").alias("_c")).select("_slice", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
+    ranked = own.join(F.broadcast(sizes), "_slice").withColumn("fdr_rank", (F.row_number().over(w) + F.col("_before")).cast("int"))
+    ranked = ranked.withColumns({"_raw": F.col(p) * F.col("_n") / F.col("fdr_rank"), "_limit": F.col("fdr_rank") / F.col("_n") * alpha})
+    after = Window.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)  # over slices
+    ends = ranked.groupBy("_slice").agg(F.min("_raw").alias("_m"), F.max(F.when(F.col(p) <= F.col("_limit"), F.col("_limit"))).alias("_t"))
+    ends = ends.select("_slice", F.min("_m").over(after).alias("_least"), F.coalesce(F.max("_t").over(Window.partitionBy()), F.lit(0.0)).alias("fdr_threshold"))
+    inside = F.min("_raw").over(Window.partitionBy("_slice").orderBy(F.desc("fdr_rank")).rowsBetween(Window.unboundedPreceding, 0))
+    out = ranked.join(F.broadcast(ends), "_slice").withColumn("adjusted_p", F.least(F.lit(1.0), inside, "_least"))
+    return out.withColumn("is_significant", F.col("adjusted_p") <= alpha).select(*tests.columns, "fdr_rank", "adjusted_p", "fdr_threshold", "is_significant")
 
 
 def benchmark(bars: DataFrame, by: tuple[str, ...] = ("symbol", "timeframe")) -> DataFrame:
@@ -152,14 +165,30 @@ def ranked(df: DataFrame, by: tuple[str, ...], columns: list[str], prefix: str =
 
 
 def mean_spearman(found: DataFrame, by: str, value: str = "r", order: str = "exit_idx") -> DataFrame:
-    """One row: the mean rank correlation of all pairs' returns, shorter ones padded with 0; 0 below two pairs."""
+    """One row: the mean rank correlation of all pairs' returns, shorter ones padded with 0; 0 below two pairs.
+
+    No pair is formed: with ranks as unit vectors z, the mean of all products
+    is (|sum of z|^2 - m) / (m (m - 1)), and the sum needs one value a step.
+    Padding is the same at each step a series lacks, so it is summed by length.
+    """
     own = steps(found, by, value, order)
-    grid = own.select("step").distinct().join(F.broadcast(own.select(by).distinct()))
-    filled = grid.join(own, [by, "step"], "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
-    r = ranked(filled, (by,), ["r"]).select(by, "step", F.col("rank_r").alias("rank"))
-    other = r.select(F.col(by).alias("other"), "step", F.col("rank").alias("other_rank"))
-    pairs = r.join(other, "step").where(F.col(by) < F.col("other")).groupBy(by, "other").agg(pearson("rank", "other_rank").alias("rho"))
-    return pairs.agg(F.coalesce(F.avg("rho"), F.lit(0.0)).alias("avg_correlation"), F.count("rho").alias("n_pairs"))
+    longest = own.agg(F.max("step").cast("double").alias("_s"))
+    r = F.col("r")
+    # ranks among all steps: zeros, padded ones among them, lie between the negative and the positive
+    told = own.groupBy(by).agg(F.count("*").alias("_n"), F.count_if(r < 0).alias("_below"), F.count_if(r == 0).alias("_zeros")).crossJoin(F.broadcast(longest))  # one row
+    told = told.withColumns({"_pad": F.col("_s") - F.col("_n"), "_none": F.col("_below") + (F.col("_zeros") + F.col("_s") - F.col("_n") + 1) / 2})
+    r = ranked(own, (by,), ["r"]).join(told, by).withColumn("_rank", F.when(F.col("r") < 0, F.col("rank_r")).when(F.col("r") > 0, F.col("rank_r") + F.col("_pad")).otherwise(F.col("_none")) - (F.col("_s") + 1) / 2)
+    none = F.col("_none") - (F.col("_s") + 1) / 2
+    size = r.groupBy(by).agg(F.sqrt(F.sum(F.col("_rank") ** 2) + F.first("_pad") * F.first(none) ** 2).alias("_size")).where("_size > 1e-9")
+    unit = r.join(size, by)
+    at = unit.groupBy("step").agg(F.sum(F.col("_rank") / F.col("_size")).alias("_z"), F.lit(0.0).alias("_later"))
+    padding = told.join(size, by).where("_pad > 0").groupBy((F.col("_n") + 1).cast("int").alias("step")).agg(F.lit(0.0).alias("_z"), F.sum(none / F.col("_size")).alias("_later"))
+    both = at.unionByName(padding).groupBy("step").agg(F.sum("_z").alias("_z"), F.sum("_later").alias("_later"))
+    so_far = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # a row a step: as many as the longest series has
+    total = both.select((F.col("_z") + F.sum("_later").over(so_far)).alias("_t")).agg(F.sum(F.col("_t") ** 2).alias("_t"))
+    m = F.col("_m")
+    out = total.crossJoin(size.agg(F.count("*").cast("double").alias("_m")))  # a row on either side
+    return out.select(F.when(m < 2, 0.0).otherwise((F.col("_t") - m) / F.nullif(m * (m - 1), F.lit(0.0))).alias("avg_correlation"), (m * (m - 1) / 2).cast("long").alias("n_pairs"))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:

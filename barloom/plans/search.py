@@ -72,9 +72,8 @@ def composite(sharpe: Column, ret: Column, profit_factor: Column, coverage: Colu
     return F.when(n < least, -999.0).otherwise(value)
 
 
-def pareto(results: DataFrame, first: str, second: str) -> DataFrame:
-    """The rows that no other beats in one measure without loss in the other: by one order, no pairs."""
-    w = Window.orderBy(F.desc(first), F.desc(second)).rowsBetween(Window.unboundedPreceding, -1)
+def _unbeaten(results: DataFrame, first: str, second: str, by: list[str]) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy(F.desc(first), F.desc(second)).rowsBetween(Window.unboundedPreceding, -1)
     better = F.max(second).over(w)
     same = F.max(F.struct(second, first)).over(w)
     # equal rows don't beat each other
@@ -82,6 +81,15 @@ def pareto(results: DataFrame, first: str, second: str) -> DataFrame:
     return results.withColumns({"_b": better, "_t": tie}).where("_b is null or _b < " + f"`{second}` or _t").drop("_b", "_t")
 
 
+def pareto(results: DataFrame, first: str, second: str, parts: int = 256) -> DataFrame:
+    """The rows that no other beats in one measure without loss in the other: by order, no pairs.
+
+    Rows are dealt by hash over parts, and only those unbeaten in theirs, few of many, are ordered together.
+    """
+    dealt = results.withColumn("_part", F.pmod(F.xxhash64(first, second), F.lit(parts)))
+    return _unbeaten(_unbeaten(dealt, first, second, ["_part"]).drop("_part"), first, second, [])
+
+
 def rank_key(sharpe: Column, ret: Column, n: Column) -> Column:
     """The score of a threshold strategy."""
     return F.when(n < 5, -999.0).otherwise(sharpe + 0.01 * ret)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,10 +28,14 @@ def query(sql: str | None = None):
     return put
 
 
-def shown(df: DataFrame, columns: list[str | Column], ts: bool = True, places: int = 6) -> DataFrame:
+#: Added before rounding where exact halves are common, which two engines' sums put on either side.
+NUDGE = 3e-8
+
+
+def shown(df: DataFrame, columns: list[str | Column], ts: bool = True, places: int = 6, nudge: float = 0.0) -> DataFrame:
     """Keys, the time as text, and the columns, doubles rounded."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    out = [F.round(F.col(c), places).alias(c) if isinstance(c, str) and kinds[c] == "double" else F.col(c) if isinstance(c, str) else c for c in columns]
+    out = [F.round(F.col(c) + nudge if nudge else F.col(c), places).alias(c) if isinstance(c, str) and kinds[c] == "double" else F.col(c) if isinstance(c, str) else c for c in columns]
     at = [F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts")] if ts else []
     return df.select("symbol", *at, *out)
 
@@ -61,11 +66,11 @@ def select(columns: dict[str, str], sizes: tuple[int, ...], ctes: str = "", tabl
     return f"WITH {BARS}{', ' + ctes if ctes else ''} SELECT symbol, {TS}, {body} FROM {table} {windows(*sizes) if sizes else ''}"
 
 
-def indicators(name: str, wanted: list[str], sql: str | None = None, places: int = 6) -> None:
+def indicators(name: str, wanted: list[str], sql: str | None = None, places: int = 6, nudge: float = 0.0) -> None:
     """A query of some indicators over hourly bars."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return shown(with_indicators(hourly(spark, sf_dir), wanted), wanted, places=places)
+        return shown(with_indicators(hourly(spark, sf_dir), wanted), wanted, places=places, nudge=nudge)
 
     run.__name__ = name
     query(sql)(run)
@@ -142,11 +147,175 @@ indicators("ichimoku", ["ICH_tenkan", "ICH_kijun", "ICH_senkou_a", "ICH_senkou_b
 _AV = "g AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER s), abs(low - lag(close) OVER s)) AS tr, abs(high - lag(low) OVER s) AS vp, abs(low - lag(high) OVER s) AS vn, abs(close - lag(close) OVER s) AS ad FROM bars WINDOW s AS (PARTITION BY symbol ORDER BY ts))"
 indicators("aroon_vortex", ["AROON_up", "AROON_down", "AROON_osc", "VI_pos", "VI_neg"], select({"AROON_up": "CASE WHEN count(high) OVER r26 = 26 THEN (list_position(list(high) OVER r26, max(high) OVER r26) - 1) * 4.0 END", "AROON_down": "CASE WHEN count(low) OVER r26 = 26 THEN (list_position(list(low) OVER r26, min(low) OVER r26) - 1) * 4.0 END", "AROON_osc": "CASE WHEN count(high) OVER r26 = 26 THEN (list_position(list(high) OVER r26, max(high) OVER r26) - list_position(list(low) OVER r26, min(low) OVER r26)) * 4.0 END", "VI_pos": f"{roll('sum', 'vp', 14)} / nullif({roll('sum', 'tr', 14)}, 0)", "VI_neg": f"{roll('sum', 'vn', 14)} / nullif({roll('sum', 'tr', 14)}, 0)"}, (14, 26), _AV, "g"))
 indicators("choppiness_vhf", ["CHOP_14", "VHF_28"], select({"CHOP_14": f"100 * log10({roll('sum', 'tr', 14)} / nullif({_K}, 0)) / log10(14)", "VHF_28": f"({roll('max', 'close', 28)} - {roll('min', 'close', 28)}) / nullif({roll('sum', 'ad', 28)}, 0)"}, (14, 28), _AV, "g"))
-for _name, _wanted in {
-    "atr_wilder": ["ATR_7", "ATR_14", "ATR_21", "NATR_14", "VOL_RATIO_14", "HIGH_VOL_REGIME"], "adx": ["ADX_14", "DMP_14", "DMN_14", "ADX_7", "ADX_21"], "supertrend": ["SUPERT_10_3", "SUPERT_dir_10_3", "SUPERT_14_2", "SUPERT_dir", "PMAX_dir"], "psar_kama": ["PSAR_up", "PSAR_down", "PSAR_dir", "KAMA"],
-    "t3_zlema": ["T3_5", "T3_10", "ZLEMA_20", "DEMA_9", "TEMA_9", "HMA_20"], "crsi": ["CRSI", "STC", "TSI_13_25", "KDJ_J"], "nvi_pvi": ["NVI", "PVI", "KVO", "ADOSC"], "adaptive_averages": ["MCGD_14", "VIDYA_14", "HWMA", "ALMA_9", "FWMA_10", "PWMA_10"],
-}.items():
-    indicators(_name, _wanted)
+def recursion(name: str, source: str, state: dict[str, tuple[str, str]]) -> str:
+    """SQL of a fold over each series: by column its first value, of the row x, and its next, of the state s and the row x. source has symbol and rn from 0 on."""
+    first, then = (", ".join(f"({v[k]})::DOUBLE" for v in state.values()) for k in (0, 1))
+    return f"{name}(symbol, rn, {', '.join(state)}) AS (SELECT symbol, rn, {first} FROM {source} x WHERE rn = 0 UNION ALL SELECT x.symbol, x.rn, {then} FROM {name} s JOIN {source} x ON x.symbol = s.symbol AND x.rn = s.rn + 1)"
+
+
+def mean_state(x: str, alpha: str, s: str) -> tuple[str, str]:
+    """State of an exponential mean of x, from its first value on."""
+    return x, f"CASE WHEN {x} IS NULL THEN s.{s} WHEN s.{s} IS NULL THEN {x} ELSE s.{s} + {alpha} * ({x} - s.{s}) END"
+
+
+def gap_state(x: str, alpha: float, s: str) -> dict[str, tuple[str, str]]:
+    """States of an exponential mean whose missing values age what is before them."""
+    old = f"pow({1 - alpha!r}, s.{s}_gap)"
+    return {s: (x, f"CASE WHEN {x} IS NULL THEN s.{s} WHEN s.{s} IS NULL THEN {x} ELSE ({old} * s.{s} + {alpha!r} * {x}) / ({old} + {alpha!r}) END"), f"{s}_gap": ("1", f"CASE WHEN {x} IS NULL THEN s.{s}_gap + 1 ELSE 1 END")}
+
+
+def indicator_sql(columns: dict[str, str], table: str, ctes: str, sizes: tuple[int, ...] = (), places: int = 6, nudge: float = 0.0) -> str:
+    """SQL for indicator columns over a table of the CTEs; `base` are the bars with rn, n, true range and lags."""
+    base = "base AS MATERIALIZED (SELECT *, row_number() OVER w - 1 AS rn, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr, lag(close) OVER w AS c1, lag(high) OVER w AS h1, lag(low) OVER w AS l1, lag(high, 2) OVER w AS h2, lag(low, 2) OVER w AS l2, close - lag(close) OVER w AS dc FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts))"
+    body = ", ".join(f"round(({x}) + {nudge}, {places}) AS \"{n}\"" for n, x in columns.items())
+    return f"WITH {BARS.replace(chr(10) + 'bars AS', 'RECURSIVE bars AS', 1)}, {base}, {ctes} SELECT symbol, {TS}, {body} FROM {table} {windows(*sizes)}"
+
+
+def level(name: str, source: str, columns: dict[str, str], sizes: tuple[int, ...] = ()) -> str:
+    """A CTE that adds columns to a source."""
+    return f"{name} AS (SELECT *, {', '.join(f'{x} AS {n}' for n, x in columns.items())} FROM {source} {windows(*sizes)})"
+
+
+def joined(name: str, source: str, folds: list[str]) -> str:
+    return f"{name} AS (SELECT * FROM {source} {' '.join(f'JOIN {f} USING (symbol, rn)' for f in folds)})"
+
+
+_PERIODS = (7, 14, 21)
+_ATR = ", ".join([
+    level("atr_in", "base", {f"m{n}": f"avg(tr) OVER r{n}" for n in _PERIODS}, _PERIODS),
+    recursion("atr", "atr_in", {f"a{n}": ("0", f"CASE WHEN x.rn < {n - 1} THEN 0 WHEN x.rn = {n - 1} THEN x.m{n} ELSE (s.a{n} * {n - 1} + x.tr) / {n} END") for n in _PERIODS}), joined("ranged", "base", ["atr"]),
+])
+indicators("atr_wilder", ["ATR_7", "ATR_14", "ATR_21", "NATR_7", "NATR_14", "NATR_21", "VOL_RATIO_14", "HIGH_VOL_REGIME"], indicator_sql({"ATR_7": "a7", "ATR_14": "a14", "ATR_21": "a21", "NATR_7": "a7 / nullif(close, 0) * 100", "NATR_14": "a14 / nullif(close, 0) * 100", "NATR_21": "a21 / nullif(close, 0) * 100", "VOL_RATIO_14": f"a14 / nullif({roll('avg', 'a14', 100)}, 0)", "HIGH_VOL_REGIME": f"coalesce(a14 > {roll('quantile_cont', 'a14', 100, ', 0.75')}, false)::INT"}, "ranged", _ATR, (100,)))
+
+_DM = {"plus": "CASE WHEN high - h1 > l1 - low AND high > h1 THEN high - h1 ELSE 0 END", "minus": "CASE WHEN l1 - low > high - h1 AND l1 > low THEN l1 - low ELSE 0 END"}
+_WILDER = {f"{c}{n}": ("0", f"CASE WHEN x.rn < {n} THEN 0 WHEN x.rn = {n} THEN x.{c}_{n} ELSE s.{c}{n} - s.{c}{n} / {n} + x.{c} END") for n in _PERIODS for c in ("tr", "plus", "minus")}
+_ADX = ", ".join([
+    level("dm", "base", _DM), level("dms", "dm", {f"{c}_{n}": f"sum({c}) OVER r{n}" for n in _PERIODS for c in ("tr", "plus", "minus")}, _PERIODS), recursion("dmf", "dms", _WILDER),
+    level("lines", "dmf", {f"{x}{n}": f"CASE WHEN tr{n} > 0 THEN 100 * {c}{n} / tr{n} ELSE 0 END" for n in _PERIODS for x, c in (("up", "plus"), ("dn", "minus"))}),
+    level("dxs", "lines", {f"dx{n}": f"CASE WHEN up{n} + dn{n} > 0 THEN 100 * abs(up{n} - dn{n}) / (up{n} + dn{n}) ELSE 0 END" for n in _PERIODS}),
+    "dxm AS (SELECT *, " + ", ".join(f"avg(dx{n}) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS dm{n}" for n in _PERIODS) + " FROM dxs)",
+    recursion("adx", "dxm", {f"x{n}": ("0", f"CASE WHEN x.rn < {2 * n - 1} THEN 0 WHEN x.rn = {2 * n - 1} THEN x.dm{n} ELSE (s.x{n} * {n - 1} + x.dx{n}) / {n} END") for n in _PERIODS}), joined("directed", "base", ["dxm", "adx"]),
+])
+indicators("adx", [f"{x}_{n}" for n in _PERIODS for x in ("ADX", "DMP", "DMN")], indicator_sql({f"{x}_{n}": f"{c}{n}" for n in _PERIODS for x, c in (("ADX", "x"), ("DMP", "up"), ("DMN", "dn"))}, "directed", _ADX))
+
+
+def supertrend_sql(name: str, source: str, n: int, factor: float) -> str:
+    """SQL of a supertrend: source has rn, tr, mid, close, c1. State: e (range), line, up."""
+    e = f"(s.e + 2.0 / {n + 1} * (x.tr - s.e))"
+    floor = f"CASE WHEN s.line IS NULL OR x.c1 < s.line THEN x.mid - {factor} * {e} ELSE greatest(x.mid - {factor} * {e}, s.line) END"
+    ceiling = f"CASE WHEN s.line IS NULL OR x.c1 > s.line THEN x.mid + {factor} * {e} ELSE least(x.mid + {factor} * {e}, s.line) END"
+    up = f"CASE WHEN s.up = 1 THEN NOT x.close < {floor} ELSE x.close > {ceiling} END"
+    return recursion(name, source, {"e": ("x.tr", e), "line": ("NULL", f"CASE WHEN {up} THEN {floor} ELSE {ceiling} END"), "up": ("0", f"({up})::INT")})
+
+
+_SUPER = {f"{n}_{f}": (n, f) for n, f in ((10, 3), (14, 2), (7, 3), (10, 2), (14, 3), (20, 2))}
+_CENTRED = f"centred AS (SELECT * REPLACE (coalesce({roll('sum', 'close * volume', 10)} / nullif({roll('sum', 'volume', 10)}, 0), close) AS close) FROM bars {windows(10)}), centre AS MATERIALIZED (SELECT *, (high + low) / 2 AS mid, row_number() OVER w - 1 AS rn, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr, lag(close) OVER w AS c1 FROM centred WINDOW w AS (PARTITION BY symbol ORDER BY ts))"
+_ST = ", ".join([level("held", "base", {"mid": "(high + low) / 2"}), *(supertrend_sql(f"st{k}", "held", *v) for k, v in _SUPER.items()), _CENTRED, supertrend_sql("pmax", "centre", 10, 3), "stall AS (SELECT b.symbol, b.ts, b.rn, " + ", ".join(f"st{k}.line AS line{k}, CASE WHEN b.rn = 0 THEN 0 WHEN st{k}.up = 1 THEN 1 ELSE -1 END AS way{k}" for k in _SUPER) + ", CASE WHEN b.rn = 0 THEN 0 WHEN pmax.up = 1 THEN 1 ELSE -1 END AS pway FROM base b " + " ".join(f"JOIN st{k} ON st{k}.symbol = b.symbol AND st{k}.rn = b.rn" for k in _SUPER) + " JOIN pmax ON pmax.symbol = b.symbol AND pmax.rn = b.rn)"])
+indicators("supertrend", [*(f"SUPERT_{k}" for k in _SUPER), *(f"SUPERT_dir_{k}" for k in _SUPER), "SUPERT_dir", "PMAX_dir"], indicator_sql({f"SUPERT_{k}": f"line{k}" for k in _SUPER} | {f"SUPERT_dir_{k}": f"way{k}" for k in _SUPER} | {"SUPERT_dir": "way10_3", "PMAX_dir": "pway"}, "stall", _ST, nudge=NUDGE), nudge=NUDGE)
+
+_V0 = "(s.v + s.pace * (CASE WHEN s.up = 1 THEN s.top ELSE s.bottom END - s.v))"
+_TURN = f"(CASE WHEN s.up = 1 THEN x.low < {_V0} ELSE x.high > {_V0} END)"
+_PSAR = recursion("psar", "base", {
+    "v": ("x.close", f"CASE WHEN x.rn < 2 THEN x.close WHEN {_TURN} THEN CASE WHEN s.up = 1 THEN s.top ELSE s.bottom END WHEN s.up = 1 THEN least({_V0}, x.l1, x.l2) ELSE greatest({_V0}, x.h1, x.h2) END"),
+    "up": ("1", f"CASE WHEN x.rn >= 2 AND {_TURN} THEN 1 - s.up ELSE s.up END"),
+    "pace": ("0.02", f"CASE WHEN x.rn < 2 THEN s.pace WHEN {_TURN} THEN 0.02 WHEN s.up = 1 AND x.high > s.top OR s.up = 0 AND x.low < s.bottom THEN least(s.pace + 0.02, 0.2) ELSE s.pace END"),
+    "top": ("x.high", f"CASE WHEN x.rn < 2 THEN s.top WHEN {_TURN} THEN CASE WHEN s.up = 1 THEN s.top ELSE x.high END WHEN s.up = 1 THEN greatest(s.top, x.high) ELSE s.top END"),
+    "bottom": ("x.low", f"CASE WHEN x.rn < 2 THEN s.bottom WHEN {_TURN} THEN CASE WHEN s.up = 1 THEN x.low ELSE s.bottom END WHEN s.up = 0 THEN least(s.bottom, x.low) ELSE s.bottom END"),
+})
+_KAMA = ", ".join([level("moved", "base", {"path": "sum(abs(dc)) OVER r10", "far": "abs(close - lag(close, 10) OVER w)"}, (10,)), recursion("kama", "moved", {"k": ("NULL", "CASE WHEN x.rn < 9 THEN NULL WHEN x.rn = 9 THEN x.close ELSE s.k + pow((CASE WHEN x.path > 0 THEN x.far / x.path ELSE 0 END) * (2.0 / 3 - 2.0 / 31) + 2.0 / 31, 2) * (x.close - s.k) END")})])
+indicators("psar_kama", ["PSAR_up", "PSAR_down", "PSAR_dir", "KAMA"], indicator_sql({"PSAR_up": "CASE WHEN rn >= 2 AND up = 1 THEN v END", "PSAR_down": "CASE WHEN rn >= 2 AND up = 0 THEN v END", "PSAR_dir": "CASE WHEN close > v THEN 1 ELSE -1 END", "KAMA": "k"}, "ps", ", ".join([_PSAR, _KAMA, joined("ps", "base", ["psar", "kama"])]), nudge=NUDGE), nudge=NUDGE)
+
+
+def chain(x: str, n: int, order: int, name: str) -> dict[str, tuple[str, str]]:
+    """States of means of means of x."""
+    out, new = {}, x
+    for k in range(1, order + 1):
+        new = f"(s.{name}{k} + 2.0 / {n + 1} * ({new} - s.{name}{k}))"
+        out[f"{name}{k}"] = (x, new)
+    return out
+
+
+def t3_sql(name: str) -> str:
+    return f"-0.343 * {name}6 + 3 * 0.49 * 1.7 * {name}5 - 3 * 0.7 * 2.89 * {name}4 + 4.913 * {name}3"
+
+
+_ZL = {n: level(f"zl{n}", "base" if n == 20 else "zl20", {f"z{n}": f"2 * close - lag(close, {(n - 1) // 2}) OVER w"}, (2,)) for n in (20, 50)}
+_MA = ", ".join([*_ZL.values(), recursion("means", "zl50", chain("x.close", 5, 6, "p") | chain("x.close", 10, 6, "q") | chain("x.close", 9, 3, "d") | chain("x.close", 21, 3, "g") | {"e20": mean_state("x.z20", "(2.0 / 21)", "e20"), "e50": mean_state("x.z50", "(2.0 / 51)", "e50")}), joined("ma", "base", ["means"])])
+indicators("t3_zlema", ["T3_5", "T3_10", "ZLEMA_20", "ZLEMA_50", "DEMA_ext_9", "TEMA_ext_9", "DEMA_ext_21", "TEMA_ext_21"], indicator_sql({"T3_5": t3_sql("p"), "T3_10": t3_sql("q"), "ZLEMA_20": "e20", "ZLEMA_50": "e50", "DEMA_ext_9": "2 * d1 - d2", "TEMA_ext_9": "3 * d1 - 3 * d2 + d3", "DEMA_ext_21": "2 * g1 - g2", "TEMA_ext_21": "3 * g1 - 3 * g2 + g3"}, "ma", _MA))
+
+
+def multiple_sql(n: int) -> str:
+    a = f"(2.0/{n + 1})"
+    return ", ".join([level("e1", "base", {"one": ema("close", a, n)}, (2,)), level("e2", "e1", {"two": ema("one", a, n)}, (2,)), level("e3", "e2", {"three": ema("two", a, n)}, (2,))])
+
+
+for _n in (9, 21, 50):
+    indicators(f"dema_tema_{_n}", [f"DEMA_{_n}", f"TEMA_{_n}"], indicator_sql({f"DEMA_{_n}": "2 * one - two", f"TEMA_{_n}": "3 * one - 3 * two + three"}, "e3", multiple_sql(_n)))
+
+
+def wma_sql(x: str, n: int) -> str:
+    return f"CASE WHEN count({x}) OVER r{n} = {n} THEN list_dot_product(list(coalesce({x}, 0)) OVER r{n}, [(2.0 * i / {n * (n + 1)})::DOUBLE FOR i IN range(1, {n + 1})]) END"
+
+
+_HM = ", ".join([level("hm", "base", {f"m{n}": f"2 * ({wma_sql('close', h)}) - ({wma_sql('close', n)})" for n, h in ((9, 4), (20, 10), (50, 25))}, (4, 9, 10, 20, 25, 50)), level("hmt", "hm", {f"t{n}": roll("avg", "close", (n + 1) // 2) for n in (20, 50)}, (10, 25))])
+indicators("hma_wma_trima", ["HMA_9", "HMA_20", "HMA_50", "TRIMA_20", "TRIMA_50", *(f"WMA_{n}" for n in (8, 13, 21, 50)), *(f"SMA_{n}" for n in (8, 13, 21, 100, 200)), "VWMA_20", "VWMA_50"], indicator_sql({"HMA_9": wma_sql("m9", 3), "HMA_20": wma_sql("m20", 4), "HMA_50": wma_sql("m50", 7), "TRIMA_20": roll("avg", "t20", 10), "TRIMA_50": roll("avg", "t50", 25)} | {f"WMA_{n}": wma_sql("close", n) for n in (8, 13, 21, 50)} | {f"SMA_{n}": roll("avg", "close", n) for n in (8, 13, 21, 100, 200)} | {f"VWMA_{n}": f"{roll('sum', 'close * volume', n)} / nullif({roll('sum', 'volume', n)}, 0)" for n in (20, 50)}, "hmt", _HM, (3, 4, 7, 8, 10, 13, 20, 21, 25, 50, 100, 200), nudge=NUDGE), nudge=NUDGE)
+
+_WAY = "sign(coalesce(dc, 0))"
+_CR = ", ".join([
+    level("cr0", "base", {"way": _WAY, "up": "greatest(dc, 0) + 0 * dc", "down": "greatest(-dc, 0) + 0 * dc", "ret": "close / nullif(c1, 0) - 1", "lo10": roll("min", "low", 9), "hi10": roll("max", "high", 9)}, (9,)),
+    recursion("crr", "cr0", {"run": ("1", "CASE WHEN x.way = (SELECT 0) + s.w THEN s.run + 1 ELSE 1 END"), "w": ("x.way", "x.way"), "t1": ("NULL", mean_state("x.dc", "(2.0/26)", "t1")[1]), "u1": ("NULL", mean_state("abs(x.dc)", "(2.0/26)", "u1")[1]), "f": ("x.close", "s.f + 2.0 / 24 * (x.close - s.f)"), "g": ("x.close", "s.g + 2.0 / 51 * (x.close - s.g)"), "kk": mean_state("((x.close - x.lo10) / nullif(x.hi10 - x.lo10, 0) * 100)", "(1.0/3)", "kk")}),
+    joined("cr1", "cr0", ["crr"]), level("cr2", "cr1", {"streak": "run * way", "sd": "run * way - lag(run * way) OVER w", "macd": "f - g"}, (2,)),
+    recursion("crs", "cr2", {"t2": ("NULL", mean_state("x.t1", "(2.0/14)", "t2")[1]), "u2": ("NULL", mean_state("x.u1", "(2.0/14)", "u2")[1]), "dd": mean_state("x.kk", "(1.0/3)", "dd")}), joined("cr3", "cr2", ["crs"]),
+    level("cr4", "cr3", {"su": "greatest(sd, 0) + 0 * sd", "sdn": "greatest(-sd, 0) + 0 * sd", "s1": f"(macd - {roll('min', 'macd', 10)}) / nullif({roll('max', 'macd', 10)} - {roll('min', 'macd', 10)}, 0) * 100"}, (10,)),
+    recursion("crt", "cr4", {"k1": mean_state("x.s1", "0.5", "k1")}), joined("cr5", "cr4", ["crt"]),
+    level("cr6", "cr5", {"s2": f"(k1 - {roll('min', 'k1', 10)}) / nullif({roll('max', 'k1', 10)} - {roll('min', 'k1', 10)}, 0) * 100"}, (10,)),
+    recursion("cru", "cr6", {"k2": mean_state("x.s2", "0.5", "k2")}), joined("cr7", "cr6", ["cru"]),
+])
+_PLAIN = lambda u, d, n: f"(100 - 100 / (1 + {roll('avg', u, n)} / nullif({roll('avg', d, n)}, 0)))"
+_RANK = "CASE WHEN count(ret) OVER r100 = 100 THEN (len(list_filter(list(ret) OVER r100, lambda x: x < ret)) + (len(list_filter(list(ret) OVER r100, lambda x: x = ret)) + 1) / 2) / 100 * 100 END"
+indicators("crsi", ["CRSI", "STC", "TSI_13_25", "KDJ_K", "KDJ_D", "KDJ_J"], indicator_sql({"CRSI": f"({_PLAIN('up', 'down', 3)} + {_PLAIN('su', 'sdn', 2)} + {_RANK}) / 3", "STC": "k2", "TSI_13_25": "100 * t2 / nullif(u2, 0)", "KDJ_K": "kk", "KDJ_D": "dd", "KDJ_J": "3 * kk - 2 * dd"}, "cr7", _CR, (2, 3, 100)))
+
+_FORCE = "sign((high + low + close) - lag(high + low + close) OVER w)"
+_NV = ", ".join([
+    level("nv0", "base", {"way": _FORCE, "size": "high - low", "v1": "lag(volume) OVER w", "clv": "(2 * close - low - high) / nullif(high - low, 0) * volume"}, (2,)),
+    level("nv1", "nv0", {"way1": "lag(way) OVER w", "size1": "lag(size) OVER w", "ad": "CASE WHEN clv IS NOT NULL THEN sum(clv) OVER w END"}, (2,)),
+    recursion("nvr", "nv1", {"run": ("0", "x.size + CASE WHEN x.way = x.way1 THEN s.run ELSE x.size1 END"), "nvi": ("1000", "CASE WHEN x.volume < x.v1 THEN s.nvi * (x.close / nullif(x.c1, 0)) ELSE s.nvi END"), "pvi": ("1000", "CASE WHEN x.volume > x.v1 THEN s.pvi * (x.close / nullif(x.c1, 0)) ELSE s.pvi END")} | gap_state("x.ad", 0.5, "a3") | gap_state("x.ad", 2 / 11, "a10")),
+    joined("nv2", "nv1", ["nvr"]), level("nv3", "nv2", {"force": "way * volume * abs(2 * size / nullif(run, 0) - 1)"}),
+    recursion("nvs", "nv3", gap_state("x.force", 2 / 35, "k34") | gap_state("x.force", 2 / 56, "k55")), joined("nv4", "nv3", ["nvs"]),
+])
+indicators("nvi_pvi", ["KVO", "ADOSC"], indicator_sql({"KVO": "k34 - k55", "ADOSC": "a3 - a10"}, "nv4", _NV, places=4), places=4)
+
+
+def in_logs(name: str, wanted: list[str], sql: dict[str, str], table: str, ctes: str, sizes: tuple[int, ...] = ()) -> None:
+    """A query of indicators that products spread over orders of magnitude: sign(x) * log10(1 + |x|)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = with_indicators(hourly(spark, sf_dir), wanted)
+        return e.select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), *(F.round(F.signum(c) * F.log10(1 + F.abs(F.col(c))), 6).alias(c) for c in wanted))
+
+    run.__name__ = name
+    query(indicator_sql({n: f"sign({x}) * log10(1 + abs({x}))" for n, x in sql.items()}, table, ctes, sizes))(run)
+
+
+in_logs("nvi_pvi_logs", ["NVI", "PVI"], {"NVI": "nvi", "PVI": "pvi"}, "nv4", _NV)
+_AD = ", ".join([
+    level("ad0", "base", {"u": "greatest(dc, 0) + 0 * dc", "d": "greatest(-dc, 0) + 0 * dc"}), level("ad1", "ad0", {"pace": f"abs(({roll('sum', 'u', 14)} - {roll('sum', 'd', 14)}) / nullif({roll('sum', 'u', 14)} + {roll('sum', 'd', 14)}, 0)) * 2 / 13"}, (14,)),
+    recursion("adr", "ad1", {"vid": ("x.close", "CASE WHEN x.pace IS NULL THEN x.close ELSE x.pace * x.close + (1 - x.pace) * s.vid END"), "hw": ("x.close", "0.9 * (0.8 * (s.hw + CASE WHEN x.rn = 1 THEN x.dc ELSE s.speed END) + 0.2 * x.close) + 0.1 * x.close"), "speed": ("0", "CASE WHEN x.rn = 1 THEN x.dc ELSE s.speed END + 0.1 * ((0.8 * (s.hw + CASE WHEN x.rn = 1 THEN x.dc ELSE s.speed END) + 0.2 * x.close) - s.hw - CASE WHEN x.rn = 1 THEN x.dc ELSE s.speed END)")}),
+    joined("ad2", "ad1", ["adr"]),
+])
+
+
+def weights_sql(n: int, expression: str) -> str:
+    """SQL of a weighted sum of the last n closes, weights by place i from the oldest, 0 on."""
+    return f"CASE WHEN count(close) OVER r{n} = {n} THEN list_dot_product(list(close) OVER r{n}, [({expression})::DOUBLE FOR i IN range(0, {n})]) END"
+
+
+_BELL = {n: f"exp(-pow(({n - 1} - i) - 0.85 * {n - 1}, 2) / (2 * pow({n} / 6.0, 2)))" for n in (9, 21)}
+_BELLS = {n: sum(math.exp(-((i - 0.85 * (n - 1)) ** 2) / (2 * (n / 6.0) ** 2)) for i in range(n)) for n in (9, 21)}
+_FIB = "[55, 34, 21, 13, 8, 5, 3, 2, 1, 1][i + 1] / 143.0"
+_BINOMIAL = "[1, 9, 36, 84, 126, 126, 84, 36, 9, 1][i + 1] / 512.0"
+indicators("adaptive_averages", ["VIDYA_14", "HWMA", "ALMA_9", "ALMA_21", "FWMA_10", "PWMA_10", "SWMA", "LIN_DECAY_5"], indicator_sql({"VIDYA_14": "vid", "HWMA": "hw", "ALMA_9": weights_sql(9, f"{_BELL[9]} / {_BELLS[9]!r}"), "ALMA_21": weights_sql(21, f"{_BELL[21]} / {_BELLS[21]!r}"), "FWMA_10": weights_sql(10, _FIB), "PWMA_10": weights_sql(10, _BINOMIAL), "SWMA": weights_sql(4, "[1, 2, 2, 1][i + 1] / 6.0"), "LIN_DECAY_5": "CASE WHEN count(close) OVER r5 = 5 THEN 0.4 * close END"}, "ad2", _AD, (4, 5, 9, 10, 21), nudge=NUDGE), nudge=NUDGE)
+indicators("mcginley", ["MCGD_14"])
 
 
 @query()
