@@ -17,8 +17,8 @@ HORIZONS = (1, 5, 10, 20, 40)
 BY = ("symbol", "timeframe")
 
 
-def forward_return(n: int) -> Column:
-    w = Window.partitionBy(*BY).orderBy("ts")
+def forward_return(n: int, by: tuple[str, ...] = BY) -> Column:
+    w = Window.partitionBy(*by).orderBy("ts")
     return F.try_divide(F.lead("close", n).over(w), F.nullif(F.col("close"), F.lit(0.0))) - 1
 
 
@@ -40,19 +40,19 @@ def p_value(rho: Column, n: Column) -> Column:
     return F.pandas_udf(_p, "double")(rho, n)
 
 
-def information(df: DataFrame, columns: list[str], horizons: tuple[int, ...] = HORIZONS, least: int = 30) -> DataFrame:
-    """symbol, timeframe, col, horizon, n, ic: Spearman's correlation of each column with each forward return.
+def information(df: DataFrame, columns: list[str], horizons: tuple[int, ...] = HORIZONS, least: int = 30, series: tuple[str, ...] = BY) -> DataFrame:
+    """The keys of the series, col, horizon, n, ic: Spearman's correlation of each column with each forward return.
 
     Pairs with a NULL are left out before ranking; below `least` pairs the
     coefficient is NULL. Columns and horizons become rows, so a wide request is
     parallel over (series, column, horizon).
     """
-    w = [forward_return(h).alias(f"_f{h}") for h in horizons]
-    base = df.select(*BY, "ts", *columns, *w)
+    w = [forward_return(h, series).alias(f"_f{h}") for h in horizons]
+    base = df.select(*series, "ts", *columns, *w)
     future = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"_f{h}").alias("future")) for h in horizons)))
     value = F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("value")) for c in columns)))
-    rows = base.withColumn("_v", value).where("_v.value is not null").withColumn("_f", future).select(*BY, "ts", "_v.col", "_v.value", "_f.horizon", "_f.future").where("future is not null")
-    by = (*BY, "col", "horizon")
+    rows = base.withColumn("_v", value).where("_v.value is not null").withColumn("_f", future).select(*series, "ts", "_v.col", "_v.value", "_f.horizon", "_f.future").where("future is not null")
+    by = (*series, "col", "horizon")
     r = ranked(rows, by, ["value", "future"])
     return r.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, pearson("rank_value", "rank_future")).alias("ic"))
 
@@ -65,10 +65,11 @@ def summary(per_series: DataFrame) -> DataFrame:
     return out.select("col", F.col("b.horizon").alias("best_period"), F.col("b.ic").alias("best_ic"), "max_abs_ic", F.when(F.col("b.ic") >= 0, "bullish").otherwise("bearish").alias("direction"), strength(F.col("b.ic")).alias("strength"), "n_series")
 
 
-def stability(df: DataFrame, columns: list[str], horizon: int = 10) -> DataFrame:
-    """symbol, timeframe, col, icir, positive_share: the mean over the deviation of rolling coefficients of global ranks.
+def stability(df: DataFrame, columns: list[str], horizon: int = 10, least: int = 60) -> DataFrame:
+    """symbol, timeframe, col, ic_mean, ic_std, icir, positive_share of rolling coefficients of global ranks; icir is mean over deviation.
 
     The window is max(30, n // 5) rows, every max(1, n // 20)th value counts.
+    All are NULL for series of fewer than `least` rows or three values.
     """
     rows = unpivot(df.withColumn("_f", forward_return(horizon)).withColumn("close", F.col("_f")), columns).where("value is not null and close is not null")
     r = ranked(rows, (*BY, "col"), ["value", "close"])
@@ -80,10 +81,22 @@ def stability(df: DataFrame, columns: list[str], horizon: int = 10) -> DataFrame
         x = g["rank_value"].rolling(w, min_periods=max(20, w // 2)).corr(g["rank_close"]).iloc[:: max(1, n // 20)]
         x = x[np.isfinite(x)]
         sd = float(x.std(ddof=0)) if len(x) else 0.0
-        told = len(x) >= 3
-        return pd.DataFrame({"symbol": [g["symbol"].iloc[0]], "timeframe": [g["timeframe"].iloc[0]], "col": [g["col"].iloc[0]], "icir": [float(x.mean() / sd) if told and sd > 1e-6 else 0.0], "positive_share": [float((x > 0).mean()) if told else 0.0]})
+        told = n >= least and len(x) >= 3
+        keys = {c: [g[c].iloc[0]] for c in (*BY, "col")}
+        if not told:
+            return pd.DataFrame(keys | {c: [None] for c in ("ic_mean", "ic_std", "icir", "positive_share")})
+        return pd.DataFrame(keys | {"ic_mean": [float(x.mean())], "ic_std": [sd], "icir": [float(x.mean() / sd) if sd > 1e-6 else 0.0], "positive_share": [float((x > 0).mean())]})
 
-    return r.groupBy(*BY, "col").applyInPandas(run, "symbol string, timeframe string, col string, icir double, positive_share double")
+    return r.groupBy(*BY, "col").applyInPandas(run, "symbol string, timeframe string, col string, ic_mean double, ic_std double, icir double, positive_share double")
+
+
+def report(per_series: DataFrame, stable: DataFrame | None = None, top: int = 20) -> DataFrame:
+    """The `top` columns by the size of their coefficient: `summary`, the mean at each horizon and, if given, the mean stability."""
+    wide = per_series.groupBy("col").agg(*(F.avg(F.when(F.col("horizon") == h, F.col("ic"))).alias(f"ic_{h}") for h in HORIZONS))
+    out = summary(per_series).join(wide, "col")
+    if stable is not None:
+        out = out.join(stable.groupBy("col").agg(F.avg("icir").alias("icir"), F.avg("positive_share").alias("ic_positive_pct")), "col", "left")
+    return out.orderBy(F.desc("max_abs_ic"), "col").limit(top)
 
 
 def conditions(df: DataFrame, columns: list[str], horizon: int = 10, least: int = 30) -> DataFrame:
@@ -127,11 +140,9 @@ def regimes(df: DataFrame) -> DataFrame:
 
 def by_regime(df: DataFrame, columns: list[str], horizon: int = 10, least: int = 20, rows: int = 50) -> DataFrame:
     """symbol, timeframe, regime, col, n, ic; forward returns run over the regime's own rows, one after the other."""
-    split = regimes(df).withColumn("timeframe", F.concat_ws("|", "timeframe", "regime"))
-    enough = split.withColumn("_n", F.count("*").over(Window.partitionBy(*BY))).where(F.col("_n") >= rows)
-    out = information(enough, columns, (horizon,), least)
-    part = F.split("timeframe", r"\|")
-    return out.select("symbol", part[0].alias("timeframe"), part[1].alias("regime"), "col", "n", "ic")
+    series = (*BY, "regime")
+    enough = regimes(df).withColumn("_n", F.count("*").over(Window.partitionBy(*series))).where(F.col("_n") >= rows)
+    return information(enough, columns, (horizon,), least, series).select(*series, "col", "n", "ic")
 
 
 def regime_label(df: DataFrame, least: int = 50) -> DataFrame:
@@ -141,7 +152,15 @@ def regime_label(df: DataFrame, least: int = 50) -> DataFrame:
     return m.select(*BY, named.alias("regime"), "slope", "natr")
 
 
-def informative(df: DataFrame, columns: list[str]) -> list[str]:
-    """The columns with at least two different values, by one pass."""
-    row = df.agg(*(F.approx_count_distinct(c).alias(c) for c in columns)).first()
-    return [c for c in columns if row[c] >= 2]
+def informative(df: DataFrame, columns: list[str], keep: float = 0.01) -> list[str]:
+    """The numeric columns that are worth a coefficient, by one pass: filled in over half of the rows and not all but constant.
+
+    A column of at most two values counts if the rarer one has at least `keep` of its rows.
+    """
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    own = [c for c in columns if kinds[c] in ("double", "float", "integer", "long", "short", "byte", "decimal")]
+    if not own:
+        return []
+    row = df.agg(F.count("*").alias("_n"), *(f(c).alias(f"{n}{i}") for i, c in enumerate(own) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max)))).first()
+    ends = df.agg(F.lit(0).alias("_"), *(F.avg(F.col(c).isin(row[f"lo{i}"]).cast("double")).alias(f"a{i}") for i, c in enumerate(own)), *(F.avg(F.col(c).isin(row[f"hi{i}"]).cast("double")).alias(f"b{i}") for i, c in enumerate(own))).first()
+    return [c for i, c in enumerate(own) if row[f"n{i}"] * 2 > row["_n"] and row[f"lo{i}"] != row[f"hi{i}"] and max(ends[f"a{i}"] or 0, ends[f"b{i}"] or 0) <= 1 - keep]

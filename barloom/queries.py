@@ -602,10 +602,22 @@ def returns_of(spark, sf_dir) -> DataFrame:
     return trades_of(spark, sf_dir).withColumn("r", F.col("pnl_pct") / 100 * F.col("position_size"))
 
 
-@query()
+_PORT = """
+t AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY exit_idx) AS step, pnl_pct / 100 * position_size AS r FROM sim_trades),
+curve AS (SELECT k, step, 1000.0 * list_reduce(list(1 + r) OVER o, lambda a, b: a * b) AS eq FROM t WINDOW o AS (PARTITION BY k ORDER BY step)),
+grid AS (SELECT k, step FROM (SELECT DISTINCT k FROM t), (SELECT DISTINCT step FROM t)),
+padded AS (SELECT g.k, g.step, last_value(c.eq IGNORE NULLS) OVER (PARTITION BY g.k ORDER BY g.step) AS eq, coalesce(t.r, 0) AS r FROM grid g LEFT JOIN curve c USING (k, step) LEFT JOIN t USING (k, step)),
+total AS (SELECT step, sum(eq) AS eq FROM padded GROUP BY 1 UNION ALL SELECT 0, 1000.0 * count(DISTINCT k) FROM t),
+top AS (SELECT *, max(eq) OVER (ORDER BY step) AS hi FROM total),
+ranks AS (SELECT k, step, rank() OVER (PARTITION BY k ORDER BY r) + (count(*) OVER (PARTITION BY k, r) - 1) / 2 AS q FROM padded),
+rho AS (SELECT a.k, b.k AS other, corr(a.q, b.q) AS rho FROM ranks a JOIN ranks b ON a.step = b.step AND a.k < b.k GROUP BY 1, 2)"""
+
+
+@query(f"WITH {BARS_R}, {SIGNALS}, {_T}, {_PORT}, risk AS (SELECT avg(r) / (stddev_pop(r) + 1e-9) * sqrt(252) AS portfolio_sharpe, avg(r) / (coalesce(stddev_pop(r) FILTER (WHERE r < 0), 0) + 1e-9) * sqrt(252) AS portfolio_sortino, count(*) AS n_returns FROM t), ends AS (SELECT (arg_max(eq, step) / arg_min(eq, step) - 1) * 100 AS portfolio_return, max((hi - eq) / (hi + 1e-12)) * 100 AS portfolio_max_drawdown FROM top), r AS (SELECT avg(rho) AS avg_correlation, count(*) AS n_pairs FROM rho) SELECT round(portfolio_sharpe, 6) AS portfolio_sharpe, round(portfolio_sortino, 6) AS portfolio_sortino, n_returns, round(log10(1 + portfolio_return), 6) AS log_portfolio_return, round(portfolio_max_drawdown, 6) AS portfolio_max_drawdown, round(avg_correlation, 6) AS avg_correlation, n_pairs FROM risk, ends, r")
 def portfolio_metrics(spark, sf_dir):
     found = returns_of(spark, sf_dir)
-    return stats.portfolio(found, "symbol", n_pairs=10).join(F.broadcast(stats.mean_spearman(found, "symbol")))
+    out = stats.portfolio(found, "symbol", n_pairs=10).join(F.broadcast(stats.mean_spearman(found, "symbol")))
+    return out.select(*(F.round(c, 6).alias(c) for c in ("portfolio_sharpe", "portfolio_sortino", "portfolio_max_drawdown", "avg_correlation")), "n_returns", "n_pairs", F.round(F.log10(1 + F.col("portfolio_return")), 6).alias("log_portfolio_return"))
 
 
 _PV = "WITH t AS (SELECT p_partkey AS id, (p_partkey * 7919 % 1000) / 1000.0 AS p_value FROM part), r AS (SELECT *, row_number() OVER (ORDER BY p_value, id) AS k, count(*) OVER () AS n FROM t), a AS (SELECT *, least(1, min(p_value * n / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS adj, coalesce(max(CASE WHEN p_value <= k / n * 0.05 THEN k / n * 0.05 END) OVER (), 0) AS thr FROM r)"
@@ -628,16 +640,54 @@ def ic_raw(spark, sf_dir):
     return out.select("symbol", "col", "horizon", "n", F.round("ic", 6).alias("ic"))
 
 
-@query()
+def ic_sql(source: str, columns: dict[str, str], horizons: tuple[int, ...], key: str = "symbol", name: str = "ic") -> str:
+    """SQL of rank correlations with forward returns: CTE `name` has the key, col, horizon, n, ic. source has the key, ts, close."""
+    long = " UNION ALL ".join(f"SELECT {key}, ts, '{c}' AS col, ({x})::DOUBLE AS v, {h} AS horizon, lead(close, {h}) OVER (PARTITION BY {key} ORDER BY ts) / nullif(close, 0) - 1 AS f FROM {source}" for c, x in columns.items() for h in horizons)
+    part = f"PARTITION BY {key}, col, horizon"
+    return f"{name}_rows AS (SELECT * FROM ({long}) WHERE v IS NOT NULL AND f IS NOT NULL), {name}_ranks AS (SELECT *, rank() OVER ({part} ORDER BY v) + (count(*) OVER ({part}, v) - 1) / 2 AS rv, rank() OVER ({part} ORDER BY f) + (count(*) OVER ({part}, f) - 1) / 2 AS rf FROM {name}_rows), {name} AS (SELECT {key}, col, horizon, count(*) AS n, CASE WHEN isfinite(corr(rv, rf)) THEN corr(rv, rf) END AS ic FROM {name}_ranks GROUP BY ALL)"
+
+
+def named_strength(x: str) -> str:
+    return f"CASE WHEN abs({x}) >= 0.2 THEN 'strong' WHEN abs({x}) >= 0.1 THEN 'moderate' WHEN abs({x}) >= 0.05 THEN 'weak' ELSE 'noise' END"
+
+
+def way(x: str) -> str:
+    return f"CASE WHEN {x} >= 0 THEN 'bullish' ELSE 'bearish' END"
+
+
+_RSI14 = f"CASE WHEN count(up) OVER w >= 14 THEN CASE WHEN ({ema('down', '(1.0/14)')}) = 0 THEN 100 ELSE 100 - 100 / (1 + ({ema('up', '(1.0/14)')}) / ({ema('down', '(1.0/14)')})) END END"
+_IC3 = f"{STEPS}, vals AS (SELECT symbol, ts, close, close - lag(close, 10) OVER w AS mom, {_RSI14} AS rsi, (close - {roll('avg', 'close', 20)}) / nullif({roll('stddev_samp', 'close', 20)}, 0) AS z FROM first {windows(20)}), {ic_sql('vals', {'MOM_10': 'mom', 'RSI_14': 'rsi', 'ZSCORE_20': 'z'}, ic.HORIZONS)}"
+_IC_SUM = "means AS (SELECT col, horizon, avg(ic) AS ic, count(ic) AS n_series FROM ic WHERE n >= 30 GROUP BY 1, 2), best AS (SELECT col, arg_max(horizon, (abs(ic), -horizon)) AS best_period, arg_max(ic, (abs(ic), -horizon)) AS best_ic, max(abs(ic)) AS max_abs_ic, max(n_series) AS n_series FROM means WHERE ic IS NOT NULL GROUP BY col)"
+IC_COLUMNS = ["MOM_10", "RSI_14", "ZSCORE_20"]
+
+
+def ic_of(spark, sf_dir) -> DataFrame:
+    return ic.information(with_indicators(hourly(spark, sf_dir), IC_COLUMNS), IC_COLUMNS)
+
+
+@query(f"WITH {BARS}, {_IC3}, {_IC_SUM} SELECT col, best_period, round(best_ic, 6) AS best_ic, round(max_abs_ic, 6) AS max_abs_ic, {way('best_ic')} AS direction, {named_strength('best_ic')} AS strength, n_series FROM best")
 def ic_summary(spark, sf_dir):
-    e = with_indicators(hourly(spark, sf_dir), ["MOM_10", "RSI_14", "ZSCORE_20"])
-    found = ic.information(e, ["MOM_10", "RSI_14", "ZSCORE_20"])
-    return ic.summary(found.withColumn("p", ic.p_value(F.col("ic"), F.col("n"))).where("n >= 30"))
+    out = ic.summary(ic_of(spark, sf_dir).where("n >= 30"))
+    return out.select("col", "best_period", F.round("best_ic", 6).alias("best_ic"), F.round("max_abs_ic", 6).alias("max_abs_ic"), "direction", "strength", "n_series")
 
 
 @query()
+def ic_significance(spark, sf_dir):
+    """Coefficients of all horizons with their p-values."""
+    return ic_of(spark, sf_dir).withColumn("p", ic.p_value(F.col("ic"), F.col("n")))
+
+
+_ROLL = """
+ten AS (SELECT *, row_number() OVER (PARTITION BY symbol, col ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol, col) AS c FROM ic_ranks WHERE horizon = 10),
+rolled AS (SELECT a.symbol, a.col, a.i, any_value(a.c) AS c, count(*) AS k, corr(b.rv, b.rf) AS r FROM ten a JOIN ten b ON a.symbol = b.symbol AND a.col = b.col AND b.i <= a.i AND b.i > a.i - greatest(30, a.c // 5) WHERE a.i % greatest(1, a.c // 20) = 0 GROUP BY a.symbol, a.col, a.i),
+stable AS (SELECT symbol, col, any_value(c) AS c, count(*) FILTER (WHERE ok) AS m, avg(r) FILTER (WHERE ok) AS mean, stddev_pop(r) FILTER (WHERE ok) AS sd, avg((r > 0)::INT) FILTER (WHERE ok) AS pos FROM (SELECT *, k >= greatest(20, greatest(30, c // 5) // 2) AND isfinite(r) AS ok FROM rolled) GROUP BY 1, 2)"""
+_TOLD = "c >= 60 AND m >= 3"
+
+
+@query(f"WITH {BARS}, {_IC3}, {_ROLL} SELECT symbol, col, CASE WHEN {_TOLD} THEN round(mean, 6) END AS ic_mean, CASE WHEN {_TOLD} THEN round(sd, 6) END AS ic_std, CASE WHEN {_TOLD} THEN CASE WHEN sd > 1e-6 THEN round(mean / sd, 6) ELSE 0 END END AS icir, CASE WHEN {_TOLD} THEN round(pos, 6) END AS positive_share FROM stable WHERE col <> 'RSI_14'")
 def ic_stability(spark, sf_dir):
-    return ic.stability(with_indicators(hourly(spark, sf_dir), ["MOM_10", "ZSCORE_20"]), ["MOM_10", "ZSCORE_20"])
+    out = ic.stability(with_indicators(hourly(spark, sf_dir), ["MOM_10", "ZSCORE_20"]), ["MOM_10", "ZSCORE_20"])
+    return rounding(out, ["symbol", "col"], ["ic_mean", "ic_std", "icir", "positive_share"], 6)
 
 
 CHOSEN = ["EMA20>EMA50", "close>EMA50", "RSI<35", "MACD_hist>0", "vol_ratio>1.5"]
@@ -650,26 +700,45 @@ def flags_of(spark, sf_dir) -> tuple[DataFrame, list[str]]:
     return named.withColumnsRenamed({f"C_{n}": s for n, s in zip(CHOSEN, safe, strict=True)}), safe
 
 
-@query()
+_FLAGS = f"{STEPS}, f0 AS (SELECT *, {ema('close', '(2.0/21)', 20)} AS e20, {ema('close', '(2.0/51)', 50)} AS e50, {_RSI14} AS rsi, volume / nullif({roll('avg', 'volume', 20)}, 0) AS vr, ({ema('close', '(2.0/13)', 12)}) - ({ema('close', '(2.0/27)', 26)}) AS line FROM first {windows(20)}), f1 AS (SELECT *, line - ({ema('line', '(2.0/10)', 9)}) AS hist FROM f0 {windows(20)}), flags AS (SELECT symbol, ts, close, coalesce(e20 > e50, false)::INT AS cond0, coalesce(close > e50, false)::INT AS cond1, coalesce(rsi < 35, false)::INT AS cond2, coalesce(hist > 0, false)::INT AS cond3, coalesce(vr > 1.5, false)::INT AS cond4 FROM f1)"
+_CONDS = [f"cond{i}" for i in range(5)]
+_PAIRS = [(a, b) for i, a in enumerate(_CONDS) for b in _CONDS[i + 1 :]]
+
+
+def cond_sql(name: str, columns: dict[str, str], least: int = 30) -> str:
+    """SQL of the mean coefficient of conditions over series, by name, of flags."""
+    rates = " UNION ALL ".join(f"SELECT symbol, '{c}' AS col, avg({x}) AS hit FROM flags GROUP BY symbol" for c, x in columns.items())
+    return f"{ic_sql('flags', columns, (10,), name=name)}, {name}_mean AS (SELECT col, avg(ic) AS ic, avg(hit) AS hit_rate, count(*) AS n_series FROM (SELECT * FROM {name} JOIN ({rates}) USING (symbol, col) WHERE n >= {least} AND ic IS NOT NULL AND hit BETWEEN 0.005 AND 0.99) GROUP BY col)"
+
+
+@query(f"WITH {BARS}, {_FLAGS}, {cond_sql('one', {c: c for c in _CONDS})} SELECT col, round(ic, 6) AS ic, round(abs(ic), 6) AS abs_ic, round(hit_rate, 6) AS hit_rate, {way('ic')} AS direction, {named_strength('ic')} AS strength, n_series FROM one_mean")
 def ic_condition(spark, sf_dir):
     df, names = flags_of(spark, sf_dir)
-    return ic.conditions(df, names)
+    out = ic.conditions(df, names)
+    return out.select("col", *(F.round(c, 6).alias(c) for c in ("ic", "abs_ic", "hit_rate")), "direction", "strength", "n_series")
 
 
-@query()
+@query(f"WITH {BARS}, {_FLAGS}, {cond_sql('one', {c: c for c in _CONDS})}, {cond_sql('two', {f'{a}&{b}': f'{a} * {b}' for a, b in _PAIRS})} SELECT a.col AS label_a, b.col AS label_b, round(t.ic, 6) AS ic, round(t.hit_rate, 6) AS hit_rate, round(abs(t.ic) / nullif(greatest(abs(a.ic), abs(b.ic)), 0), 6) AS synergy, abs(t.ic) / nullif(greatest(abs(a.ic), abs(b.ic)), 0) > 1.05 AND abs(t.ic) > 0.03 AS synergistic FROM two_mean t JOIN one_mean a ON a.col = split_part(t.col, '&', 1) JOIN one_mean b ON b.col = split_part(t.col, '&', 2) WHERE t.n_series >= 2")
 def ic_combo(spark, sf_dir):
     df, names = flags_of(spark, sf_dir)
-    return ic.combinations_of(df, names, ic.conditions(df, names))
+    out = ic.combinations_of(df, names, ic.conditions(df, names))
+    return out.select("label_a", "label_b", *(F.round(c, 6).alias(c) for c in ("ic", "hit_rate", "synergy")), "synergistic")
 
 
-@query()
+_SLOPE = f"s0 AS (SELECT t.*, {ema('close', '(2.0/51)')} AS e50, close - lag(close, 10) OVER w AS mom FROM tr t {windows(20)}), s1 AS (SELECT s.symbol, s.ts, s.close, s.mom, (e50 - lag(e50, 5) OVER o) / nullif(lag(e50, 5) OVER o, 0) * 100 AS slope, coalesce(w.atr, 0) / nullif(s.close, 0) * 100 AS natr FROM s0 s LEFT JOIN wilder w USING (symbol, rn) WINDOW o AS (PARTITION BY s.symbol ORDER BY s.ts))"
+_REG = "ends AS (SELECT symbol, quantile_cont(natr, 0.75) AS hi, quantile_cont(natr, 0.25) AS lo FROM s1 GROUP BY 1), reg AS (SELECT symbol, ts, close, mom, unnest(list_filter([CASE WHEN slope > 0.05 THEN 'bull' END, CASE WHEN slope < -0.05 THEN 'bear' END, CASE WHEN abs(slope) <= 0.05 THEN 'ranging' END, CASE WHEN natr >= hi THEN 'high_vol' END, CASE WHEN natr <= lo THEN 'low_vol' END], lambda x: x IS NOT NULL)) AS regime FROM s1 JOIN ends USING (symbol)), split AS (SELECT symbol || '/' || regime AS k, * FROM (SELECT *, count(*) OVER (PARTITION BY symbol, regime) AS m FROM reg) WHERE m >= 50)"
+
+
+@query(f"WITH {BARS_R}, {SIGNALS}, {_SLOPE}, {_REG}, {ic_sql('split', {'MOM_10': 'mom'}, (10,), 'k')} SELECT split_part(k, '/', 1) AS symbol, split_part(k, '/', 2) AS regime, col, n, CASE WHEN n >= 20 THEN round(ic, 6) END AS ic FROM ic")
 def ic_regime(spark, sf_dir):
-    return ic.by_regime(with_indicators(hourly(spark, sf_dir), ["EMA50_slope", "NATR_14", "MOM_10"]), ["MOM_10"])
+    out = ic.by_regime(with_indicators(hourly(spark, sf_dir), ["EMA50_slope", "NATR_14", "MOM_10"]), ["MOM_10"])
+    return out.select("symbol", "regime", "col", "n", F.round("ic", 6).alias("ic"))
 
 
-@query()
+@query(f"WITH {BARS_R}, {SIGNALS}, {_SLOPE}, med AS (SELECT symbol, count(*) AS n, quantile_cont(slope, 0.5) AS slope, quantile_cont(natr, 0.5) AS natr FROM s1 GROUP BY 1) SELECT symbol, CASE WHEN n < 50 THEN 'all' WHEN natr > 4 THEN 'volatile' WHEN slope > 0.05 THEN 'bull' WHEN slope < -0.05 THEN 'bear' ELSE 'ranging' END AS regime, round(slope, 6) AS slope, round(natr, 6) AS natr FROM med")
 def regime_label(spark, sf_dir):
-    return ic.regime_label(with_indicators(hourly(spark, sf_dir), ["EMA50_slope", "NATR_14"]))
+    out = ic.regime_label(with_indicators(hourly(spark, sf_dir), ["EMA50_slope", "NATR_14"]))
+    return out.select("symbol", "regime", F.round("slope", 6).alias("slope"), F.round("natr", 6).alias("natr"))
 
 
 @query()
