@@ -371,14 +371,83 @@ def context_window(spark, sf_dir):
     return shown(found.withColumns({"n_bars": F.size("context"), "sum_close": F.aggregate("context", F.lit(0.0), lambda s, x: s + x["close"])}), ["n_bars", "sum_close"])
 
 
-_BASE = f"f AS (SELECT *, {ema('close', '(2.0/21)', 20)} AS e20, {ema('close', '(2.0/51)', 50)} AS e50, {roll('avg', 'close', 20)} AS s20, {roll('stddev_pop', 'close', 20)} AS d20, volume / nullif({roll('avg', 'volume', 20)}, 0) AS vr FROM bars {windows(20)})"
+#: CTEs of the indicators that rules name, under their own names.
+_MAD20 = "CASE WHEN count(tp) OVER r20 = 20 THEN list_avg(list_transform(list(tp) OVER r20, lambda x: abs(x - avg(tp) OVER r20))) END"
+FEATURES = ", ".join([
+    level("fa", "base", {"tp": "(high + low + close) / 3", "up": "greatest(dc, 0) + 0 * dc", "down": "greatest(-dc, 0) + 0 * dc"}),
+    recursion("fb", "fa", {f"e{n}": ("x.close", f"s.e{n} + 2.0 / {n + 1} * (x.close - s.e{n})") for n in (8, 12, 20, 26, 50, 200)} | {"u14": ("NULL", mean_state("x.up", "(1.0/14)", "u14")[1]), "d14": ("NULL", mean_state("x.down", "(1.0/14)", "d14")[1])}),
+    joined("fc", "fa", ["fb"]),
+    level("fd", "fc", {**{f'"EMA_{n}"': f"CASE WHEN rn >= {n - 1} THEN e{n} END" for n in (8, 20, 50, 200)}, '"MACD"': "CASE WHEN rn >= 25 THEN e12 - e26 END", '"RSI_14"': "CASE WHEN rn >= 14 THEN CASE WHEN d14 = 0 THEN 100 ELSE 100 - 100 / (1 + u14 / d14) END END", "tp1": "lag(tp) OVER w"}, (2,)),
+    level("fe", "fd", {"mp": "CASE WHEN tp > tp1 THEN tp * volume ELSE 0 END", "mn": "CASE WHEN tp < tp1 THEN tp * volume ELSE 0 END", "cv": "coalesce((2 * close - low - high) / nullif(high - low, 0), 0) * volume", "srk": f'("RSI_14" - {roll("min", chr(34) + "RSI_14" + chr(34), 14)}) / nullif({roll("max", chr(34) + "RSI_14" + chr(34), 14)} - {roll("min", chr(34) + "RSI_14" + chr(34), 14)}, 0)'}, (14,)),
+    recursion("ff", "fe", {"sig": ("NULL", mean_state('x."MACD"', "(2.0/10)", "sig")[1])}), joined("fg", "fe", ["ff"]),
+    _ADX, level("held", "base", {"mid": "(high + low) / 2"}), supertrend_sql("st10_3", "held", 10, 3), _PSAR,
+    level("fh", "fg", {
+        '"MACD_signal"': "CASE WHEN rn >= 33 THEN sig END", '"MACD_hist"': 'CASE WHEN rn >= 33 THEN "MACD" - sig END', '"STOCHRSI_K"': roll("avg", "srk", 3), '"STOCH_K"': f"(close - {roll('min', 'low', 14)}) / nullif({_K}, 0) * 100", '"WILLR_14"': f"-100 * ({roll('max', 'high', 14)} - close) / nullif({_K}, 0)",
+        '"CCI_20"': f"(tp - {roll('avg', 'tp', 20)}) / nullif(0.015 * ({_MAD20}), 0)", '"MFI_14"': f"100 - 100 / (1 + {roll('sum', 'mp', 14)} / nullif({roll('sum', 'mn', 14)}, 0))", '"CMF_20"': f"{roll('sum', 'cv', 20)} / nullif({roll('sum', 'volume', 20)}, 0)", '"volume_ratio"': f"volume / nullif({roll('avg', 'volume', 20)}, 0)",
+        '"BB_lower_20"': f"{roll('avg', 'close', 20)} - 2 * {roll('stddev_pop', 'close', 20)}", '"BB_upper_20"': f"{roll('avg', 'close', 20)} + 2 * {roll('stddev_pop', 'close', 20)}", '"KC_lower"': roll("avg", "(-2 * high + 4 * low + close) / 3", 20),
+        '"ICH_above_cloud"': "coalesce(close > (" + _M[9] + " + " + _M[26] + ") / 2 AND close > " + _M[52] + ", false)::INT", '"CDL_HAMMER"': "CASE WHEN close > open AND least(open, close) - low > 2 * abs(close - open) AND high - greatest(open, close) < .5 * abs(close - open) THEN 100 ELSE 0 END", '"CDL_INV_HAMMER"': "CASE WHEN close > open AND high - greatest(open, close) > 2 * abs(close - open) AND least(open, close) - low < .5 * abs(close - open) THEN 100 ELSE 0 END",
+    }, (3, 9, 14, 20, 26, 52)),
+    'features AS MATERIALIZED (SELECT h.*, d.x14 AS "ADX_14", CASE WHEN h.rn = 0 THEN 0 WHEN st10_3.up = 1 THEN 1 ELSE -1 END AS "SUPERT_dir", CASE WHEN h.close > psar.v THEN 1 ELSE -1 END AS "PSAR_dir" FROM fh h JOIN directed d USING (symbol, rn) JOIN st10_3 ON st10_3.symbol = h.symbol AND st10_3.rn = h.rn JOIN psar ON psar.symbol = h.symbol AND psar.rn = h.rn)',
+])
+FEATURE_NAMES = "close EMA_8 EMA_20 EMA_50 EMA_200 MACD MACD_signal MACD_hist RSI_14 STOCHRSI_K STOCH_K WILLR_14 CCI_20 MFI_14 CMF_20 volume_ratio BB_lower_20 BB_upper_20 KC_lower ICH_above_cloud CDL_HAMMER CDL_INV_HAMMER ADX_14 SUPERT_dir PSAR_dir".split()
+
+
+def rule_sql(rule: tuple, missing: bool) -> str:
+    """SQL of a rule over the features; unknown is false, a column that isn't there is `missing`."""
+    if not rule:
+        return "true"
+    a, op, b = rule
+    if a not in FEATURE_NAMES or isinstance(b, str) and b not in FEATURE_NAMES:
+        return str(missing).lower()
+    x, y = f'"{a}"', f'"{b}"' if isinstance(b, str) else str(b)
+    x1, y1 = f"lag({x}) OVER w", f"lag({y}) OVER w" if isinstance(b, str) else y
+    told = {"up": f"{x1} <= {y1} AND {x} > {y}", "down": f"{x1} >= {y1} AND {x} < {y}", "flip": f"{x} = {y} AND {x1} = -({y})", "any>": f"{x} > 0 OR {y} > 0", "==": f"{x} = {y}"}.get(op, f"{x} {op} {y}")
+    return f"coalesce({told}, false)"
+
+
+_FEATURED = indicator_sql({"x": "1"}, "features", FEATURES).partition(" SELECT symbol, strftime")[0]
 
 
-@query(f"WITH {BARS}, {_BASE} SELECT symbol, {TS}, coalesce(e20 > e50, false)::INT AS c1, coalesce(close > e50, false)::INT AS c2, coalesce(close < s20 - 2 * d20, false)::INT AS c3, coalesce(vr > 1.5, false)::INT AS c4 FROM f")
-def condition_flags(spark, sf_dir):
-    e = with_indicators(hourly(spark, sf_dir), ["EMA_20", "EMA_50", "BB_lower_20", "volume_ratio"])
-    out = rules.named_conditions(e, ["EMA20>EMA50", "close>EMA50", "close<BB_lower", "vol_ratio>1.5"])
-    return shown(out, [F.col(f"`C_{n}`").alias(f"c{i + 1}") for i, n in enumerate(["EMA20>EMA50", "close>EMA50", "close<BB_lower", "vol_ratio>1.5"])])
+def flag_query(name: str, columns: dict[str, tuple[tuple, bool]]) -> None:
+    """A query of rules over the features, a 0/1 column each."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = with_indicators(hourly(spark, sf_dir), [n for n in FEATURE_NAMES if n != "close"])
+        return shown(e, [rules.condition(rule, e.columns, missing).cast("int").alias(n) for n, (rule, missing) in columns.items()])
+
+    run.__name__ = name
+    body = ", ".join(f"({rule_sql(rule, missing)})::INT AS {n}" for n, (rule, missing) in columns.items())
+    query(f"{_FEATURED} SELECT symbol, {TS}, {body} FROM features WINDOW w AS (PARTITION BY symbol ORDER BY ts)")(run)
+
+
+flag_query("condition_flags", {f"c{i:02d}": (r, False) for i, r in enumerate(rules.CONDITIONS.values())})
+flag_query("cross_flags", {f"x{i:02d}": ((a, "up", b), False) for i, (a, b) in enumerate(rules.CROSSES)})
+flag_query("slot_options", {f"{s}_{o}": (r, rules.MISSING[s]) for s, options in rules.SLOTS.items() if s != "context" for o, r in options.items()})
+
+
+def strategies_sql() -> str:
+    """SQL of the default strategy, the template and one of slots."""
+    slots = " AND ".join(rule_sql(rules.SLOTS[s][o], rules.MISSING[s]) for s, o in (("trend", "supertrend_bull"), ("setup", "adx_gt_20"), ("trigger", "macd_cross_signal")))
+    cross = 'coalesce("EMA_20" > "EMA_50", false)'
+    turned = f"({cross})::INT - coalesce(lag(({cross})::INT) OVER w, ({cross})::INT) = -1"
+    return f"""{_FEATURED} SELECT symbol, {TS}, coalesce("EMA_20" > "EMA_50" AND "RSI_14" > 40 AND "RSI_14" < 70 AND "MACD_hist" > 0 AND "ADX_14" > 20, false)::INT AS default_in, (coalesce("RSI_14" > 75, false) OR {turned})::INT AS default_out,
+      coalesce("RSI_14" < 35 AND close > "EMA_50" AND "MACD_hist" > 0 AND "ADX_14" > 20, false)::INT AS template_in, (coalesce("RSI_14" > 70, false) OR {turned})::INT AS template_out, ({slots})::INT AS slot_in, ({rule_sql(rules.SLOTS['exit']['stoch_gt_80'], False)})::INT AS slot_out,
+      (coalesce("RSI_14" < 60, false) AND (coalesce(close > "EMA_20", false) OR coalesce("MACD_hist" > 0, false)) AND coalesce("ADX_14" >= 15, false))::INT AS threshold_in, (coalesce("RSI_14" > 65, false) OR {turned})::INT AS threshold_out FROM features WINDOW w AS (PARTITION BY symbol ORDER BY ts)"""
+
+
+@query(strategies_sql())
+def strategy_signals(spark, sf_dir):
+    """Signals of the default strategy, the template, a choice of slots, and an expression with thresholds."""
+    e = with_indicators(hourly(spark, sf_dir), [n for n in FEATURE_NAMES if n != "close"] + ["ema_20_50_cross"])
+    chosen = {"trend": "supertrend_bull", "setup": "adx_gt_20", "trigger": "macd_cross_signal", "context": "none", "exit": "stoch_gt_80"}
+    made = {"default": rules.default_signals, "template": rules.template_signals, "slot": lambda d: rules.slot_signals(d, chosen), "threshold": lambda d: rules.threshold_signals(d, "RSI_14 < 60 and (close > EMA_20 or MACD_hist > 0)", [("ADX_14", ">=", 15)], 14, 65)}
+    out = e
+    for name, strategy in made.items():
+        out = strategy(out).withColumnsRenamed({"entry_signal": f"{name}_in", "exit_signal": f"{name}_out"})
+    return shown(out, [f"{n}_{w}" for n in made for w in ("in", "out")])
+
+
+_BASE = f"f AS (SELECT *, {ema('close', '(2.0/21)', 20)} AS e20, {ema('close', '(2.0/51)', 50)} AS e50, {roll('avg', 'close', 20)} AS s20, {roll('stddev_pop', 'close', 20)} AS d20, volume / nullif({roll('avg', 'volume', 20)}, 0) AS vr FROM bars {windows(20)})"
 
 
 @query(f"WITH {BARS}, {_BASE}, g AS (SELECT *, coalesce(lag(close) OVER w <= lag(e20) OVER w AND close > e20, false)::INT AS up, coalesce(lag(close) OVER w >= lag(e20) OVER w AND close < e20, false)::INT AS down FROM f WINDOW w AS (PARTITION BY symbol ORDER BY ts)) SELECT symbol, {TS}, up, down FROM g")
@@ -812,9 +881,20 @@ def winner_snapshot_stats(spark, sf_dir):
     return entries.snapshot_stats(winners_of(spark, sf_dir))
 
 
-@query(f"WITH {BARS}, {_ENT}, t AS (SELECT count(*) AS n, count(*) FILTER (WHERE vr > 1.5) AS v FROM p WHERE pnl > 0) SELECT 'Volume > 1.5x' AS condition, v AS n, round(v / n, 6) AS frequency FROM t")
+_WON = f"""{_FEATURED}, won AS (SELECT f.* FROM (SELECT *, {roll('avg', 'close', 20)} AS s20, lead(close, 10) OVER w AS later, (close - "BB_lower_20") / nullif("BB_upper_20" - "BB_lower_20", 0) AS pct FROM features {windows(20)}) f
+  JOIN (SELECT symbol, ts, lag(close) OVER w AS c0, lag(s) OVER w AS s0, s FROM (SELECT symbol, ts, close, {roll('avg', 'close', 20)} AS s FROM bars {windows(20)}) WINDOW w AS (PARTITION BY symbol ORDER BY ts)) g USING (symbol, ts)
+  WHERE g.c0 <= g.s0 AND f.close > g.s AND later IS NOT NULL AND (later * 0.999 / nullif(close * 1.001, 0) - 1) * 100 - 0.2 > 0)"""
+_FREQ = {"RSI < 30": 'coalesce("RSI_14", 50) < 30', "RSI 30-50": 'coalesce("RSI_14", 50) >= 30 AND coalesce("RSI_14", 50) < 50', "RSI 50-70": 'coalesce("RSI_14", 50) >= 50 AND coalesce("RSI_14", 50) < 70', "ADX > 25": '"ADX_14" > 25', "MACD hist > 0": '"MACD_hist" > 0', "BB% < 0.2": "coalesce(pct, 0.5) < 0.2", "Volume > 1.5x": '"volume_ratio" > 1.5', "Price > EMA50": "false"}
+
+
+@query(f"{_WON}, t AS (SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE {x}) AS n{i}" for i, x in enumerate(_FREQ.values())) + " FROM won) " + " UNION ALL ".join(f"SELECT '{n}' AS condition, n{i} AS n, round(n{i} / total, 6) AS frequency FROM t" for i, n in enumerate(_FREQ)))
 def condition_frequency(spark, sf_dir):
-    return entries.condition_frequency(winners_of(spark, sf_dir)).where("condition = 'Volume > 1.5x'").select("condition", "n", F.round("frequency", 6).alias("frequency"))
+    """How often each condition held when a winner was entered."""
+    columns = [c for c in dict.fromkeys(c for c, _ in entries.WINNER_CONDITIONS.values()) if c != "EMA_50"]
+    e = with_indicators(hourly(spark, sf_dir), ["SMA_20", "EMA_50", *columns])
+    own = e.withColumns({"entry_signal": rules.condition(("close", "up", "SMA_20"), e.columns, False).cast("int")})
+    winners = asof.outcomes(own, hold=10, fee=0.001, slippage=0.001).where("is_winner")
+    return entries.condition_frequency(entries.snapshots(winners, columns)).select("condition", "n", F.round("frequency", 6).alias("frequency"))
 
 
 @query(f"WITH {BARS}, {_ENT} SELECT a, b, round_even(c, 3) AS correlation FROM (SELECT unnest([{{'a': 'MOM_10', 'b': 'ZSCORE_20', 'c': corr(mom, z)}}, {{'a': 'ZSCORE_20', 'b': 'MOM_10', 'c': corr(mom, z)}}, {{'a': 'MOM_10', 'b': 'MOM_10', 'c': 1.0}}, {{'a': 'ZSCORE_20', 'b': 'ZSCORE_20', 'c': 1.0}}], recursive := true) FROM p)")
@@ -843,7 +923,9 @@ def data_extent(spark, sf_dir):
     return source.extent(hourly(spark, sf_dir)).select("symbol", "candle_count", at("data_start"), at("data_end"))
 
 
-@query(f"WITH {BARS}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM bars) SELECT symbol, {TS}, round(close, 6) AS close FROM r WHERE k <= 100")
+@query(f"{_FEATURED}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM features) SELECT symbol, {TS}, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume, round(\"EMA_20\", 6) AS \"EMA_20\", round(\"RSI_14\", 6) AS \"RSI_14\", CASE WHEN \"CDL_HAMMER\" > 0 THEN round(low * 0.9985 + {NUDGE}, 6) END AS \"CDL_HAMMER_marker\" FROM r WHERE k <= 500")
 def chart_tail(spark, sf_dir):
-    """The last 100 bars of each series, which is what a chart shows."""
-    return shown(universe.tail(hourly(spark, sf_dir), 100), ["close"])
+    """What a chart shows: the last 500 bars of each series, overlays and a pattern's markers."""
+    e = with_indicators(hourly(spark, sf_dir), ["EMA_20", "RSI_14", "CDL_HAMMER"])
+    out = universe.chart(e, ["EMA_20", "RSI_14"], ["CDL_HAMMER"])
+    return shown(out, ["open", "high", "low", "close", "volume", "EMA_20", "RSI_14", F.round(F.col("CDL_HAMMER_marker") + NUDGE, 6).alias("CDL_HAMMER_marker")])
