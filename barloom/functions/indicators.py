@@ -77,6 +77,11 @@ def true_range() -> Column:
     return F.greatest(c(H) - c(L), F.abs(c(H) - lag(C)), F.abs(c(L) - lag(C)))
 
 
+def positive(x: Column) -> Column:
+    """What is above 0; NULL stays NULL, which `greatest` alone would pass over."""
+    return F.when(x.isNotNull(), F.greatest(x, F.lit(0.0)))
+
+
 # --- trend
 for _n in (8, 13, 20, 21, 50, 100, 200):
     put("trend", **{f"SMA_{_n}": lambda n=_n: sma(C, n), f"WMA_{_n}": lambda n=_n: wma(C, n)})
@@ -85,7 +90,7 @@ for _n in (8, 13, 20, 21, 50, 100, 200):
 for _n, _h, _r in ((9, 4, 3), (20, 10, 4), (50, 25, 7)):
     put("trend", f"_HMA_{_n}", **{f"HMA_{_n}": lambda n=_n, r=_r: wma(f"_HMA_{n}", r)})
     put("", **{f"_HMA_{_n}": lambda n=_n, h=_h: 2 * wma(C, h) - wma(C, n)})
-put("", _TP=typical, _TR=true_range, _MID=lambda: (c(H) + c(L)) / 2, _RET=lambda: pct_change(C), _LOGRET=lambda: F.ln(ratio(C, lag(C))), _UP=lambda: F.greatest(diff(C), F.lit(0.0)), _DOWN=lambda: F.greatest(-diff(C), F.lit(0.0)), _ABSDIFF=lambda: F.abs(diff(C)))
+put("", _TP=typical, _TR=true_range, _MID=lambda: (c(H) + c(L)) / 2, _RET=lambda: pct_change(C), _LOGRET=lambda: F.ln(ratio(C, lag(C))), _UP=lambda: positive(diff(C)), _DOWN=lambda: positive(-diff(C)), _ABSDIFF=lambda: F.abs(diff(C)))
 put("trend", "_TP", CCI_20=lambda: ratio(c("_TP") - sma("_TP", 20), 0.015 * mean_deviation("_TP", 20)))
 put("", _VM_pos=lambda: F.abs(c(H) - lag(L)), _VM_neg=lambda: F.abs(c(L) - lag(H)))
 put("trend", "_VM_pos _VM_neg _TR", VI_pos=lambda: ratio(total("_VM_pos", 14), total("_TR", 14)), VI_neg=lambda: ratio(total("_VM_neg", 14), total("_TR", 14)))
@@ -232,7 +237,7 @@ put("trend", "_ABSDIFF", VHF_28=lambda: ratio(highest(C, 28) - lowest(C, 28), to
 put("momentum", CG_10=lambda: -ratio(weighted(C, list(range(10, 0, -1))), total(C, 10)))
 put("", _DD=lambda: F.pow(ratio(c(C) - highest(C, 14), highest(C, 14)) * 100, F.lit(2.0)))
 put("volatility", "_DD", UI_14=lambda: F.sqrt(sma("_DD", 14)))
-put("", _ACCU=lambda: c(H) * (1 + 4 * ratio(c(H) - c(L), c(H) + c(L))), _ACCL=lambda: c(L) * (1 - 4 * ratio(c(H) - c(L), c(H) + c(L))), _UPBAR=lambda: flag(diff(C) > 0), _HO=lambda: F.greatest(c(H) - c(O), F.lit(0.0)), _OL=lambda: F.greatest(c(O) - c(L), F.lit(0.0)), _HC=lambda: F.greatest(c(H) - lag(C), F.lit(0.0)), _CL=lambda: F.greatest(lag(C) - c(L), F.lit(0.0)))
+put("", _ACCU=lambda: c(H) * (1 + 4 * ratio(c(H) - c(L), c(H) + c(L))), _ACCL=lambda: c(L) * (1 - 4 * ratio(c(H) - c(L), c(H) + c(L))), _UPBAR=lambda: flag(diff(C) > 0), _HO=lambda: F.greatest(c(H) - c(O), F.lit(0.0)), _OL=lambda: F.greatest(c(O) - c(L), F.lit(0.0)), _HC=lambda: positive(c(H) - lag(C)), _CL=lambda: positive(lag(C) - c(L)))
 put("volatility", "_ACCU _ACCL", ACCB_UPPER=lambda: sma("_ACCU", 20), ACCB_MID=lambda: sma(C, 20), ACCB_LOWER=lambda: sma("_ACCL", 20))
 put("momentum", "_UPBAR", PSL_12=lambda: sma("_UPBAR", 12) * 100, TREND_STR_14=lambda: sma("_UPBAR", 14) * 100)
 put("momentum", "_HO _OL _HC _CL", AR_14=lambda: ratio(total("_HO", 14), total("_OL", 14)) * 100, BR_14=lambda: ratio(total("_HC", 14), total("_CL", 14)) * 100)

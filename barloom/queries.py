@@ -315,7 +315,73 @@ _BELLS = {n: sum(math.exp(-((i - 0.85 * (n - 1)) ** 2) / (2 * (n / 6.0) ** 2)) f
 _FIB = "[55, 34, 21, 13, 8, 5, 3, 2, 1, 1][i + 1] / 143.0"
 _BINOMIAL = "[1, 9, 36, 84, 126, 126, 84, 36, 9, 1][i + 1] / 512.0"
 indicators("adaptive_averages", ["VIDYA_14", "HWMA", "ALMA_9", "ALMA_21", "FWMA_10", "PWMA_10", "SWMA", "LIN_DECAY_5"], indicator_sql({"VIDYA_14": "vid", "HWMA": "hw", "ALMA_9": weights_sql(9, f"{_BELL[9]} / {_BELLS[9]!r}"), "ALMA_21": weights_sql(21, f"{_BELL[21]} / {_BELLS[21]!r}"), "FWMA_10": weights_sql(10, _FIB), "PWMA_10": weights_sql(10, _BINOMIAL), "SWMA": weights_sql(4, "[1, 2, 2, 1][i + 1] / 6.0"), "LIN_DECAY_5": "CASE WHEN count(close) OVER r5 = 5 THEN 0.4 * close END"}, "ad2", _AD, (4, 5, 9, 10, 21), nudge=NUDGE), nudge=NUDGE)
-indicators("mcginley", ["MCGD_14"])
+_PART = "(14 * pow(x.close / nullif(s.v, 0), 4))"
+_NEXT = f"CASE WHEN {_PART} > 1e-300 THEN s.v + (x.close - s.v) / {_PART} WHEN {_PART} = 0 THEN s.v END"
+in_logs("mcginley", ["MCGD_14"], {"MCGD_14": "v"}, "mg", ", ".join([recursion("mcg", "base", {"v": ("x.close", f"CASE WHEN abs({_NEXT}) < 1e150 THEN {_NEXT} ELSE x.close END")}), joined("mg", "base", ["mcg"])]))
+
+
+def ready(x: str, rows: int) -> str:
+    return f"CASE WHEN rn >= {rows} THEN {x} END"
+
+
+_GMMA = (3, 5, 8, 10, 12, 15, 30, 35, 40, 45, 50, 60)
+_SPANS = sorted({*_GMMA, 6, 12, 13, 14, 20, 21, 26, 100, 200, 8})
+_R1 = ", ".join([
+    level("ra", "base", {"mid": "(high + low) / 2", "size": "high - low", "up": "greatest(dc, 0) + 0 * dc", "down": "greatest(-dc, 0) + 0 * dc", "obvs": "CASE WHEN close < c1 THEN -volume ELSE volume END", "fi": "dc * volume"}),
+    level("rb", "ra", {"obv": "sum(obvs) OVER w"}, (2,)),
+    recursion("rc", "rb", {f"e{n}": ("x.close", f"s.e{n} + {2 / (n + 1)!r} * (x.close - s.e{n})") for n in _SPANS} | {f"j{n}": ("x.mid", f"s.j{n} + {1 / n!r} * (x.mid - s.j{n})") for n in (13, 8, 5)} | {f"v{n}": ("x.volume", f"s.v{n} + {2 / (n + 1)!r} * (x.volume - s.v{n})") for n in (5, 10, 12, 26)}
+              | {"t1": ("x.close", "s.t1 + 0.125 * (x.close - s.t1)"), "m1": ("x.size", "s.m1 + 0.2 * (x.size - s.m1)"), "o12": ("x.obv", f"s.o12 + {2 / 13!r} * (x.obv - s.o12)")} | {k: ("NULL", mean_state(x, a, k)[1]) for k, x, a in (("f13", "x.fi", "(2.0/14)"), ("u14", "x.up", "(1.0/14)"), ("d14", "x.down", "(1.0/14)"), ("u21", "x.up", "(1.0/21)"), ("d21", "x.down", "(1.0/21)"), ("s5", "x.dc", "(2.0/6)"), ("b5", "abs(x.dc)", "(2.0/6)"))}),
+    joined("rd", "rb", ["rc"]),
+    level("re", "rd", {"rsi": ready("CASE WHEN d14 = 0 THEN 100 ELSE 100 - 100 / (1 + u14 / d14) END", 14), "open_rsi": "100 - 100 / (1 + u14 / nullif(d14, 0))", "t1r": ready("t1", 14), "m1r": ready("m1", 8), "ppo": ready("(e12 - e26) / nullif(e26, 0) * 100", 25), "pvo": "(v12 - v26) / nullif(v26, 0) * 100"}),
+    level("rf", "re", {"srk": f"(rsi - {roll('min', 'rsi', 14)}) / nullif({roll('max', 'rsi', 14)} - {roll('min', 'rsi', 14)}, 0)"}, (14,)), level("rg", "rf", {"k": roll("avg", "srk", 3)}, (3,)),
+    recursion("rh", "rg", {k: ("NULL", mean_state(x, a, k)[1]) for k, x, a in (("t2", "x.t1r", "0.125"), ("m2", "x.m1r", "0.2"), ("ps", "x.ppo", "0.2"), ("s20", "x.s5", "(2.0/21)"), ("b20", "x.b5", "(2.0/21)"))} | {"pvs": ("x.pvo", "s.pvs + 0.2 * (x.pvo - s.pvs)")} | gap_state("x.open_rsi", 1 / 3, "qq") | gap_state("x.open_rsi", 0.25, "rsx")),
+    joined("ri", "rg", ["rh"]), level("rj", "ri", {"t2r": ready("t2", 28), "mass": "m1r / nullif(CASE WHEN rn >= 16 THEN m2 END, 0)", "smi": "100 * s20 / nullif(b20, 0)", "qd": "abs(qq - lag(qq) OVER w)"}, (2,)),
+    recursion("rk", "rj", {"t3": ("NULL", mean_state("x.t2r", "0.125", "t3")[1])} | gap_state("x.smi", 1 / 3, "sms") | gap_state("x.qd", 1 / 3, "qh")),
+    joined("rl", "rj", ["rk"]), level("rm", "rl", {"t3r": ready("t3", 42)}), level("rn_", "rm", {"t0": "coalesce(lag(t3r) OVER w, avg(t3r) OVER (PARTITION BY symbol))"}, (2,)),
+])
+_RSUITE = {"EMA_13": ready("e13", 12), "EMA_21": ready("e21", 20), "EMA_100": ready("e100", 99), "PPO": "ppo", "PPO_signal": ready("ps", 33), "PPO_hist": ready("ppo - ps", 33), "RSI_21": ready("CASE WHEN d21 = 0 THEN 100 ELSE 100 - 100 / (1 + u21 / d21) END", 21), "STOCHRSI_D": roll("avg", "k", 3), "STOCHRSI_K_smooth": roll("avg", "k", 3), "TRIX_15": "(t3r - t0) / nullif(t0, 0) * 100", "MASS_INDEX": roll("sum", "mass", 25), "OBV_EMA_12": "o12", "FI_13": ready("f13", 13), "EMA50_slope": "(e50 - lag(e50, 5) OVER w) / nullif(lag(e50, 5) OVER w, 0) * 100", "ALLIGATOR_JAW": "j13", "ALLIGATOR_TEETH": "j8", "ALLIGATOR_LIPS": "j5", "ALLIGATOR_BULL": "(j5 > j8 AND j8 > j13)::INT", "ALLIGATOR_BEAR": "(j5 < j8 AND j8 < j13)::INT", **{f"GMMA_{'S' if n <= 15 else 'L'}{n}": f"e{n}" for n in _GMMA}, "GMMA_BULL": "(e3 > e60)::INT", **{f"BIAS_{n}": f"(close / nullif(e{n}, 0) - 1) * 100" for n in (6, 14, 26)}, "PVO": "pvo", "PVO_signal": "pvs", "BEAR_POWER_13": "low - e13", "QQE_LINE": "qq", "QQE_HIST": "4.236 * qh", "SMI": "smi", "SMI_signal": "sms", "RSX_14": "rsx", "VOL_OSC": "(v5 - v10) / nullif(v10, 0) * 100", "AMAT_fast": "(e8 > e21)::INT", "OBV_trend": "CASE WHEN obv > o12 THEN 1 ELSE -1 END", **{f"close_vs_EMA_{n}": ready(f"(close / nullif(e{n}, 0) - 1) * 100", n - 1) for n in (20, 50, 200)}}
+indicators("recursive_suite", list(_RSUITE), indicator_sql(_RSUITE, "rn_", _R1, (3, 25), nudge=NUDGE), nudge=NUDGE)
+
+
+def regression(x: str, n: int, what: str) -> str:
+    return f"CASE WHEN count({x}) OVER r{n} = {n} THEN regr_{what}({x}, rn) OVER r{n} END"
+
+
+def at_end(x: str, n: int) -> str:
+    return f"({regression(x, n, 'intercept')} + {regression(x, n, 'slope')} * rn)"
+
+
+def rank_share(x: str, n: int) -> str:
+    return f"CASE WHEN count({x}) OVER r{n} = {n} THEN (len(list_filter(list({x}) OVER r{n}, lambda v: v < {x})) + (len(list_filter(list({x}) OVER r{n}, lambda v: v = {x})) + 1) / 2) / {n} END"
+
+
+def finite_corr(x: str, y: str, n: int) -> str:
+    return f"CASE WHEN count({x} + {y}) OVER r{n} = {n} AND stddev_pop({x}) OVER r{n} > 0 AND stddev_pop({y}) OVER r{n} > 0 THEN corr({x}, {y}) OVER r{n} END"
+
+
+_ROCS = {n: f"(close / nullif(lag(close, {n}) OVER w, 0) - 1) * 100" for n in (5, 10, 11, 14, 15, 20, 30)}
+_W1 = ", ".join([
+    level("wa", "base", {"mid": "(high + low) / 2", "tp": "(high + low + close) / 3", "up": "greatest(dc, 0) + 0 * dc", "down": "greatest(-dc, 0) + 0 * dc", "lr": "ln(nullif(close, 0) / nullif(c1, 0))", "ret": "close / nullif(c1, 0) - 1", **{f"roc{n}": x for n, x in _ROCS.items()}, "bp": "close - least(low, c1)", "ut": "CASE WHEN c1 IS NOT NULL THEN greatest(high, c1) - least(low, c1) END", "obvs": "CASE WHEN close < c1 THEN -volume ELSE volume END", "co": "close - open", "hl": "high - low", "ho": "greatest(high - open, 0)", "ol": "greatest(open - low, 0)", "hc": "greatest(high - c1, 0) + 0 * c1", "cl": "greatest(c1 - low, 0) + 0 * c1", "rising": "coalesce(dc > 0, false)::INT", "accu": "high * (1 + 4 * (high - low) / nullif(high + low, 0))", "accl": "low * (1 - 4 * (high - low) / nullif(high + low, 0))", "dd": f"pow((close - {roll('max', 'close', 14)}) / nullif({roll('max', 'close', 14)}, 0) * 100, 2)", "k2": "lag(close, 2) OVER w"}, (2, 14)),
+    level("wb", "wa", {"obv": "sum(obvs) OVER w", "retm": roll("avg", "ret", 5), "kst": f"{roll('avg', 'roc10', 10)} + 2 * {roll('avg', 'roc15', 10)} + 3 * {roll('avg', 'roc20', 10)} + 4 * {roll('avg', 'roc30', 15)}", "fish": f"greatest(-0.999, least(0.999, 2 * (mid - {roll('min', 'low', 9)}) / nullif({roll('max', 'high', 9)} - {roll('min', 'low', 9)}, 0) - 1)) + 0 * ({roll('max', 'high', 9)}) + 0 / nullif({roll('max', 'high', 9)} - {roll('min', 'low', 9)}, 0)", "inr": f"{roll('sum', 'up', 20)} / nullif({roll('sum', 'up', 20)} + {roll('sum', 'down', 20)}, 0)", "c3": "(close + c1 + k2) / 3", "rvg": f"{roll('avg', 'co', 4)} / nullif({roll('avg', 'hl', 4)}, 0)", "cop": "roc14 + roc11", "vr": f"volume / nullif({roll('avg', 'volume', 20)}, 0)", "vw": f"{roll('sum', 'tp * volume', 14)} / nullif({roll('sum', 'volume', 14)}, 0)", "m14": roll("avg", "close", 14), "s14": roll("stddev_pop", "close", 14), "m20": roll("avg", "close", 20), "s20": roll("stddev_pop", "close", 20), "kcu": roll("avg", "(4 * high - 2 * low + close) / 3", 20), "kcl": roll("avg", "(-2 * high + 4 * low + close) / 3", 20), "sh": roll("avg", "high", 13), "sl": roll("avg", "low", 21)}, (4, 5, 9, 10, 13, 14, 15, 20, 21)),
+])
+_WSUITE = {
+    "DPO_20": f"lag(close, 11) OVER w - {roll('avg', 'close', 20)}", "KST": "kst", "KST_signal": roll("avg", "kst", 9), "ROC_5": "roc5", "ROC_14": "roc14", "ROC_30": "roc30", "AO": f"{roll('avg', 'mid', 5)} - {roll('avg', 'mid', 34)}",
+    "UO": f"100 * (4 * ({roll('sum', 'bp', 7)} / nullif({roll('sum', 'ut', 7)}, 0)) + 2 * ({roll('sum', 'bp', 14)} / nullif({roll('sum', 'ut', 14)}, 0)) + {roll('sum', 'bp', 28)} / nullif({roll('sum', 'ut', 28)}, 0)) / 7", "CMO_14": f"({roll('sum', 'up', 14)} - {roll('sum', 'down', 14)}) / nullif({roll('sum', 'up', 14)} + {roll('sum', 'down', 14)}, 0) * 100", "FISHER": "last_value(0.5 * ln((1 + fish) / (1 - fish)) IGNORE NULLS) OVER w",
+    "BB_upper_14": "m14 + 2 * s14", "BB_mid_14": "m14", "BB_lower_14": "m14 - 2 * s14", "BB_width_14": "4 * s14 / nullif(m14, 0) * 100", "BB_pct_14": "(close - m14 + 2 * s14) / nullif(4 * s14, 0)", "BB_SQUEEZE": "coalesce(m20 + 2 * s20 < kcu AND m20 - 2 * s20 > kcl, false)::INT", **{f"HV_{n}": f"{roll('stddev_samp', 'lr', n)} * sqrt(8760)" for n in (10, 20, 30, 60)},
+    "DC_WIDTH": f"({roll('max', 'high', 20)} - {roll('min', 'low', 20)}) / nullif(close, 0) * 100", "KC_WIDTH": "(kcu - kcl) / nullif(close, 0) * 100", "volume_spike": "coalesce(vr > 2, false)::INT", "NET_VOL": "volume * sign(close - open)", "OBV_ZSCORE": f"(obv - {roll('avg', 'obv', 20)}) / nullif({roll('stddev_samp', 'obv', 20)}, 0)", "CLOSE_VS_VWAP": "(close / nullif(vw, 0) - 1) * 100",
+    "candle_body": "abs(co)", "candle_range": "hl", "upper_wick": "high - greatest(open, close)", "lower_wick": "least(open, close) - low", "close_pct_change": "ret * 100", "body_pct": "abs(co) / nullif(hl, 0)", "upper_wick_pct": "(high - greatest(open, close)) / nullif(hl, 0)", "lower_wick_pct": "(least(open, close) - low) / nullif(hl, 0)",
+    "TYPPRICE": "tp", "MEDPRICE": "mid", "WCLPRICE": "(high + low + 2 * close) / 4", "AVGPRICE": "(open + high + low + close) / 4", "TRANGE": "tr", "BOP": "co / nullif(hl, 0)", "FRACTAL_BEAR": "coalesce(high > h1 AND high > h2 AND high > lead(high) OVER w AND high > lead(high, 2) OVER w, false)::INT", "FRACTAL_BULL": "coalesce(low < l1 AND low < l2 AND low < lead(low) OVER w AND low < lead(low, 2) OVER w, false)::INT",
+    "MOM_20": "close - lag(close, 20) OVER w", "ROCP_10": "roc10 / 100", "ROCR_10": "1 + roc10 / 100", "ROCR100_10": "100 + roc10", "MAX_14": roll("max", "close", 14), "MIN_14": roll("min", "close", 14), "SUM_14": roll("sum", "close", 14), "BETA_5": finite_corr("ret", "retm", 5),
+    **{k: v for n in (10, 50) for k, v in {f"STDDEV_{n}": roll("stddev_samp", "close", n), f"VAR_{n}": roll("var_samp", "close", n), f"ZSCORE_{n}": f"(close - {roll('avg', 'close', n)}) / nullif({roll('stddev_samp', 'close', n)}, 0)", f"PCT_RANK_{n}": rank_share("close", n)}.items()}, "AUTOCORR_1": finite_corr("close", "c1", 20), "AUTOCORR_2": finite_corr("close", "k2", 20),
+    "LINREG_INTERCEPT_14": f"{regression('close', 14, 'intercept')} + {regression('close', 14, 'slope')} * (rn - 13)", "LINREG_ANGLE_14": f"degrees(atan({regression('close', 14, 'slope')}))", "LINREG_SLOPE_5": regression("close", 5, "slope"), "CFO_9": f"(close - {at_end('close', 9)}) / nullif(close, 0) * 100", "RVGI_14": roll("avg", "rvg", 14),
+    "CG_10": f"-({weights_sql(10, '10 - i')}) / nullif({roll('sum', 'close', 10)}, 0)", "UI_14": f"sqrt({roll('avg', 'dd', 14)})", "ACCB_UPPER": roll("avg", "accu", 20), "ACCB_MID": roll("avg", "close", 20), "ACCB_LOWER": roll("avg", "accl", 20), "PSL_12": f"{roll('avg', 'rising', 12)} * 100", "TREND_STR_14": f"{roll('avg', 'rising', 14)} * 100",
+    "AR_14": f"{roll('sum', 'ho', 14)} / nullif({roll('sum', 'ol', 14)}, 0) * 100", "BR_14": f"{roll('sum', 'hc', 14)} / nullif({roll('sum', 'cl', 14)}, 0) * 100", "INERTIA_20": at_end("inr", 20), "TTM_TREND_6": f"CASE WHEN close > {roll('avg', 'c3', 6)} THEN 1 ELSE -1 END", "SQUEEZE_HIST": "close - (kcu + kcl) / 2", "COPPOCK": wma_sql("cop", 10), "QSTICK_8": roll("avg", "co", 8),
+    "HILO_HIGH": "sh", "HILO_LOW": "sl", "HILO_dir": "coalesce(close > sh, false)::INT - coalesce(close < sl, false)::INT", "WMA_100": wma_sql("close", 100), "WMA_200": wma_sql("close", 200), "AROONOSC_25": "CASE WHEN count(high) OVER r26 = 26 THEN (list_position(list(high) OVER r26, max(high) OVER r26) - list_position(list(low) OVER r26, min(low) OVER r26)) * 4.0 END",
+}
+indicators("window_suite", list(_WSUITE), indicator_sql(_WSUITE, "wb", _W1, (4, 5, 6, 7, 8, 9, 10, 12, 14, 20, 26, 28, 30, 34, 50, 60, 100, 200), nudge=NUDGE), nudge=NUDGE)
+indicators("ease_of_movement", ["EOM_14"], indicator_sql({"EOM_14": "(high - h1 + low - l1) * (high - low) / nullif(2 * volume, 0) * 100000000"}, "base", "one AS (SELECT 1)", places=0), places=0)
+
+
 
 
 @query()
@@ -420,6 +486,13 @@ def flag_query(name: str, columns: dict[str, tuple[tuple, bool]]) -> None:
     query(f"{_FEATURED} SELECT symbol, {TS}, {body} FROM features WINDOW w AS (PARTITION BY symbol ORDER BY ts)")(run)
 
 
+def turn_sql(x: str) -> str:
+    return f"({x})::INT - coalesce(lag(({x})::INT) OVER w, ({x})::INT)"
+
+
+_E2050, _E50200, _MX = ('coalesce("EMA_20" > "EMA_50", false)', 'coalesce("EMA_50" > "EMA_200", false)', 'coalesce("MACD" > "MACD_signal", false)')
+_TURNS = ["ema_20_50_cross", "ema_50_200_cross", "ema_aligned_bull", "MACD_cross", "RSI_DIVERG"]
+indicators("turns", _TURNS, f"{_FEATURED}, g AS (SELECT *, {roll('max', 'close', 14)} AS mc, {roll('max', chr(34) + 'RSI_14' + chr(34), 14)} AS mr FROM features {windows(14)}) SELECT symbol, {TS}, {turn_sql(_E2050)} AS ema_20_50_cross, {turn_sql(_E50200)} AS ema_50_200_cross, ({_E2050} AND {_E50200})::INT AS ema_aligned_bull, {turn_sql(_MX)} AS \"MACD_cross\", coalesce(close > lag(mc) OVER w AND \"RSI_14\" < lag(mr) OVER w, false)::INT AS \"RSI_DIVERG\" FROM g WINDOW w AS (PARTITION BY symbol ORDER BY ts)")
 flag_query("condition_flags", {f"c{i:02d}": (r, False) for i, r in enumerate(rules.CONDITIONS.values())})
 flag_query("cross_flags", {f"x{i:02d}": ((a, "up", b), False) for i, (a, b) in enumerate(rules.CROSSES)})
 flag_query("slot_options", {f"{s}_{o}": (r, rules.MISSING[s]) for s, options in rules.SLOTS.items() if s != "context" for o, r in options.items()})
