@@ -898,14 +898,42 @@ def permutation(spark, sf_dir):
     return stats.permutation(returns_of(spark, sf_dir), "symbol", flip_signs=True)
 
 
-def search_results(spark, sf_dir) -> DataFrame:
-    enriched = with_indicators(hourly(spark, sf_dir), ["EMA_20", "EMA_50", "RSI_14", "MACD", "MACD_signal", "MACD_hist", "ATR_14", "volume_ratio", "SUPERT_dir", "STOCH_K"])
-    return search.evaluate(enriched, search.propose(100))
+SEARCHED = ["EMA_8", "EMA_20", "EMA_50", "EMA_200", "RSI_14", "MACD", "MACD_signal", "MACD_hist", "ATR_14", "volume_ratio", "SUPERT_dir", "PSAR_dir", "STOCH_K", "STOCHRSI_K", "CCI_20", "MFI_14", "WILLR_14", "ADX_14", "BB_lower_20", "ICH_above_cloud", "CDL_HAMMER", "CDL_INV_HAMMER"]
 
 
 @query()
 def search_scores(spark, sf_dir):
-    return search.scores(search_results(spark, sf_dir), n_series=5, least_trades=1)
+    """Scores of 100 trials."""
+    enriched = with_indicators(hourly(spark, sf_dir), SEARCHED)
+    return search.scores(search.evaluate(enriched, search.propose(100)), n_series=5, least_trades=1)
+
+
+@query()
+def search_execution(spark, sf_dir):
+    """Trials whose hourly signals are traded on bars of 15 minutes."""
+    enriched = with_indicators(hourly(spark, sf_dir), SEARCHED)
+    return search.scores(search.evaluate(enriched, search.propose(20), fine=source.event_bars(spark, sf_dir, "15m")), n_series=5, least_trades=1)
+
+
+@query()
+def search_top(spark, sf_dir):
+    """Batches of trials and the best strategies of them, tested."""
+    enriched = with_indicators(hourly(spark, sf_dir), SEARCHED)
+    tried, told = search.successive(enriched, batches=2, per_batch=20, n_series=5)
+    return search.top_strategies(enriched, tried, told)
+
+
+# one trial's rules in SQL, and its fold: trial numbers are those of the proposals
+_TRIAL = {"trend": "price_gt_ema50", "setup": "none", "trigger": "macd_hist_cross_0", "context": "none", "exit": "stoch_gt_80", "sl_mode": "fixed", "sl_pct": 0.05, "tp_mode": "fixed", "tp_pct": 0.1, "trail_mode": "none"}
+_TRIAL_SIGNALS = f"signals AS (SELECT symbol, ts, close, 0.0 AS atr, {' AND '.join(rule_sql(rules.SLOTS[x][_TRIAL[x]], rules.MISSING[x]) for x in ('trend', 'setup', 'trigger'))} AS en, {rule_sql(rules.SLOTS['exit']['stoch_gt_80'], False)} AS ex FROM features WINDOW w AS (PARTITION BY symbol ORDER BY ts))"
+
+
+@query(f"{_FEATURED}, {_TRIAL_SIGNALS}, {folds_sql('signals', 3)}, {simulated('wf', 'folds', simulate.Risk.of(_TRIAL))}, {measured('wf')} SELECT t AS trial, split_part(k, '/', 1) AS symbol, split_part(k, '/', 2)::INT AS fold, {rounded(simulate.MEASURES)} FROM wf_measures, (SELECT unnest([0, 1]) AS t) WHERE k LIKE '%oos'")
+def search_trials(spark, sf_dir):
+    """Two equal trials in two lots, by part."""
+    enriched = with_indicators(hourly(spark, sf_dir), ["EMA_50", "MACD_hist", "STOCH_K", "ATR_14"])
+    out = search.evaluate(enriched, [_TRIAL | {"trial": 0}, _TRIAL | {"trial": 1}], lot=1)
+    return rounding(out, ["trial", "symbol", "fold"], simulate.MEASURES)
 
 
 _SC = "SELECT o_orderkey AS id, o_totalprice AS a, (o_orderkey * 7919 % 10007)::DOUBLE AS b FROM orders"
