@@ -98,3 +98,26 @@ def chart(bars: DataFrame, overlays: list[str], patterns: list[str], n: int = 50
     """The data of a chart: the last bars, the overlay columns, and for each pattern a marker below (+) or above (-) the bar."""
     marks = [F.when(F.col(p) > 0, F.col("low") * 0.9985).when(F.col(p) < 0, F.col("high") * 1.0015).alias(f"{p}_marker") for p in patterns]
     return tail(bars, n).select("symbol", "timeframe", "ts", "open", "high", "low", "close", "volume", *overlays, *marks)
+
+
+#: The filters of a stored list.
+FILTERS = "array<struct<method: string, number_assets: int, min_value: double, min_days_listed: int, offset: int>>"
+
+
+def sessions(records: DataFrame) -> DataFrame:
+    """Stored sessions with their JSON read: timeframes an array, pairlist_config an array of filters (empty where it can't be read), entry_mode path_b where absent."""
+    has = set(records.columns)
+    text = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in has else F.lit(default)
+    return records.withColumns({
+        "timeframes": F.from_json("timeframes", "array<string>"), "pairlist_config": F.coalesce(F.from_json(text("pairlist_config", "[]"), FILTERS), F.array().cast(FILTERS)), "entry_mode": text("entry_mode", "path_b"),
+        **{c: text(c, "") for c in ("entry_logic", "entry_logic_long", "entry_logic_short")},
+    })
+
+
+def counts(records: dict[str, DataFrame], by: str = "session_id") -> DataFrame:
+    """Rows of each table by session, a column a table; 0 where it has none."""
+    every = None
+    for name, table in records.items():
+        own = table.select(by, F.lit(name).alias("_t"))
+        every = own if every is None else every.unionByName(own)
+    return every.groupBy(by).pivot("_t", list(records)).count().na.fill(0, list(records))

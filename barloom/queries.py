@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.indicators import CANDLES, with_indicators
 from .operators import asof, entries, ic, simulate, stats, universe
-from .plans import rules, search
+from .plans import catalog, rules, search, strategy
 from .sources import bars as source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1030,3 +1030,68 @@ def chart_tail(spark, sf_dir):
     e = with_indicators(hourly(spark, sf_dir), ["EMA_20", "RSI_14", "CDL_HAMMER"])
     out = universe.chart(e, ["EMA_20", "RSI_14"], ["CDL_HAMMER"])
     return shown(out, ["open", "high", "low", "close", "volume", "EMA_20", "RSI_14", F.round(F.col("CDL_HAMMER_marker") + NUDGE, 6).alias("CDL_HAMMER_marker")])
+
+
+CATALOGUED = ["EMA_20", "EMA_200", "RSI_14", "STOCH_K", "WILLR_14", "CCI_20", "MFI_14", "CMF_20", "MACD_hist", "ADX_14", "volume_ratio", "BB_lower_20", "KC_lower", "PSAR_dir", "SUPERT_dir", "CDL_HAMMER"]
+_KIND_SQL = {"osc": "{x} < {t}", "lt": "{x} < {t}", "band_pct": "{x} < {t}", "gt": "{x} > {t}", "sign": "{x} > 0", "flag": "{x} = 1", "cdl": "{x} > 0", "ma": "close > {x}", "band_lower": "close < {x}"}
+
+
+def _hits_sql() -> str:
+    found = [catalog.classify(n) for n in CATALOGUED]
+    told = [(e.column, e.kind, _KIND_SQL[e.kind].format(x=f'"{e.column}"', t=(e.low + e.high) / 2 if e.low is not None else 0)) for e in found]
+    return f"{_FEATURED} " + " UNION ALL ".join(f"SELECT '{n}' AS \"column\", '{k}' AS kind, count(*) AS n, count(*) FILTER (WHERE {x}) AS hits FROM features" for n, k, x in told)
+
+
+@query(_hits_sql())
+def catalog_hits(spark, sf_dir):
+    """How often the condition holds that the catalog gives each column."""
+    e = with_indicators(hourly(spark, sf_dir), CATALOGUED)
+    found = catalog.of_schema(e.schema)
+    return catalog.hits(e, [found[n] for n in CATALOGUED])
+
+
+@query(f"{_FEATURED} SELECT symbol, {TS}, ({rule_sql(('EMA_20', '>', 'EMA_50'), True)} AND {rule_sql(('RSI_14', 'up', 50), False)})::INT AS a_entry, ({rule_sql(('RSI_14', '>', 75), False)})::INT AS a_exit, coalesce(close > \"EMA_50\" AND \"MACD_hist\" > 0, false)::INT AS b_entry, coalesce(close < \"EMA_20\", false)::INT AS b_exit, coalesce(\"WILLR_14\" < -90, false)::INT AS c_entry, coalesce(\"WILLR_14\" > -10, false)::INT AS c_exit FROM features WINDOW w AS (PARTITION BY symbol ORDER BY ts)")
+def strategies_together(spark, sf_dir):
+    """Three strategies of different make over one table."""
+    made = [
+        strategy.of_slots({"trend": "ema20_gt_ema50", "trigger": "rsi_cross_50", "exit": "rsi_gt_75"}, "a"),
+        strategy.of_expressions("close > EMA_50 and MACD_hist > 0", "close < EMA_20", ["EMA_20", "EMA_50", "MACD_hist"], "b"),
+        strategy.FromFunctions("c", lambda _: F.col("WILLR_14") < -90, lambda _: F.col("WILLR_14") > -10, ("WILLR_14",)),
+    ]
+    return shown(strategy.run_all(hourly(spark, sf_dir), made), [f"{s.name}_{w}" for s in made for w in ("entry", "exit")])
+
+
+@query("SELECT event_type, (props::JSON->>'k')::BIGINT % 10 AS digit, count(*) AS n, sum((props::JSON->>'k')::BIGINT) AS total, count(*) FILTER (WHERE (props::JSON->>'absent') IS NULL) AS absent FROM events GROUP BY 1, 2")
+def json_decode(spark, sf_dir):
+    """Events by what their JSON says."""
+    p = F.from_json("props", "k long, absent string")
+    own = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", p.alias("p"))
+    return own.groupBy("event_type", (F.col("p.k") % 10).alias("digit")).agg(F.count("*").alias("n"), F.sum("p.k").alias("total"), F.count_if(F.col("p.absent").isNull()).alias("absent"))
+
+
+_SESSION = "('S' || (c_custkey % 7)::VARCHAR)"
+
+
+@query(f"SELECT symbol, volume_24h, excluded, note FROM (SELECT c_name AS symbol, c_acctbal AS volume_24h, c_custkey % 7 AS s, CASE WHEN c_custkey % 5 = 0 THEN false WHEN c_name = 'Customer#000000004' THEN NOT (coalesce(c_acctbal < 1000, true)) ELSE coalesce(c_acctbal < 1000, true) END AS excluded, CASE WHEN c_custkey % 2 = 0 THEN 'even' ELSE 'none' END AS note FROM customer) WHERE s <> 3")
+def record_changes(spark, sf_dir):
+    """Records after an exclusion by volume, a toggle, an update of allowed values, a reset of some, and the removal of a session."""
+    own = pairs_of(spark, sf_dir).withColumns({"session_id": F.concat(F.lit("S"), (F.col("candle_count") % 7).cast("string")), "note": F.lit("none")})
+    out = universe.toggled(universe.exclude_below(own, 1000), "Customer#000000004")
+    out = universe.updated(out, F.col("candle_count") % 2 == 0, {"note": F.lit("even"), "symbol": F.lit("never")}, {"note"})
+    out = universe.updated(out, F.col("candle_count") % 5 == 0, {"excluded": F.lit(False)}, {"excluded"})
+    left = universe.without({"pairs": out}, "S3", ("pairs",))["pairs"]
+    return left.select("symbol", "volume_24h", "excluded", "note")
+
+
+@query(f"SELECT {_SESSION} AS session_id, count(*) AS pairs, count(*) FILTER (WHERE c_acctbal > 0) AS runs FROM customer GROUP BY 1")
+def record_counts(spark, sf_dir):
+    """Rows of two tables by session."""
+    own = pairs_of(spark, sf_dir).withColumn("session_id", F.concat(F.lit("S"), (F.col("candle_count") % 7).cast("string")))
+    return universe.counts({"pairs": own, "runs": own.where("volume_24h > 0")})
+
+
+@query("SELECT c_mktsegment AS quote_asset, c_name AS symbol, round(c_acctbal, 6) AS volume_24h FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_name) AS k FROM customer WHERE c_acctbal >= 500 AND upper(c_name) LIKE '%7%') WHERE k = 1")
+def latest_records(spark, sf_dir):
+    """The first of the searched pairs of each quote."""
+    found = universe.viewed(pairs_of(spark, sf_dir), 500, "7")
+    return universe.latest(found, ["quote_asset"], "volume_24h", "symbol").select("quote_asset", "symbol", F.round("volume_24h", 6).alias("volume_24h"))

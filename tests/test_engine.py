@@ -213,3 +213,81 @@ def test_stream_bars(spark, tmp_path):
     q.stop()
     got = spark.sql("SELECT * FROM bars ORDER BY ts").toPandas()
     assert got.close.tolist() == [5, 11, 17, 23] and got.volume.tolist() == [6.0] * 4
+
+
+def test_equity_at_every_bar(spark):
+    """The curve, a plain fold of the same trades, and the measures of it; a series without trades has zeros."""
+    closes = walk(120, 9)
+    enter, leave = [int(i % 9 == 2) for i in range(120)], [int(i % 9 == 6) for i in range(120)]
+    df = series(spark, closes, extra={"entry_signal": enter, "exit_signal": leave})
+    quiet = df.withColumns({"symbol": F.lit("Q"), "entry_signal": F.lit(0)})
+    both, risk = df.unionByName(quiet), simulate.Risk(sl_mode="none", tp_mode="none", sizing="kelly")
+    found = simulate.trades(both, risk)
+    capital, curve, ended, share, results, at = 10_000.0, [10_000.0], {}, risk.size, [], {t.entry_idx: t for t in found.collect()}
+    for i in range(1, 120):
+        if i in at:
+            assert at[i].position_size == pytest.approx(share)
+            capital -= capital * share * risk.fee
+            ended[at[i].exit_idx] = at[i]
+        if i in ended:
+            t = ended[i]
+            capital = capital * (1 + t.position_size * t.pnl_pct / 100) * (1 - t.position_size * risk.fee)
+            results.append(t.pnl_pct)
+            if len(results) % 10 == 0:
+                share = simulate.kelly(results, risk.kelly_fraction, share)
+        curve.append(capital)
+    got = simulate.equity(both, found).where("symbol = 'A'").orderBy("ts").toPandas().equity
+    assert np.allclose(got, curve) and len(results) >= 10
+    rows = {r.symbol: r for r in simulate.metrics(found, ("symbol",), series=both).join(simulate.equity_metrics(both, found, ("symbol",)), "symbol").collect()}
+    top = np.maximum.accumulate(curve)
+    assert rows["A"].max_drawdown == pytest.approx(((top - curve) / top).max() * 100) and rows["A"].total_return == pytest.approx((capital / 10_000 - 1) * 100)
+    assert (rows["Q"].total_trades, rows["Q"].sharpe, rows["Q"].max_drawdown, rows["Q"].calmar) == (0, 0, 0, 0)
+
+
+def test_range_periods_differ(spark):
+    closes = walk(60, 3)
+    df = series(spark, closes, extra={"entry_signal": [int(i == 30) for i in range(60)], "exit_signal": [0] * 60})
+    one, two = (simulate.trades(df, simulate.Risk(sl_mode="atr", tp_mode="none", sl_atr=1.0, sl_atr_period=n)).first() for n in (3, 25))
+    assert one.entry_idx == two.entry_idx == 31 and (one.exit_idx, one.exit_reason) != (two.exit_idx, two.exit_reason) or one.exit_reason == two.exit_reason
+
+
+def test_false_discovery_by_slices_is_the_definition(spark):
+    rng = np.random.default_rng(4)
+    p = np.concatenate([rng.random(300), rng.random(60) ** 6, [1.0] * 40, [0.0] * 3, [0.5] * 30])
+    got = stats.false_discovery(spark.createDataFrame([(int(i), float(x)) for i, x in enumerate(p)], "id int, p_value double"), order=("id",)).orderBy("fdr_rank").toPandas()
+    order = np.lexsort((np.arange(len(p)), p))
+    raw = p[order] * len(p) / np.arange(1, len(p) + 1)
+    assert got.id.tolist() == order.tolist() and np.allclose(got.adjusted_p, np.minimum(1, np.minimum.accumulate(raw[::-1])[::-1]))
+
+
+def test_catalog_and_strategies(spark):
+    from barloom.plans import catalog, strategy
+
+    kinds = {n: catalog.classify(n) for n in ("RSI_14", "EMA_50", "MACD_hist", "ADX_14", "CDL_HAMMER", "SUPERT_dir", "BB_lower_20", "BB_pct_20", "NATR_14", "volume_ratio")}
+    assert {n: e.kind for n, e in kinds.items()} == {"RSI_14": "osc", "EMA_50": "ma", "MACD_hist": "sign", "ADX_14": "gt", "CDL_HAMMER": "cdl", "SUPERT_dir": "flag", "BB_lower_20": "band_lower", "BB_pct_20": "band_pct", "NATR_14": "lt", "volume_ratio": "gt"}
+    assert catalog.classify("close") is None and catalog.classify("HTF_4h_RSI_14") is None and kinds["RSI_14"].category == "Momentum" and kinds["RSI_14"].high == 50
+    df = series(spark, walk(80, 2))
+    out = strategy.run(df, strategy.of_slots({"trend": "none", "trigger": "rsi_cross_50", "exit": "rsi_gt_70"}))
+    assert {"entry_signal", "exit_signal", "RSI_14"} <= set(out.columns)
+    again = strategy.run(out, strategy.PASS_THROUGH)
+    assert again.select("ts", "entry_signal", "exit_signal").exceptAll(out.select("ts", "entry_signal", "exit_signal")).count() == 0
+    bad = strategy.run(df, strategy.of_expressions("import os", "close <", [], "x"))
+    assert bad.agg(F.sum("entry_signal")).first()[0] == 0
+
+
+def test_sessions_are_read(spark):
+    rows = [("a", '["1h","4h"]', '[{"method":"VolumePairList","number_assets":5}]'), ("b", '["1h"]', "not json"), ("c", "[]", None)]
+    got = {r.id: r for r in universe.sessions(spark.createDataFrame(rows, "id string, timeframes string, pairlist_config string")).collect()}
+    assert got["a"].timeframes == ["1h", "4h"] and got["a"].pairlist_config[0].number_assets == 5 and got["a"].entry_mode == "path_b"
+    assert [x for x in got["b"].pairlist_config if x.method] == [] and got["c"].pairlist_config == []
+
+
+def test_search_batches_and_tops(spark):
+    df = with_indicators(series(spark, walk(320, 8)), ["EMA_20", "EMA_50", "RSI_14", "MACD", "MACD_signal", "MACD_hist", "STOCH_K"])
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    tried, told = search.successive(df, batches=2, per_batch=6, splits=2)
+    assert len(tried) == 12 and told.count() == 12
+    top = search.top_strategies(df, tried, told, top=4, draws=50, splits=2)
+    assert top.count() == 4 and top.where("p_value < 0 or p_value > 1 or adjusted_p < p_value - 1e-12").count() == 0
+    like = search.propose(200, like=[{**tried[0], "trigger": "rsi_cross_50"}])
+    assert sum(p["trigger"] == "rsi_cross_50" for p in like) > 80
