@@ -18,7 +18,8 @@ def test_draws(spark, sf, name, operator, options):
 def test_trials(spark, sf, monkeypatch):
     asked = []
     monkeypatch.setattr(search, "evaluate", lambda enriched, proposals: asked.extend(proposals))
-    queries.search_results(spark, sf)
+    monkeypatch.setattr(search, "scores", lambda results, **options: results)
+    queries.QUERIES["search_scores"](spark, sf)
     assert [p["trial"] for p in asked] == list(range(100))
 
 
