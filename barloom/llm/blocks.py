@@ -85,23 +85,24 @@ class Answers:
 
 
 def exchange(blocks: DataFrame, ask: Callable[[tuple], tuple[int, np.ndarray, list[np.ndarray]]], columns: int, entries: int, name: str, tally: Callable[[np.ndarray, list[np.ndarray]], list[int]] | None = None) -> tuple[Answers, list[int]]:
-    """ask(row) gives a block's id, its sorted distinct keys and, by column, what the block adds for each.
+    """ask(row) gives a block's id, its sorted distinct keys and, by column, what the block adds for each; it may
+    give a second hash of what each key stands for: then pairs of key and hash are distinct, sorted and counted.
 
     `entries`: about how many keys all blocks ask for; sets the number of buckets.
     `tally`: integers to be added up over buckets, from the distinct keys and their totals.
     """
     spark = blocks.sparkSession
     buckets = max(1, -(-entries // BUCKET_ENTRIES))
-    ask_schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("own", pa.list_(pa.binary()))])
+    ask_schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("own", pa.list_(pa.binary())), ("check", pa.binary())])
 
     def asked(batches):
         edges = bucket_edges(buckets)
         for batch in batches:
             for row in rows_of(batch):
-                block, keys, own = ask(row)
+                block, keys, own, *check = ask(row)
                 cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-                rows = [(i, block, pack_sorted(keys[a:b]), [pack(x[a:b]) for x in own]) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, ask_schema, strict=True)], schema=ask_schema)
+                rows = [(i, block, pack_sorted(keys[a:b]), [pack(x[a:b]) for x in own], pack(check[0][a:b]) if check else None) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, ask_schema, strict=True)], schema=ask_schema)
 
     answer_schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("answer", pa.binary()), ("tally", pa.list_(pa.int64()))])
 
@@ -113,7 +114,14 @@ def exchange(blocks: DataFrame, ask: Callable[[tuple], tuple[int, np.ndarray, li
             keys = [unpack_sorted(r[2]) for r in mine]
             ends = np.cumsum([len(k) for k in keys])
             distinct, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-            totals = [np.bincount(at, np.concatenate([unpack(r[3][c]) for r in mine]).astype(np.float64), len(distinct)).astype(np.int64) for c in range(columns)]
+            n = len(distinct)
+            if mine[0][4] is not None:  # equal keys with another check are counted apart
+                check = np.concatenate([unpack(r[4]) for r in mine])
+                odd = np.flatnonzero(check != check[first][at])
+                if len(odd):
+                    _, more, which = np.unique(np.stack([at[odd].astype(np.uint64), check[odd]]), axis=1, return_index=True, return_inverse=True)
+                    at[odd], first, n = n + which.ravel(), np.concatenate([first, odd[more]]), n + len(more)
+            totals = [np.bincount(at, np.concatenate([unpack(r[3][c]) for r in mine]).astype(np.float64), n).astype(np.int64) for c in range(columns)]
             is_first = np.zeros(len(at), np.int64)
             is_first[first] = 1
             if tally:
@@ -123,7 +131,7 @@ def exchange(blocks: DataFrame, ask: Callable[[tuple], tuple[int, np.ndarray, li
                 found = np.concatenate([*(t[at[a:b]] for t in totals), is_first[a:b]])
                 yield pa.RecordBatch.from_pylist([{"block": r[1], "bucket": r[0], "answer": pack(found), "tally": []}], schema=answer_schema)
 
-    asks = blocks.mapInArrow(asked, "bucket int, block long, keys binary, own array<binary>")
+    asks = blocks.mapInArrow(asked, "bucket int, block long, keys binary, own array<binary>, check binary")
     answers = scratch_table(asks.repartitionById(buckets, F.col("bucket")).mapInArrow(answered, "block long, bucket int, answer binary, tally array<long>"), f"{name}-answers", "none")
     folder = scratch_path(spark, f"{name}-by-block")
     stored = pa.schema([("block", pa.int64())])

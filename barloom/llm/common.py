@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,27 @@ from pyspark.sql import functions as F
 WHITE = b" \t\n\x0b\x0c\r"
 
 
+_draw = np.random.default_rng(8)
+_LETTERS = _draw.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACES = np.multiply.accumulate(np.full(1024, 0x9E3779B97F4A7C15, np.uint64))
+_WHITE = np.zeros(256, bool)
+_WHITE[list(WHITE)] = True
+
+
+def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each word."""
+    data = np.frombuffer(text, np.uint8)
+    inside = ~_WHITE[data]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, ends
+    place = np.arange(len(data)) - np.repeat(np.concatenate([[0], starts[1:]]), np.diff([0, *starts[1:], len(data)]))
+    h = np.add.reduceat(np.where(inside, _LETTERS[data] * _PLACES[place & 1023], np.uint64(0)), starts)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32)), starts, ends
+
+
 #: Rows of text that go to Python at once, at most. Whole texts are wide: the default of 10 000 rows takes hundreds of MB of buffers a task.
 ROWS_PER_BATCH = 500
 
@@ -79,49 +100,68 @@ def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
 
 
-def keep_in_place(rows: DataFrame, kept: DataFrame, row_col: str, name: str) -> DataFrame:
-    """The rows of a written table whose row_col (from monotonically_increasing_id) is among kept's.
+class Told:
+    """Values for some rows of a written table, in a file for each writing partition: rows are looked up where they are read and never shuffled.
 
-    The wanted numbers go to a file for each writing partition; the table is
-    filtered where it is read and never shuffled.
+    told: row (from monotonically_increasing_id when the table was written), value (long).
     """
-    spark, folder = rows.sparkSession, scratch_path(rows.sparkSession, name)
-    at = rows.columns.index(row_col)
 
-    def store(batches):
-        out, number, held = Store(folder), None, []
+    def __init__(self, told: DataFrame, name: str):
+        spark, self.folder = told.sparkSession, scratch_path(told.sparkSession, name)
+        folder, schema = self.folder, pa.schema([("n", pa.int64())])
+
+        def store(batches):
+            out, number, held = Store(folder), None, []
+
+            def close():
+                with out.write(str(number)) as f:
+                    f.write(np.array(held, "<i8").tobytes())
+                return pa.RecordBatch.from_pylist([{"n": len(held)}], schema=schema)
+
+            for batch in batches:
+                for row, part, value in rows_of(batch):
+                    if part != number:
+                        if number is not None:
+                            yield close()
+                        number, held = part, []
+                    held.append((row, value))
+            if number is not None:
+                yield close()
+
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = told.select(F.col("row").cast("long").alias("row"), F.shiftright("row", 33).alias("part"), F.col("value").cast("long").alias("value"))
+        rows.repartition(n, "part").sortWithinPartitions("part", "row").mapInArrow(store, "n long").agg(F.sum("n")).collect()
+
+    def reader(self) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """For a task: of rows, which are told, and their values (0 for the others)."""
+        out, parts = Store(self.folder), {}
+
+        def look(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            found, value = np.zeros(len(row), bool), np.zeros(len(row), np.int64)
+            for part in np.unique(row >> 33).tolist():
+                if part not in parts:
+                    parts[part] = np.frombuffer(out.read(str(part)), "<i8").reshape(-1, 2) if out.has(str(part)) else np.zeros((0, 2), np.int64)
+                own, table = np.flatnonzero(row >> 33 == part), parts[part]
+                if len(table):
+                    at = np.minimum(np.searchsorted(table[:, 0], row[own]), len(table) - 1)
+                    hit = table[at, 0] == row[own]
+                    found[own], value[own] = hit, np.where(hit, table[at, 1], 0)
+            return found, value
 
-        def close():
-            with out.write(str(number)) as f:
-                f.write(np.array(held, "<i8").tobytes())
-            return pa.RecordBatch.from_pylist([{"n": len(held)}], schema=pa.schema([("n", pa.int64())]))
+        return look
 
-        for batch in batches:
-            for row, part in rows_of(batch):
-                if part != number:
-                    if number is not None:
-                        yield close()
-                    number, held = part, []
-                held.append(row)
-        if number is not None:
-            yield close()
-
-    numbers = kept.select(F.col(row_col).cast("long").alias("row"), F.shiftright(F.col(row_col), 33).alias("part"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    numbers.repartition(n, "part").sortWithinPartitions("part", "row").mapInArrow(store, "n long").agg(F.sum("n")).collect()
+
+def keep_in_place(rows: DataFrame, kept: DataFrame, row_col: str, name: str, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str | None = None) -> DataFrame:
+    """The rows of a written table whose row_col (see Told) is among kept's; `then`, if given, makes of each batch one of the schema in the same pass."""
+    at, told = rows.columns.index(row_col), Told(kept.select(F.col(row_col).alias("row"), F.lit(1).alias("value")), name)
 
     def keep(batches):
-        out, wanted = Store(folder), {}
+        look = told.reader()
         for batch in batches:
-            row = batch.column(at).to_numpy()
-            mask = np.zeros(len(row), bool)
-            for part in np.unique(row >> 33).tolist():
-                if part not in wanted:
-                    wanted[part] = np.frombuffer(out.read(str(part)), "<i8") if out.has(str(part)) else np.zeros(0, np.int64)
-                mask |= np.isin(row, wanted[part])
-            yield batch.filter(pa.array(mask))
+            for part in slices_of(batch.filter(pa.array(look(batch.column(at).to_numpy())[0]))):
+                yield then(part) if then else part
 
-    return rows.mapInArrow(keep, rows.schema)
+    return rows.mapInArrow(keep, schema or rows.schema)
 
 
 class Columns:

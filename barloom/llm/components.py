@@ -55,6 +55,7 @@ def components(links: DataFrame, most_rounds: int = 60, one_task: int = 500_000)
     At most `one_task` links that are left after the first round are joined by
     one task, which holds some 100 bytes a link; more go through the rounds.
     """
+    links = scratch_table(links, "links")  # written first, so that no task has a Python worker for the links and one for the union
     ends = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     stars = scratch_table(_contract(ends), "components")
     if stars.count() <= one_task:

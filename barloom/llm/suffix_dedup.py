@@ -1,41 +1,46 @@
-"""Removal of repeated byte strings by prefix-free parsing.
+"""Removal of repeated strings by prefix-free parsing.
 
-A byte is removed if a string of `least` bytes that covers it starts anywhere
-else in the corpus too. Strings don't cross documents.
+A byte is removed if a string of `least` units that covers it starts anywhere
+else in the corpus too. Units are bytes or words; strings don't cross
+documents. A word, `[^\\x20\\x09-\\x0D]+`, stands as a 64-bit hash in what
+follows, and a removed run of words is removed with the white space inside.
 
-Parsing: a window of 8 bytes whose rolling hash is 0 modulo `period` is a
-trigger and ends a phrase; triggers depend on the bytes alone, so equal
-strings are parsed alike inside. A string of `least` bytes belongs to the
+Parsing: a window of units whose rolling hash is 0 modulo `period` is a
+trigger and ends a phrase; triggers depend on the units alone, so equal
+strings are parsed alike inside. A string of `least` units belongs to the
 first trigger in it: it is a suffix of the phrase that the trigger ends, and
 the context that follows. Equal strings have equal suffixes and contexts.
 
-1. For each trigger, the hash K of the first `core` bytes of its context and
+1. For each trigger, the hash K of the first `core` units of its context and
    the hash E of its phrase with the whole context are counted over the corpus
    (see blocks.py). K once: none of its strings repeats, which settles most of
-   a corpus. E twice or more: all of its strings repeat.
+   a corpus. E twice or more: all of its strings repeat. An E has 63 bits
+   and is counted apart where 32 more bits of the hash differ.
 2. What is left are triggers of repeated contexts with different surroundings.
    One row for each distinct E goes to the task of its K. There the phrases
    and contexts make the dictionary and the parse: phrase suffixes are sorted
    (from the trigger back), contexts are ranked, and both get the lengths of
-   the common parts of neighbours. Strings with a suffix of n bytes are equal
+   the common parts of neighbours. Strings with a suffix of n units are equal
    if no neighbour between them, in the order of suffixes, has less than n
-   bytes in common, nor, in the order of contexts, less than `least` - n: this
+   units in common, nor, in the order of contexts, less than `least` - n: this
    is corpus order, by suffix and then by rank. The comparison is exact.
    A K with more than `hot` occurrences would gather too much in one task; its
-   strings are counted by hash, over blocks, instead.
-3. Strings without a trigger in their first `least` - `core` bytes (runs of
-   few different bytes) are counted by their own hash in step 1.
+   strings are counted over blocks instead, by hashes of 96 bits.
+3. Strings without a trigger in their first `least` - `core` units (runs of
+   few different units) are counted by their own hashes as in step 1.
 
 Each block of documents then marks its bytes from the answers.
 
 Defined cases: null text is empty; nothing is removed from texts shorter than
-`least`. Repeated rows repeat each other's strings. Texts are bytes of UTF-8;
-`deduplicated` gives text and leaves out what is left of cut characters.
+`least`. Repeated rows repeat each other's strings, whether their ids are
+equal, null or neither. A very long text is a block of its own. An empty table
+gives an empty table. Columns of any name are handed on. Texts are bytes of
+UTF-8; `deduplicated` gives text and leaves out what is left of cut characters.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,33 +50,72 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import Answers, exchange, new_block_id, pack, unpack
-from .common import Columns, Store, rows_of, scratch_path, scratch_table, slices_of
+from .blocks import Answers, exchange, new_block_id, pack, pack_sorted, unpack, unpack_sorted
+from .common import Columns, Store, rows_of, scratch_path, scratch_table, slices_of, words_of
 
 BLOCK_BYTES = 4 << 20
-TRIGGER = 8
 _ONE = np.uint64(1)
 
 
-def trigger_starts(data: np.ndarray, period: int) -> np.ndarray:
-    """Positions of the windows of 8 bytes whose rolling hash is 0 modulo the period."""
-    if len(data) < TRIGGER:
+class Unit:
+    """How texts are cut: the numpy kind of a unit and the units in a trigger's window, a power of two."""
+
+    def __init__(self, kind: str, window: int):
+        self.kind, self.window, self.size = np.dtype(kind), window, np.dtype(kind).itemsize
+
+    def units(self, text: bytes) -> bytes:
+        return text if self.size == 1 else words_of(text)[0].astype(self.kind).tobytes()
+
+    def gone(self, text: bytes, mask: np.ndarray) -> np.ndarray:
+        """Which bytes of the text go, given which of its units go."""
+        if self.size == 1:
+            return mask
+        _, starts, ends = words_of(text)
+        turns = np.flatnonzero(np.diff(mask, prepend=False, append=False))
+        edges = np.zeros(len(text) + 1, np.int32)
+        edges[starts[turns[::2]]] += 1
+        edges[ends[turns[1::2] - 1]] -= 1
+        return np.cumsum(edges[:-1]) > 0
+
+
+BYTES, WORDS = Unit("<u1", 8), Unit("<u8", 4)
+
+
+def trigger_starts(data: np.ndarray, period: int, window: int = 8) -> np.ndarray:
+    """Positions of the windows of units whose rolling hash is 0 modulo the period."""
+    if len(data) < window:
         return np.zeros(0, np.int64)
-    h, factor = data.astype(np.uint64) + _ONE, 0x9E3779B97F4A7C15
-    for size in (1, 2, 4):  # doubles the window
+    h, factor, size = data.astype(np.uint64) + _ONE, 0x9E3779B97F4A7C15, 1
+    while size < window:  # doubles the window
         h = h[:-size] * np.uint64(factor) + h[size:]
-        factor = factor * factor % (1 << 64)
+        factor, size = factor * factor % (1 << 64), 2 * size
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return np.flatnonzero((h >> np.uint64(33)) % np.uint64(period) == 0)
 
 
+def _halves(digests: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Of 128-bit digests, 63 bits as an even key and 32 more bits."""
+    both = np.frombuffer(digests, "<u8").reshape(-1, 2)
+    return both[:, 0] & ~_ONE, both[:, 1] >> np.uint64(32)
+
+
+def distinct(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of a key and a check: the places of the distinct ones, ascending; for each pair, its place among them; their counts."""
+    order = np.lexsort((checks, keys))
+    new = (np.diff(keys[order], prepend=~keys[order[:1]]) != 0) | (np.diff(checks[order], prepend=checks[order[:1]]) != 0)
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return order[new], at, np.diff(np.flatnonzero(new), append=len(keys))
+
+
 class Parsed:
     """The strings of a text by trigger: string starts low..high (last included) belong to the trigger at `at`."""
 
-    def __init__(self, text: bytes, least: int, core: int, period: int):
-        n, reach = len(text), least - core
+    def __init__(self, units: bytes, least: int, core: int, period: int, unit: Unit):
+        size = unit.size
+        n, reach = len(units) // size, least - core
         last = n - least  # of the string starts
-        t = trigger_starts(np.frombuffer(text, np.uint8), period) if last >= 0 else np.zeros(0, np.int64)
+        t = trigger_starts(np.frombuffer(units, unit.kind), period, unit.window) if last >= 0 else np.zeros(0, np.int64)
         before = np.concatenate([[-1], t[:-1]]) if len(t) else t
         low, high = np.maximum(np.maximum(before + 1, t - reach), 0), np.minimum(t, last)
         use = low <= high
@@ -80,18 +124,17 @@ class Parsed:
         np.add.at(covered, self.low, 1)
         np.add.at(covered, self.high + 1, -1)
         self.lone = np.flatnonzero(np.cumsum(covered[:-1]) == 0)  # strings of no trigger
-        digest, view = xxhash.xxh3_64_intdigest, memoryview(text)
-        k = [digest(view[i : i + core], 1) for i in self.at.tolist()]
-        e = [digest(view[a : b + least], (i - a) << 16 | i - b + 2) for i, a, b in zip(self.at.tolist(), self.low.tolist(), self.high.tolist(), strict=True)]
-        lone = [digest(view[i : i + least], 0) for i in self.lone.tolist()]
-        self.k, self.e = np.array(k, np.uint64) | _ONE, np.array(e + lone, np.uint64) & ~_ONE
+        view, at, low, high = memoryview(units), self.at.tolist(), self.low.tolist(), self.high.tolist()
+        k = [xxhash.xxh3_64_intdigest(view[size * i : size * (i + core)], 1) for i in at]
+        e = b"".join([xxhash.xxh3_128_digest(view[size * a : size * (b + least)], (i - a) << 16 | i - b + 2) for i, a, b in zip(at, low, high, strict=True)])
+        self.k = np.array(k, np.uint64) | _ONE
+        self.e, self.e_check = _halves(e + b"".join([xxhash.xxh3_128_digest(view[size * i : size * (i + least)]) for i in self.lone.tolist()]))
 
 
-def write_blocks(df: DataFrame, text_col: str, least: int, core: int, period: int) -> DataFrame:
+def write_blocks(df: DataFrame, place: int, least: int, core: int, period: int, unit: Unit) -> DataFrame:
     """Rows: block, data (the rows of df, Arrow IPC), n_keys; by string group (triggers first, then lone strings): low, high, at; and where the K and E of each are among the block's sorted keys."""
-    place = df.columns.index(text_col)
     names = ("at", "low", "high", "e_at", "k_at")
-    schema = pa.schema([("block", pa.int64()), ("data", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("n_keys", pa.int64()), *((n, pa.binary()) for n in names)])
+    schema = pa.schema([("block", pa.int64()), ("data", pa.binary()), ("keys", pa.binary()), ("checks", pa.binary()), ("counts", pa.binary()), ("n_keys", pa.int64()), *((n, pa.binary()) for n in names)])
 
     def close(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
@@ -99,20 +142,21 @@ def write_blocks(df: DataFrame, text_col: str, least: int, core: int, period: in
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             w.write_batch(batch)
-        start, found = 0, {n: [] for n in (*names[:3], "k", "e", "lone")}
+        start, found = 0, {n: [] for n in (*names[:3], "k", "e", "check", "lone")}
         for text in batch.column(place).to_pylist():
-            text = text.encode("utf-8") if text else b""
-            own = Parsed(text, least, core, period)
+            units = unit.units(text.encode("utf-8") if text else b"")
+            own = Parsed(units, least, core, period, unit)
             n = len(own.at)
-            for name, x in (("at", own.at + start), ("low", own.low + start), ("high", own.high + start), ("k", own.k), ("e", own.e[:n])):
+            for name, x in (("at", own.at + start), ("low", own.low + start), ("high", own.high + start), ("k", own.k), ("e", own.e[:n]), ("check", own.e_check[:n])):
                 found[name].append(x)
-            found["lone"].append((own.lone + start, own.e[n:]))
-            start += len(text)
+            found["lone"].append((own.lone + start, own.e[n:], own.e_check[n:]))
+            start += len(units) // unit.size
         one = lambda xs, kind: np.concatenate(xs).astype(kind)
-        lone, lone_e = one([x for x, _ in found["lone"]], np.int64), one([x for _, x in found["lone"]], np.uint64)
+        lone, lone_e, lone_check = (one(x, kind) for x, kind in zip(zip(*found["lone"], strict=True), (np.int64, np.uint64, np.uint64), strict=True))
         k, e = one(found["k"], np.uint64), np.concatenate([one(found["e"], np.uint64), lone_e])
-        keys, at, counts = np.unique(np.concatenate([e, k]), return_inverse=True, return_counts=True)
-        row = {"block": new_block_id(), "data": sink.getvalue().to_pybytes(), "keys": pack(np.diff(keys, prepend=np.uint64(0))), "counts": pack(counts), "n_keys": len(keys)}
+        keys, checks = np.concatenate([e, k]), np.concatenate([one(found["check"], np.uint64), lone_check, np.zeros(len(k), np.uint64)])
+        own, at, counts = distinct(keys, checks)
+        row = {"block": new_block_id(), "data": sink.getvalue().to_pybytes(), "keys": pack_sorted(keys[own]), "checks": pack(checks[own]), "counts": pack(counts), "n_keys": len(own)}
         row |= {n: pack(np.concatenate([one(found[n], np.int64), lone])) for n in names[:3]} | {"e_at": pack(at[: len(e)]), "k_at": pack(at[len(e) :])}
         return pa.RecordBatch.from_pylist([row], schema=schema)
 
@@ -130,42 +174,57 @@ def write_blocks(df: DataFrame, text_col: str, least: int, core: int, period: in
         if held:
             yield close(held)
 
-    fields = "block long, data binary, keys binary, counts binary, n_keys long, " + ", ".join(f"{n} binary" for n in names)
+    fields = "block long, data binary, keys binary, checks binary, counts binary, n_keys long, " + ", ".join(f"{n} binary" for n in names)
     return scratch_table(df.mapInArrow(run, fields), "suffix-blocks", "none")
 
 
-class _Block:
-    def __init__(self, row: tuple, place: int):
-        self.id, data, self.n_keys = row[0], row[1], row[2]
-        self.at, self.low, self.high, self.e_at, self.k_at = (unpack(x).astype(np.int64) for x in row[3:8])
-        self.batch = pa.ipc.open_stream(data).read_all().combine_chunks().to_batches()[0]
-        self.texts = [t.encode("utf-8") if t else b"" for t in self.batch.column(place).to_pylist()]
-        self.flat = b"".join(self.texts)
+class _Groups:
+    """The string groups of a block, without its rows."""
+
+    def __init__(self, row: tuple):
+        self.id, self.n_keys = row[:2]
+        self.at, self.low, self.high, self.e_at, self.k_at = (unpack(x).astype(np.int64) for x in row[2:7])
 
     def judged(self, answers: Answers, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By string group: whether all its strings repeat; which groups are to be compared; which of those have a hot K."""
         total, first = answers.of(self.id, self.n_keys)
         n = len(self.k_at)
-        e = total[self.e_at]
-        whole = e > 1
-        k = total[self.k_at]
+        e, k = total[self.e_at], total[self.k_at]
         # a distinct E is sent once, by the first block that has it and its first group there
         _, once = np.unique(self.e_at[:n], return_index=True)
         sender = np.zeros(n, bool)
         sender[once] = first[self.e_at[once]] == 1
         compare = np.flatnonzero(sender & (k > e[:n]))
-        return whole, compare, k[compare] > hot
+        return e > 1, compare, k[compare] > hot
+
+
+class _Block(_Groups):
+    def __init__(self, row: tuple, place: int, unit: Unit):
+        super().__init__(row)
+        self.batch = pa.ipc.open_stream(row[7]).read_all().combine_chunks().to_batches()[0]
+        self.texts = [t.encode("utf-8") if t else b"" for t in self.batch.column(place).to_pylist()]
+        self.parts = [unit.units(t) for t in self.texts]
+        self.flat, self.size = b"".join(self.parts), unit.size
+
+    def units(self, start: int, end: int) -> bytes:
+        return self.flat[self.size * start : self.size * end]
+
+    def strings(self, groups: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the strings of some groups: the two parts of the hash, and the start."""
+        starts = np.concatenate([np.zeros(0, np.int64), *(np.arange(self.low[g], self.high[g] + 1) for g in groups.tolist())])
+        view, size = memoryview(self.flat), self.size
+        return *_halves(b"".join([xxhash.xxh3_128_digest(view[size * i : size * (i + least)]) for i in starts.tolist()])), starts
 
 
-_FIELDS = ("block", "data", "n_keys", "at", "low", "high", "e_at", "k_at")
+_FIELDS = ("block", "n_keys", "at", "low", "high", "e_at", "k_at", "data")
 
 
-def common(rows: list[bytes], width: int) -> np.ndarray:
-    """Bytes that each row shares at its beginning with the row before it, up to the width; 0 for the first."""
-    grid = np.zeros((len(rows), width), np.uint8)
+def common(rows: list[np.ndarray], width: int) -> np.ndarray:
+    """Units that each row shares at its beginning with the row before it, up to the width; 0 for the first."""
+    grid = np.zeros((len(rows), width), rows[0].dtype if rows else np.uint8)
     sizes = np.array([min(len(r), width) for r in rows])
     for i, r in enumerate(rows):
-        grid[i, : sizes[i]] = np.frombuffer(r, np.uint8, sizes[i])
+        grid[i, : sizes[i]] = r[: sizes[i]]
     out = np.zeros(len(rows), np.int64)
     if len(rows) > 1:
         differ = grid[1:] != grid[:-1]
@@ -174,20 +233,22 @@ def common(rows: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def equal_strings(phrases: list[bytes], contexts: list[bytes], least: int) -> list[np.ndarray]:
+def equal_strings(phrases: list[bytes], contexts: list[bytes], least: int, unit: Unit = BYTES) -> list[np.ndarray]:
     """For each row, by the length of the phrase's suffix: whether another row has the same string there.
 
-    The string with suffix length n is the last n bytes of the phrase and the first least - n of the context.
+    The string with suffix length n is the last n units of the phrase and the first least - n of the context.
     """
     m = len(phrases)
-    sizes, context_sizes = np.array([len(p) for p in phrases]), np.array([len(c) for c in contexts])
+    back = [np.frombuffer(p, unit.kind)[::-1] for p in phrases]
+    ahead = [np.frombuffer(c, unit.kind) for c in contexts]
+    sizes, context_sizes = np.array([len(p) for p in back]), np.array([len(c) for c in ahead])
     found = [np.zeros(n + 1, bool) for n in sizes.tolist()]
     if m < 2:
         return found
-    back = [p[::-1] for p in phrases]
-    by_suffix, by_context = sorted(range(m), key=back.__getitem__), sorted(range(m), key=contexts.__getitem__)
-    suffix_common = common([back[i] for i in by_suffix], int(sizes.max()) if m else 0)
-    context_common = common([contexts[i] for i in by_context], least)
+    keys = [p.tobytes() for p in back]
+    by_suffix, by_context = sorted(range(m), key=keys.__getitem__), sorted(range(m), key=contexts.__getitem__)
+    suffix_common = common([back[i] for i in by_suffix], int(sizes.max()))
+    context_common = common([ahead[i] for i in by_context], least)
     suffix_place, context_place = np.empty(m, np.int64), np.empty(m, np.int64)
     suffix_place[by_suffix], context_place[by_context] = np.arange(m), np.arange(m)
     for n in range(int(sizes.max()) + 1):
@@ -202,7 +263,7 @@ def equal_strings(phrases: list[bytes], contexts: list[bytes], least: int) -> li
     return found
 
 
-def _compare(blocks: DataFrame, answers: Answers, place: int, least: int, hot: int) -> tuple[str, DataFrame]:
+def _compare(blocks: DataFrame, answers: Answers, place: int, least: int, core: int, hot: int, unit: Unit) -> str:
     """Step 2: compares by K; stores, for each block, its groups and which of their strings repeat. Gives the folder of the answers."""
     spark = blocks.sparkSession
     sent = pa.schema([("k", pa.int64()), ("block", pa.int64()), ("group", pa.int64()), ("phrase", pa.binary()), ("context", pa.binary()), ("answer", pa.bool_())])
@@ -211,13 +272,13 @@ def _compare(blocks: DataFrame, answers: Answers, place: int, least: int, hot: i
     def send(batches):
         for batch in batches:
             for row in rows_of(batch):
-                own = _Block(row, place)
+                own = _Block(row, place, unit)
                 whole, compare, is_hot = own.judged(answers, hot)
                 out = Columns(sent)
                 for g in compare[~is_hot].tolist():
                     at, low, high = int(own.at[g]), int(own.low[g]), int(own.high[g])
-                    context = own.flat[at : high + least]
-                    out.add(xxhash.xxh3_64_intdigest(context[:64]) >> 1, own.id, g, own.flat[low:at], context, not bool(whole[g]))
+                    k = xxhash.xxh3_64_intdigest(own.units(at, at + core), 1) >> 1
+                    out.add(k, own.id, g, own.units(low, at), own.units(at, high + least), not bool(whole[g]))
                     if len(out) >= 4000:
                         yield out.take()
                 yield out.take()
@@ -227,7 +288,7 @@ def _compare(blocks: DataFrame, answers: Answers, place: int, least: int, hot: i
     def receive(batches):
         def close(rows):
             out = Columns(back)
-            for (_, block, group, phrase, _, answer), same in zip(rows, equal_strings([r[3] for r in rows], [r[4] for r in rows], least), strict=True):
+            for (_, block, group, phrase, _, answer), same in zip(rows, equal_strings([r[3] for r in rows], [r[4] for r in rows], least, unit), strict=True):
                 if answer and same.any():
                     out.add(block, group, np.packbits(same).tobytes())
             return out.take()
@@ -267,55 +328,56 @@ def _compare(blocks: DataFrame, answers: Answers, place: int, least: int, hot: i
         if at is not None:
             yield close()
 
-    named = scratch_table(told.repartition(n, "block").sortWithinPartitions("block", "group").mapInArrow(by_block, "block long"), "suffix-named")
-    return folder, named
+    scratch_table(told.repartition(n, "block").sortWithinPartitions("block", "group").mapInArrow(by_block, "block long"), "suffix-named")
+    return folder
 
 
-def _hot_strings(own: _Block, groups: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each string of the groups, and its start."""
-    starts = np.concatenate([np.arange(own.low[g], own.high[g] + 1) for g in groups.tolist()]) if len(groups) else np.zeros(0, np.int64)
-    view = memoryview(own.flat)
-    return np.array([xxhash.xxh3_64_intdigest(view[i : i + least]) for i in starts.tolist()], np.uint64), starts
+#: What is told of a row beside its columns.
+MARKS = ("_n_bytes", "_n_removed", "_n_spans", "_kept")
 
 
-def removed(df: DataFrame, least: int = 400, core: int = 100, period: int = 48, hot: int = 20_000, text_col: str = "text", keep=None) -> DataFrame:
-    """The rows of df, all columns, with _n_bytes, _n_removed, _n_spans, _kept (the remaining bytes).
+def removed(df: DataFrame, *args, **options) -> DataFrame:
+    """The rows of df, all columns, and MARKS, the last of which are the remaining bytes. Arguments: as of `_removed`."""
+    return _removed(df, *args, **options).toDF(*df.columns, *MARKS)
 
-    keep: names of the columns to hand on (all by default).
-    """
-    df = df.select(*(keep or df.columns), *([] if not keep or text_col in keep else [text_col]))
+
+def _removed(df: DataFrame, least: int = 400, core: int = 100, period: int = 48, hot: int = 1000, text_col: str = "text", unit: Unit = BYTES, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """As `removed`, with columns named by place, c0.. and mark0..: df may have some of the names of MARKS itself. then: makes of each batch one of the schema in the same pass."""
     place = df.columns.index(text_col)
-    blocks = write_blocks(df, text_col, least, core, period)
+    inner = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    blocks = write_blocks(inner, place, least, core, period, unit)
     entries = int(blocks.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0])
-    answers, _ = exchange(blocks.select("block", "keys", "counts"), lambda row: (row[0], np.cumsum(unpack(row[1]), dtype=np.uint64), [unpack(row[2])]), 1, entries, "suffix")
-    folder, _ = _compare(blocks, answers, place, least, hot)
+    answers, _ = exchange(blocks.select("block", "keys", "checks", "counts"), lambda row: (row[0], unpack_sorted(row[1]), [unpack(row[3])], unpack(row[2])), 1, entries, "suffix")
+    folder = _compare(blocks, answers, place, least, core, hot, unit)
 
     # strings of hot contexts: counted by hash over blocks; a block names each once for each distinct E it sends
     def hot_keys(row):
-        own = _Block(row, place)
+        own = _Block(row, place, unit)
         _, compare, is_hot = own.judged(answers, hot)
-        keys, counts = np.unique(_hot_strings(own, compare[is_hot], least)[0], return_counts=True)
-        return own.id, keys, [counts]
+        keys, checks, _ = own.strings(compare[is_hot], least)
+        of, _, counts = distinct(keys, checks)
+        return own.id, keys[of], [counts], checks[of]
 
     def count_hot(batches):
         for batch in batches:
             for row in rows_of(batch):
-                own = _Block(row, place)
+                own = _Groups(row)
                 _, compare, is_hot = own.judged(answers, hot)
                 g = compare[is_hot]
                 yield pa.RecordBatch.from_arrays([pa.array([int((own.high[g] - own.low[g] + 1).sum())])], ["n"])
 
-    n_hot = int(blocks.select(*_FIELDS).mapInArrow(count_hot, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) if entries else 0
+    n_hot = int(blocks.select(*_FIELDS[:-1]).mapInArrow(count_hot, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) if entries else 0
     hot_answers = exchange(blocks.select(*_FIELDS), hot_keys, 1, n_hot, "suffix-hot")[0] if n_hot else None
-    out_schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.LongType()) for n in ("_n_bytes", "_n_removed", "_n_spans")), T.StructField("_kept", T.BinaryType())])
+    told = (T.LongType(), T.LongType(), T.LongType(), T.BinaryType())
+    out_schema = T.StructType([*inner.schema.fields, *(T.StructField(f"mark{i}", kind) for i, kind in enumerate(told))])
 
     def finish(batches):
         stored = Store(folder)
         for batch in batches:
             for row in rows_of(batch):
-                own = _Block(row, place)
+                own = _Block(row, place, unit)
                 whole, compare, is_hot = own.judged(answers, hot)
-                edges = np.zeros(len(own.flat) + 1, np.int32)
+                edges = np.zeros(len(own.flat) // own.size + 1, np.int32)
                 np.add.at(edges, own.low[whole], 1)
                 np.add.at(edges, own.high[whole] + least, -1)
                 if stored.has(str(own.id)):
@@ -325,21 +387,27 @@ def removed(df: DataFrame, least: int = 400, core: int = 100, period: int = 48,
                         np.add.at(edges, starts, 1)
                         np.add.at(edges, starts + least, -1)
                 if hot_answers and is_hot.any():
-                    hashes, starts = _hot_strings(own, compare[is_hot], least)
-                    keys, at = np.unique(hashes, return_inverse=True)
-                    starts = starts[hot_answers.of(own.id, len(keys))[0][at] > 1]
+                    keys, checks, starts = own.strings(compare[is_hot], least)
+                    of, at, _ = distinct(keys, checks)
+                    starts = starts[hot_answers.of(own.id, len(of))[0][at] > 1]
                     np.add.at(edges, starts, 1)
                     np.add.at(edges, starts + least, -1)
                 gone = np.cumsum(edges[:-1]) > 0
-                flat, start, found = np.frombuffer(own.flat, np.uint8), 0, []
-                for text in own.texts:
-                    mask = gone[start : start + len(text)]
-                    start += len(text)
-                    found.append((len(text), int(mask.sum()), int((mask & ~np.concatenate([[False], mask[:-1]])).sum()), flat[start - len(text) : start][~mask].tobytes() if mask.any() else text))
+                start, found = 0, []
+                for text, part in zip(own.texts, own.parts, strict=True):
+                    n = len(part) // own.size
+                    mask = gone[start : start + n]
+                    start += n
+                    if not mask.any():
+                        found.append((len(text), 0, 0, text))
+                        continue
+                    mask = unit.gone(text, mask)
+                    found.append((len(text), int(mask.sum()), int((mask & ~np.concatenate([[False], mask[:-1]])).sum()), np.frombuffer(text, np.uint8)[~mask].tobytes()))
                 columns = [pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*own.batch.columns, *columns], names=[*own.batch.schema.names, "_n_bytes", "_n_removed", "_n_spans", "_kept"])
+                for part in slices_of(pa.RecordBatch.from_arrays([*own.batch.columns, *columns], names=[*own.batch.schema.names, *(f"mark{i}" for i in range(4))])):
+                    yield then(part) if then else part
 
-    return blocks.select(*_FIELDS).mapInArrow(finish, out_schema)
+    return blocks.select(*_FIELDS).mapInArrow(finish, schema or out_schema)
 
 
 def digests(df: DataFrame, least: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,22 +416,20 @@ def digests(df: DataFrame, least: int = 400, id_col: str = "doc_id", text_col: s
     return found.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
-def deduplicated(df: DataFrame, least: int = 400, text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """df with the repeated strings taken out of its texts; length_col, if given, becomes the code points of changed texts."""
+def deduplicated(df: DataFrame, least: int = 400, text_col: str = "text", length_col: str | None = None, **options) -> DataFrame:
+    """df with the repeated strings taken out of its texts; length_col, if given, becomes the code points of changed texts. options: as of `removed`."""
 
     names = df.columns
     place, n, length_at = names.index(text_col), len(names), names.index(length_col) if length_col else None
 
-    def run(batches):
-        for batch in (part for b in batches for part in slices_of(b)):
-            kept, was = batch.column(n).to_pylist(), batch.column(place).to_pylist()
-            texts = [w if w is None else k.decode("utf-8", "ignore") for w, k in zip(was, kept, strict=True)]
-            columns = list(batch.columns[:n])
-            columns[place] = pa.array(texts, pa.string())
-            if length_at is not None:
-                told = columns[length_at].to_pylist()
-                columns[length_at] = pa.array([c if t == w else len(t) for c, t, w in zip(told, texts, was, strict=True)], columns[length_at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    found = removed(df, least, text_col=text_col)
-    return found.select(*(found[c] for c in names), "_kept").mapInArrow(run, df.schema)
+    def then(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kept, was = batch.column(n + 3).to_pylist(), batch.column(place).to_pylist()
+        texts = [w if w is None else k.decode("utf-8", "ignore") for w, k in zip(was, kept, strict=True)]
+        columns = list(batch.columns[:n])
+        columns[place] = pa.array(texts, pa.string())
+        if length_at is not None:
+            told = columns[length_at].to_pylist()
+            columns[length_at] = pa.array([c if t == w else len(t) for c, t, w in zip(told, texts, was, strict=True)], columns[length_at].type)
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    return _removed(df, least, text_col=text_col, then=then, schema=df.schema, **options)
