@@ -10,24 +10,31 @@ tokens, with at least `identity` of them equal. The whole item is reported if
 it counts, else the stretch with the most equal tokens, the shortest of those.
 Words inserted or left out only move an overlap to another diagonal.
 
-Test items are sent to the workers in slices of at most `slice_tokens` tokens
-(100 bytes a token with four masks), each slice one pass over the texts: the
-size of what is sent doesn't depend on the size of the test set.
+Workers hash the test items and store them in the shared folder in slices of
+about `slice_tokens` tokens (100 bytes a token with four masks). There is one
+pass over the texts: a task cuts a block of texts into tokens once and holds
+it against one slice after the other, so its memory doesn't depend on the size
+of the test set, of which the driver sees the slices' names only.
 
 A token is what is left of a white-space separated word after lower-casing
 and without its characters that are no letters or digits; a word of which
 nothing is left is no token. An item with fewer tokens than the shortest
 mask's span matches only if a text holds all its tokens in a row.
 
-Defined cases: null texts and items without tokens match nothing. Repeated
-rows give repeated results. A null item_id is reported as null.
+Defined cases: null texts and items without tokens match nothing, as do empty
+tables. Repeated rows give repeated results, repeated items one result each. A
+null item_id is reported as null. A very long text is cut and matched whole,
+as a block of its own.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Columns, bounded_batches, rows_of, slices_of
+from .common import Columns, Store, bounded_batches, rows_of, scratch_path, slices_of
 from .encoding import by_size
 
 #: Which tokens of a window a seed looks at.
@@ -106,7 +113,6 @@ class Items:
 class Matcher:
     def __init__(self, items: Items, identity: float, overlap: int):
         self.items, self.identity, self.overlap = items, identity, overlap
-        self.known = _Tokens()
         self.tables = [(m, np.unpackbits(b).view(bool), h, at) for m, b, h, at in items.tables]
 
     def hits(self, tokens: np.ndarray) -> np.ndarray:
@@ -150,21 +156,18 @@ class Matcher:
         k = np.lexsort((ends - starts, -found))[0]
         return first + int(starts[k]) + shift, int(ends[k] - starts[k]), int(found[k])
 
-    def matches(self, texts: list[bytes]) -> list[list[tuple]]:
-        """For each text: (item_id, start, length, matched), one an item, the best."""
-        cut = [tokens_of(t, self.known) for t in texts]
-        if len(self.known) > 600_000:
-            self.known.clear()
+    def matches(self, cut: list[np.ndarray]) -> list[list[tuple]]:
+        """For each text's tokens: (item_id, start, length, matched), one an item, the best."""
         starts = np.cumsum([0] + [len(t) for t in cut])
         flat = np.concatenate(cut) if cut else np.zeros(0, np.uint64)
-        out: list[list[tuple]] = [[] for _ in texts]
+        out: list[list[tuple]] = [[] for _ in cut]
         best: dict[tuple[int, int], tuple] = {}
         for item, shift in self.hits(flat).tolist():
             # seeds that reach over a border verify on neither side; both sides are tried
             size = int(self.items.starts[item + 1] - self.items.starts[item])
             low = max(0, int(np.searchsorted(starts, max(shift, 0), "right")) - 1)
             high = int(np.searchsorted(starts, min(shift + size, len(flat)), "left"))
-            for doc in range(low, min(high, len(texts))):
+            for doc in range(low, min(high, len(cut))):
                 got = self.verify(cut[doc], item, shift - int(starts[doc]))
                 if got and got[2] > best.get((doc, item), (0, 0, 0))[2]:
                     best[doc, item] = got
@@ -173,60 +176,87 @@ class Matcher:
         return out
 
 
-def slices(benchmark: DataFrame, most: int, id_col: str, text_col: str) -> Iterator[Items]:
-    """The test items, `most` tokens at a time (one item at least)."""
-    known, ids, tokens, size = _Tokens(), [], [], 0
-    rows = benchmark.select(benchmark[id_col].cast("long"), F.coalesce(benchmark[text_col].cast("string"), F.lit("")).cast("binary"))
-    for item_id, text in rows.toLocalIterator():
-        own = tokens_of(bytes(text), known)
-        if not len(own):
-            continue
-        if ids and size + len(own) > most:
-            yield Items.of(ids, tokens)
-            ids, tokens, size = [], [], 0
-        ids.append(item_id)
-        tokens.append(own)
-        size += len(own)
-    if ids:
-        yield Items.of(ids, tokens)
+@lru_cache(maxsize=2)
+def matcher(folder: str, name: str, identity: float, overlap: int) -> Matcher:
+    """A stored slice; a worker process keeps the last two."""
+    return Matcher(pickle.loads(Store(folder).read(name)), identity, overlap)
+
+
+class Slices:
+    """Stored slices of test items."""
+
+    def __init__(self, benchmark: DataFrame, most: int, id_col: str, text_col: str, identity: float, overlap: int):
+        spark = bounded_batches(benchmark.sparkSession)
+        self.folder, self.identity, self.overlap = scratch_path(spark, "test-items"), identity, overlap
+        rows = benchmark.select(benchmark[id_col].cast("long").alias("item_id"), F.coalesce(benchmark[text_col].cast("string"), F.lit("")).cast("binary").alias("text"))
+        size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+        folder, schema = self.folder, pa.schema([("name", pa.string())])
+
+        def store(batches):
+            known, ids, tokens, size = _Tokens(), [], [], 0
+
+            def close():
+                name = uuid.uuid4().hex
+                with Store(folder).write(name) as f:
+                    f.write(pickle.dumps(Items.of(ids, tokens)))
+                return pa.RecordBatch.from_pylist([{"name": name}], schema=schema)
+
+            for batch in batches:
+                for item_id, text in rows_of(batch):
+                    own = tokens_of(text, known)
+                    if ids and len(own) and size + len(own) > most:
+                        yield close()
+                        ids, tokens, size = [], [], 0
+                    if len(own):
+                        ids.append(item_id)
+                        tokens.append(own)
+                        size += len(own)
+            if ids:
+                yield close()
+
+        # a slice has some five bytes of text a token; slices are stored by tasks that have about one to store
+        told = rows.coalesce(max(1, int(size // (5 * most)))).mapInArrow(store, "name string")
+        self.names = sorted(r.name for r in told.collect())  # a name a slice
+
+    def found(self, rows: Iterator[tuple], known: _Tokens) -> Iterator[tuple[tuple, list[tuple]]]:
+        """Each row (.., text) with its matches."""
+        for block in by_size(rows, (2 << 20) if len(self.names) < 2 else (16 << 20)):
+            cut = [tokens_of(r[-1], known) for r in block]
+            if len(known) > 600_000:
+                known.clear()
+            got = [matcher(self.folder, name, self.identity, self.overlap).matches(cut) for name in self.names]
+            yield from ((row, [x for part in each for x in part]) for row, *each in zip(block, *got, strict=True))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, identity: float = 0.8, overlap: int = 13, slice_tokens: int = 200_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, start and length of the overlap in tokens, matched: one row a document and item found in it."""
-    spark = bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("text"))
-    spark_schema = "doc_id long, item_id long, start long, length long, matched long"
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "item_id", "start", "length", "matched")])
-    found = spark.createDataFrame([], spark_schema)
-    for items in slices(benchmark, slice_tokens, item_col, item_text_col):
-        sent = spark.sparkContext.broadcast(items)
+    items = Slices(benchmark, slice_tokens, item_col, item_text_col, identity, overlap)
 
-        def run(batches, sent=sent):
-            matcher = Matcher(sent.value, identity, overlap)
-            for batch in batches:
-                out = Columns(schema)
-                for rows in by_size(rows_of(batch)):
-                    for (doc_id, _), got in zip(rows, matcher.matches([t for _, t in rows]), strict=True):
-                        for x in got:
-                            out.add(doc_id, *x)
-                yield out.take()
+    def run(batches):
+        known = _Tokens()
+        for batch in batches:
+            out = Columns(schema)
+            for (doc_id, _), got in items.found(rows_of(batch), known):
+                for x in got:
+                    out.add(doc_id, *x)
+            yield out.take()
 
-        found = found.unionByName(own.mapInArrow(run, spark_schema))
-    return found
+    return own.mapInArrow(run, "doc_id long, item_id long, start long, length long, matched long")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, identity: float = 0.8, overlap: int = 13, slice_tokens: int = 200_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, in which no test item is found."""
-    spark, at = bounded_batches(docs.sparkSession), docs.columns.index(text_col)
-    for items in slices(benchmark, slice_tokens, item_col, item_text_col):
-        sent = spark.sparkContext.broadcast(items)
-
-        def run(batches, sent=sent):
-            matcher = Matcher(sent.value, identity, overlap)
-            for batch in (part for b in batches for part in slices_of(b)):
-                texts = ((t.encode("utf-8") if t else b"",) for t in batch.column(at).to_pylist())
-                keep = [not got for rows in by_size(texts) for got in matcher.matches([t for (t,) in rows])]
-                yield batch.filter(pa.array(keep, pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    bounded_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    items = Slices(benchmark, slice_tokens, item_col, item_text_col, identity, overlap)
+
+    def run(batches):
+        known = _Tokens()
+        for batch in (part for b in batches for part in slices_of(b)):
+            texts = ((t.encode("utf-8") if t else b"",) for t in batch.column(at).to_pylist())
+            yield batch.filter(pa.array([not got for _, got in items.found(texts, known)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
