@@ -16,7 +16,8 @@ Defined cases: a null html is the empty payload. Payloads below `least` bytes
 are never revisits. Of equal payloads the largest page_id is the response;
 repeated rows with that page_id and payload are responses each. A null page_id
 counts as smaller than any other, and where every copy lacks an id all are
-responses.
+responses. A very long payload is one record, held whole by the task that
+writes or reads it. An empty table gives no archives and no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Columns, Store, rows_of, scratch_path, scratch_table
+from .common import Columns, Store, Told, rows_of, scratch_path, scratch_table
 
 #: Fixed date of the archives, so that they are the same each time.
 DATE = "2024-01-01T00:00:00Z"
@@ -110,42 +111,50 @@ def inflated(source) -> Iterator[bytes]:
                 raw, engine = engine.unused_data, zlib.decompressobj(31)
 
 
-def decided(pages: DataFrame, least: int, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, payload, digest, keeper (the response's page_id, or null where the page has no larger copy)."""
+def decided(pages: DataFrame, least: int, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[DataFrame, Told]:
+    """A written table of page_id, url, payload, digest, row; and by row, for pages with a larger copy, that copy's page_id.
+
+    Digests decide; payloads are never shuffled.
+    """
     payload = F.coalesce(pages[html_col].cast("string"), F.lit("")).cast("binary")
     own = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), payload.alias("payload"))
-    own = own.withColumn("digest", F.sha1("payload"))
+    own = scratch_table(own.select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("bytes"), F.monotonically_increasing_id().alias("row")), "warc-pages")
+    long = own.where(F.col("bytes") >= least).select("page_id", "digest", "row")
     # a row a digest after map-side combining: the group of a hot payload is never gathered
-    copies = own.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
-    copies = copies.where("n > 1").select(F.col("digest").alias("copied"), "keeper")
-    joined = own.join(copies, (own.digest == copies.copied) & (F.octet_length("payload") >= least), "left")
-    return joined.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("keeper"))
+    copies = long.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("digest", "keeper")
+    told = long.join(copies, "digest").where("not page_id <=> keeper and keeper is not null").select("row", F.col("keeper").alias("value"))
+    return own.select("page_id", "url", "payload", "digest", "row"), Told(told, "warc-revisits")
 
 
-def archive(pages: DataFrame, least: int = 1000, **columns) -> tuple[str, DataFrame]:
-    """Writes monolithic archives; gives their folder and the manifest (name, records)."""
+def archive(pages: DataFrame, least: int = 1000, most: int = 1 << 30, **columns) -> tuple[str, DataFrame]:
+    """Writes monolithic archives of about `most` inflated bytes at most; gives their folder and the manifest (name, records)."""
     folder = scratch_path(pages.sparkSession, "warc-whole")
     schema = pa.schema([("name", pa.string()), ("records", pa.int64())])
+    own, revisits = decided(pages, least, **columns)
 
     def run(batches):
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
-        name, n = f"{uuid.uuid4().hex}.warc.gz", 0
-        with Store(folder).write(name) as f:
-            engine = zlib.compressobj(4, zlib.DEFLATED, 31)
-            f.write(engine.compress(record("warcinfo", [("WARC-Record-ID", "<urn:info>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")))
-            batch = first
-            while batch is not None:
-                for page_id, url, payload, digest, keeper in rows_of(batch):
-                    f.write(engine.compress(page_record(page_id, url, payload, digest, keeper, keeper is not None)))
-                    n += 1
-                batch = next(batches, None)
-            f.write(engine.flush())
-        yield pa.RecordBatch.from_pylist([{"name": name, "records": n}], schema=schema)
-
-    manifest = decided(pages, least, **columns).mapInArrow(run, "name string, records long")
-    return folder, scratch_table(manifest, "warc-whole-manifest")
+        look, waiting = revisits.reader(), None
+
+        def rows():
+            for batch in batches:
+                found, keeper = look(batch.column(4).to_numpy())
+                yield from zip(rows_of(batch), found.tolist(), keeper.tolist(), strict=True)
+
+        source = rows()
+        while (waiting := waiting or next(source, None)) is not None:
+            name, n, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+            with Store(folder).write(name) as f:
+                engine = zlib.compressobj(4, zlib.DEFLATED, 31)
+                f.write(engine.compress(record("warcinfo", [("WARC-Record-ID", "<urn:info>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")))
+                while waiting is not None and (not n or size < most):
+                    (page_id, url, payload, digest, _), revisit, keeper = waiting
+                    data = page_record(page_id, url, payload, digest, keeper if revisit else None, revisit)
+                    f.write(engine.compress(data))
+                    n, size, waiting = n + 1, size + len(data), next(source, None)
+                f.write(engine.flush())
+            yield pa.RecordBatch.from_pylist([{"name": name, "records": n}], schema=schema)
+
+    return folder, scratch_table(own.mapInArrow(run, "name string, records long"), "warc-whole-manifest")
 
 
 def normalise(folder: str, manifest: DataFrame) -> tuple[str, DataFrame]:
