@@ -1,9 +1,11 @@
 """Token ids in binary shards, each document compressed with one shared zstandard dictionary.
 
-A shard holds documents in ascending order of doc_id. Layout of
-``shard-NNNNN.ids``: the magic ``BLIDS1``, a byte for the width of an id (2 or
+A shard holds documents in ascending order of doc_id: frames are dealt by
+ranges of (doc_id, checksum, row), so neither many null ids nor many equal
+ones come to one task, and a range's file is closed at SHARD_BYTES. Layout of
+``shard-NNNNN-NNN.ids``: the magic ``BLIDS1``, a byte for the width of an id (2 or
 4), the SHA-256 of the dictionary, then one zstandard frame a document. Beside
-it, ``shard-NNNNN.idx``: the same SHA-256, then for each document four
+it, ``shard-NNNNN-NNN.idx``: the same SHA-256, then for each document four
 little-endian 64-bit integers: doc_id, offset of its frame, length of its
 frame, number of ids. The dictionary is ``dictionary.zstd``. A short document
 is read with one seek into the index and one into the shard.
@@ -14,7 +16,8 @@ that bound is a parameter. It changes sizes only, never contents.
 
 Order: doc_id, then the text's checksum for repeated ids; a null doc_id comes
 first and is kept as -2**63 in the index. Null text is empty and holds the end
-id alone. An empty table gives no shards and no rows.
+id alone. An empty table gives no shards and no rows. A very long text is one
+frame.
 """
 
 from __future__ import annotations
@@ -90,45 +93,45 @@ def write_shards(df: DataFrame, tokenizer: str, end_id: int = 2, vocabulary: int
         f.write(coding.dictionary)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-size // SHARD_BYTES))
-    bounds = docs.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.1 / shards) if shards > 1 else []
-    edges = np.unique(np.array([int(x) for x in bounds], np.int64))  # where shards begin
 
     def encode(batches):
-        schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("crc", pa.int64()), ("n_ids", pa.int64()), ("frame", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("crc", pa.int64()), ("n_ids", pa.int64()), ("frame", pa.binary())])
         pack = coding.compressor()
         for batch in batches:
             for rows in by_size(rows_of(batch)):
                 out = Columns(schema)
                 for (doc_id, text), ids in zip(rows, encoder(tokenizer).encode([t for _, t in rows]), strict=True):
-                    shard = 0 if doc_id is None else int(np.searchsorted(edges, doc_id, "right"))
-                    out.add(shard, doc_id, zlib.crc32(text), len(ids) // 4 + 1, pack.compress(_narrow(ids + end, width)))
+                    out.add(doc_id, zlib.crc32(text), len(ids) // 4 + 1, pack.compress(_narrow(ids + end, width)))
                 yield out.take()
 
-    frames = docs.mapInArrow(encode, "shard int, doc_id long, crc long, n_ids long, frame binary")
-    dealt = frames.repartitionById(len(edges) + 1, F.col("shard")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc")
+    frames = scratch_table(docs.mapInArrow(encode, "doc_id long, crc long, n_ids long, frame binary"), "token-frames", "none")
+    # the row's number parts rows that are equal in all else
+    order = [F.col("doc_id").asc_nulls_first(), F.col("crc").asc(), F.col("row").asc()]
+    dealt = frames.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(shards, *order)
+    dealt = dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "crc", "n_ids", "frame", "row").sortWithinPartitions(*order)
 
     def write(batches):
-        schema = pa.schema([("shard", pa.int32()), ("name", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
-        shard = first.column(0)[0].as_py()
-        name, store, index, at = f"shard-{shard:05d}", Store(folder), [], len(MAGIC) + 33
-        with store.write(name + ".ids") as f:
-            f.write(MAGIC + bytes([coding.width]) + coding.digest)
-            batch = first
-            while batch is not None:
-                for _, doc_id, _, n, frame in rows_of(batch):
+        schema = pa.schema([("shard", pa.int64()), ("name", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
+        source = ((shard, doc_id, n, frame) for batch in batches for shard, doc_id, _, n, frame, _ in rows_of(batch))
+        waiting, parts = next(source, None), 0
+        while waiting is not None:  # a range with long documents gives several shards
+            shard, name, store = waiting[0], f"shard-{waiting[0]:05d}-{parts:03d}", Store(folder)
+            index, at = [], len(MAGIC) + 33
+            with store.write(name + ".ids") as f:
+                f.write(MAGIC + bytes([coding.width]) + coding.digest)
+                while waiting is not None and (not index or at < SHARD_BYTES):
+                    _, doc_id, n, frame = waiting
                     f.write(frame)
                     index.append((NULL_ID if doc_id is None else doc_id, at, len(frame), n))
                     at += len(frame)
-                batch = next(batches, None)
-        table = np.array(index, "<i8")
-        with store.write(name + ".idx") as f:
-            f.write(coding.digest + table.tobytes())
-        yield pa.RecordBatch.from_pylist([{"shard": shard, "name": name, "docs": len(index), "tokens": int(table[:, 3].sum())}], schema=schema)
-
-    manifest = scratch_table(dealt.mapInArrow(write, "shard int, name string, docs long, tokens long"), "token-manifest")
+                    waiting = next(source, None)
+            table = np.array(index, "<i8")
+            with store.write(name + ".idx") as f:
+                f.write(coding.digest + table.tobytes())
+            yield pa.RecordBatch.from_pylist([{"shard": shard << 32 | parts, "name": name, "docs": len(index), "tokens": int(table[:, 3].sum())}], schema=schema)
+            parts += 1
+
+    manifest = scratch_table(dealt.mapInArrow(write, "shard long, name string, docs long, tokens long"), "token-manifest")
     # one row a shard, so one task is enough for the running sum
     first = F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return folder, coding, manifest.withColumn("first", first)
