@@ -19,13 +19,15 @@ Labels, lang, source and doc_id are no inputs of a score.
 Defined cases: null text is empty and gets the score of a text without hits.
 Without training rows of both classes the lexicon is empty and the score is
 the share of toxic training rows, smoothed. Repeated rows give repeated
-results; of repeated labels each counts.
+results; of repeated labels each counts. A very long text is read whole, by
+one task. Without documents there are no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property
@@ -153,7 +155,8 @@ class ToxicityModel:
             told = {i for i, w in enumerate(words) if w in REPORTING}
             for i, kind in enumerate(kinds):
                 if kind is not None:
-                    open_before = sum(q < i for q in quotes) % 2 and any(0 < q - i <= self.window for q in quotes)
+                    before, after = bisect_left(quotes, i), bisect_right(quotes, i)
+                    open_before = before % 2 and after < len(quotes) and quotes[after] - i <= self.window
                     counts[kind + 4 * bool(open_before or any(j in told for j in range(i - self.window, i + self.window + 1)))] += 1
         return np.concatenate([[1.0], np.log1p(counts)])
 
@@ -196,12 +199,13 @@ def _varied(train: DataFrame, marked: list, least: int) -> set[tuple[bool, str]]
     return {(r.stem, r.entry) for r in pairs.groupBy("stem", "entry").count().where(F.col("count") >= least).collect()}
 
 
-def learn_lexicon(train: DataFrame, least_docs: int = 5, purity: float = 0.9, most: int = 2000) -> tuple[set[str], set[str]]:
+def learn_lexicon(train: DataFrame, least_docs: int = 5, purity: float = 0.9) -> tuple[set[str], set[str]]:
     """Terms and stems that mark label 1: Spark counts, for each word and word beginning, the documents of either label.
 
     An entry needs `least_docs` documents and as many different words before
-    it. Of beginnings that say the same, the shortest is kept. `most` bounds
-    the lexicon, by documents covered.
+    it. Of beginnings that say the same, the shortest is kept. The lexicon is
+    bounded by the training sample: it has at most a `least_docs`th of the
+    different words and beginnings of the sample's documents, summed.
     """
 
     def run(batches):
@@ -222,19 +226,23 @@ def learn_lexicon(train: DataFrame, least_docs: int = 5, purity: float = 0.9, mo
         yield rows()
 
     counts = train.select("text", "label").mapInArrow(run, "entry string, stem boolean, bad long, good long").groupBy("entry", "stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    marked = counts.where((F.col("bad") >= least_docs) & (F.col("bad") >= purity * (F.col("bad") + F.col("good")))).orderBy(F.desc("bad"), "entry", "stem").limit(10 * most).collect()
+    marked = counts.where((F.col("bad") >= least_docs) & (F.col("bad") >= purity * (F.col("bad") + F.col("good")))).collect()  # bound: see above
     varied = _varied(train, marked, least_docs)
     marked = [r for r in marked if (r.stem, r.entry) in varied]
-    covered = {(r.stem, r.entry): r.bad for r in marked}
+    # by beginning, the documents of the word that covers most
+    best: dict[str, int] = {}
+    for r in marked:
+        if not r.stem:
+            for n in range(4, min(len(r.entry), 7) + 1):
+                best[r.entry[:n]] = max(best.get(r.entry[:n], 0), r.bad)
     stems: set[str] = set()
     for r in sorted(marked, key=lambda r: (len(r.entry), -r.bad, r.entry)):
         if r.stem and not any(r.entry[:n] in stems for n in range(4, len(r.entry))):
             # a beginning stands for several words, else the word itself says as much
-            if r.bad > 1.5 * max((covered.get((False, w.entry), 0) for w in marked if not w.stem and w.entry.startswith(r.entry)), default=0):
+            if r.bad > 1.5 * best.get(r.entry, 0):
                 stems.add(r.entry)
     terms = {r.entry for r in marked if not r.stem and not any(r.entry[:n] in stems for n in range(4, len(r.entry) + 1))}
-    kept = sorted([(-covered[True, s], 0, s) for s in stems] + [(-covered[False, t], 1, t) for t in terms])[:most]
-    return {e for _, k, e in kept if k}, {e for _, k, e in kept if not k}
+    return terms, stems
 
 
 def train_model(docs: DataFrame, labels: DataFrame, sample: int = 20_000, window: int = 8) -> ToxicityModel:
