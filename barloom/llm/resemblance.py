@@ -1,14 +1,16 @@
-"""Near-duplicates by the Jaccard similarity of their shingles.
+"""SimHash near-duplicates whose links are held to a Jaccard similarity of shingles.
 
 A document's shingles are the distinct runs of `width` words, lower-cased. Two
 documents are near-duplicates if their shingle sets have a Jaccard similarity
 of at least `similarity`; groups are what such links connect.
 
-At a similarity of 0.8 fingerprints of 64 bits lie some ten bits apart, where
-no block of bits is both shared and selective. Candidates come from MinHash
-instead: BANDS keys of ROWS minima each, and documents that agree in one key
-are candidates. At a similarity of s a pair is found with the probability
-1 - (1 - s ** ROWS) ** BANDS, which is 0.99997 at 0.8.
+Candidates are, first, documents whose fingerprints of these shingles are
+within `radius` bits, by the BK-trees of simhash.py. At a similarity of 0.8
+fingerprints of 64 bits lie some ten bits apart, though, where no block of
+bits is both shared and selective and a BK-tree prunes nothing. So MinHash
+widens the candidates: BANDS keys of ROWS minima each, and documents that
+agree in one key are candidates, too. At a similarity of s a pair is found
+with the probability 1 - (1 - s ** ROWS) ** BANDS, which is 0.99997 at 0.8.
 
 Documents with the same words are merged first. Candidates are joined into
 groups, and a group's shingle sets go to one task, where every link is
@@ -35,9 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Columns, keep_in_place, rows_of, scratch_table, slices_of
+from .common import Columns, keep_in_place, rows_of, scratch_table, slices_of, words_of
 from .components import components
-from .simhash import NAMELESS
+from .simhash import NAMELESS, links, majority
 
 BANDS, ROWS = 26, 5
 _draw = np.random.default_rng(42)
@@ -46,28 +48,17 @@ _FACTORS = _draw.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) +
 _BAND_FACTORS = _draw.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class _Words(dict):
-    """The hash of each word."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word, 42)
-        return h
-
-
-def shingles(text: bytes, width: int, known: _Words) -> tuple[int, np.ndarray]:
+def shingles(text: bytes, width: int) -> tuple[int, np.ndarray]:
     """The hash of all words in a row, and the sorted distinct hashes of the shingles."""
-    words = text.lower().split()
-    whole = xxhash.xxh64_intdigest(b" ".join(words), 42)
-    n = len(words) - width + 1
+    found = words_of(text.lower())[0]
+    whole = xxhash.xxh64_intdigest(found.tobytes(), 42)
+    n = len(found) - width + 1
     if n <= 1:
         return whole, np.array([whole], np.uint64)
-    found = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     h = np.full(n, width, np.uint64)
     for k in range(width):
         h = (h ^ found[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    if len(known) > 600_000:
-        known.clear()
     return whole, np.unique(h)
 
 
@@ -117,8 +108,8 @@ def similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     return links
 
 
-def _candidates(distinct: DataFrame) -> DataFrame:
-    """a, b: each text (column key) and the smallest one that has the same band, for each band."""
+def _candidates(rows: DataFrame) -> DataFrame:
+    """a, b: each text (column key) and the smallest one that has the same band or the same fingerprint, for each of these."""
 
     def run(batches):
         at, first = None, None
@@ -132,8 +123,9 @@ def _candidates(distinct: DataFrame) -> DataFrame:
                     out.add(key, first)
             yield out.take()
 
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = distinct.select(F.explode("bands").alias("band"), "key")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fp = F.array(F.xxhash64("fp", F.lit("fingerprint")))
+    dealt = rows.select(F.explode(F.concat("bands", fp)).alias("band"), "key").distinct()  # equal texts become one where they are read
     return dealt.repartition(n, "band").sortWithinPartitions("band", "key").mapInArrow(run, "a long, b long")
 
 
@@ -165,45 +157,43 @@ def _verified(sets: DataFrame, similarity: float) -> DataFrame:
     return sets.repartition(n, "root").sortWithinPartitions("root", "node").mapInArrow(run, "a long, b long")
 
 
-def one_of_each(df: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(df: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, all columns, one of each group of near-duplicates: the smallest doc_id's; of repeated rows one."""
     id_at, text_at, names = df.columns.index(id_col), df.columns.index(text_col), df.columns
     plain = [f"c{i}" for i in range(len(names))]
     inner = df.toDF(*plain).withColumn("row", F.monotonically_increasing_id())
-    fields = T.StructType([*inner.schema.fields, T.StructField("key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    fields = T.StructType([*inner.schema.fields, T.StructField("key", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def encoded(t) -> bytes:
         return t.encode("utf-8") if t else b""
 
     def sign(batches):
-        known = _Words()
         for batch in (part for b in batches for part in slices_of(b)):
-            keys, signs = [], []
+            keys, fps, signs = [], [], []
             for t in batch.column(text_at).to_pylist():
-                whole, found = shingles(encoded(t), width, known)
+                whole, found = shingles(encoded(t), width)
                 keys.append(whole - (whole >> 63 << 64))
+                fps.append(majority(found))
                 signs.append(bands(found))
+            fp = np.array(fps, np.uint64).view(np.int64)
             values = pa.array(np.concatenate(signs) if signs else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(signs) + 1, dtype=np.int32) * BANDS), values)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64()), lists], names=[*batch.schema.names, "key", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64()), pa.array(fp), lists], names=[*batch.schema.names, "key", "fp", "bands"])
 
     rows = scratch_table(inner.mapInArrow(sign, fields), "resemblance-rows")
     own = rows.select(F.col(f"c{id_at}").cast("long").alias("doc_id"), "key", "row")
     # a text's node is its smallest doc_id, so that a text and another of the same document are one
     node = F.coalesce(F.min("doc_id"), F.lit(NAMELESS) + F.shiftrightunsigned(F.first("key"), 2))
-    distinct = scratch_table(rows.select(F.col(f"c{id_at}").cast("long").alias("doc_id"), "key", "row", "bands").groupBy("key").agg(node.alias("node"), F.min("row").alias("row"), F.first("bands").alias("bands")), "resemblance-distinct")
-    grouped = components(_candidates(distinct)).withColumnRenamed("node", "member")
+    distinct = scratch_table(rows.select(F.col(f"c{id_at}").cast("long").alias("doc_id"), "key", "row", "fp").groupBy("key").agg(node.alias("node"), F.min("row").alias("row"), F.min("fp").alias("fp")), "resemblance-distinct")
+    trees = links(scratch_table(distinct.groupBy("fp").agg(F.min("key").alias("node")), "resemblance-fingerprints"), radius)
+    grouped = components(_candidates(rows.select("bands", "fp", "key")).unionByName(trees)).withColumnRenamed("node", "member")
     members = scratch_table(distinct.join(grouped, distinct.key == grouped.member).select("key", "node", "row", "root"), "resemblance-members")
 
-    def take(batches):
-        known, schema = _Words(), pa.schema([("key", pa.int64()), ("shingles", pa.binary())])
-        for batch in batches:
-            out = Columns(schema)
-            for text, key in rows_of(batch):
-                out.add(key, shingles(encoded(text), width, known)[1].tobytes())
-            yield out.take()
+    def take(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingles(encoded(t), width)[1].tobytes() for t in batch.column(0).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], names=["key", "shingles"])
 
-    texts = keep_in_place(rows, members.select("row"), "row", "resemblance-texts").select(F.col(f"c{text_at}").cast("string"), "key").mapInArrow(take, "key long, shingles binary")
+    texts = keep_in_place(rows.select(F.col(f"c{text_at}").cast("string").alias("text"), "key", "row"), members.select("row"), "row", "resemblance-texts", take, "key long, shingles binary")
     sets = texts.join(members, "key").select("root", "node", "shingles")
     found = components(_verified(sets, similarity)).withColumnRenamed("node", "member")
     root = F.coalesce("root", "node")

@@ -55,6 +55,11 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
 _WEIGHTS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are those set in over half of the hashes."""
+    return int((_WEIGHTS[2 * bit_counts(hashes) > len(hashes)]).sum(dtype=np.uint64))
+
+
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     words = text.lower().split()
     if not words:
@@ -66,8 +71,7 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
         shingles = map(join, zip(words, words[1:], words[2:], strict=False))
     else:
         shingles = (join(words[i : i + width]) for i in range(len(words) - width + 1))
-    hashes = np.fromiter((digest(s, seed) for s in shingles), np.uint64)
-    return int((_WEIGHTS[2 * bit_counts(hashes) > len(hashes)]).sum(dtype=np.uint64))
+    return majority(np.fromiter((digest(s, seed) for s in shingles), np.uint64))
 
 
 def fingerprints(df: DataFrame, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
