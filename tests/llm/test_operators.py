@@ -305,6 +305,44 @@ def test_suffix_dedup(docs, texts, empty, spark):
     assert out[0].text == "" and out[0].n_chars == 0 and out[5].text is None and out[7].text == "word" and out[3].Block == "clash"
 
 
+def test_suffix_dedup_by_words(docs, texts, empty):
+    times, cut = Counter(), {}
+    for i, t in enumerate(texts):
+        cut[i] = list(WORD.finditer(t or ""))
+        words = [m.group() for m in cut[i]]
+        times.update(tuple(words[k : k + 50]) for k in range(len(words) - 49))
+    for options in ({}, {"hot": 1}, {"period": 500}):
+        for r in suffix_dedup.removed(docs, 50, **{"core": 12, "period": 8} | options, unit=suffix_dedup.WORDS).collect():
+            words, gone = [m.group() for m in cut[r.doc_id]], [False] * len(texts[r.doc_id] or "")
+            covered = {j for k in range(len(words) - 49) if times[tuple(words[k : k + 50])] > 1 for j in range(k, k + 50)}
+            for j in covered:
+                end = cut[r.doc_id][j + 1].start() if j + 1 in covered else cut[r.doc_id][j].end()
+                gone[cut[r.doc_id][j].start() : end] = [True] * (end - cut[r.doc_id][j].start())
+            assert bytes(r._kept).decode() == "".join(c for c, g in zip(texts[r.doc_id] or "", gone, strict=True) if not g), r.doc_id
+    assert suffix_dedup.removed(empty, 50, 12, 8, unit=suffix_dedup.WORDS).count() == 0
+
+
+def test_suffix_dedup_with_clashing_names_and_repeated_rows(docs):
+    odd = docs.selectExpr("text", "doc_id", "doc_id as _kept", "text as c0", "'x' as _n_bytes", "1L as n_chars", "null as mark0", "'b' as block")
+    out = suffix_dedup.deduplicated(odd, length_col="n_chars")
+    assert out.columns == odd.columns and {(r.doc_id, r._kept) for r in out.collect()} == {(r.doc_id, r.doc_id) for r in docs.collect()}
+    twice = docs.where("doc_id in (10, 19)").selectExpr("cast(null as long) doc_id", "text")
+    assert all(r.n_removed == (r.n_bytes if r.n_bytes >= 400 else 0) for r in suffix_dedup.digests(twice.union(twice)).collect())
+
+
+def test_equal_hashes_with_other_checks_are_counted_apart(spark):
+    rows = spark.createDataFrame([(i, i) for i in range(6)], "block long, n int").repartition(3)
+
+    def ask(row):
+        if row[1] == 5:
+            return row[0], np.array([7, 7, 9], np.uint64), [np.array([1, 1, 1])], np.array([1, 2, 0], np.uint64)
+        return row[0], np.array([7, 9], np.uint64), [np.array([1, 1])], np.array([row[1] % 2 + 1, 0], np.uint64)
+
+    answers, _ = blocks.exchange(rows, ask, 1, 12, "check")
+    assert answers.of(5, 3)[0].tolist() == [4, 3, 6] and [answers.of(i, 2)[0].tolist() for i in range(3)] == [[4, 6], [3, 6], [4, 6]]
+    assert sum(answers.of(i, 2)[1][0] for i in range(5)) + sum(answers.of(5, 3)[1][:2]) == 2
+
+
 def test_equal_strings_exactly():
     rng = random.Random(10)
     rows = [("".join(rng.choices("ab", k=rng.randrange(0, 5))).encode(), "".join(rng.choices("ab", k=8)).encode()) for _ in range(60)]
