@@ -15,21 +15,22 @@ from barloom.llm.common import scratch_table
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    found = quality.verdicts(docs, docs.columns, prefix="_quality_")
-    return found.where("_quality_kept").select(*docs.columns)
+    found = quality.verdicts(docs, docs.columns)
+    inner = [f"c{i}" for i in range(len(found.columns))]  # documents may have columns of the same names
+    return found.toDF(*inner).where(inner[-1]).select(*inner[: len(docs.columns)]).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, whose five-word shingles have a Jaccard similarity of 0.8 or more: the one with the smallest doc_id."""
-    return resemblance.one_of_each(docs, similarity=0.8, width=5)
+    return resemblance.one_of_each(docs, similarity=0.8, width=5, radius=2)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 400 bytes that occur elsewhere too; a document of which nothing is left goes.
+    """Documents without the strings of 50 words that occur elsewhere too; a document of which nothing is left goes.
 
     n_chars is the length of what is left.
     """
-    return suffix_dedup.deduplicated(docs, least=400, length_col="n_chars").where("length(text) > 0")
+    return suffix_dedup.deduplicated(docs, least=50, core=12, period=8, unit=suffix_dedup.WORDS, length_col="n_chars").where("length(text) > 0")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
