@@ -1032,6 +1032,19 @@ def chart_tail(spark, sf_dir):
     return shown(out, ["open", "high", "low", "close", "volume", "EMA_20", "RSI_14", F.round(F.col("CDL_HAMMER_marker") + NUDGE, 6).alias("CDL_HAMMER_marker")])
 
 
+INJECTED = ["RSI_14", "EMA_20", "EMA_50", "EMA_200", "MACD_hist", "MACD", "ADX_14", "STOCH_K", "SUPERT_dir", "CCI_20", "MFI_14", "volume_ratio"]
+_FOUR_BARS = "bars AS (SELECT symbol, time_bucket(INTERVAL 4 HOUR, ts, TIMESTAMP '1970-01-01') AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume FROM hours GROUP BY 1, 2)"
+_ON_FOUR = _FEATURED.replace("RECURSIVE bars AS (", "RECURSIVE hours AS (", 1).replace("GROUP BY 1, 2), base AS", f"GROUP BY 1, 2), {_FOUR_BARS}, base AS", 1)
+
+
+@query(f"{_ON_FOUR}, told AS (SELECT symbol, ts + INTERVAL 4 HOUR AS ts, 0 AS side, {', '.join(chr(34) + c + chr(34) for c in INJECTED)}, CASE WHEN close >= \"EMA_50\" THEN 1 ELSE -1 END AS trend_dir FROM features UNION ALL SELECT symbol, ts, 1, {', '.join('NULL' for _ in INJECTED)}, NULL FROM hours), filled AS (SELECT symbol, ts, side, {', '.join(f'last_value({chr(34)}{c}{chr(34)} IGNORE NULLS) OVER o AS {chr(34)}{c}{chr(34)}' for c in [*INJECTED, 'trend_dir'])} FROM told WINDOW o AS (PARTITION BY symbol ORDER BY ts, side ROWS UNBOUNDED PRECEDING)) SELECT symbol, {TS}, {', '.join(f'round({chr(34)}{c}{chr(34)}, 6) AS {chr(34)}HTF_4h_{c}{chr(34)}' for c in [*INJECTED, 'trend_dir'])} FROM filled WHERE side = 1")
+def htf_columns(spark, sf_dir):
+    """Columns of completed bars of four hours, carried forward to the hourly ones."""
+    b = hourly(spark, sf_dir)
+    out = asof.inject_higher(b, source.higher(b, "4h"), "4h", INJECTED, completed_only=True)
+    return shown(out, [f"HTF_4h_{c}" for c in [*INJECTED, "trend_dir"]])
+
+
 CATALOGUED = ["EMA_20", "EMA_200", "RSI_14", "STOCH_K", "WILLR_14", "CCI_20", "MFI_14", "CMF_20", "MACD_hist", "ADX_14", "volume_ratio", "BB_lower_20", "KC_lower", "PSAR_dir", "SUPERT_dir", "CDL_HAMMER"]
 _KIND_SQL = {"osc": "{x} < {t}", "lt": "{x} < {t}", "band_pct": "{x} < {t}", "gt": "{x} > {t}", "sign": "{x} > 0", "flag": "{x} = 1", "cdl": "{x} > 0", "ma": "close > {x}", "band_lower": "close < {x}"}
 
