@@ -23,6 +23,7 @@ from .common import Store, rows_of, scratch_path, scratch_table
 
 #: Entries that a bucket's task holds, about.
 BUCKET_ENTRIES = 1_500_000
+_PLAIN = 0x80
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -31,12 +32,14 @@ def pack(values: np.ndarray) -> bytes:
     used = 8
     while used > 1 and not raw[:, used - 1].any():
         used -= 1
-    return bytes([used]) + zstandard.ZstdCompressor(level=1).compress(raw[:, :used].T.tobytes())
+    planes = raw[:, :used].T.tobytes()
+    # few bytes stay as they are: a frame's head would cost more than it saves
+    return bytes([used | _PLAIN]) + planes if len(planes) < 64 else bytes([used]) + zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    used = blob[0]
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.uint8).reshape(used, -1)
+    used, plain = blob[0] & ~_PLAIN, blob[0] & _PLAIN
+    planes = np.frombuffer(blob[1:] if plain else zstandard.ZstdDecompressor().decompress(blob[1:]), np.uint8).reshape(used, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :used] = planes.T
     return out.view("<u8").reshape(-1)

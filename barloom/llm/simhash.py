@@ -12,8 +12,10 @@ the edges of a spanning forest, at most one less than its fingerprints,
 whatever the number of pairs.
 
 A shard beyond `most` fingerprints is split again by the same argument: of the
-bits outside its block, one of radius + 1 parts agrees. That is repeated once
-more for parts that are still too large; what then remains agrees in most bits.
+bits outside its block, one of radius + 1 parts agrees. That is repeated for
+parts that are still too large, four rounds at most. At radius 2 there are
+then 14 free bits: no tree is larger than 2 ** 14, however dense the
+fingerprints lie.
 
 Components come from rounds of local union-find over dealt links, each round
 written to the shared folder; no table of all links, components or
@@ -165,13 +167,22 @@ def _levels(radius: int, bits: list[int], depth: int) -> list[tuple[str, list[in
     return [(f"{depth}.{i}", part) for i, part in enumerate(_blocks(bits, radius + 1))]
 
 
-def links(distinct: DataFrame, radius: int, most: int = 20_000, depth: int = 3) -> DataFrame:
+def _rounds(radius: int, most: int) -> int:
+    """Splits after which the free bits tell at most `most` fingerprints apart, four at most."""
+    free, n = BITS, 0
+    while 2**free > most and n < 4:
+        free, n = free - max(1, free // (radius + 1)), n + 1
+    return max(1, n)
+
+
+def links(distinct: DataFrame, radius: int, most: int = 20_000) -> DataFrame:
     """a, b: links between the nodes of distinct fingerprints (columns fp, node) that connect all within the radius."""
     spark = distinct.sparkSession
     # rows: fp, node, path (the blocks fixed so far, by name), key (their bits' values)
     open_rows = distinct.select("fp", "node", F.lit("").alias("path"), F.lit(0).cast("long").alias("key"))
     fixed: dict[str, list[int]] = {"": []}
     ready = []
+    depth = _rounds(radius, most)
     for level in range(depth):
         after, branches = {}, []
         for path, bits in fixed.items():
