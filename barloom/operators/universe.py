@@ -26,18 +26,18 @@ def active(pairs: DataFrame, chosen: list[str] | None = None) -> DataFrame:
 
 def selected(pairs: DataFrame, filters: list[dict]) -> DataFrame:
     """The pairs that a list of filters leaves, by volume: VolumePairList (number_assets, min_value), AgeFilter (min_days_listed), OffsetFilter (offset, number_assets)."""
-    out = pairs
+    out, ranked = pairs, (F.desc("volume_24h"), F.asc("symbol"))
     for f in filters:
-        place = F.row_number().over(Window.orderBy(F.desc("volume_24h"), "symbol"))  # a row a pair
         match f["method"]:
             case "VolumePairList":
-                out = out.where(F.col("volume_24h") >= f.get("min_value", 0)).withColumn("_p", place).where(F.col("_p") <= f.get("number_assets", 80)).drop("_p")
+                out = out.where(F.col("volume_24h") >= f.get("min_value", 0)).orderBy(*ranked).limit(f.get("number_assets", 80))
             case "AgeFilter":
                 if f.get("use_age", False):  # by default ages count as unknown and old enough
                     out = out.where(F.datediff(F.current_date(), "data_start") >= f.get("min_days_listed", 0))
             case "OffsetFilter":
-                start = f.get("offset", 0)
-                out = out.withColumn("_p", place).where((F.col("_p") > start) & (F.col("_p") <= start + f.get("number_assets", 1 << 30))).drop("_p")
+                out = out.orderBy(*ranked).offset(f.get("offset", 0))
+                if "number_assets" in f:
+                    out = out.limit(f["number_assets"])
     return out
 
 
