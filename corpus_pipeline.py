@@ -51,7 +51,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Perplexity, fingerprints and tokenizers have no form in SQL; the tests hold each stage against brute force.
+#: Perplexity, fingerprints and tokenizers have no form in SQL; tests/llm/test_pipeline.py holds the stages against plain versions.
 ORACLE_SQL = None
 
 
