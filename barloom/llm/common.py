@@ -13,6 +13,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -69,8 +70,25 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/") if "://" in base else "file://" + os.path.abspath(base)
 
 
+_TRACKED: list[list[str]] = []
+
+
+@contextmanager
+def tracked() -> Iterator[list[str]]:
+    """The scratch paths that are made meanwhile, for whoever drops them when nothing reads them any more."""
+    paths: list[str] = []
+    _TRACKED.append(paths)
+    try:
+        yield paths
+    finally:
+        _TRACKED[:] = [t for t in _TRACKED if t is not paths]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _TRACKED:
+        paths.append(path)
+    return path
 
 
 def scratch_table(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:

@@ -59,7 +59,7 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digests(table(spark, sf_dir, "documents"), least=400)
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"), least=400, words=50)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,7 @@ UTF-8; `deduplicated` gives text and leaves out what is left of cut characters.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -51,7 +52,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import Answers, exchange, new_block_id, pack, pack_sorted, unpack, unpack_sorted
-from .common import Columns, Store, rows_of, scratch_path, scratch_table, slices_of, words_of
+from .common import Columns, Store, rows_of, scratch_path, scratch_table, slices_of, tracked, words_of
 
 BLOCK_BYTES = 4 << 20
 _ONE = np.uint64(1)
@@ -131,8 +132,11 @@ class Parsed:
         self.e, self.e_check = _halves(e + b"".join([xxhash.xxh3_128_digest(view[size * i : size * (i + least)]) for i in self.lone.tolist()]))
 
 
-def write_blocks(df: DataFrame, place: int, least: int, core: int, period: int, unit: Unit) -> DataFrame:
-    """Rows: block, data (the rows of df, Arrow IPC), n_keys; by string group (triggers first, then lone strings): low, high, at; and where the K and E of each are among the block's sorted keys."""
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def write_blocks(df: DataFrame, before: Batches | None, place: int, least: int, core: int, period: int, unit: Unit) -> DataFrame:
+    """Rows: block, data (the rows of df, or those that `before` makes of them, Arrow IPC), n_keys; by string group (triggers first, then lone strings): low, high, at; and where the K and E of each are among the block's sorted keys."""
     names = ("at", "low", "high", "e_at", "k_at")
     schema = pa.schema([("block", pa.int64()), ("data", pa.binary()), ("keys", pa.binary()), ("checks", pa.binary()), ("counts", pa.binary()), ("n_keys", pa.int64()), *((n, pa.binary()) for n in names)])
 
@@ -162,7 +166,7 @@ def write_blocks(df: DataFrame, place: int, least: int, core: int, period: int,
 
     def run(batches: Iterator[pa.RecordBatch]):
         held, size = [], 0
-        for batch in batches:
+        for batch in before(batches) if before else batches:
             start = 0
             for i, n in enumerate(pa.compute.binary_length(batch.column(place)).fill_null(0).to_pylist()):
                 size += n
@@ -341,11 +345,23 @@ def removed(df: DataFrame, *args, **options) -> DataFrame:
     return _removed(df, *args, **options).toDF(*df.columns, *MARKS)
 
 
-def _removed(df: DataFrame, least: int = 400, core: int = 100, period: int = 48, hot: int = 1000, text_col: str = "text", unit: Unit = BYTES, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: T.StructType | None = None) -> DataFrame:
-    """As `removed`, with columns named by place, c0.. and mark0..: df may have some of the names of MARKS itself. then: makes of each batch one of the schema in the same pass."""
-    place = df.columns.index(text_col)
-    inner = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-    blocks = write_blocks(inner, place, least, core, period, unit)
+def _removed(df: DataFrame, least: int = 400, core: int = 100, period: int = 48, hot: int = 1000, text_col: str = "text", unit: Unit = BYTES) -> DataFrame:
+    """As `removed`, with columns named by place, c0.. and mark0..: df may have some of the names of MARKS itself."""
+    source, finish, schema = _plan(_placed(df), None, _placed(df).schema, df.columns.index(text_col), least, core, period, hot, unit)
+    return source.mapInArrow(finish, schema)
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def _plan(df: DataFrame, before: Batches | None, schema: T.StructType, place: int, least: int, core: int, period: int, hot: int, unit: Unit, written: Callable[[], None] = lambda: None) -> tuple[DataFrame, Batches, T.StructType]:
+    """What gives the rows of df (or what `before` makes of them, of the schema) with mark0..: a table, a function for its batches, and its result's schema.
+
+    written: called when nothing reads df any more.
+    """
+    blocks = write_blocks(df, before, place, least, core, period, unit)
+    written()
     entries = int(blocks.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0])
     answers, _ = exchange(blocks.select("block", "keys", "checks", "counts"), lambda row: (row[0], unpack_sorted(row[1]), [unpack(row[3])], unpack(row[2])), 1, entries, "suffix")
     folder = _compare(blocks, answers, place, least, core, hot, unit)
@@ -369,7 +385,7 @@ def _removed(df: DataFrame, least: int = 400, core: int = 100, period: int = 48,
     n_hot = int(blocks.select(*_FIELDS[:-1]).mapInArrow(count_hot, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) if entries else 0
     hot_answers = exchange(blocks.select(*_FIELDS), hot_keys, 1, n_hot, "suffix-hot")[0] if n_hot else None
     told = (T.LongType(), T.LongType(), T.LongType(), T.BinaryType())
-    out_schema = T.StructType([*inner.schema.fields, *(T.StructField(f"mark{i}", kind) for i, kind in enumerate(told))])
+    out_schema = T.StructType([*schema.fields, *(T.StructField(f"mark{i}", kind) for i, kind in enumerate(told))])
 
     def finish(batches):
         stored = Store(folder)
@@ -404,16 +420,40 @@ def _removed(df: DataFrame, least: int = 400, core: int = 100, period: int = 48,
                     mask = unit.gone(text, mask)
                     found.append((len(text), int(mask.sum()), int((mask & ~np.concatenate([[False], mask[:-1]])).sum()), np.frombuffer(text, np.uint8)[~mask].tobytes()))
                 columns = [pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
-                for part in slices_of(pa.RecordBatch.from_arrays([*own.batch.columns, *columns], names=[*own.batch.schema.names, *(f"mark{i}" for i in range(4))])):
-                    yield then(part) if then else part
+                yield pa.RecordBatch.from_arrays([*own.batch.columns, *columns], names=[*own.batch.schema.names, *(f"mark{i}" for i in range(4))])
+
+    return blocks.select(*_FIELDS), finish, out_schema
+
+
+def digests(df: DataFrame, least: int = 400, words: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    words: also passage_bytes and n_passages, the bytes and runs that strings
+    of so many words cover which start elsewhere too, whatever their length in
+    bytes. That is a second parse, of words; the first's tables are dropped
+    once it has read them.
+    """
+    own = df.select(df[id_col].cast("long").alias("c0"), df[text_col].cast("string").alias("c1"))
+    told = T.StructType([own.schema["c0"], own.schema["c1"], *(T.StructField(f"c{i}", kind) for i, kind in ((2, T.LongType()), (3, T.LongType()), (4, T.LongType()), (5, T.StringType())))])
+    with tracked() as first_paths:
+        source, first, _ = _plan(own, None, own.schema, 1, least, least // 4, 48, 1000, BYTES)
+
+    def digested(batches):
+        for batch in first(batches):
+            sha = pa.array([hashlib.sha256(k).hexdigest() for k in batch.column(5).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], sha], names=told.names)
 
-    return blocks.select(*_FIELDS).mapInArrow(finish, schema or out_schema)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    if not words:
+        return source.mapInArrow(digested, told).select("c0", "c2", "c3", "c4", "c5").toDF(*names)
+    drop = lambda: [Store(p).drop() for p in first_paths]
+    source, second, _ = _plan(source, digested, told, 1, words, words // 4, 8, 1000, WORDS, drop)
 
+    def shown(batches):
+        for batch in second(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in (0, 2, 3, 4, 5, 7, 8)], names=[*names, "passage_bytes", "n_passages"])
 
-def digests(df: DataFrame, least: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    found = removed(df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")), least)
-    return found.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+    return source.mapInArrow(shown, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, passage_bytes long, n_passages long")
 
 
 def deduplicated(df: DataFrame, least: int = 400, text_col: str = "text", length_col: str | None = None, **options) -> DataFrame:
@@ -422,14 +462,18 @@ def deduplicated(df: DataFrame, least: int = 400, text_col: str = "text", length
     names = df.columns
     place, n, length_at = names.index(text_col), len(names), names.index(length_col) if length_col else None
 
-    def then(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kept, was = batch.column(n + 3).to_pylist(), batch.column(place).to_pylist()
-        texts = [w if w is None else k.decode("utf-8", "ignore") for w, k in zip(was, kept, strict=True)]
-        columns = list(batch.columns[:n])
-        columns[place] = pa.array(texts, pa.string())
-        if length_at is not None:
-            told = columns[length_at].to_pylist()
-            columns[length_at] = pa.array([c if t == w else len(t) for c, t, w in zip(told, texts, was, strict=True)], columns[length_at].type)
-        return pa.RecordBatch.from_arrays(columns, names=names)
-
-    return _removed(df, least, text_col=text_col, then=then, schema=df.schema, **options)
+    options = {"core": 100, "period": 48, "hot": 1000, "unit": BYTES} | options
+    source, finish, _ = _plan(_placed(df), None, _placed(df).schema, place, least, **options)
+
+    def run(batches):
+        for batch in (part for b in finish(batches) for part in slices_of(b)):
+            kept, was = batch.column(n + 3).to_pylist(), batch.column(place).to_pylist()
+            texts = [w if w is None else k.decode("utf-8", "ignore") for w, k in zip(was, kept, strict=True)]
+            columns = list(batch.columns[:n])
+            columns[place] = pa.array(texts, pa.string())
+            if length_at is not None:
+                told = columns[length_at].to_pylist()
+                columns[length_at] = pa.array([c if t == w else len(t) for c, t, w in zip(told, texts, was, strict=True)], columns[length_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return source.mapInArrow(run, df.schema)

@@ -322,6 +322,16 @@ def test_suffix_dedup_by_words(docs, texts, empty):
     assert suffix_dedup.removed(empty, 50, 12, 8, unit=suffix_dedup.WORDS).count() == 0
 
 
+def test_suffix_digests_by_bytes_and_words(docs, empty):
+    """The passage columns are those of a parse by words, beside which the contract's stay."""
+    plain, both = by_id(suffix_dedup.digests(docs)), by_id(suffix_dedup.digests(docs, words=50))
+    cut = by_id(suffix_dedup.removed(docs, 50, 12, 8, unit=suffix_dedup.WORDS))
+    for i, r in plain.items():
+        assert r.asDict() == {k: v for k, v in both[i].asDict().items() if k in r.asDict()}
+        assert (both[i].passage_bytes, both[i].n_passages) == (cut[i]._n_removed, cut[i]._n_spans)
+    assert sum(r.n_passages > 0 for r in both.values()) >= 4 and suffix_dedup.digests(empty, words=50).count() == 0
+
+
 def test_suffix_dedup_with_clashing_names_and_repeated_rows(docs):
     odd = docs.selectExpr("text", "doc_id", "doc_id as _kept", "text as c0", "'x' as _n_bytes", "1L as n_chars", "null as mark0", "'b' as block")
     out = suffix_dedup.deduplicated(odd, length_col="n_chars")
