@@ -14,6 +14,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,25 +28,56 @@ WHITE = b" \t\n\x0b\x0c\r"
 
 _draw = np.random.default_rng(8)
 _LETTERS = _draw.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_PLACES = np.multiply.accumulate(np.full(1024, 0x9E3779B97F4A7C15, np.uint64))
+#: Bytes of text that are hashed at once.
+_STRETCH = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(_STRETCH - 1, base, np.uint64)]))
+
+
+@lru_cache(maxsize=1)
+def _scales() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2 ** 64."""
+    return _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
 _WHITE = np.zeros(256, bool)
 _WHITE[list(WHITE)] = True
 
 
 def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of each word."""
+    """Hash, start and end of each word: a polynomial over its bytes, as differences of one running sum."""
+    if len(text) > _STRETCH:
+        return _words_of_long(text)
     data = np.frombuffer(text, np.uint8)
-    inside = ~_WHITE[data]
-    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    inside = np.zeros(len(data) + 2, bool)
+    np.logical_not(_WHITE[data], out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts, ends
-    place = np.arange(len(data)) - np.repeat(np.concatenate([[0], starts[1:]]), np.diff([0, *starts[1:], len(data)]))
-    h = np.add.reduceat(np.where(inside, _LETTERS[data] * _PLACES[place & 1023], np.uint64(0)), starts)
+    up, down = _scales()
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LETTERS[data] * up[: len(data)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * down[starts]
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32)), starts, ends
 
 
+def _words_of_long(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same, a stretch at a time, cut at white space; of a word that is longer than a stretch, each piece of one counts as a word."""
+    parts, at = [], 0
+    while at < len(text):
+        end = min(at + _STRETCH, len(text))
+        if end < len(text):
+            end = max((text.rfind(bytes([w]), at, end) + 1 for w in WHITE), default=0) or end
+            end = end if end > at else min(at + _STRETCH, len(text))
+        h, starts, ends = words_of(text[at:end])
+        parts.append((h, starts + at, ends + at))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 #: Rows of text that go to Python at once, at most. Whole texts are wide: the default of 10 000 rows takes hundreds of MB of buffers a task.
 ROWS_PER_BATCH = 500
 

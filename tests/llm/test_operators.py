@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from barloom.llm import blocks, components, decontamination, lm_scoring, packing, quality, queries, simhash, suffix_dedup, token_counts, token_output, toxicity, warc
+from barloom.llm import blocks, common, components, decontamination, lm_scoring, packing, quality, queries, simhash, suffix_dedup, token_counts, token_output, toxicity, warc
 from barloom.llm.common import Store, keep_in_place, scratch_table
 from barloom.llm.encoding import ChunkEncoder
 
@@ -305,6 +305,21 @@ def test_suffix_dedup(docs, texts, empty, spark):
     assert out[0].text == "" and out[0].n_chars == 0 and out[5].text is None and out[7].text == "word" and out[3].Block == "clash"
 
 
+def test_hashes_of_words():
+    """Equal words have equal hashes wherever they stand, other words others; long texts are the same as short ones."""
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcé日", k=rng.randrange(1, 30))) for _ in range(5000)]
+    text = "".join(w + rng.choice([" ", "\n", "\t ", "  ", "\x0b"]) for w in words)
+    h, starts, ends = common.words_of(text.encode())
+    assert [text.encode()[a:b].decode() for a, b in zip(starts, ends, strict=True)] == words
+    assert len(dict(zip(words, h.tolist(), strict=True))) == len(set(h.tolist())) and all(len({x for w2, x in zip(words, h.tolist(), strict=True) if w2 == w}) == 1 for w in words[:20])
+    long = (text * 40).encode()
+    assert len(long) > 2 << 20
+    many, starts, ends = common.words_of(long)
+    assert many.tolist() == h.tolist() * 40 and all(long[a:b].decode() == w for a, b, w in zip(starts.tolist(), ends.tolist(), words * 40, strict=True))
+    assert len(common.words_of(b"x" * (3 << 20))[0]) == 3 and len(common.words_of(b"")[0]) == 0 and len(common.words_of(b" \n ")[0]) == 0
+
+
 def test_suffix_dedup_by_words(docs, texts, empty):
     times, cut = Counter(), {}
     for i, t in enumerate(texts):
