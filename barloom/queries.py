@@ -449,7 +449,7 @@ FEATURES = ", ".join([
     _ADX, level("held", "base", {"mid": "(high + low) / 2"}), supertrend_sql("st10_3", "held", 10, 3), _PSAR,
     level("fh", "fg", {
         '"MACD_signal"': "CASE WHEN rn >= 33 THEN sig END", '"MACD_hist"': 'CASE WHEN rn >= 33 THEN "MACD" - sig END', '"STOCHRSI_K"': roll("avg", "srk", 3), '"STOCH_K"': f"(close - {roll('min', 'low', 14)}) / nullif({_K}, 0) * 100", '"WILLR_14"': f"-100 * ({roll('max', 'high', 14)} - close) / nullif({_K}, 0)",
-        '"CCI_20"': f"(tp - {roll('avg', 'tp', 20)}) / nullif(0.015 * ({_MAD20}), 0)", '"MFI_14"': f"100 - 100 / (1 + {roll('sum', 'mp', 14)} / nullif({roll('sum', 'mn', 14)}, 0))", '"CMF_20"': f"{roll('sum', 'cv', 20)} / nullif({roll('sum', 'volume', 20)}, 0)", '"volume_ratio"': f"volume / nullif({roll('avg', 'volume', 20)}, 0)",
+        '"CCI_20"': f"(tp - {roll('avg', 'tp', 20)}) / nullif(0.015 * ({_MAD20}), 0)", '"MFI_14"': f"100 - 100 / (1 + {roll('sum', 'mp', 14)} / nullif({roll('sum', 'mn', 14)}, 0))", '"CMF_20"': f"round({roll('sum', 'cv', 20)} / nullif({roll('sum', 'volume', 20)}, 0), 12)", '"volume_ratio"': f"volume / nullif({roll('avg', 'volume', 20)}, 0)",
         '"BB_lower_20"': f"{roll('avg', 'close', 20)} - 2 * {roll('stddev_pop', 'close', 20)}", '"BB_upper_20"': f"{roll('avg', 'close', 20)} + 2 * {roll('stddev_pop', 'close', 20)}", '"KC_lower"': roll("avg", "(-2 * high + 4 * low + close) / 3", 20),
         '"ICH_above_cloud"': "coalesce(close > (" + _M[9] + " + " + _M[26] + ") / 2 AND close > " + _M[52] + ", false)::INT", '"CDL_HAMMER"': "CASE WHEN close > open AND least(open, close) - low > 2 * abs(close - open) AND high - greatest(open, close) < .5 * abs(close - open) THEN 100 ELSE 0 END", '"CDL_INV_HAMMER"': "CASE WHEN close > open AND high - greatest(open, close) > 2 * abs(close - open) AND least(open, close) - low < .5 * abs(close - open) THEN 100 ELSE 0 END",
     }, (3, 9, 14, 20, 26, 52)),
