@@ -724,7 +724,7 @@ _RUN_MEANS = ["is_return", "oos_return", "oos_win_rate", "is_sharpe", "is_sortin
 _RUN = ["series", "series_profitable", *_RUN_MEANS, "holdout_trades", "coverage", "alpha", "total_trades", "win_rate", "profit_factor", "expectancy", "avg_duration"]
 
 
-@query(f"{_FULL}, one AS (SELECT count(*) AS series, count(*) FILTER (WHERE total_return > 0) AS series_profitable, {', '.join(f'coalesce(avg({c}), 0) AS {c}' for c in _RUN_MEANS)}, sum(holdout_trades) AS holdout_trades, count(*) FILTER (WHERE total_return > 0) / count(*) AS coverage, avg(is_return) - avg(benchmark_return) AS alpha FROM series), every_trades AS (SELECT 1 AS k, * EXCLUDE (k) FROM sim_trades), every_bars AS (SELECT 1 AS k), {measured('every')} SELECT {rounded(_RUN)} FROM one, (SELECT total_trades, win_rate, profit_factor, expectancy, avg_duration FROM every_measures)")
+@query(f"{_FULL}, one AS (SELECT count(*) AS series, count(*) FILTER (WHERE total_return > 0) AS series_profitable, {', '.join(f'coalesce(avg({c}), 0) AS {c}' for c in _RUN_MEANS)}, sum(holdout_trades) AS holdout_trades, count(*) FILTER (WHERE total_return > 0) / count(*) AS coverage, coalesce(avg(is_return), 0) - coalesce(avg(benchmark_return), 0) AS alpha FROM series), every_trades AS (SELECT 1 AS k, * EXCLUDE (k) FROM sim_trades), every_bars AS (SELECT 1 AS k), {measured('every')} SELECT {rounded(_RUN)} FROM one, (SELECT total_trades, win_rate, profit_factor, expectancy, avg_duration FROM every_measures)")
 def full_run(spark, sf_dir):
     """The one row of a whole backtest."""
     return rounding(simulate.full_run(signals_of(spark, sf_dir), TRADED)[1], [], _RUN)

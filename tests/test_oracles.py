@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from barloom.queries import ORACLES, QUERIES
@@ -10,7 +11,7 @@ from barloom.queries import ORACLES, QUERIES
 
 def rows(frame, columns):
     def plain(x):
-        if x is None or isinstance(x, float) and math.isnan(x):
+        if x is None or x is pd.NA or isinstance(x, float) and math.isnan(x):
             return None
         return x if isinstance(x, str) else float(x) + 0.0
 
