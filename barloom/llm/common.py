@@ -65,19 +65,34 @@ def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _words_of_long(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same, a stretch at a time, cut at white space; of a word that is longer than a stretch, each piece of one counts as a word."""
+    """The same, a stretch at a time, cut at white space; a word longer than a stretch is hashed in parts, with the same result as at once."""
     parts, at = [], 0
     while at < len(text):
         end = min(at + _STRETCH, len(text))
         if end < len(text):
             end = max((text.rfind(bytes([w]), at, end) + 1 for w in WHITE), default=0) or end
-            end = end if end > at else min(at + _STRETCH, len(text))
+            if text[end - 1] not in WHITE and text[end] not in WHITE:  # a word from here on and beyond this stretch
+                end = min((x for x in (text.find(bytes([w]), end) for w in WHITE) if x >= 0), default=len(text))
+                parts.append((np.array([_hash_of_long(text[at:end])], np.uint64), np.array([at]), np.array([end])))
+                at = end
+                continue
         h, starts, ends = words_of(text[at:end])
         parts.append((h, starts + at, ends + at))
         at = end
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def _hash_of_long(word: bytes) -> int:
+    """What words_of gives for a word of any length."""
+    total, mask = 0, (1 << 64) - 1
+    up = _scales()[0]
+    for at in range(0, len(word), _STRETCH):
+        part = np.frombuffer(word[at : at + _STRETCH], np.uint8)
+        total = (total + int((_LETTERS[part] * up[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, at, 1 << 64)) & mask
+    total = ((total ^ (total >> 31)) * 0xD6E8FEB86659FD93) & mask
+    return total ^ (total >> 32)
+
+
 #: Rows of text that go to Python at once, at most. Whole texts are wide: the default of 10 000 rows takes hundreds of MB of buffers a task.
 ROWS_PER_BATCH = 500
 

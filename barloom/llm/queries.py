@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, lm_scoring, packing, quality, simhash, suffix_dedup, token_counts, token_output, toxicity, warc
+from . import decontamination, lm_scoring, minhash, packing, quality, simhash, suffix_dedup, token_counts, token_output, toxicity, warc
 from .common import bounded_batches
 
 #: Files of the public tokenizers.
@@ -76,5 +76,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_token_counts, op4_lm_scoring, op5_warc, op6_token_output, op7_quality_rules, op8_suffix_dedup, op9_packing, op10_toxicity)}
-ORACLES: dict[str, str] = {"op5_warc": OP5_SQL}
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), similarity=0.85, width=3)
+
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = f"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM words WHERE len(w) >= 3
+    UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM words WHERE len(w) BETWEEN 1 AND 2
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * shared.n >= 85 * (x.n + y.n - shared.n)),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT b, r FROM reach JOIN links ON a = reach.doc_id)
+SELECT d.doc_id, coalesce(max(n), 0) AS n_shingles, min(r) AS component_id, min(r) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id JOIN reach ON d.doc_id = reach.doc_id GROUP BY d.doc_id
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_token_counts, op4_lm_scoring, op5_warc, op6_token_output, op7_quality_rules, op8_suffix_dedup, op9_packing, op10_toxicity, op11_minhash)}
+ORACLES: dict[str, str] = {"op5_warc": OP5_SQL, "op11_minhash": OP11_SQL}
