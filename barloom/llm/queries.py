@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, lm_scoring, minhash, packing, quality, simhash, suffix_dedup, token_counts, token_output, toxicity, warc
+from . import decontamination, lm_scoring, minhash, packing, quality, simhash, suffix_dedup, token_counts, token_output, toxicity, warc, whitening
 from .common import bounded_batches
 
 #: Files of the public tokenizers.
@@ -96,5 +96,15 @@ SELECT d.doc_id, coalesce(max(n), 0) AS n_shingles, min(r) AS component_id, min(
 FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id JOIN reach ON d.doc_id = reach.doc_id GROUP BY d.doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_token_counts, op4_lm_scoring, op5_warc, op6_token_output, op7_quality_rules, op8_suffix_dedup, op9_packing, op10_toxicity, op11_minhash)}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    fit = whitening.fit(vectors, components=32, scale=64, shift=1_000_000)
+    if fit is None:
+        return spark.createDataFrame([], "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double")
+    shares = F.array(*(F.lit(float(e / fit.trace)) for e in fit.values)) if len(fit.values) else F.array(F.lit(0.0))
+    rows = fit.transform(vectors).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return rows.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), F.lit(fit.n).cast("long").alias("n"), "deviation", "whitened", shares[F.col("at")].alias("explained"), F.lit(fit.identity_error(vectors)).alias("identity_error"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_token_counts, op4_lm_scoring, op5_warc, op6_token_output, op7_quality_rules, op8_suffix_dedup, op9_packing, op10_toxicity, op11_minhash, op12_whitening)}
 ORACLES: dict[str, str] = {"op5_warc": OP5_SQL, "op11_minhash": OP11_SQL}
