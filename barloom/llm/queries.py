@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, lm_scoring, minhash, packing, quality, simhash, suffix_dedup, token_counts, token_output, toxicity, warc, whitening
+from . import decontamination, lexical, lm_scoring, minhash, packing, quality, simhash, suffix_dedup, token_counts, token_output, toxicity, warc, whitening
 from .common import bounded_batches
 
 #: Files of the public tokenizers.
@@ -106,5 +106,26 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), F.lit(fit.n).cast("long").alias("n"), "deviation", "whitened", shares[F.col("at")].alias("explained"), F.lit(fit.identity_error(vectors)).alias("identity_error"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_token_counts, op4_lm_scoring, op5_warc, op6_token_output, op7_quality_rules, op8_suffix_dedup, op9_packing, op10_toxicity, op11_minhash, op12_whitening)}
-ORACLES: dict[str, str] = {"op5_warc": OP5_SQL, "op11_minhash": OP11_SQL}
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+TERMS = f"regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP13_SQL = f"""
+WITH terms AS (SELECT doc_id, unnest({TERMS}) AS t FROM documents),
+wanted AS (SELECT DISTINCT item_id, unnest({TERMS}) AS t FROM benchmark),
+lengths AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM lengths),
+counts AS (SELECT doc_id, t, count(*) AS tf FROM terms SEMI JOIN (SELECT DISTINCT t FROM wanted) USING (t) GROUP BY ALL),
+weights AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counts, corpus GROUP BY t),
+scores AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))))::BIGINT AS score
+    FROM wanted JOIN weights USING (t) JOIN counts USING (t) JOIN lengths USING (doc_id), corpus GROUP BY ALL
+),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 50
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_token_counts, op4_lm_scoring, op5_warc, op6_token_output, op7_quality_rules, op8_suffix_dedup, op9_packing, op10_toxicity, op11_minhash, op12_whitening, op13_lexical)}
+ORACLES: dict[str, str] = {"op5_warc": OP5_SQL, "op11_minhash": OP11_SQL, "op13_lexical": OP13_SQL}
