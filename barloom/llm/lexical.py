@@ -147,9 +147,11 @@ class Shard:
                 break
             at = np.argmax(self.most[nodes], 1)
             pivot = self.doc[nodes[np.arange(len(nodes)), at]]
-            wanted = terms[query] * self.docs + pivot[:, None]
+            row, column = np.nonzero((nodes >= 0) & (self.doc[nodes] != pivot[:, None]))  # where another document is on top
+            wanted = terms[query[row], column] * self.docs + pivot[row]
             place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-            score = np.where(self.keys[place] == wanted, self.impact[place], 0).sum(1)
+            score = np.where(self.doc[nodes] == pivot[:, None], self.impact[nodes], 0).sum(1)
+            np.add.at(score, row, np.where(self.keys[place] == wanted, self.impact[place], 0))
             good = score >= floor[query]
             if good.any():
                 found = tuple(np.concatenate([x, y[good]]) for x, y in zip(found, (query, pivot, score), strict=True))
