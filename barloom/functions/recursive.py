@@ -1,8 +1,10 @@
 """Indicators that depend on their own past: one pass over a series computes all that are asked for.
 
-A series goes to `applyInPandas` as a whole; series run in parallel. Plain
-exponential means are pandas' compiled ones, path-dependent recursions are
-loops over NumPy values.
+A series goes to `applyInPandas` as a whole, and series run in parallel; or
+series are cut into chunks of rows (`compute_split`), and one series is the
+work of many tasks. What remembers is taken from steps.py, which knows both
+ways. Plain exponential means are pandas' compiled ones, path-dependent
+recursions are loops over NumPy values.
 """
 
 from __future__ import annotations
@@ -16,17 +18,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import steps
+from .chunks import KEYS, kept, numbered, per_chunk, relay, with_halo
+from .steps import Part, advanced, ewm, first, fold, taken
+
 Frame = dict[str, pd.Series]
 #: Name to (columns it reads besides the prices, function of them).
 RECURSIVE: dict[str, Callable[[Frame], pd.Series]] = {}
+#: Name to the function that makes it, as a tuple of series, and its place there.
+UNITS: dict[str, tuple[Callable[[Frame], tuple[pd.Series, ...]], int]] = {}
 
 
 def recursive(*names: str):
     """Registers a function that returns a series or, for several names, a tuple of them."""
 
     def put(f):
+        many = f if len(names) > 1 else lambda d: (f(d),)
         for i, name in enumerate(names):
             RECURSIVE[name] = (lambda d, i=i: _shared(f, d)[i]) if len(names) > 1 else f
+            UNITS[name] = many, i
         return f
 
     return put
@@ -45,11 +55,6 @@ def of(d: Frame, name: str) -> pd.Series:
     return d[name]
 
 
-def ewm(x: pd.Series, *, span: float | None = None, alpha: float | None = None, com: float | None = None, full: int = 0) -> pd.Series:
-    """y = a x + (1 - a) y before, from the first value on; with full, NaN before so many values."""
-    return x.ewm(span=span, alpha=alpha, com=com, adjust=False, min_periods=full).mean()
-
-
 def over(a: pd.Series, b: pd.Series) -> pd.Series:
     return a / b.where(b != 0)
 
@@ -113,14 +118,28 @@ def _stochrsi(d):
     return k, k.rolling(3).mean(), k.rolling(3).mean()
 
 
+def smoothed(x: np.ndarray, n: int, start: int) -> np.ndarray:
+    """From the series' row `start` on: the mean of n values, then smoothed by 1 / n; 0 before."""
+
+    def run(lo, hi, state):
+        out, i, begin = np.zeros(len(x)), lo, start - first()
+        if state is None:
+            if not lo <= begin < hi:
+                return (out,), None
+            y = out[begin] = x[max(0, begin - n + 1) : begin + 1].mean()
+            i = begin + 1
+        else:
+            y = state[0]
+        for i in range(i, hi):
+            y = out[i] = (y * (n - 1) + x[i]) / n
+        return (out,), [float(y)]
+
+    return fold(run, [x])[0]
+
+
 def wilder_atr(d: Frame, n: int) -> np.ndarray:
     """Mean of the first n true ranges, then smoothed by 1 / n; 0 before."""
-    tr, out = true_range(d).to_numpy(float), np.zeros(len(d["close"]))
-    if len(tr) >= n:
-        out[n - 1] = tr[:n].mean()
-        for i in range(n, len(tr)):
-            out[i] = (out[i - 1] * (n - 1) + tr[i]) / n
-    return out
+    return smoothed(true_range(d).to_numpy(float), n, n - 1)
 
 
 for _n in (7, 14, 21):
@@ -128,12 +147,20 @@ for _n in (7, 14, 21):
 
 
 def _wilder_sum(x: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(len(x))
-    if len(x) > n:
-        out[n] = x[1 : n + 1].sum()
-        for i in range(n + 1, len(x)):
-            out[i] = out[i - 1] - out[i - 1] / n + x[i]
-    return out
+    def run(lo, hi, state):
+        out, i, begin = np.zeros(len(x)), lo, n - first()
+        if state is None:
+            if not lo <= begin < hi:
+                return (out,), None
+            y = out[begin] = x[max(0, begin - n + 1) : begin + 1].sum()
+            i = begin + 1
+        else:
+            y = state[0]
+        for i in range(i, hi):
+            y = out[i] = y - y / n + x[i]
+        return (out,), [float(y)]
+
+    return fold(run, [x])[0]
 
 
 def adx(d: Frame, n: int):
@@ -144,12 +171,7 @@ def adx(d: Frame, n: int):
     lines = [np.divide(100 * _wilder_sum(x.fillna(0).to_numpy(float), n), size, out=np.zeros(len(size)), where=size > 0) for x in (plus, minus)]
     both = lines[0] + lines[1]
     dx = np.divide(100 * np.abs(lines[0] - lines[1]), both, out=np.zeros(len(both)), where=both > 0)
-    out, first = np.zeros(len(dx)), 2 * n - 1
-    if len(dx) > first:
-        out[first] = dx[n : first + 1].mean()
-        for i in range(first + 1, len(dx)):
-            out[i] = (out[i - 1] * (n - 1) + dx[i]) / n
-    return pd.Series(out), pd.Series(lines[0]), pd.Series(lines[1])
+    return pd.Series(smoothed(dx, n, 2 * n - 1)), pd.Series(lines[0]), pd.Series(lines[1])
 
 
 for _n in (7, 14, 21):
@@ -161,7 +183,7 @@ def _trix(d):
     y = d["close"]
     for _ in range(3):
         y = ewm(y, span=15, full=15)
-    before = y.shift(1).fillna(y.mean())
+    before = y.shift(1).fillna(steps.mean(y))
     return over(y - before, before) * 100
 
 
@@ -175,28 +197,38 @@ def _mass(d):
 def _psar(d, step: float = 0.02, most: float = 0.2):
     high, low, close = (d[c].to_numpy(float) for c in ("high", "low", "close"))
     n = len(close)
-    value, rising = close.copy(), np.zeros(n, bool)
-    up, pace, top, bottom = True, step, high[0] if n else 0.0, low[0] if n else 0.0
-    for i in range(2, n):
-        value[i] = value[i - 1] + pace * ((top if up else bottom) - value[i - 1])
-        turned = False
-        if up:
-            if low[i] < value[i]:
-                turned, value[i], bottom, pace = True, top, low[i], step
-            else:
-                if high[i] > top:
-                    top, pace = high[i], min(pace + step, most)
-                value[i] = min(value[i], low[i - 1], low[i - 2])
-        elif high[i] > value[i]:
-            turned, value[i], top, pace = True, bottom, high[i], step
+
+    def run(lo, hi, state):
+        value, rising, i = close.copy(), np.zeros(n), lo
+        if state is None:
+            up, pace, top, bottom, at = True, step, high[lo] if lo < n else 0.0, low[lo] if lo < n else 0.0, close[min(lo + 1, n - 1)] if n else 0.0
+            i = lo + 2
         else:
-            if low[i] < bottom:
-                bottom, pace = low[i], min(pace + step, most)
-            value[i] = max(value[i], high[i - 1], high[i - 2])
-        up = up != turned
-        rising[i] = up
-    ready = np.arange(n) >= 2
-    above, below = np.where(ready & rising, value, np.nan), np.where(ready & ~rising, value, np.nan)
+            at, up, pace, top, bottom = state
+            up = up > 0
+        for i in range(i, hi):
+            at = at + pace * ((top if up else bottom) - at)
+            turned = False
+            if up:
+                if low[i] < at:
+                    turned, at, bottom, pace = True, top, low[i], step
+                else:
+                    if high[i] > top:
+                        top, pace = high[i], min(pace + step, most)
+                    at = min(at, low[i - 1], low[i - 2])
+            elif high[i] > at:
+                turned, at, top, pace = True, bottom, high[i], step
+            else:
+                if low[i] < bottom:
+                    bottom, pace = low[i], min(pace + step, most)
+                at = max(at, high[i - 1], high[i - 2])
+            up = up != turned
+            value[i], rising[i] = at, up
+        return (value, rising), [float(at), float(up), float(pace), float(top), float(bottom)]
+
+    value, rising = fold(run, [high, low, close], linear=False)
+    ready = np.arange(n) + first() >= 2
+    above, below = np.where(ready & (rising > 0), value, np.nan), np.where(ready & ~(rising > 0), value, np.nan)
     return pd.Series(above), pd.Series(below), pd.Series(np.where(close > value, 1.0, -1.0))
 
 
@@ -206,17 +238,21 @@ def supertrend(d: Frame, n: int, factor: float, centre: pd.Series | None = None)
         d = {**d, "close": centre}
     close = d["close"].to_numpy(float)
     reach, middle = factor * ewm(true_range(d), span=n).to_numpy(float), ((d["high"] + d["low"]) / 2).to_numpy(float)
-    line, way = np.full(len(close), np.nan), np.zeros(len(close))
-    at, rising = math.nan, False
-    for i in range(1, len(close)):
-        floor, ceiling = middle[i] - reach[i], middle[i] + reach[i]
-        if not math.isnan(at):
-            floor = floor if close[i - 1] < at else max(floor, at)
-            ceiling = ceiling if close[i - 1] > at else min(ceiling, at)
-        rising = not close[i] < floor if rising else bool(close[i] > ceiling)
-        at = floor if rising else ceiling
-        line[i], way[i] = at, 1 if rising else -1
-    return pd.Series(line), pd.Series(way)
+
+    def run(lo, hi, state):
+        line, way = np.full(len(close), np.nan), np.zeros(len(close))
+        at, rising = (math.nan, False) if state is None else (state[0], state[1] > 0)
+        for i in range(lo + 1 if state is None else lo, hi):
+            floor, ceiling = middle[i] - reach[i], middle[i] + reach[i]
+            if not math.isnan(at):
+                floor = floor if close[i - 1] < at else max(floor, at)
+                ceiling = ceiling if close[i - 1] > at else min(ceiling, at)
+            rising = not close[i] < floor if rising else bool(close[i] > ceiling)
+            at = floor if rising else ceiling
+            line[i], way[i] = at, 1 if rising else -1
+        return (line, way), [float(at), float(rising)]
+
+    return tuple(map(pd.Series, fold(run, [close, middle, reach], linear=False, close=1e-12)))
 
 
 for _n, _f in ((10, 3), (14, 2), (7, 3), (10, 2), (14, 3), (20, 2)):
@@ -228,14 +264,26 @@ recursive("PMAX_dir")(lambda d: supertrend(d, 10, 3, over((d["close"] * d["volum
 @recursive("KAMA")
 def _kama(d, n: int = 10, fast: int = 2, slow: int = 30):
     x = d["close"].to_numpy(float)
-    out = np.full(len(x), np.nan)
-    moved = np.abs(np.diff(x, prepend=x[:1]))
-    for i in range(n - 1, len(x)):
+    moved, pace = np.abs(np.diff(x, prepend=x[:1])), np.zeros(len(x))
+    for i in range(len(x)):
         path = moved[max(1, i - n + 1) : i + 1].sum()
         share = abs(x[i] - x[max(0, i - n)]) / path if path else 0.0
-        pace = (share * (2 / (fast + 1) - 2 / (slow + 1)) + 2 / (slow + 1)) ** 2
-        out[i] = x[i] if i == n - 1 else out[i - 1] + pace * (x[i] - out[i - 1])
-    return pd.Series(out)
+        pace[i] = (share * (2 / (fast + 1) - 2 / (slow + 1)) + 2 / (slow + 1)) ** 2
+
+    def run(lo, hi, state):
+        out, i, begin = np.full(len(x), np.nan), lo, n - 1 - first()
+        if state is None:
+            if not lo <= begin < hi:
+                return (out,), None
+            y = out[begin] = x[begin]
+            i = begin + 1
+        else:
+            y = state[0]
+        for i in range(i, hi):
+            y = out[i] = y + pace[i] * (x[i] - y)
+        return (out,), [float(y)]
+
+    return pd.Series(fold(run, [x, pace])[0])
 
 
 recursive("OBV_EMA_12")(lambda d: ewm(obv(d), span=12))
@@ -245,7 +293,7 @@ recursive("EMA50_slope")(lambda d: (lambda e: over(e - e.shift(5), e.shift(5)) *
 
 
 def obv(d: Frame) -> pd.Series:
-    return d["volume"].where(~(d["close"] < d["close"].shift(1)), -d["volume"]).cumsum()
+    return steps.total(d["volume"].where(~(d["close"] < d["close"].shift(1)), -d["volume"]))
 
 
 for _name, _n in (("ALLIGATOR_JAW", 13), ("ALLIGATOR_TEETH", 8), ("ALLIGATOR_LIPS", 5)):
@@ -264,7 +312,15 @@ def _crsi(d):
         return 100 - 100 / (1 + over(up, down))
 
     way = np.sign(d["close"].diff().fillna(0))
-    run = way.groupby((way != way.shift(1)).cumsum()).cumcount() + 1
+    same = (way == way.shift(1)).to_numpy()
+
+    def count(lo, hi, state):
+        out, y = np.zeros(len(same)), 0.0 if state is None else state[0]
+        for i in range(lo, hi):
+            y = out[i] = y + 1 if same[i] else 1.0
+        return (out,), [float(y)]
+
+    run = pd.Series(fold(count, [same])[0])
     rank = d["close"].pct_change(fill_method=None).rolling(100).rank(pct=True) * 100
     return (plain(d["close"], 3) + plain(run * way, 2) + rank) / 3
 
@@ -296,13 +352,20 @@ def _stc(d):
 @recursive("MCGD_14")
 def _mcginley(d, n: int = 14):
     x = d["close"].to_numpy(float)
-    out = x.copy()
-    for i in range(1, len(x)):
-        before = out[i - 1]
-        part = n * (x[i] / before) ** 4 if before else math.nan
-        value = before + (x[i] - before) / part if part > 1e-300 else before if part == 0 else math.nan
-        out[i] = value if math.isfinite(value) and abs(value) < 1e150 else x[i]  # what runs away starts anew
-    return pd.Series(out)
+
+    def run(lo, hi, state):
+        out, i = x.copy(), lo
+        if state is None:
+            before, i = x[lo] if lo < len(x) else math.nan, lo + 1
+        else:
+            before = state[0]
+        for i in range(i, hi):
+            part = n * (x[i] / before) ** 4 if before else math.nan
+            value = before + (x[i] - before) / part if part > 1e-300 else before if part == 0 else math.nan
+            before = out[i] = value if math.isfinite(value) and abs(value) < 1e150 else x[i]  # what runs away starts anew
+        return (out,), [float(before)]
+
+    return pd.Series(fold(run, [x], linear=False, close=1e-12)[0])
 
 
 for _n in (6, 14, 26):
@@ -310,7 +373,7 @@ for _n in (6, 14, 26):
 
 
 def accumulation(d: Frame) -> pd.Series:
-    return (over(2 * d["close"] - d["low"] - d["high"], d["high"] - d["low"]) * d["volume"]).cumsum()
+    return steps.total(over(2 * d["close"] - d["low"] - d["high"], d["high"] - d["low"]) * d["volume"])
 
 
 recursive("ADOSC")(lambda d: ewm(accumulation(d), span=3) - ewm(accumulation(d), span=10))
@@ -371,20 +434,36 @@ def cmo(x: pd.Series, n: int) -> pd.Series:
 @recursive("VIDYA_14")
 def _vidya(d, n: int = 14, smooth: int = 12):
     x, pace = d["close"].to_numpy(float), cmo(d["close"], n).abs().to_numpy(float) / 100 * 2 / (smooth + 1)
-    out = x.copy()
-    for i in range(1, len(x)):
-        if not math.isnan(pace[i]):
-            out[i] = pace[i] * x[i] + (1 - pace[i]) * out[i - 1]
-    return pd.Series(out)
+
+    def run(lo, hi, state):
+        out, i = x.copy(), lo
+        if state is None:
+            y, i = x[lo] if lo < len(x) else math.nan, lo + 1
+        else:
+            y = state[0]
+        for i in range(i, hi):
+            y = out[i] = x[i] if math.isnan(pace[i]) else pace[i] * x[i] + (1 - pace[i]) * y
+        return (out,), [float(y)]
+
+    return pd.Series(fold(run, [x, pace])[0])
 
 
 @recursive("KVO")
 def _klinger(d):
     way = np.sign((d["high"] + d["low"] + d["close"]).diff()).to_numpy(float)
     size = (d["high"] - d["low"]).to_numpy(float)
-    run = np.zeros(len(size))
-    for i in range(1, len(size)):
-        run[i] = size[i] + (run[i - 1] if way[i] == way[i - 1] else size[i - 1])
+
+    def summed(lo, hi, state):
+        out, i, y = np.zeros(len(size)), lo, 0.0
+        if state is None:
+            i = lo + 1
+        else:
+            y = state[0]
+        for i in range(i, hi):
+            y = out[i] = size[i] + (y if way[i] == way[i - 1] else size[i - 1])
+        return (out,), [float(y)]
+
+    run = fold(summed, [way, size])[0]
     force = pd.Series(way) * d["volume"] * (2 * over(pd.Series(size), pd.Series(run)) - 1).abs()
     return ewm(force, span=34) - ewm(force, span=55)
 
@@ -392,19 +471,31 @@ def _klinger(d):
 @recursive("HWMA")
 def _holt_winter(d, na: float = 0.2, nb: float = 0.1, nc: float = 0.1):
     x = d["close"].to_numpy(float)
-    out = np.full(len(x), np.nan)
-    if len(x) > 1:
-        out[0], speed = x[0], x[1] - x[0]
-        for i in range(1, len(x)):
-            level = (1 - na) * (out[i - 1] + speed) + na * x[i]
-            speed += nb * (level - out[i - 1] - speed)
-            out[i] = level + nc * (x[i] - level)
-    return pd.Series(out)
+
+    def run(lo, hi, state):
+        out, i = np.full(len(x), np.nan), lo
+        if state is None:
+            if hi - lo < 2:
+                return (out,), None
+            y, speed, i = x[lo], x[lo + 1] - x[lo], lo + 1
+            out[lo] = y
+        else:
+            y, speed = state
+        for i in range(i, hi):
+            level = (1 - na) * (y + speed) + na * x[i]
+            speed += nb * (level - y - speed)
+            y = out[i] = level + nc * (x[i] - level)
+        return (out,), [float(y), float(speed)]
+
+    return pd.Series(fold(run, [x])[0])
 
 
 recursive("AMAT_fast")(lambda d: (ewm(d["close"], span=8) > ewm(d["close"], span=21)).astype(float))
 
 
+PRICES = ("open", "high", "low", "close", "volume")
+
+
 def compute(bars: DataFrame, names: list[str]) -> DataFrame:
     """bars with the named recursive columns; all in one pass over each series."""
     if not names:
@@ -413,8 +504,95 @@ def compute(bars: DataFrame, names: list[str]) -> DataFrame:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ts", kind="stable", ignore_index=True)
-        d: Frame = {c: rows[c].astype(float) for c in ("open", "high", "low", "close", "volume")}
+        d: Frame = {c: rows[c].astype(float) for c in PRICES}
         return pd.concat([rows, pd.DataFrame({n: np.asarray(of(d, n), float) for n in names}, index=rows.index)], axis=1)
 
     made = bars.groupBy("symbol", "timeframe").applyInPandas(run, schema)
     return made.withColumns({n: F.nullif(F.col(n), F.lit(float("nan"))) for n in names})
+
+
+def compute_split(bars: DataFrame, names: list[str], rows: int) -> DataFrame:
+    """`compute` for series of any length: the work of tasks of `rows` rows each, or of twice what the indicators look back, if that is more.
+
+    bars may have _i (see chunks.numbered); the result has it. A pass over the
+    chunks for each level of steps tells their maps, which are composed in
+    order, a few numbers a chunk; the last pass gives the columns. Runs jobs
+    when called. Other than in `compute`, only the last digits differ.
+    """
+    units = list(dict.fromkeys(UNITS[n][0] for n in names))
+    shapes = [steps.shape(u) for u in units]
+    before = max([1, *(b for _, b in shapes)])
+    rows = max(rows, 2 * before)
+    bars = bars if "_i" in bars.columns else kept(numbered(bars, rows))
+    if not names:
+        return bars
+    calls = {f"{u} {j}": step for u, (found, _) in enumerate(shapes) for j, step in enumerate(found)}
+    highest = max((c.level for c in calls.values()), default=0)
+    types = {f.name: f.dataType.simpleString() for f in bars.schema.fields}
+    keys = ", ".join(f"{c} {types[c]}" for c in KEYS)
+    schema = f"{keys}, _chunk long, name string, state array<double>"
+
+    def taken_by(group: pd.DataFrame, known: dict[str, list[float]], level: int) -> tuple[list[Part], list[tuple[pd.Series, ...]]]:
+        """Each unit's steps over the group, as far as `level`, and what the unit makes."""
+        parts, made = [], []
+        for u, (unit, (found, _)) in enumerate(zip(units, shapes, strict=True)):
+            states = {j: list(known[f"{u} {j}"]) or None for j in range(len(found)) if f"{u} {j}" in known}
+            parts.append(Part(int(group["_chunk"].iloc[0]), rows, before, found, states, level))
+            if level > highest or any(s.level == level for s in found):
+                with taken(parts[-1]), np.errstate(all="ignore"):
+                    made.append(unit({c: group[c].astype(float) for c in PRICES}))
+        return parts, made
+
+    def names_of(parts: list[Part], what: str) -> dict[str, object]:
+        return {f"{u} {j}": x for u, p in enumerate(parts) for j, x in getattr(p, what).items()}
+
+    def told(level: int):
+        def run(group: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+            found = {}
+            if group["_own"].any():
+                found = names_of(taken_by(group, dict(zip(known["name"], known["state"], strict=True)), level)[0], "told")
+            head = {c: group[c].iloc[0] for c in (*KEYS, "_chunk")} if found else {}
+            return pd.DataFrame([{**head, "name": n, "state": x} for n, x in found.items()], columns=[*KEYS, "_chunk", "name", "state"])
+
+        return run
+
+    def composed(told: pd.DataFrame) -> pd.DataFrame:
+        """The state that each chunk begins with, by the maps of the chunks before it; of a mean, the whole series' sum and count."""
+        told, out = told.sort_values("_chunk", kind="stable"), []
+        for name, own in told.groupby("name", sort=False):
+            kind, state = calls[name].kind, None
+            whole = np.sum(np.array(own["state"].tolist()), axis=0).tolist() if kind == "mean" else None
+            for chunk, x in zip(own["_chunk"], own["state"], strict=True):
+                out.append({**{c: told[c].iloc[0] for c in KEYS}, "_chunk": chunk, "name": name, "state": whole or state or []})
+                state = state if kind == "mean" else advanced(kind, state, list(x))
+        return pd.DataFrame(out, columns=[*KEYS, "_chunk", "name", "state"])
+
+    halo = with_halo(bars, rows, before)
+    prices = halo.select(*KEYS, "_chunk", "_own", "_i", *PRICES)
+    known = bars.sparkSession.createDataFrame([], schema)
+    for level in range(1, highest + 1):
+        kinds = {c.kind for c in calls.values() if c.level == level}
+        found = known
+        if kinds - {"path"}:
+            found = found.unionByName(per_chunk(prices, known, told(level), schema).groupBy(*KEYS).applyInPandas(composed, schema))
+        if "path" in kinds:
+
+            def run(group: pd.DataFrame, states: dict[str, list[float] | None], level=level) -> dict[str, tuple[list[float], list[float]]]:
+                parts = taken_by(group, states, level)[0] if group["_own"].any() else []
+                return {n: (s or [], e or []) for n, (s, e) in names_of(parts, "relayed").items()}
+
+            found = found.unionByName(relay(prices, run, close=lambda name: calls[name].close, known=known))
+        known = kept(found)
+
+    fields = [f for f in halo.schema.fields if f.name not in ("_chunk", "_own")]
+    full = T.StructType([*fields, *(T.StructField(n, T.DoubleType()) for n in names)])
+
+    def last(group: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        if not group["_own"].any():
+            return pd.DataFrame()
+        made = taken_by(group, dict(zip(states["name"], states["state"], strict=True)), highest + 1)[1]
+        columns = {n: np.asarray(made[units.index(UNITS[n][0])][UNITS[n][1]], float) for n in names}
+        return pd.concat([group[[f.name for f in fields]], pd.DataFrame(columns, index=group.index)], axis=1)[group["_own"].to_numpy()]
+
+    out = per_chunk(halo, known, last, full)
+    return out.withColumns({n: F.nullif(F.col(n), F.lit(float("nan"))) for n in names})
