@@ -244,8 +244,12 @@ def _counted(docs: DataFrame, folder: str, name: str) -> DataFrame:
     return scratch_table(docs.mapInArrow(run, "total boolean, doc_id long, n long, terms array<int>, times array<long>"), "lexical-counts")
 
 
-def _best(counted: DataFrame, folder: str, name: str, weights: str, docs: int, words: int, k: int) -> DataFrame:
-    """query, item_id, doc_id, score: the k best of each task's documents for each query of the slice."""
+def _best(counted: DataFrame, folder: str, name: str, weights: str, docs: int, words: int, postings: int, k: int) -> DataFrame:
+    """query, item_id, doc_id, score: the k best of each task's documents for each query of the slice.
+
+    Small parts of the stored counts are read together, up to a shard a task:
+    the larger a shard, the more of it is never looked at.
+    """
     schema = pa.schema([("query", pa.int64()), ("item_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches):
@@ -292,7 +296,8 @@ def _best(counted: DataFrame, folder: str, name: str, weights: str, docs: int, w
         doc_id = pa.array(best[1], pa.int64(), mask=best[1] == NO_ID)
         yield pa.RecordBatch.from_arrays([pa.array(np.array(own.queries, np.int64)[best[0]], pa.int64()), pa.array([own.items[q] for q in best[0].tolist()], pa.int64()), doc_id, pa.array(best[2], pa.int64())], schema=schema)
 
-    return counted.where("not total").select("doc_id", "n", "terms", "times").mapInArrow(run, "query long, item_id long, doc_id long, score long")
+    shards = max(1, -(-docs // SHARD_DOCS), -(-postings // SHARD_POSTINGS))
+    return counted.where("not total").select("doc_id", "n", "terms", "times").coalesce(shards).mapInArrow(run, "query long, item_id long, doc_id long, score long")
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 50, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", query_col: str = "text") -> DataFrame:
@@ -305,14 +310,15 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 50, id_col: str = "doc_
         sums = counted.where("total")
         totals = sums.agg(F.sum("doc_id").alias("docs"), F.sum("n").alias("words")).first()
         pairs = sums.select(F.explode(F.arrays_zip("terms", "times")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.times").alias("df"))
-        weights = np.zeros(len(Slice(folder, name).vocabulary), "<i8")
+        weights, postings = np.zeros(len(Slice(folder, name).vocabulary), "<i8"), 0
         for r in pairs.toLocalIterator():  # a row a term of the slice at most
             weights[r.term] = weight(r.df, totals.docs)
+            postings += r.df
         if not totals.words:
             break
         with Store(folder).write(f"{name}-weights") as f:
             f.write(weights.tobytes())
-        part = _best(counted, folder, name, f"{name}-weights", totals.docs, totals.words, k)
+        part = _best(counted, folder, name, f"{name}-weights", totals.docs, totals.words, postings, k)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
