@@ -202,7 +202,7 @@ def _slices(queries: DataFrame, item_col: str, text_col: str, folder: str) -> li
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
 
     parts = max(1, -(-queries.count() // SLICE_ITEMS))
-    return sorted(r.name for r in own.repartition(parts, "query").mapInArrow(store, "name string").collect())  # a row a slice
+    return sorted(r.name for r in own.coalesce(parts).mapInArrow(store, "name string").collect())  # a row a slice
 
 
 class Slice:
