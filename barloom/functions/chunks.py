@@ -73,33 +73,46 @@ _CARRIES: ContextVar[Carries | None] = ContextVar("carries", default=None)
 
 
 class Carries:
-    """Running values of chunked rows; a kernel asks for one and gets an expression that reads what is carried into its group."""
+    """Running values of chunked rows; a kernel asks for one and gets an expression that reads what is carried into its group.
 
-    def __init__(self):
+    What is added up may look back itself, and the first rows of a group don't
+    see so far: a group's own running begins at its row `skip`, and what is
+    carried is the total of all rows before that one.
+    """
+
+    def __init__(self, rows: int, before: int, skip: int, by: tuple[str, ...] = KEYS):
+        self.rows, self.before, self.skip, self.by = rows, before, skip, by
         self.asked: list[tuple[str, Column]] = []
 
-    def of(self, kind: str, x: Column, local: Column) -> Column:
-        """sum, max or last (not null) of x up to the row, given its value within the group."""
+    def of(self, kind: str, x: Column) -> Column:
+        """sum, max or last (not null) of x up to the row."""
         self.asked.append((kind, x))
         carried = F.col(f"_carried{len(self.asked) - 1}")
+        counted = F.when(F.col("_i") >= F.col("_chunk") * self.rows - self.before + self.skip, x)
+        so_far = Window.partitionBy(*self.by, "_chunk").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+        local = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}[kind](counted).over(so_far)
         if kind == "sum":
             return F.coalesce(local + carried, local, carried)
         return F.greatest(local, carried) if kind == "max" else F.coalesce(local, carried)
 
-    def join(self, df: DataFrame, rows: int, before: int, by: tuple[str, ...] = KEYS) -> DataFrame:
-        """df with what is carried into each row's group: the totals of all rows before the group's first."""
+    @property
+    def columns(self) -> list[str]:
+        return [f"_carried{i}" for i in range(len(self.asked))]
+
+    def join(self, df: DataFrame) -> DataFrame:
+        """df with what is carried into each row's group."""
         if not self.asked:
             return df
-        total = {"sum": lambda x: F.sum(x), "max": lambda x: F.max(x), "last": lambda x: F.max_by(x, F.when(x.isNotNull(), F.col("_i")))}
+        total = {"sum": F.sum, "max": F.max, "last": lambda x: F.max_by(x, F.when(x.isNotNull(), F.col("_i")))}
         names = [f"_x{i}" for i in range(len(self.asked))]
         out = df.withColumns({n: x for n, (_, x) in zip(names, self.asked, strict=True)})
-        # a chunk's last rows are in the next group, too
-        tail = (F.floor((F.col("_i") + before) / rows) > F.col("_chunk")).cast("int")
-        sums = out.where("_own").groupBy(*by, "_chunk", tail.alias("_tail")).agg(*(total[k](F.col(n)).alias(n) for n, (k, _) in zip(names, self.asked, strict=True)))
-        so_far = Window.partitionBy(*by).orderBy("_chunk", "_tail").rowsBetween(Window.unboundedPreceding, 0)  # two rows a chunk
+        # a chunk's last rows are counted by the next group itself
+        tail = (F.floor((F.col("_i") + self.before - self.skip) / self.rows) > F.col("_chunk")).cast("int")
+        sums = out.where("_own").groupBy(*self.by, "_chunk", tail.alias("_tail")).agg(*(total[k](F.col(n)).alias(n) for n, (k, _) in zip(names, self.asked, strict=True)))
+        so_far = Window.partitionBy(*self.by).orderBy("_chunk", "_tail").rowsBetween(Window.unboundedPreceding, 0)  # two rows a chunk
         over = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
-        carried = sums.select(*by, (F.col("_chunk") + 1).alias("_chunk"), "_tail", *(over[k](F.col(n)).over(so_far).alias(f"_carried{i}") for i, (n, (k, _)) in enumerate(zip(names, self.asked, strict=True))))
-        return out.drop(*names).join(carried.where("_tail = 0").drop("_tail"), [*by, "_chunk"], "left")
+        carried = sums.select(*self.by, (F.col("_chunk") + 1).alias("_chunk"), "_tail", *(over[k](F.col(n)).over(so_far).alias(c) for c, n, (k, _) in zip(self.columns, names, self.asked, strict=True)))
+        return df.join(carried.where("_tail = 0").drop("_tail"), [*self.by, "_chunk"], "left")
 
 
 @contextmanager

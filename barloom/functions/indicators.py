@@ -26,6 +26,7 @@ from .kernels import (
     highest,
     kurtosis,
     lag,
+    last_value,
     lead,
     linreg,
     lowest,
@@ -45,7 +46,8 @@ from .kernels import (
     window_values,
     wma,
 )
-from .recursive import RECURSIVE, compute
+from .chunks import Carries, carries, carrying, kept, owned, with_halo
+from .recursive import RECURSIVE, compute, compute_split
 
 O, H, L, C, V = "open", "high", "low", "close", "volume"
 
@@ -135,7 +137,7 @@ def fisher_value() -> Column:
 
 
 put("", "_MID", _FISHER=fisher_value)
-put("momentum", "_FISHER", FISHER=lambda: F.last(0.5 * F.ln((1 + c("_FISHER")) / (1 - c("_FISHER"))), ignorenulls=True).over(series().rowsBetween(-(1 << 30), 0)))
+put("momentum", "_FISHER", FISHER=lambda: last_value(0.5 * F.ln((1 + c("_FISHER")) / (1 - c("_FISHER")))))
 
 # --- volatility
 for _n in (14, 20):
@@ -277,7 +279,8 @@ put("trend", "_SH13 _SL21", HILO_HIGH=lambda: c("_SH13"), HILO_LOW=lambda: c("_S
 
 
 # --- candlestick patterns, +-100 or 0
-def candles() -> None:
+def patterns() -> dict[str, tuple[Column, int]]:
+    """Condition and value by pattern."""
     body, size = F.abs(c(C) - c(O)), c(H) - c(L)
     up, down = c(C) > c(O), c(C) < c(O)
     high, low = c(H) - F.greatest(c(O), c(C)), F.least(c(O), c(C)) - c(L)
@@ -289,7 +292,7 @@ def candles() -> None:
     half1, half2 = (p[O] + p[C]) / 2, (q[O] + q[C]) / 2
     inside = {"up": down1 & up & (c(O) > p[C]) & (c(C) < p[O]) & (body < 0.5 * body1), "down": up1 & down & (c(O) < p[C]) & (c(C) > p[O]) & (body < 0.5 * body1)}
     harami1 = {"up": down2 & up1 & (p[O] > q[C]) & (p[C] < q[O]), "down": up2 & down1 & (p[O] < q[C]) & (p[C] > q[O])}
-    patterns = {
+    return {
         "DOJI": (share < 0.1, 100), "SPINNING_TOP": ((share > 0.1) & (share < 0.35) & (high > 0.5 * body) & (low > 0.5 * body), 100),
         "BULL_MARUBOZU": (up & (share > 0.9), 100), "BEAR_MARUBOZU": (down & (share > 0.9), -100),
         "HAMMER": (up & (low > 2 * body) & (high < 0.5 * body), 100), "HANGING_MAN": (down & (low > 2 * body) & (high < 0.5 * body), -100),
@@ -305,23 +308,35 @@ def candles() -> None:
         "MORNING_STAR": (down2 & up & (body1 < 0.3 * body) & (c(C) > half2), 100), "EVENING_STAR": (up2 & down & (body1 < 0.3 * body) & (c(C) < half2), -100),
         "3_INSIDE_UP": (harami1["up"] & up & (c(C) > p[C]), 100), "3_INSIDE_DOWN": (harami1["down"] & down & (c(C) < p[C]), -100),
     }
-    for name, (condition, value) in patterns.items():
-        put("candles", **{f"CDL_{name}": lambda condition=condition, value=value: flag(condition) * value})
+
+
+_PATTERNS: dict[bool, dict[str, tuple[Column, int]]] = {}
+
+
+def pattern(name: str) -> Column:
+    split = carries() is not None
+    if split not in _PATTERNS:
+        _PATTERNS[split] = patterns()
+    condition, value = _PATTERNS[split][name]
+    return flag(condition) * value
 
 
 CANDLES = [f"CDL_{x}" for x in "DOJI SPINNING_TOP BULL_MARUBOZU BEAR_MARUBOZU HAMMER HANGING_MAN INV_HAMMER SHOOTING_STAR DRAGONFLY GRAVESTONE BULL_ENGULFING BEAR_ENGULFING BULL_HARAMI BEAR_HARAMI DARK_CLOUD PIERCING TWEEZER_TOP TWEEZER_BOTTOM INSIDE_BAR OUTSIDE_BAR 3_WHITE_SOLDIERS 3_BLACK_CROWS MORNING_STAR EVENING_STAR 3_INSIDE_UP 3_INSIDE_DOWN".split()]
 
 
+put("candles", **{n: lambda n=n: pattern(n.removeprefix("CDL_")) for n in CANDLES})
+
+
 def names() -> list[str]:
     """Every indicator a caller may ask for."""
-    return [*RECURSIVE, *(n for n in COLUMNS if n[0] != "_"), *CANDLES]
+    return [*RECURSIVE, *(n for n in COLUMNS if n[0] != "_")]
 
 
 def catalog() -> dict[str, list[str]]:
     """Names by category."""
     found: dict[str, list[str]] = {}
     for n in names():
-        category = "candles" if n.startswith("CDL_") else COLUMNS[n].category if n in COLUMNS else "recursive"
+        category = COLUMNS[n].category if n in COLUMNS else "recursive"
         found.setdefault(category, []).append(n)
     return found
 
@@ -346,14 +361,33 @@ def _levels(wanted: list[str]) -> tuple[list[str], list[list[str]]]:
     return [n for n, d in depth.items() if d == 0], levels
 
 
-def with_indicators(bars: DataFrame, wanted: list[str]) -> DataFrame:
-    """bars with the wanted indicators, and no others."""
-    if any(n in CANDLES for n in wanted) and CANDLES[0] not in COLUMNS:
-        candles()
+#: Rows ahead of a chunk and behind it that windows may reach, one window over another; and by how many of them a running value's own windows look back.
+BEFORE, AFTER, WITHIN = 320, 2, 32
+
+
+def with_indicators(bars: DataFrame, wanted: list[str], rows: int | None = None) -> DataFrame:
+    """bars with the wanted indicators, and no others.
+
+    With `rows`, series of any length: each is cut into chunks of so many rows
+    (or of what the indicators reach, if that is more), and a chunk is a task's
+    work. Results are the same but for rounding. Jobs run when it is called.
+    """
     has = set(bars.columns)
     wanted = [n for n in dict.fromkeys(wanted) if n not in has]
     first, levels = _levels(wanted)
-    out = compute(bars, [n for n in first if n not in has])
-    for level in levels:
-        out = out.withColumns({n: COLUMNS[n].build() for n in level if n not in has})
+    first = [n for n in first if n not in has]
+    if rows is None:
+        out = compute(bars, first)
+        for level in levels:
+            out = out.withColumns({n: COLUMNS[n].build() for n in level if n not in has})
+        return out.select(*bars.columns, *wanted)
+    out = compute_split(bars, first, rows)
+    if levels:
+        rows = max(rows, 2 * (BEFORE + AFTER))
+        out = with_halo(kept(out) if first else out, rows, BEFORE, AFTER)
+        for number, level in enumerate(levels, 1):
+            with carrying(Carries(rows, BEFORE, WITHIN * number)) as carried:
+                made = {n: COLUMNS[n].build() for n in level if n not in has}
+            out = carried.join(out).withColumns(made).drop(*carried.columns)
+        out = owned(out)
     return out.select(*bars.columns, *wanted)

@@ -1,7 +1,8 @@
 """Window kernels over a bar series: every indicator that is no recursion is made of these.
 
 All use one partitioning and order, so that Catalyst puts them into one sort.
-A trailing frame is NULL until it is full and free of NULLs. Divisions by zero
+Where a series is cut into chunks (chunks.py), that is a chunk with the rows
+ahead of it, and running values begin with what is carried into it. A trailing frame is NULL until it is full and free of NULLs. Divisions by zero
 give NULL.
 """
 
@@ -12,10 +13,12 @@ from functools import reduce
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-KEYS = ("symbol", "timeframe")
+from .chunks import KEYS, carries
+
+
 def series():
-    """The window of a series; needs a session, so it is made when asked for."""
-    return Window.partitionBy(*KEYS).orderBy("ts")
+    """The window of a series, or of a chunk's group where there are chunks; needs a session, so it is made when asked for."""
+    return Window.partitionBy(*KEYS, *(["_chunk"] if carries() else [])).orderBy("ts")
 
 
 def col(x: Column | str) -> Column:
@@ -143,15 +146,20 @@ def linreg(x, n: int) -> tuple[Column, Column]:
 
 
 def running_sum(x) -> Column:
-    return F.sum(col(x)).over(series().rowsBetween(Window.unboundedPreceding, 0))
+    return carries().of("sum", col(x)) if carries() else F.sum(col(x)).over(series().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def running_max(x) -> Column:
-    return F.max(col(x)).over(series().rowsBetween(Window.unboundedPreceding, 0))
+    return carries().of("max", col(x)) if carries() else F.max(col(x)).over(series().rowsBetween(Window.unboundedPreceding, 0))
+
+
+def last_value(x) -> Column:
+    """The last value so far that isn't NULL."""
+    return carries().of("last", col(x)) if carries() else F.last(col(x), ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def row_number() -> Column:
-    return F.row_number().over(series())
+    return F.col("_i") + 1 if carries() else F.row_number().over(series())
 
 
 def flag(condition: Column) -> Column:
@@ -175,5 +183,4 @@ def crossed_below(a, b) -> Column:
 def bars_since(hit: Column) -> Column:
     """Rows since the last row where hit holds; NULL before the first."""
     n = row_number()
-    last = F.max(F.when(hit, n)).over(series().rowsBetween(Window.unboundedPreceding, 0))
-    return n - last
+    return (n - running_max(F.when(hit, n))).cast("int")

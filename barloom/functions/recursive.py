@@ -494,6 +494,8 @@ recursive("AMAT_fast")(lambda d: (ewm(d["close"], span=8) > ewm(d["close"], span
 
 
 PRICES = ("open", "high", "low", "close", "volume")
+#: A series' first rows, in which every fold begins; the first chunk holds them all.
+BEGIN = 64
 
 
 def compute(bars: DataFrame, names: list[str]) -> DataFrame:
@@ -521,7 +523,7 @@ def compute_split(bars: DataFrame, names: list[str], rows: int) -> DataFrame:
     """
     units = list(dict.fromkeys(UNITS[n][0] for n in names))
     shapes = [steps.shape(u) for u in units]
-    before = max([1, *(b for _, b in shapes)])
+    before = max([BEGIN, *(b for _, b in shapes)])
     rows = max(rows, 2 * before)
     bars = bars if "_i" in bars.columns else kept(numbered(bars, rows))
     if not names:

@@ -85,3 +85,34 @@ def test_relay_corrects_wrong_guesses(spark):
     got = {r["_chunk"]: r.state for r in chunks.relay(df, run).collect()}
     sums = np.cumsum(rows["x"].to_numpy().reshape(8, 50).sum(1))
     assert got == {0: [], **{k: [float(sums[k - 1])] for k in range(1, 8)}}
+
+
+def test_all_window_columns(spark):
+    """Every indicator that is no recursion, and those that read recursions."""
+    from barloom.functions.indicators import COLUMNS, names, with_indicators
+
+    wanted = [n for n in names() if n not in RECURSIVE]
+    assert all(n in COLUMNS for n in wanted)
+    bars = bars_of(spark, 3000, 700, 3)
+    for part in (wanted[::2], wanted[1::2]):
+        equal(with_indicators(bars, part), with_indicators(bars, part, rows=1), part, 1e-7)
+
+
+def test_running_values_with_holes(spark):
+    from barloom.functions.indicators import with_indicators
+
+    wanted = ["OBV", "OBV_ZSCORE", "AD", "PVT", "NVI", "PVI", "FISHER", "BARS_SINCE_HIGH", "BARS_SINCE_LOW", "SMA_200", "FRACTAL_BEAR"]
+    bars = bars_of(spark, 2600, 900, holes=True)
+    equal(with_indicators(bars, wanted), with_indicators(bars, wanted, rows=700), wanted, 1e-7)
+
+
+def test_one_series_is_many_tasks(spark):
+    from barloom.functions.indicators import with_indicators
+
+    out = with_indicators(bars_of(spark, 6600), ["EMA_20", "SMA_20", "OBV"], rows=700)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would join what is as small as here
+    try:
+        spread = out.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] > 0 for r in spread) > 2
