@@ -1,8 +1,9 @@
 """The trade simulator: a fold over a series in time, and what is measured of its trades.
 
 The fold is sequential within a series and a parameter set, and parallel over
-them: groups of (symbol, timeframe[, fold]) go to `applyInPandas`. All
-measures of trades are DataFrame aggregates.
+them: groups of (symbol, timeframe[, fold]) go to `applyInPandas`. Long series
+are cut into chunks, whose open positions are relayed. All measures of trades
+are DataFrame aggregates.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.chunks import KEYS, kept, numbered, per_chunk, relay, with_halo
+from ..functions.recursive import UNITS, compute_split, smoothed
 from .stats import benchmark
 
 TRADE_FIELDS = "entry_idx int, exit_idx int, entry_ts timestamp, exit_ts timestamp, entry_price double, exit_price double, pnl_pct double, is_winner boolean, duration_bars int, exit_reason string, position_size double, capital double, capital_in double, final_capital double"
@@ -70,6 +73,19 @@ def wilder(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int) -> np.n
     return out
 
 
+def _range(n: int) -> str:
+    """The name under which `wilder` of n is known to compute_split."""
+    name = f"_RANGE_{n}"
+
+    def unit(d: dict[str, pd.Series]) -> tuple[pd.Series]:
+        high, low, close = (d[c].to_numpy(float) for c in ("high", "low", "close"))
+        before = np.concatenate([close[:1], close[:-1]])
+        return (pd.Series(smoothed(np.maximum(high - low, np.maximum(np.abs(high - before), np.abs(low - before))), n, n - 1)),)
+
+    UNITS.setdefault(name, (unit, 0))
+    return name
+
+
 def kelly(results: list[float], fraction: float, share: float) -> float:
     """Fraction of Kelly's share by the last 20 results (percent), between 0.01 and 0.5.
 
@@ -85,13 +101,22 @@ def kelly(results: list[float], fraction: float, share: float) -> float:
     return float(np.clip((p - (1 - p) / odds) * fraction, 0.01, 0.5))
 
 
-def fold(rows: pd.DataFrame, r: Risk) -> list[tuple]:
-    """The trades of one series, by time. A signal enters at the next bar's close; one position at a time.
+#: A position: first and last bar's place and time, price paid and got, result in percent, why it ended, range at entry for sizing. One still open has no end.
+Position = tuple[int, int | None, object, object, float, float | None, float | None, str | None, float]
+_POSITION = "entry_idx long, exit_idx long, entry_ts timestamp, exit_ts timestamp, entry_price double, exit_price double, pnl_pct double, exit_reason string, wide double"
+
 
-    A bar without a positive close is passed over.
+def positions(rows: pd.DataFrame, r: Risk, begin: int = 1, first: int = 0, last: int | None = None, state: list | None = None) -> tuple[list[Position], list]:
+    """The positions that end in the rows from the begin-th on, and what is open behind them ([]: nothing).
+
+    A signal enters at the next bar's close; one position at a time. A bar
+    without a positive close is passed over. `first` is the first row's place
+    in its series, `last` the place of the series' last row. An open position:
+    place and microseconds of its entry, paid, stop, target, trail, range, peak.
     """
     close, ts = rows["close"].to_numpy(float), rows["ts"].tolist()
     enter, leave = rows["entry_signal"].fillna(0).to_numpy() == 1, rows["exit_signal"].fillna(0).to_numpy() == 1
+    last = len(close) - 1 if last is None else last
 
     def ranges(n: int) -> np.ndarray:
         name = f"ATR_{n}"
@@ -99,9 +124,9 @@ def fold(rows: pd.DataFrame, r: Risk) -> list[tuple]:
 
     atr = {n: ranges(n) for n in r.periods()}
     sl_atr, tp_atr, trail_atr, size_atr = (atr[n] for n in (r.sl_atr_period, r.tp_atr_period, r.trail_atr_period, r.size_atr_period))
-    capital, share, trades, results = r.capital, r.size, [], []
-    start = -1
-    for i in range(1, len(close)):
+    found: list[Position] = []
+    start, at, paid, stop, target, trail, size_wide, peak = (-1, None, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0) if not state else (int(state[0]), pd.Timestamp(int(state[1]), unit="us"), *state[2:])
+    for i in range(begin, len(close)):
         price = close[i]
         if not price > 0:
             continue
@@ -119,10 +144,7 @@ def fold(rows: pd.DataFrame, r: Risk) -> list[tuple]:
                     target = paid + r.tp_atr * wide if r.tp_mode == "atr" and wide > 0 else paid * (1 + r.tp_pct)
                 wide = trail_atr[i]
                 trail = 0.0 if r.trail_mode == "none" else r.trail_atr * wide if r.trail_mode == "atr" and wide > 0 else paid * r.trail_pct
-                wide = size_atr[i]
-                used = share if r.sizing == "kelly" else min(capital * r.risk / wide, 0.5) if r.sizing == "atr_risk" and wide > 0 else r.size
-                capital -= capital * used * r.fee
-                start, peak, after_fee = i, paid, capital
+                start, at, peak, size_wide = first + i, ts[i], paid, float(size_atr[i])
             continue
         peak = max(peak, price)
         reason = (
@@ -130,37 +152,119 @@ def fold(rows: pd.DataFrame, r: Risk) -> list[tuple]:
             else "take_profit" if target > 0 and price >= target
             else "trailing_stop" if trail > 0 and peak - price >= trail
             else "exit_signal" if leave[i - 1]
-            else "end_of_data" if i == len(close) - 1
+            else "end_of_data" if first + i == last
             else ""
         )
         if reason:
             got = price * (1 - r.slippage)
-            pnl = (got / paid - 1) * 100
-            capital += capital * used * pnl / 100
-            capital -= capital * used * r.fee
-            results.append(pnl)
-            trades.append((start, i, ts[start], ts[i], paid, got, pnl, pnl > 0, i - start, reason, used, capital, after_fee))
+            found.append((start, first + i, at, ts[i], paid, got, (got / paid - 1) * 100, reason, size_wide))
             start = -1
-            if len(results) % 10 == 0:
-                share = kelly(results, r.kelly_fraction, share)
+    return found, [] if start < 0 else [float(start), float(at.value // 1000), *map(float, (paid, stop, target, trail, size_wide, peak))]
+
+
+def funded(found: list[Position], r: Risk) -> list[tuple]:
+    """The positions of a series, in order, with their share of the capital and what becomes of it: its trades. An open one costs its fee."""
+    capital, share, trades, results = r.capital, r.size, [], []
+    for start, end, entered, left, paid, got, pnl, reason, wide in found:
+        used = share if r.sizing == "kelly" else min(capital * r.risk / wide, 0.5) if r.sizing == "atr_risk" and wide > 0 else r.size
+        capital -= capital * used * r.fee
+        if reason is None:
+            continue
+        after_fee = capital
+        capital += capital * used * pnl / 100
+        capital -= capital * used * r.fee
+        results.append(pnl)
+        trades.append((start, end, entered, left, paid, got, pnl, pnl > 0, end - start, reason, used, capital, after_fee))
+        if len(results) % 10 == 0:
+            share = kelly(results, r.kelly_fraction, share)
     return [(*t, capital) for t in trades]
 
 
-def trades(signals: DataFrame, risk: Risk, by: tuple[str, ...] = ("symbol", "timeframe")) -> DataFrame:
-    """The trades of each series of signals (bars with entry_signal, exit_signal and, if there, ATR)."""
-    columns = [c for c in ("ts", "open", "high", "low", "close", "entry_signal", "exit_signal", *(f"ATR_{n}" for n in risk.periods())) if c in signals.columns and c not in by]
-    own = signals.select(*by, *columns)
+def fold(rows: pd.DataFrame, r: Risk) -> list[tuple]:
+    """The trades of one series, by time."""
+    found, still = positions(rows, r)
+    return funded([*found, *(_open(still) if still else ())], r)
+
+
+def _open(state: list) -> list[Position]:
+    return [(int(state[0]), None, pd.Timestamp(int(state[1]), unit="us"), None, state[2], None, None, None, state[6])]
+
+
+def trades(signals: DataFrame, risk: Risk, by: tuple[str, ...] = ("symbol", "timeframe"), rows: int | None = None) -> DataFrame:
+    """The trades of each series of signals (bars with entry_signal, exit_signal and, if there, ATR).
+
+    With `rows`, a series is the work of several tasks (`split_positions`).
+    """
+    needed = ("ts", "open", "high", "low", "close", "entry_signal", "exit_signal", *(f"ATR_{n}" for n in risk.periods()))
+    own = signals.select(*by, *(c for c in needed if c in signals.columns and c not in by))
     types = {f.name: f.dataType.simpleString() for f in own.schema.fields}
-    names = [f.split(" ")[0] for f in TRADE_FIELDS.split(", ")]
+    names, keys = [f.split(" ")[0] for f in TRADE_FIELDS.split(", ")], ", ".join(f"{c} {types[c]}" for c in by)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts", kind="stable", ignore_index=True)
-        out = pd.DataFrame(fold(rows, risk), columns=names)
+    def table(found: list[tuple], rows: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(found, columns=names)
         for k, c in enumerate(by):
             out.insert(k, c, rows[c].iloc[0] if len(rows) else None)
         return out
 
-    return own.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {types[c]}" for c in by) + ", " + TRADE_FIELDS)
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return table(fold(rows.sort_values("ts", kind="stable", ignore_index=True), risk), rows)
+
+    if rows is None:
+        return own.groupBy(*by).applyInPandas(run, f"{keys}, {TRADE_FIELDS}")
+    columns = [f.split(" ")[0] for f in _POSITION.split(", ")]
+
+    def fund(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("entry_idx", kind="stable")
+        found = [(int(t[0]), None if pd.isna(t[1]) else int(t[1]), *t[2:7], t[7] if isinstance(t[7], str) else None, t[8]) for t in rows[columns].itertuples(index=False, name=None)]
+        return table(funded(found, risk), rows)
+
+    return split_positions(own, risk, rows, by).groupBy(*by).applyInPandas(fund, f"{keys}, {TRADE_FIELDS}")
+
+
+def split_positions(signals: DataFrame, risk: Risk, rows: int, by: tuple[str, ...] = ("symbol", "timeframe")) -> DataFrame:
+    """by and the positions of each series, the last one's end NULL if it is still open; the work of tasks of `rows` bars each.
+
+    Whenever it is flat, the fold has forgotten what was before. So chunks
+    begin flat, and those that the chunk before reaches with an open position
+    are run again with that one, until all agree; a round or two do for most.
+    What capital makes of positions is left to `funded`, a series at a time.
+    Runs jobs when called.
+    """
+    missing = [f"ATR_{n}" for n in risk.periods() if f"ATR_{n}" not in signals.columns]
+    if missing and "atr" in (risk.sl_mode, risk.tp_mode, risk.trail_mode) or missing and risk.sizing == "atr_risk":
+        if tuple(by) != KEYS:
+            raise ValueError(f"signals of parts of series need {missing}")
+        named = {_range(n): f"ATR_{n}" for n in risk.periods() if f"ATR_{n}" in missing}
+        signals = compute_split(signals.withColumn("volume", F.lit(None).cast("double")), list(named), rows).drop("volume", "_i").withColumnsRenamed(named)
+        missing = []
+    own = signals.withColumns({n: F.lit(0.0) for n in missing})
+    placed = kept(numbered(own, rows, by))
+    ends = placed.groupBy(*by).agg(F.max("_i").alias("_last"))
+    df = with_halo(placed, rows, 1).join(ends, list(by))
+
+    def walked(group: pd.DataFrame, state: list) -> tuple[list[Position], list]:
+        begin = 1 if group["_chunk"].iloc[0] == 0 else int((~group["_own"]).sum())
+        return positions(group, risk, begin, int(group["_i"].iloc[0]), int(group["_last"].iloc[0]), state)
+
+    def run(group: pd.DataFrame, states: dict[str, list[float] | None]) -> dict[str, tuple[list[float], list[float]]]:
+        state = states.get("position") or []
+        return {"position": (state, walked(group, state)[1])} if group["_own"].any() else {}
+
+    types = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
+    keys = ", ".join(f"{c} {types[c]}" for c in by)
+
+    def last(group: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        if not group["_own"].any():
+            return pd.DataFrame()
+        found, still = walked(group, list(states["state"].iloc[0]) if len(states) else [])
+        if still and group.loc[group["_own"], "_i"].iloc[-1] == group["_last"].iloc[0]:
+            found = [*found, *_open(still)]
+        out = pd.DataFrame(found, columns=[f.split(" ")[0] for f in _POSITION.split(", ")])
+        for k, c in enumerate(by):
+            out.insert(k, c, group[c].iloc[0])
+        return out.astype({"entry_idx": "Int64", "exit_idx": "Int64"})
+
+    return per_chunk(df, relay(df, run, by), last, f"{keys}, {_POSITION}", by)
 
 
 def profit_factor(pnl: Column) -> Column:

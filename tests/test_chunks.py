@@ -17,7 +17,7 @@ def made_up(n, seed, holes=True):
     spread = np.abs(rng.normal(0, 0.5, (3, n)))
     frame = pd.DataFrame({"ts": pd.to_datetime("2024-01-01") + pd.to_timedelta(np.cumsum(rng.choice([1, 1, 1, 5, 40], n)), "h"), "open": close + spread[0] - spread[1], "high": close + spread[0] + spread[2], "low": close - spread[1] - spread[2], "close": close, "volume": rng.integers(0, 500, n).astype(float)})
     if holes:
-        frame.loc[rng.choice(np.arange(n // 2, n), 12, replace=False), ["close", "volume"]] = np.nan
+        frame.loc[rng.choice(np.arange(n // 2, n), min(12, n // 3), replace=False), ["close", "volume"]] = np.nan
     return frame
 
 
@@ -116,3 +116,21 @@ def test_one_series_is_many_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(r["count"] > 0 for r in spread) > 2
+
+
+@pytest.mark.parametrize("options", [{}, {"sl_mode": "none", "tp_mode": "none"}, {"sl_mode": "atr", "tp_mode": "rr", "trail_mode": "atr", "sizing": "atr_risk"}, {"sizing": "kelly", "trail_mode": "fixed", "tp_pct": 0.3, "sl_pct": 0.3}])
+def test_simulator_over_chunks(spark, options):
+    """Trades of random signals, with positions open over many borders, are those of the plain fold."""
+    from barloom.operators.simulate import Risk, trades
+
+    rng = np.random.default_rng(3)
+    rows = pd.concat([made_up(n, i).assign(symbol=f"S{i}", timeframe="1h") for i, n in enumerate((1500, 400, 2))])
+    seldom = 0.002 if "none" in options.values() else 0.02
+    rows["entry_signal"], rows["exit_signal"] = (rng.random(len(rows)) < 0.2).astype(int), (rng.random(len(rows)) < seldom).astype(int)
+    rows.loc[rows.index[-1], "close"] = -1.0
+    signals = chunks.kept(spark.createDataFrame(rows).withColumns({c: F.nullif(F.col(c), F.lit(float("nan"))) for c in PRICES}).repartition(5))
+    risk = Risk(**options)
+    order = ["symbol", "entry_idx"]
+    a, b = (trades(signals, risk, rows=n).toPandas().sort_values(order, ignore_index=True) for n in (None, 130))
+    assert len(a) > 3
+    pd.testing.assert_frame_equal(a, b, rtol=1e-9)
