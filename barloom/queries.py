@@ -1045,20 +1045,23 @@ def htf_columns(spark, sf_dir):
     return shown(out, [f"HTF_4h_{c}" for c in [*INJECTED, "trend_dir"]])
 
 
-CATALOGUED = ["EMA_20", "EMA_200", "RSI_14", "STOCH_K", "WILLR_14", "CCI_20", "MFI_14", "CMF_20", "MACD_hist", "ADX_14", "volume_ratio", "BB_lower_20", "KC_lower", "PSAR_dir", "SUPERT_dir", "CDL_HAMMER"]
-_KIND_SQL = {"osc": "{x} < {t}", "lt": "{x} < {t}", "band_pct": "{x} < {t}", "gt": "{x} > {t}", "sign": "{x} > 0", "flag": "{x} = 1", "cdl": "{x} > 0", "ma": "close > {x}", "band_lower": "close < {x}"}
-
-
-def _hits_sql() -> str:
-    found = [catalog.classify(n) for n in CATALOGUED]
-    told = [(e.column, e.kind, _KIND_SQL[e.kind].format(x=f'"{e.column}"', t=(e.low + e.high) / 2 if e.low is not None else 0)) for e in found]
-    return f"{_FEATURED} " + " UNION ALL ".join(f"SELECT '{n}' AS \"column\", '{k}' AS kind, count(*) AS n, count(*) FILTER (WHERE {x}) AS hits FROM features" for n, k, x in told)
+#: Column or cross, kind, and its condition in SQL at the middle of its range, each written out.
+CATALOGUED: dict[str, tuple[str, str]] = {
+    "EMA_20": ("ma", 'close > "EMA_20"'), "EMA_200": ("ma", 'close > "EMA_200"'), "RSI_14": ("osc", '"RSI_14" < 35'), "STOCH_K": ("osc", '"STOCH_K" < 25'), "WILLR_14": ("osc", '"WILLR_14" < -50'), "CCI_20": ("osc", '"CCI_20" < -100'),
+    "MFI_14": ("osc", '"MFI_14" < 35'), "CMF_20": ("sign", '"CMF_20" > 0'), "MACD_hist": ("sign", '"MACD_hist" > 0'), "ADX_14": ("gt", '"ADX_14" > 25'), "volume_ratio": ("gt", '"volume_ratio" > 1.5'), "BB_lower_20": ("band_lower", 'close < "BB_lower_20"'),
+    "KC_lower": ("band_lower", 'close < "KC_lower"'), "PSAR_dir": ("flag", '"PSAR_dir" = 1'), "SUPERT_dir": ("flag", '"SUPERT_dir" = 1'), "CDL_HAMMER": ("cdl", '"CDL_HAMMER" > 0'),
+    "X_ema20_x_ema50": ("cross", 'p_ema20 <= p_ema50 AND "EMA_20" > "EMA_50"'), "X_close_x_ema200": ("cross", 'p_close <= p_ema200 AND close > "EMA_200"'), "X_rsi14_x_30": ("cross", 'p_rsi <= 30 AND "RSI_14" > 30'), "X_stochk_x_20": ("cross", 'p_stoch <= 20 AND "STOCH_K" > 20'),
+    "X_cci_x_m100": ("cross", 'p_cci <= -100 AND "CCI_20" > -100'), "X_willr_x_m50": ("cross", 'p_willr <= -50 AND "WILLR_14" > -50'), "X_macd_hist_x_0": ("cross", 'p_hist <= 0 AND "MACD_hist" > 0'), "X_close_x_htf_ema50": ("cross", "false"),
+}
+_BEFORE = {"p_ema20": "EMA_20", "p_ema50": "EMA_50", "p_ema200": "EMA_200", "p_close": "close", "p_rsi": "RSI_14", "p_stoch": "STOCH_K", "p_cci": "CCI_20", "p_willr": "WILLR_14", "p_hist": "MACD_hist"}
+_LAGS = ", ".join(f'lag("{c}") OVER w AS {p}' for p, c in _BEFORE.items())
+HITS_SQL = f"{_FEATURED}, told AS (SELECT *, {_LAGS} FROM features WINDOW w AS (PARTITION BY symbol ORDER BY ts)) " + " UNION ALL ".join(f"SELECT '{n}' AS \"column\", '{k}' AS kind, count(*) AS n, count(*) FILTER (WHERE {x}) AS hits FROM told" for n, (k, x) in CATALOGUED.items())
 
 
-@query(_hits_sql())
+@query(HITS_SQL)
 def catalog_hits(spark, sf_dir):
-    """How often the condition holds that the catalog gives each column."""
-    e = with_indicators(hourly(spark, sf_dir), CATALOGUED)
+    """How often the condition holds that the catalog gives each column, and how often lines cross."""
+    e = with_indicators(hourly(spark, sf_dir), [*(n for n in CATALOGUED if not n.startswith("X_")), "EMA_50"])
     found = catalog.of_schema(e.schema)
     return catalog.hits(e, [found[n] for n in CATALOGUED])
 

@@ -265,7 +265,12 @@ def test_catalog_and_strategies(spark):
 
     kinds = {n: catalog.classify(n) for n in ("RSI_14", "EMA_50", "MACD_hist", "ADX_14", "CDL_HAMMER", "SUPERT_dir", "BB_lower_20", "BB_pct_20", "NATR_14", "volume_ratio")}
     assert {n: e.kind for n, e in kinds.items()} == {"RSI_14": "osc", "EMA_50": "ma", "MACD_hist": "sign", "ADX_14": "gt", "CDL_HAMMER": "cdl", "SUPERT_dir": "flag", "BB_lower_20": "band_lower", "BB_pct_20": "band_pct", "NATR_14": "lt", "volume_ratio": "gt"}
-    assert catalog.classify("close") is None and catalog.classify("HTF_4h_RSI_14") is None and kinds["RSI_14"].category == "Momentum" and kinds["RSI_14"].high == 50
+    assert catalog.classify("close") is None and catalog.classify("HTF_4h_RSI_14") is None and kinds["RSI_14"].category == "Oscillators" and kinds["RSI_14"].high == 50
+    # what is stated goes before what names tell
+    told = {n: (e.kind, e.low, e.high) for n in ("RSI_7", "RSI_21", "STOCH_K", "STOCHRSI_K", "ROC_10", "BB_width_20", "RSI_10", "BB_width_14") if (e := catalog.classify(n))}
+    assert told == {"RSI_7": ("osc", 15, 50), "RSI_21": ("osc", 25, 55), "STOCH_K": ("osc", 10, 40), "STOCHRSI_K": ("osc", 5, 30), "ROC_10": ("gt", -1, 3), "BB_width_20": ("gt", 0.005, 0.05), "RSI_10": ("osc", 20, 50), "BB_width_14": ("lt", 0.01, 0.1)}
+    assert sorted(n for n in catalog.STATED if catalog.classify(n).default) == ["ADX_14", "BB_pct_20", "EMA_20", "EMA_50", "MACD_hist", "RSI_14", "SUPERT_dir", "volume_ratio"]
+    assert len(catalog.crosses()) == 19 and sum(e.category == "Crosses/HTF" for e in catalog.crosses().values()) == 5
     df = series(spark, walk(80, 2))
     out = strategy.run(df, strategy.of_slots({"trend": "none", "trigger": "rsi_cross_50", "exit": "rsi_gt_70"}))
     assert {"entry_signal", "exit_signal", "RSI_14"} <= set(out.columns)
@@ -275,6 +280,18 @@ def test_catalog_and_strategies(spark):
     assert bad.agg(F.sum("entry_signal")).first()[0] == 0
 
 
+def test_vocabulary_is_that_of_the_survey():
+    """Conditions and crosses, written out here a second time, as column, comparison, and column or number."""
+    from barloom.plans import rules
+
+    said = """EMA_20 > EMA_50; EMA_50 > EMA_200; close > EMA_50; close > EMA_200; SUPERT_dir == 1; PSAR_dir == 1; RSI_14 < 30; RSI_14 < 35; RSI_14 < 40; RSI_14 > 50; RSI_14 > 60; STOCH_K < 20; STOCH_K < 30;
+    STOCHRSI_K < 20; CCI_20 < -100; CCI_20 < -150; MFI_14 < 25; MFI_14 < 35; WILLR_14 < -70; MACD_hist > 0; close < BB_lower_20; ADX_14 > 20; ADX_14 > 25; volume_ratio > 1.5; CMF_20 > 0; close > BB_upper_20"""
+    assert [" ".join(map(str, rule)) for rule in rules.CONDITIONS.values()] == [x.strip() for x in said.split(";")]
+    crossed = """EMA_8 EMA_20; EMA_20 EMA_50; EMA_50 EMA_200; close EMA_200; close KC_lower; close BB_lower_20; RSI_14 30; RSI_14 50; STOCH_K 20; STOCHRSI_K 20; CCI_20 -100; WILLR_14 -50; MACD MACD_signal; MACD_hist 0;
+    close H:EMA_50; close H:EMA_200; close H:KC_lower; close H:BB_lower_20; EMA_20 H:EMA_50"""
+    assert [f"{a} {b}" for a, b in rules.CROSSES] == [x.strip() for x in crossed.split(";")]
+
+
 def test_sessions_are_read(spark):
     rows = [("a", '["1h","4h"]', '[{"method":"VolumePairList","number_assets":5}]'), ("b", '["1h"]', "not json"), ("c", "[]", None)]
     got = {r.id: r for r in universe.sessions(spark.createDataFrame(rows, "id string, timeframes string, pairlist_config string")).collect()}
