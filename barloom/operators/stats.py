@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.chunks import kept, numbered, with_halo
 from ..functions.kernels import pearson
 
 SAMPLES_PER_TASK = 100
@@ -87,22 +88,28 @@ def permutation(found: DataFrame, by: str, value: str = "r", draws: int = 1000,
     return found.select(by, value).groupBy(by).applyInPandas(run, f"{by} {kind}, p_value double")
 
 
-#: Slices of [0, 1] that p-values are ranked in; what is told of each slice is a row.
-SLICES = 1024
+def ranges(df: DataFrame, *order: str) -> DataFrame:
+    """df with _slice: consecutive ranges of the order, cut where a sample of the rows says that they are equal in size; written once, in the shared folder.
+
+    Rows that are equal in the order are told apart by a hash of the row, _h, so values of which there are very many are cut, too.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("_h", F.xxhash64(*df.columns)).repartitionByRange(n, *order, "_h")
+    return kept(dealt.withColumn("_slice", F.spark_partition_id()))
 
 
 def false_discovery(tests: DataFrame, p: str = "p_value", alpha: float = 0.05, order: tuple[str, ...] = ()) -> DataFrame:
     """Benjamini-Hochberg: rank, adjusted_p, is_significant, fdr_threshold.
 
-    p-values are dealt by slices of their range and ranked within; counts and
-    minima of the slices, SLICES rows at most, give each slice its offset and
-    what the ranks above it allow.
+    p-values are dealt by ranges of equal size and ranked within; counts and
+    minima of the ranges, a row each, give each range its offset and what the
+    ranks above it allow. A job runs when it is called.
     """
-    w = Window.partitionBy("_slice").orderBy(p, *order)
-    own = tests.withColumn("_slice", F.least(F.greatest(F.floor(F.col(p) * SLICES), F.lit(0)), F.lit(SLICES - 1)))
+    w = Window.partitionBy("_slice").orderBy(p, *order, "_h")
+    own = ranges(tests, p, *order)
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # over slices
     sizes = own.groupBy("_slice").agg(F.count("*").alias("_c")).select("_slice", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
-    ranked = own.join(F.broadcast(sizes), "_slice").withColumn("fdr_rank", (F.row_number().over(w) + F.col("_before")).cast("int"))
+    ranked = own.join(F.broadcast(sizes), "_slice").withColumn("fdr_rank", (F.row_number().over(w) + F.col("_before")).cast("int"))  # a row a shuffle partition
     ranked = ranked.withColumns({"_raw": F.col(p) * F.col("_n") / F.col("fdr_rank"), "_limit": F.col("fdr_rank") / F.col("_n") * alpha})
     after = Window.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)  # over slices
     ends = ranked.groupBy("_slice").agg(F.min("_raw").alias("_m"), F.max(F.when(F.col(p) <= F.col("_limit"), F.col("_limit"))).alias("_t"))
@@ -112,18 +119,62 @@ def false_discovery(tests: DataFrame, p: str = "p_value", alpha: float = 0.05, o
     return out.withColumn("is_significant", F.col("adjusted_p") <= alpha).select(*tests.columns, "fdr_rank", "adjusted_p", "fdr_threshold", "is_significant")
 
 
-def benchmark(bars: DataFrame, by: tuple[str, ...] = ("symbol", "timeframe")) -> DataFrame:
-    """Buy and hold: total_return, sharpe, max_drawdown, first and last close; zeros below two bars."""
-    w = Window.partitionBy(*by).orderBy("ts")
+#: Places of a path that one task orders.
+PART = 1 << 16
+
+
+def parted(df: DataFrame, at: str) -> DataFrame:
+    """df with _part: stretches of PART places (whole numbers)."""
+    return df.withColumn("_part", F.floor(F.col(at) / PART).cast("long"))
+
+
+def running_total(df: DataFrame, at: str, value: str, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df, which has _part, with the running total of value over the places: in each part by itself, and the totals of the parts before."""
+    sums = df.groupBy(*by, "_part").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    carried = sums.select(*by, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_carried"))
+    local = F.sum(value).over(Window.partitionBy(*by, "_part").orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
+    return df.join(carried, [*by, "_part"]).withColumn(name, F.coalesce(local, F.lit(0.0)) + F.col("_carried")).drop("_carried")
+
+
+def path_parts(df: DataFrame, at: str, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, _part, first, last, peak, trough, fall: what a path's part has to tell of the whole path; fall is the deepest one below the highest value before, as a share."""
+    top = F.max(value).over(Window.partitionBy(*by, "_part").orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("_top", top).groupBy(*by, "_part").agg(F.min_by(value, at).alias("first"), F.max_by(value, at).alias("last"), F.max(value).alias("peak"), F.min(value).alias("trough"), F.max((F.col("_top") - F.col(value)) / (F.col("_top") + 1e-12)).alias("fall"))
+
+
+def joined(parts: DataFrame, by: tuple[str, ...] = (), start: str | None = None) -> DataFrame:
+    """by, first, last, peak, trough, fall of whole paths from their parts; the column start, if named, is a value before the first part.
+
+    Parts of parts can be joined first, in any grouping of neighbours: a fall
+    of two neighbours is the deeper of theirs and of the one from the first's
+    peak to the second's trough.
+    """
+    before = F.max("peak").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row a part
+    before = F.greatest(before, F.col(start)) if start else before
+    across = parts.withColumn("_before", before).withColumn("fall", F.greatest("fall", (F.col("_before") - F.col("trough")) / (F.col("_before") + 1e-12)))
+    return across.groupBy(*by).agg(F.min_by("first", "_part").alias("first"), F.max_by("last", "_part").alias("last"), F.max("peak").alias("peak"), F.min("trough").alias("trough"), F.max("fall").alias("fall"))
+
+
+def benchmark(bars: DataFrame, by: tuple[str, ...] = ("symbol", "timeframe"), rows: int | None = None) -> DataFrame:
+    """Buy and hold: total_return, sharpe, max_drawdown, first and last close; zeros below two bars.
+
+    With `rows`, a series is the work of several tasks, of so many bars each.
+    """
     own = bars.where(F.col("close").isNotNull() & ~F.isnan("close") & (F.abs("close") < float("inf")))
-    own = own.withColumns({"_r": F.try_divide(F.col("close") - F.lag("close").over(w), F.nullif(F.lag("close").over(w), F.lit(0.0))), "_top": F.max("close").over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    enough = F.count("*") >= 2
-    first, last = F.min_by("close", "ts"), F.max_by("close", "ts")
-    zero = F.lit(0.0)
-    return own.groupBy(*by).agg(
-        F.when(enough, (F.try_divide(last, F.nullif(first, zero)) - 1) * 100).otherwise(zero).alias("benchmark_return"),
-        F.when(enough, F.avg("_r") / (F.stddev_pop("_r") + 1e-9) * 252**0.5).otherwise(zero).alias("benchmark_sharpe"),
-        F.when(enough, F.max((F.col("_top") - F.col("close")) / (F.col("_top") + 1e-12)) * 100).otherwise(zero).alias("benchmark_max_drawdown"), first.alias("first_close"), last.alias("last_close"),
+    if rows is None:
+        own = own.withColumns({"_part": F.lit(0), "_own": F.lit(True)})
+    else:
+        own = with_halo(numbered(own, rows, by), rows, 1).withColumnRenamed("_chunk", "_part")
+    before = F.lag("close").over(Window.partitionBy(*by, "_part").orderBy("ts"))
+    own = own.withColumn("_r", F.try_divide(F.col("close") - before, F.nullif(before, F.lit(0.0)))).where("_own")
+    r = own.groupBy(*by).agg(F.count("*").alias("_n"), F.avg("_r").alias("_mean"), F.stddev_pop("_r").alias("_sd"))
+    enough, zero = F.col("_n") >= 2, F.lit(0.0)
+    told = joined(path_parts(own, "ts", "close", by), by).join(r, list(by))
+    return told.select(
+        *by, F.when(enough, (F.try_divide(F.col("last"), F.nullif(F.col("first"), zero)) - 1) * 100).otherwise(zero).alias("benchmark_return"),
+        F.when(enough, F.col("_mean") / (F.col("_sd") + 1e-9) * 252**0.5).otherwise(zero).alias("benchmark_sharpe"),
+        F.when(enough, F.col("fall") * 100).otherwise(zero).alias("benchmark_max_drawdown"), F.col("first").alias("first_close"), F.col("last").alias("last_close"),
     )
 
 
@@ -147,10 +198,9 @@ def portfolio(found: DataFrame, by: str, n_pairs: int, value: str = "r", order:
     before = F.coalesce(F.lag("equity").over(Window.partitionBy(by).orderBy("step")), F.lit(capital / n_pairs))
     change = curve.withColumn("change", F.col("equity") - before).groupBy("step").agg(F.sum("change").alias("change"))
     start = own.agg(F.countDistinct(by).alias("traded")).select((F.col("traded") * (capital / n_pairs)).alias("start"))
-    at = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # a row a step: as many as the longest pair has trades
-    path = change.join(F.broadcast(start)).withColumn("equity", F.col("start") + F.sum("change").over(at))
-    path = path.withColumn("top", F.greatest(F.col("start"), F.max("equity").over(at)))
-    ends = path.agg(((F.max_by("equity", "step") / F.first("start") - 1) * 100).alias("portfolio_return"), (F.max((F.col("top") - F.col("equity")) / (F.col("top") + 1e-12)) * 100).alias("portfolio_max_drawdown"))
+    path = running_total(parted(change, "step"), "step", "change", "_total").join(F.broadcast(start)).withColumn("equity", F.col("start") + F.col("_total"))
+    whole = joined(path_parts(path, "step", "equity").join(F.broadcast(start)), start="start")
+    ends = whole.join(F.broadcast(start)).select(((F.col("last") / F.col("start") - 1) * 100).alias("portfolio_return"), (F.greatest(F.col("fall"), F.lit(0.0)) * 100).alias("portfolio_max_drawdown"))
     r = F.col("r")
     risk = own.agg(F.when(F.count("*") < 2, 0.0).otherwise(F.avg(r) / (F.stddev_pop(r) + 1e-9) * 252**0.5).alias("portfolio_sharpe"), F.when(F.count("*") < 2, 0.0).otherwise(F.avg(r) / (F.coalesce(F.stddev_pop(F.when(r < 0, r)), F.lit(0.0)) + 1e-9) * 252**0.5).alias("portfolio_sortino"), F.count("*").alias("n_returns"))
     return risk.join(F.broadcast(ends))
@@ -184,8 +234,8 @@ def mean_spearman(found: DataFrame, by: str, value: str = "r", order: str = "exi
     at = unit.groupBy("step").agg(F.sum(F.col("_rank") / F.col("_size")).alias("_z"), F.lit(0.0).alias("_later"))
     padding = told.join(size, by).where("_pad > 0").groupBy((F.col("_n") + 1).cast("int").alias("step")).agg(F.lit(0.0).alias("_z"), F.sum(none / F.col("_size")).alias("_later"))
     both = at.unionByName(padding).groupBy("step").agg(F.sum("_z").alias("_z"), F.sum("_later").alias("_later"))
-    so_far = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # a row a step: as many as the longest series has
-    total = both.select((F.col("_z") + F.sum("_later").over(so_far)).alias("_t")).agg(F.sum(F.col("_t") ** 2).alias("_t"))
+    so_far = running_total(parted(both, "step"), "step", "_later", "_so_far")
+    total = so_far.select((F.col("_z") + F.col("_so_far")).alias("_t")).agg(F.sum(F.col("_t") ** 2).alias("_t"))
     m = F.col("_m")
     out = total.crossJoin(size.agg(F.count("*").cast("double").alias("_m")))  # a row on either side
     return out.select(F.when(m < 2, 0.0).otherwise((F.col("_t") - m) / F.nullif(m * (m - 1), F.lit(0.0))).alias("avg_correlation"), (m * (m - 1) / 2).cast("long").alias("n_pairs"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators.asof import asof
 from ..operators.simulate import TRADE_FIELDS, Risk, fold, metrics, walk_forward
-from ..operators.stats import false_discovery, permutation
+from ..operators.stats import false_discovery, permutation, ranges
 from .rules import SLOTS, rule_text, slot
 
 #: Ranges of the risk parameters, (low, high).
@@ -169,10 +169,21 @@ def _unbeaten(results: DataFrame, first: str, second: str, by: list[str]) -> Dat
 def pareto(results: DataFrame, first: str, second: str, parts: int = 256) -> DataFrame:
     """The rows that no other beats in one measure without loss in the other: by order, no pairs.
 
-    Rows are dealt by hash over parts, and only those unbeaten in theirs, few of many, are ordered together.
+    Rows are dealt by hash over parts first, and those unbeaten in theirs,
+    mostly few, by ranges of the first measure. A range is ordered by itself;
+    of the ranges above it the best second measure is all that counts.
     """
     dealt = results.withColumn("_part", F.pmod(F.xxhash64(first, second), F.lit(parts)))
-    return _unbeaten(_unbeaten(dealt, first, second, ["_part"]).drop("_part"), first, second, [])
+    left = ranges(_unbeaten(dealt, first, second, ["_part"]).drop("_part"), first)
+    # equal first measures may lie in two ranges: of such rows only those with the best second measure count
+    tops = left.groupBy("_slice").agg(F.max(first).alias("_high"), F.max(second).alias("_b"), F.max_by(second, F.struct(first, second)).alias("_at_high"))
+    above = Window.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)  # over ranges
+    carried = tops.select("_slice", F.max("_b").over(above).alias("_above"))
+    own = _unbeaten(left, first, second, ["_slice"]).join(F.broadcast(carried), "_slice")  # a row a shuffle partition
+    few = own.where(F.col("_above").isNull() | (F.col(second) >= F.col("_above")))
+    ties = few.groupBy(second).agg(F.max(first).alias("_most"))  # as good in the second measure: the best first one counts
+    best = few.groupBy(first).agg(F.max(second).alias("_best"))
+    return few.join(ties, second).where(F.col(first) == F.col("_most")).join(best, first).where(F.col(second) == F.col("_best")).select(*results.columns)
 
 
 def rank_key(sharpe: Column, ret: Column, n: Column) -> Column:
