@@ -18,8 +18,10 @@ of the test set, of which the driver sees the slices' names only.
 
 A token is what is left of a white-space separated word after lower-casing
 and without its characters that are no letters or digits; a word of which
-nothing is left is no token. An item with fewer tokens than the shortest
-mask's span matches only if a text holds all its tokens in a row.
+nothing is left is no token. From PROMISED tokens on, the masks leave a seed
+wherever a fifth of the tokens is replaced. An item with fewer has masks of its
+own, as long as it is (`whole_masks`): of each placement of the replaced tokens
+that `identity` allows, one of them looks away.
 
 Defined cases: null texts and items without tokens match nothing, as do empty
 tables. Repeated rows give repeated results, repeated items one result each. A
@@ -29,6 +31,8 @@ as a block of its own.
 
 from __future__ import annotations
 
+import itertools
+import math
 import pickle
 import re
 import uuid
@@ -47,6 +51,8 @@ from .encoding import by_size
 
 #: Which tokens of a window a seed looks at.
 MASKS = ("111111", "11101011", "1100110101", "110100100011")
+#: Tokens of a stretch from which on MASKS find it with a fifth of the tokens replaced.
+PROMISED = 13
 _OTHER = re.compile(r"[\W_]+")
 _TABLE_BITS = 22
 _ROUNDING = 1e-9
@@ -80,6 +86,20 @@ def seeds(tokens: np.ndarray, mask: str) -> np.ndarray:
     return h
 
 
+def whole_masks(n: int, replaced: int) -> list[str]:
+    """Masks of n tokens, of which one looks at none of the replaced ones, wherever these are.
+
+    The tokens are cut into 2 * replaced + 1 blocks, and each mask ignores
+    `replaced` of them; where that would be very many masks, into replaced + 1
+    blocks, of which each mask looks at one.
+    """
+    few = replaced < 3 and n >= 2 * replaced + 1
+    blocks = 2 * replaced + 1 if few else min(n, replaced + 1)
+    block = [k * blocks // n for k in range(n)]
+    ignored = itertools.combinations(range(blocks), replaced if few else blocks - 1)
+    return ["".join("0" if b in away else "1" for b in block) for away in ignored]
+
+
 @dataclass
 class Items:
     """A slice of test items: all tokens in a row, where each item starts, and per mask the sorted seeds."""
@@ -90,15 +110,16 @@ class Items:
     tables: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]  # mask, presence bits, sorted seeds, their positions
 
     @classmethod
-    def of(cls, ids: list, tokens: list[np.ndarray]) -> Items:
+    def of(cls, ids: list, tokens: list[np.ndarray], identity: float = 0.8) -> Items:
         starts = np.cumsum([0] + [len(t) for t in tokens])
         # whole short items are seeds themselves
-        spans = sorted({len(t) for t in tokens if 0 < len(t) < min(map(len, MASKS))})
+        short = sorted({len(t) for t in tokens if 0 < len(t) < PROMISED})
+        own_masks = [m for n in short for m in whole_masks(n, n - max(1, math.ceil(identity * n - _ROUNDING)))]
         tables = []
-        for mask in [*MASKS, *("1" * n for n in spans)]:
+        for mask, general in [*((m, True) for m in MASKS), *((m, False) for m in own_masks)]:
             h, at = [], []
             for t, s in zip(tokens, starts[:-1].tolist(), strict=True):
-                if mask in MASKS or len(t) == len(mask):
+                if general or len(t) == len(mask):
                     own = seeds(t, mask)
                     h.append(own)
                     at.append(np.arange(s, s + len(own)))
@@ -198,7 +219,7 @@ class Slices:
             def close():
                 name = uuid.uuid4().hex
                 with Store(folder).write(name) as f:
-                    f.write(pickle.dumps(Items.of(ids, tokens)))
+                    f.write(pickle.dumps(Items.of(ids, tokens, identity)))
                 return pa.RecordBatch.from_pylist([{"name": name}], schema=schema)
 
             for batch in batches:

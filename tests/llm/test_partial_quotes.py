@@ -1,6 +1,7 @@
 """Partial quotes of test items with replaced words, against brute force over all stretches."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -35,6 +36,19 @@ def test_every_placement_is_found():
             assert matched == sum(0 <= k - 5 < length and k - 5 not in bad for k in range(start, start + size))
 
 
+def test_every_placement_in_a_short_item_is_found():
+    """Items of 1 to 12 tokens, all placements of as many replaced words as the identity allows, and none of more."""
+    for identity in (0.8, 0.7, 0.6):
+        for n in range(1, 13):
+            item = [f"w{i}" for i in range(n)]
+            m = Matcher(Items.of([0, 1], [cut(item), cut([f"long{i}" for i in range(30)])], identity), identity, 13)
+            most = n - math.ceil(identity * n - 1e-9)
+            for bad in itertools.combinations(range(n), most):
+                assert m.matches([cut(["x"] * 3 + quote(item, bad) + ["y"] * 3)])[0] == [(0, 3, n, n - most)], (identity, n, bad)
+            for bad in itertools.combinations(range(n), min(n, most + 1)):
+                assert m.matches([cut(["x"] * 3 + quote(item, bad) + ["y"] * 3)])[0] == []
+
+
 def test_verify_is_brute_force():
     rng = random.Random(4)
     for n in (6, 12, 13, 14, 30, 45):
