@@ -379,19 +379,22 @@ def full_run(signals: DataFrame, risk: Risk, splits: int = 5, ratio: float = 0.7
     bars before the holdout are left out. Signals are as given, so they may
     look back over the border of a part, never ahead. The run's row averages
     the series, but for trades, which it measures together; alpha is the
-    in-sample return over buying and holding.
+    in-sample return over buying and holding. Signals and trades are computed
+    once, by jobs that run when this is called, and kept in the shared folder.
     """
+    needed = ("ts", "open", "high", "low", "close", "entry_signal", "exit_signal", *(f"ATR_{n}" for n in risk.periods()))
+    signals = kept(signals.select(*by, *(c for c in needed if c in signals.columns and c not in by)))
     bars = without_holdout(signals, share, by=by)
     enough = bars.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(*by)
     keys = list(by)
-    bars, kept = bars.join(enough, keys, "left_semi"), holdout(signals, share, by=by).join(enough, keys, "left_semi")
-    found = trades(bars, risk, by)
+    bars, away = bars.join(enough, keys, "left_semi"), holdout(signals, share, by=by).join(enough, keys, "left_semi")
+    found = kept(trades(bars, risk, by))
     full = metrics(found, by, risk.capital, bars).join(equity_metrics(bars, found, by, risk.capital), keys)
     parts = walk_forward(bars, splits, ratio, anchored, by)
     in_fold = (*by, "fold", "part")
     folds = fold_means(metrics(trades(parts, fast(risk), in_fold), in_fold, risk.capital, parts), by)
-    late = trades(kept, risk, by)
-    held = metrics(late, by, risk.capital, kept).join(equity_metrics(kept, late, by, risk.capital), keys)
+    late = kept(trades(away, risk, by))
+    held = metrics(late, by, risk.capital, away).join(equity_metrics(away, late, by, risk.capital), keys)
     held = held.select(*by, *(F.col(c).alias(f"holdout_{n}") for n, c in (("return", "total_return"), ("sharpe", "bar_sharpe"), ("trades", "total_trades"), ("win_rate", "win_rate"), ("max_drawdown", "max_drawdown"), ("profit_factor", "profit_factor"))))
     held_against = benchmark(signals.join(enough, keys, "left_semi"), by).select(*by, "benchmark_return", "benchmark_sharpe", "benchmark_max_drawdown")
     series = full.join(folds, keys, "left").join(held, keys, "left").join(held_against, keys, "left")

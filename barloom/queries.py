@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.chunks import kept
 from .functions.indicators import CANDLES, with_indicators
 from .operators import asof, entries, ic, simulate, stats, universe
 from .plans import catalog, rules, search, strategy
@@ -66,11 +67,11 @@ def select(columns: dict[str, str], sizes: tuple[int, ...], ctes: str = "", tabl
     return f"WITH {BARS}{', ' + ctes if ctes else ''} SELECT symbol, {TS}, {body} FROM {table} {windows(*sizes) if sizes else ''}"
 
 
-def indicators(name: str, wanted: list[str], sql: str | None = None, places: int = 6, nudge: float = 0.0) -> None:
-    """A query of some indicators over hourly bars."""
+def indicators(name: str, wanted: list[str], sql: str | None = None, places: int = 6, nudge: float = 0.0, rows: int | None = None) -> None:
+    """A query of some indicators over hourly bars; with rows, over chunks of series."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return shown(with_indicators(hourly(spark, sf_dir), wanted), wanted, places=places, nudge=nudge)
+        return shown(with_indicators(hourly(spark, sf_dir), wanted, rows), wanted, places=places, nudge=nudge)
 
     run.__name__ = name
     query(sql)(run)
@@ -141,6 +142,12 @@ _PP = f"p AS (SELECT *, {_H} AS h20, {_L} AS l20, ({_H} + {_L} + {roll('avg', 'c
 indicators("pivots_structure", ["PP", "R1", "R2", "S1", "S2", "PP_dist_pct", "PRICE_RANGE_PCT", "HH", "LL"], select({"PP": "pp", "R1": "2 * pp - l20", "R2": "pp + h20 - l20", "S1": "2 * pp - h20", "S2": "pp - h20 + l20", "PP_dist_pct": "(close - pp) / nullif(pp, 0) * 100", "PRICE_RANGE_PCT": "(close - l20) / nullif(h20 - l20, 0) * 100", "HH": "coalesce(high > lag(h20) OVER w, false)::INT", "LL": "coalesce(low < lag(l20) OVER w, false)::INT"}, (20,), _PP, "p"))
 _BS = f"p AS (SELECT *, max(high) OVER w AS top, min(low) OVER w AS bottom, row_number() OVER w AS rn FROM bars {windows(20)})"
 indicators("bars_since_high", ["BARS_SINCE_HIGH", "BARS_SINCE_LOW"], select({"BARS_SINCE_HIGH": "rn - max(CASE WHEN high = top THEN rn END) OVER w", "BARS_SINCE_LOW": "rn - max(CASE WHEN low = bottom THEN rn END) OVER w"}, (20,), _BS, "p"))
+# the same over chunks of series, with the same SQL
+indicators("ema_family_in_chunks", ["EMA_20", "EMA_50", "APO_12_26", "GMMA_S3", "BULL_POWER_13"], ORACLES["ema_family"], rows=200)
+indicators("macd_in_chunks", ["MACD", "MACD_signal", "MACD_hist"], ORACLES["macd"], rows=200)
+indicators("rsi_in_chunks", ["RSI_7", "RSI_14"], ORACLES["rsi"], rows=200)
+indicators("obv_ad_pvt_in_chunks", ["OBV", "AD", "PVT"], ORACLES["obv_ad_pvt"], places=2, rows=200)
+indicators("bars_since_high_in_chunks", ["BARS_SINCE_HIGH", "BARS_SINCE_LOW"], ORACLES["bars_since_high"], rows=200)
 _M = {n: f"({roll('max', 'high', n)} + {roll('min', 'low', n)}) / 2" for n in (9, 26, 52)}
 _IK = f"i AS (SELECT *, {_M[9]} AS t, {_M[26]} AS k, ({_M[9]} + {_M[26]}) / 2 AS a, {_M[52]} AS b FROM bars {windows(9, 26, 52)})"
 indicators("ichimoku", ["ICH_tenkan", "ICH_kijun", "ICH_senkou_a", "ICH_senkou_b", "ICH_above_cloud", "ICH_below_cloud"], select({"ICH_tenkan": "t", "ICH_kijun": "k", "ICH_senkou_a": "a", "ICH_senkou_b": "b", "ICH_above_cloud": "coalesce(close > a AND close > b, false)::INT", "ICH_below_cloud": "coalesce(close < a AND close < b, false)::INT"}, (), _IK, "i"))
@@ -660,12 +667,21 @@ def backtest_trades(spark, sf_dir):
     return rounding(trades_of(spark, sf_dir), ["symbol", "entry_idx", "exit_idx", *at, "is_winner", "duration_bars", "exit_reason"], _TRADE_DOUBLES, 6)
 
 
+@query(ORACLES["backtest_trades"])
+def backtest_trades_in_chunks(spark, sf_dir):
+    """The same over chunks of series, whose open positions are handed on."""
+    at = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("entry_ts", "exit_ts")]
+    found = simulate.trades(signals_of(spark, sf_dir), TRADED, rows=100)
+    return rounding(found, ["symbol", "entry_idx", "exit_idx", *at, "is_winner", "duration_bars", "exit_reason"], _TRADE_DOUBLES, 6)
+
+
 _EQUITY = ("max_drawdown", "bar_sharpe", "bar_sortino", "calmar", "recovery")
 
 
 @query(f"WITH {BARS_R}, {SIGNALS}, {_T}, {measured('sim')}, {equity_sql('sim')} SELECT k AS symbol, {rounded([*simulate.MEASURES, *_EQUITY])} FROM sim_measures JOIN sim_equity USING (k)")
 def backtest_metrics(spark, sf_dir):
-    signals, found = signals_of(spark, sf_dir), trades_of(spark, sf_dir)
+    signals = kept(signals_of(spark, sf_dir))
+    found = kept(simulate.trades(signals, TRADED))
     out = simulate.metrics(found, BY, series=signals).join(simulate.equity_metrics(signals, found), list(BY))
     return rounding(out, ["symbol"], [*simulate.MEASURES, *_EQUITY])
 
@@ -673,7 +689,8 @@ def backtest_metrics(spark, sf_dir):
 @query(f"WITH {BARS_R}, {SIGNALS}, {_T} SELECT k AS symbol, {TS}, {rounded(['equity'])} FROM (SELECT *, cap AS equity FROM sim)")
 def equity_curve(spark, sf_dir):
     """Equity at every bar."""
-    return rounding(simulate.equity(signals_of(spark, sf_dir), trades_of(spark, sf_dir)), ["symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts")], ["equity"])
+    signals = kept(signals_of(spark, sf_dir))
+    return rounding(simulate.equity(signals, simulate.trades(signals, TRADED)), ["symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts")], ["equity"])
 
 
 def folds_sql(source: str, splits: int = 5, ratio: float = 0.7) -> str:
@@ -757,7 +774,7 @@ rho AS (SELECT a.k, b.k AS other, corr(a.q, b.q) AS rho FROM ranks a JOIN ranks
 
 @query(f"WITH {BARS_R}, {SIGNALS}, {_T}, {_PORT}, risk AS (SELECT avg(r) / (stddev_pop(r) + 1e-9) * sqrt(252) AS portfolio_sharpe, avg(r) / (coalesce(stddev_pop(r) FILTER (WHERE r < 0), 0) + 1e-9) * sqrt(252) AS portfolio_sortino, count(*) AS n_returns FROM t), ends AS (SELECT (arg_max(eq, step) / arg_min(eq, step) - 1) * 100 AS portfolio_return, max((hi - eq) / (hi + 1e-12)) * 100 AS portfolio_max_drawdown FROM top), r AS (SELECT avg(rho) AS avg_correlation, count(*) AS n_pairs FROM rho) SELECT round(portfolio_sharpe, 6) AS portfolio_sharpe, round(portfolio_sortino, 6) AS portfolio_sortino, n_returns, round(log10(1 + portfolio_return), 6) AS log_portfolio_return, round(portfolio_max_drawdown, 6) AS portfolio_max_drawdown, round(avg_correlation, 6) AS avg_correlation, n_pairs FROM risk, ends, r")
 def portfolio_metrics(spark, sf_dir):
-    found = returns_of(spark, sf_dir)
+    found = kept(returns_of(spark, sf_dir))
     out = stats.portfolio(found, "symbol", n_pairs=10).join(F.broadcast(stats.mean_spearman(found, "symbol")))
     return out.select(*(F.round(c, 6).alias(c) for c in ("portfolio_sharpe", "portfolio_sortino", "portfolio_max_drawdown", "avg_correlation")), "n_returns", "n_pairs", F.round(F.log10(1 + F.col("portfolio_return")), 6).alias("log_portfolio_return"))
 
