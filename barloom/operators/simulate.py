@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.chunks import KEYS, kept, numbered, per_chunk, relay, with_halo
+from ..functions.chunks import KEYS, Carries, kept, numbered, per_chunk, relay, with_halo
 from ..functions.recursive import UNITS, compute_split, smoothed
 from .stats import benchmark
 
@@ -298,24 +298,49 @@ def metrics(found: DataFrame, by: tuple[str, ...], capital: float = 10_000.0, se
     return every.select(*by, *(F.when(F.col("total_trades").isNull(), F.lit(0).cast(out.schema[c].dataType)).otherwise(F.col(c)).alias(c) for c in MEASURES))
 
 
-def equity(signals: DataFrame, found: DataFrame, by: tuple[str, ...] = ("symbol", "timeframe"), capital: float = 10_000.0) -> DataFrame:
-    """by, ts, equity, highest so far and drawdown in percent at every bar: capital changes by the fee where a trade begins and by its result where it ends."""
-    ordered = Window.partitionBy(*by).orderBy("ts")
-    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    bars = signals.select(*by, "ts", (F.row_number().over(ordered) - 1).alias("_i"), F.count("*").over(Window.partitionBy(*by)).alias("_n"))
+def equity(signals: DataFrame, found: DataFrame, by: tuple[str, ...] = ("symbol", "timeframe"), capital: float = 10_000.0, rows: int | None = None) -> DataFrame:
+    """by, ts, equity, highest so far and drawdown in percent at every bar: capital changes by the fee where a trade begins and by its result where it ends.
+
+    With `rows`, a series is the work of several tasks, of so many bars each.
+    """
+    return _equity(signals, found, by, capital, rows).select(*by, "ts", "equity", "highest", ((F.col("highest") - F.col("equity")) / (F.col("highest") + 1e-12) * 100).alias("drawdown"))
+
+
+def _equity(signals: DataFrame, found: DataFrame, by: tuple[str, ...], capital: float, rows: int | None) -> DataFrame:
+    """by, ts, _i, equity and highest at every bar."""
+    if rows is None:
+        ordered = Window.partitionBy(*by).orderBy("ts")
+        bars = signals.select(*by, "ts", (F.row_number().over(ordered) - 1).alias("_i"), F.count("*").over(Window.partitionBy(*by)).alias("_n"))
+    else:
+        bars = with_halo(numbered(signals.select(*by, "ts"), rows, by), rows, 0)
+        bars = bars.join(bars.groupBy(*by).agg(F.count("*").alias("_n")), list(by))
     events = F.array(F.struct(F.col("entry_idx").alias("_i"), F.col("capital_in").alias("_c")), F.struct(F.col("exit_idx").alias("_i"), F.col("capital").alias("_c")))
     changes = found.select(*by, F.explode(events).alias("_e")).select(*by, "_e._i", "_e._c")
     last = found.groupBy(*by).agg(F.max("final_capital").alias("_last"))
     out = bars.join(changes, [*by, "_i"], "left").join(last, list(by), "left")
-    out = out.withColumn("equity", F.coalesce(F.when(F.col("_i") == F.col("_n") - 1, F.col("_last")), F.last("_c", True).over(so_far), F.lit(capital)))
-    out = out.withColumn("highest", F.max("equity").over(so_far))
-    return out.select(*by, "ts", "equity", "highest", ((F.col("highest") - F.col("equity")) / (F.col("highest") + 1e-12) * 100).alias("drawdown"))
+    so_far = Window.partitionBy(*by).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+
+    def running(df: DataFrame, name: str, kind: str, x: Column, made) -> DataFrame:
+        """df with made(the running value of x) under the name."""
+        if rows is None:
+            return df.withColumn(name, made((F.max(x) if kind == "max" else F.last(x, ignorenulls=True)).over(so_far)))
+        carried = Carries(rows, 0, 0, by)
+        value = made(carried.of(kind, x))
+        return carried.join(df).withColumn(name, value).drop(*carried.columns)
+
+    out = running(out, "equity", "last", F.col("_c"), lambda c: F.coalesce(F.when(F.col("_i") == F.col("_n") - 1, F.col("_last")), c, F.lit(capital)))
+    return running(out, "highest", "max", F.col("equity"), lambda c: c).select(*by, "ts", "_i", "equity", "highest")
 
 
-def equity_metrics(signals: DataFrame, found: DataFrame, by: tuple[str, ...] = ("symbol", "timeframe"), capital: float = 10_000.0) -> DataFrame:
+def equity_metrics(signals: DataFrame, found: DataFrame, by: tuple[str, ...] = ("symbol", "timeframe"), capital: float = 10_000.0, rows: int | None = None) -> DataFrame:
     """By group: deepest drawdown, Sharpe, Sortino, Calmar and recovery of the equity at every bar; zeros where there are no trades."""
-    before = F.lag("equity").over(Window.partitionBy(*by).orderBy("ts"))
-    out = equity(signals, found, by, capital).withColumn("_r", (F.col("equity") - before) / (before + 1e-12))
+    out, keys = _equity(signals, found, by, capital, rows), [*by]
+    if rows is not None:
+        out, keys = with_halo(out, rows, 1), [*by, "_chunk"]
+    before = F.lag("equity").over(Window.partitionBy(*keys).orderBy("ts"))
+    out = out.withColumns({"_r": (F.col("equity") - before) / (before + 1e-12), "drawdown": (F.col("highest") - F.col("equity")) / (F.col("highest") + 1e-12) * 100})
+    if rows is not None:
+        out = out.where("_own")
     falls = F.coalesce(F.stddev_pop(F.when(F.col("_r") < 0, F.col("_r"))), F.lit(0.0))
     made = out.groupBy(*by).agg(
         F.max("drawdown").alias("max_drawdown"), (F.avg("_r") / (F.stddev_pop("_r") + 1e-9) * (252 * 24) ** 0.5).alias("bar_sharpe"),

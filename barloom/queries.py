@@ -408,6 +408,13 @@ def asof_htf(spark, sf_dir):
     return shown(asof.asof(b, source.higher(b, "4h"), ["close", "high"], prefix="h_"), ["close", "h_close", "h_high"])
 
 
+@query(ORACLES["asof_htf"])
+def asof_htf_in_chunks(spark, sf_dir):
+    """The same by stretches of two days."""
+    b = hourly(spark, sf_dir)
+    return shown(asof.asof(b, source.higher(b, "4h"), ["close", "high"], prefix="h_", span=172_800), ["close", "h_close", "h_high"])
+
+
 @query()
 def htf_injection(spark, sf_dir):
     b = hourly(spark, sf_dir)
@@ -432,6 +439,14 @@ def nearest_bar(spark, sf_dir):
     return out.select("symbol", "event_id", F.date_format("bar_ts", "yyyy-MM-dd HH:mm:ss").alias("bar_ts"), F.round("close", 6).alias("close"))
 
 
+@query(ORACLES["nearest_bar"])
+def nearest_bar_in_chunks(spark, sf_dir):
+    """The same by stretches of two days."""
+    points = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("symbol"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    out = asof.nearest(points, hourly(spark, sf_dir), ["close"], span=172_800)
+    return out.select("symbol", "event_id", F.date_format("bar_ts", "yyyy-MM-dd HH:mm:ss").alias("bar_ts"), F.round("close", 6).alias("close"))
+
+
 _CTX = "c AS (SELECT symbol, ts, volume, max(volume) OVER (PARTITION BY symbol) AS mv, count(*) OVER k AS n_bars, sum(close) OVER k AS sum_close FROM bars WINDOW k AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING))"
 
 
@@ -693,6 +708,13 @@ def equity_curve(spark, sf_dir):
     return rounding(simulate.equity(signals, simulate.trades(signals, TRADED)), ["symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts")], ["equity"])
 
 
+@query(ORACLES["equity_curve"])
+def equity_curve_in_chunks(spark, sf_dir):
+    signals = kept(signals_of(spark, sf_dir))
+    found = simulate.equity(signals, simulate.trades(signals, TRADED, rows=100), rows=100)
+    return rounding(found, ["symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts")], ["equity"])
+
+
 def folds_sql(source: str, splits: int = 5, ratio: float = 0.7) -> str:
     """SQL of the walk-forward's parts of the signals: k is symbol, fold and part."""
     return f"""

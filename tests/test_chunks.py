@@ -134,3 +134,33 @@ def test_simulator_over_chunks(spark, options):
     a, b = (trades(signals, risk, rows=n).toPandas().sort_values(order, ignore_index=True) for n in (None, 130))
     assert len(a) > 3
     pd.testing.assert_frame_equal(a, b, rtol=1e-9)
+
+
+def test_asof_by_stretches(spark):
+    """Also where stretches lack either side, and where values are missing."""
+    from barloom.operators import asof
+
+    rng = np.random.default_rng(8)
+    at = lambda n, step: pd.to_datetime("2024-01-01") + pd.to_timedelta(np.sort(rng.integers(0, 400, n)) * step, "h")
+    left = pd.concat([pd.DataFrame({"symbol": s, "ts": at(150, 3), "x": range(150)}) for s in "AB"])
+    right = pd.DataFrame({"symbol": "A", "ts": at(25, 2), "v": rng.random(25), "w": np.where(rng.random(25) < 0.5, np.nan, 1.0)}).drop_duplicates("ts")
+    l, r = spark.createDataFrame(left), spark.createDataFrame(right).withColumn("w", F.nullif("w", F.lit(float("nan"))))
+    for fill in (False, True):
+        a, b = (asof.asof(l, r, ["v", "w"], fill=fill, span=span).toPandas().sort_values(["symbol", "ts", "x"], ignore_index=True) for span in (None, 36_000))
+        pd.testing.assert_frame_equal(a, b)
+    points = l.where("symbol = 'A'")
+    a, b = (asof.nearest(points, r, ["v"], span=span).toPandas().sort_values(["ts", "x"], ignore_index=True) for span in (None, 36_000))
+    pd.testing.assert_frame_equal(a, b)
+
+
+def test_equity_over_chunks(spark):
+    from barloom.operators import simulate
+
+    rng = np.random.default_rng(6)
+    rows = pd.concat([made_up(n, i, holes=False).assign(symbol=f"S{i}", timeframe="1h") for i, n in enumerate((700, 90, 3))])
+    rows["entry_signal"], rows["exit_signal"] = (rng.random(len(rows)) < 0.3).astype(int), (rng.random(len(rows)) < 0.2).astype(int)
+    signals = chunks.kept(spark.createDataFrame(rows))
+    found = chunks.kept(simulate.trades(signals, simulate.Risk()))
+    for f, order in ((simulate.equity, ["symbol", "ts"]), (simulate.equity_metrics, ["symbol"])):
+        a, b = (f(signals, found, rows=n).toPandas().sort_values(order, ignore_index=True) for n in (None, 60))
+        pd.testing.assert_frame_equal(a, b, rtol=1e-9)
