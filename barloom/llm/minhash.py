@@ -131,9 +131,14 @@ def similar(a: np.ndarray, b: np.ndarray, least: Fraction) -> bool:
     return least.denominator * both >= least.numerator * (len(a) + len(b) - both)
 
 
+def smallest(least: Fraction) -> float:
+    """Shingles of the smallest set that another one can be as similar to as asked."""
+    return math.ceil(least / (1 - least)) if least < 1 else math.inf
+
+
 def _signed(df: DataFrame, width: int, bands: int, n: int, least: Fraction) -> DataFrame:
     """Each row with its text, set size, the set's key, and of sets that may have a partner the band keys and signature."""
-    smallest = math.ceil(least / (1 - least)) if least < 1 else math.inf
+    enough = smallest(least)
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text", pa.binary()), ("n", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def run(batches):
@@ -143,7 +148,7 @@ def _signed(df: DataFrame, width: int, bands: int, n: int, least: Fraction) -> D
                 found = shingle_set(text, width)
                 sizes.append(len(found))
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                if len(found) >= smallest:
+                if len(found) >= enough:
                     minimum = minima(found, n)
                     lists.append(band_keys(minimum, bands))
                     signatures.append(minimum.astype(np.uint8).tobytes())
@@ -267,26 +272,32 @@ def _block_links(members: DataFrame, reps: DataFrame, found: DataFrame, info: Da
     return dealt.repartition(n, "band", "low", "high").sortWithinPartitions("band", "low", "high", "side", "node").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach), kept, a row a row of df. Runs jobs when called."""
-    spark, least = df.sparkSession, Fraction(str(similarity))
-    bands, per_band, bound = plan(similarity)
-    rows = _signed(documents_of(df, id_col, text_col), width, bands, bands * per_band, least)
-    own = rows.select("doc_id", "n", "key", "row")
-    distinct = scratch_table(own.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "minhash-distinct")
-    signed = keep_in_place(rows.select("row", "bands"), distinct.select(F.col("node").alias("row")), "row", "minhash-distinct-rows")
-    banded = signed.select(F.explode("bands").alias("band"), F.col("row").alias("node"))
+def connected(rows: DataFrame, banded: DataFrame, width: int, bound: int, least: Fraction) -> DataFrame:
+    """u, v: each row whose set is linked to others' but isn't its component's first, and that first one.
+
+    rows: row, n, sig, text (binary) of all; banded: the buckets, band and node (a row). Only these are compared.
+    """
     counts = banded.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
     members = scratch_table(banded.join(counts, "band").select("band", "node", "c"), "minhash-members")
-    folder = scratch_path(spark, "minhash-set-files")
+    folder = scratch_path(rows.sparkSession, "minhash-set-files")
     info = _stored(rows, members.select(F.col("node").alias("row")).distinct(), width, folder)
     company = members.groupBy("node").agg(F.sum("c").alias("company"))
     reps = scratch_table(members.join(company, "node").groupBy("band").agg(F.max_by("node", "company").alias("rep")), "minhash-representatives")
     pairs = members.join(reps, "band").where("node <> rep").select("node", "rep").distinct()
     found = alternating(_star_links(pairs, info, folder, bound, least))
     more = _block_links(members, reps, found, info, folder, bound, least)
-    if more is not None:
-        found = alternating(found.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(more))
+    return found if more is None else alternating(found.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(more))
+
+
+def near_duplicates(df: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach), kept, a row a row of df. Runs jobs when called."""
+    least = Fraction(str(similarity))
+    bands, per_band, bound = plan(similarity)
+    rows = _signed(documents_of(df, id_col, text_col), width, bands, bands * per_band, least)
+    own = rows.select("doc_id", "n", "key", "row")
+    distinct = scratch_table(own.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "minhash-distinct")
+    signed = keep_in_place(rows.select("row", "bands"), distinct.select(F.col("node").alias("row")), "row", "minhash-distinct-rows")
+    found = connected(rows, signed.select(F.explode("bands").alias("band"), F.col("row").alias("node")), width, bound, least)
     classes = distinct.join(found.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     of_key = classes.join(named, "root").select("key", "component_id")

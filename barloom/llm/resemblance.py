@@ -5,30 +5,28 @@ documents are near-duplicates if their shingle sets have a Jaccard similarity
 of at least `similarity`; groups are what such links connect.
 
 Candidates are, first, documents whose fingerprints of these shingles are
-within `radius` bits, by the BK-trees of simhash.py. At a similarity of 0.8
-fingerprints of 64 bits lie some ten bits apart, though, where no block of
-bits is both shared and selective and a BK-tree prunes nothing. So MinHash
-widens the candidates: BANDS keys of ROWS minima each, and documents that
-agree in one key are candidates, too. At a similarity of s a pair is found
-with the probability 1 - (1 - s ** ROWS) ** BANDS, which is 0.99997 at 0.8.
-
-Documents with the same words are merged first. Candidates are joined into
-groups, and a group's shingle sets go to one task, where every link is
-verified exactly: two sets as similar as asked share one of their rarest
-shingles, the first `n - ceil(similarity * n) + 1` by number of members, so
-only members that share one of those are compared. What a group costs in
-memory is 8 bytes a shingle of its distinct members.
-
-Defined cases: rows with one doc_id are one document, which links by each of
-its texts. Null text is empty; all texts without words are the same. With
-fewer words than a shingle the whole sequence is one shingle. A null doc_id
-is kept only where all members lack one.
+within `radius` bits, by the BK-trees of simhash.py: what they connect is a
+bucket. At a similarity of 0.8 fingerprints of 64 bits lie some ten bits apart,
+though, where no block of bits is both shared and selective and a BK-tree
+prunes nothing. So MinHash widens the candidates by its own buckets: a pair at
+the similarity itself misses all of them with a probability under 1e-6.
+
+Documents with equal sets are merged first. Buckets are verified as minhash.py
+does: against a representative, then, where that doesn't settle them, in
+blocks, with the full sets read from the shared folder. No bucket, however
+large, goes to one task.
+
+Defined cases: every row is a document of its own. Null text is empty; all
+texts without words are the same. With fewer words than a shingle the whole
+sequence is one shingle. Texts of any length are taken whole. Of a group the
+row with the smallest doc_id stays, of equal ids the first row; a null doc_id
+is kept only where all members lack one. An empty table gives an empty table,
+and columns of any names are handed on.
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -37,167 +35,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Columns, keep_in_place, rows_of, scratch_table, slices_of, words_of
+from . import minhash
+from .common import bounded_batches, keep_in_place, scratch_table, slices_of
 from .components import components
-from .simhash import NAMELESS, links, majority
-
-BANDS, ROWS = 26, 5
-_draw = np.random.default_rng(42)
-_FLIPS = _draw.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
-_FACTORS = _draw.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
-_BAND_FACTORS = _draw.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def shingles(text: bytes, width: int) -> tuple[int, np.ndarray]:
-    """The hash of all words in a row, and the sorted distinct hashes of the shingles."""
-    found = words_of(text.lower())[0]
-    whole = xxhash.xxh64_intdigest(found.tobytes(), 42)
-    n = len(found) - width + 1
-    if n <= 1:
-        return whole, np.array([whole], np.uint64)
-    h = np.full(n, width, np.uint64)
-    for k in range(width):
-        h = (h ^ found[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return whole, np.unique(h)
-
-
-def bands(found: np.ndarray) -> np.ndarray:
-    """The keys of a shingle set, one a band."""
-    low = (found >> np.uint64(32)).astype(np.uint32)[:, None]
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    for start in range(0, len(low), 512):
-        np.minimum(least, ((low[start : start + 512] ^ _FLIPS) * _FACTORS).min(0), out=least)
-    h = np.arange(BANDS, dtype=np.uint64)
-    for k, part in enumerate(least.reshape(BANDS, ROWS).T.astype(np.uint64)):
-        h = (h ^ part) * _BAND_FACTORS[k]
-        h ^= h >> np.uint64(29)
-    return h.view(np.int64)
-
-
-def similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links that connect all of the sets (sorted, distinct) whose Jaccard similarity is at least `similarity`."""
-    if len(sets) < 2:
-        return []
-    _, flat, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    ends = np.cumsum([len(s) for s in sets])
-    root, members, links = list(range(len(sets))), {}, []
-    first: dict[int, list[int]] = defaultdict(list)
-    for i, (s, end) in enumerate(zip(sets, ends.tolist(), strict=True)):
-        members[i], n = [i], len(s)
-        own = flat[end - n : end]
-        rare = own[np.lexsort((own, times[own]))[: n - math.ceil(similarity * n - 1e-9) + 1]]
-        rare = rare[times[rare] > 1].tolist()
-        tried: set[int] = set()
-        for x in rare:
-            for j in first[x]:
-                if j in tried or root[j] == root[i]:
-                    continue
-                tried.add(j)
-                m = len(sets[j])
-                if min(n, m) < similarity * max(n, m) - 1e-9:
-                    continue
-                both = len(np.intersect1d(s, sets[j], assume_unique=True))
-                if both >= similarity * (n + m - both) - 1e-9:
-                    links.append((i, j))
-                    a, b = sorted((root[i], root[j]), key=lambda r: len(members[r]))
-                    for k in members[a]:
-                        root[k] = b
-                    members[b] += members.pop(a)
-            first[x].append(i)
-    return links
-
-
-def _candidates(rows: DataFrame) -> DataFrame:
-    """a, b: each text (column key) and the smallest one that has the same band or the same fingerprint, for each of these."""
-
-    def run(batches):
-        at, first = None, None
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        for batch in batches:
-            out = Columns(schema)
-            for band, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if band != at:
-                    at, first = band, key
-                elif key != first:
-                    out.add(key, first)
-            yield out.take()
-
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fp = F.array(F.xxhash64("fp", F.lit("fingerprint")))
-    dealt = rows.select(F.explode(F.concat("bands", fp)).alias("band"), "key").distinct()  # equal texts become one where they are read
-    return dealt.repartition(n, "band").sortWithinPartitions("band", "key").mapInArrow(run, "a long, b long")
-
-
-def _verified(sets: DataFrame, similarity: float) -> DataFrame:
-    """a, b: links between the nodes of similar members of each group; sets has root, node, shingles."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches):
-        at, nodes, held = None, [], []
-        out = Columns(schema)
-
-        def close():
-            for i, j in similar(held, similarity):
-                out.add(nodes[i], nodes[j])
-
-        for batch in batches:
-            for root, node, found in rows_of(batch):
-                if root != at:
-                    close()
-                    at, nodes, held = root, [], []
-                    if len(out) > 10_000:
-                        yield out.take()
-                nodes.append(node)
-                held.append(np.frombuffer(found, "<u8"))
-        close()
-        yield out.take()
-
-    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sets.repartition(n, "root").sortWithinPartitions("root", "node").mapInArrow(run, "a long, b long")
+from .simhash import links, majority
 
 
 def one_of_each(df: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, all columns, one of each group of near-duplicates: the smallest doc_id's; of repeated rows one."""
+    bounded_batches(df.sparkSession)
     id_at, text_at, names = df.columns.index(id_col), df.columns.index(text_col), df.columns
-    plain = [f"c{i}" for i in range(len(names))]
+    plain, least = [f"c{i}" for i in range(len(names))], Fraction(str(similarity))
+    bands, per_band, bound = minhash.plan(similarity)
+    enough = minhash.smallest(least)
     inner = df.toDF(*plain).withColumn("row", F.monotonically_increasing_id())
-    fields = T.StructType([*inner.schema.fields, T.StructField("key", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-
-    def encoded(t) -> bytes:
-        return t.encode("utf-8") if t else b""
+    made = {"n": T.LongType(), "key": T.BinaryType(), "fp": T.LongType(), "bands": T.ArrayType(T.LongType()), "sig": T.BinaryType()}
+    fields = T.StructType([*inner.schema.fields, *(T.StructField(n, t) for n, t in made.items())])
 
     def sign(batches):
         for batch in (part for b in batches for part in slices_of(b)):
-            keys, fps, signs = [], [], []
+            sizes, keys, fps, lists, signatures = [], [], [], [], []
             for t in batch.column(text_at).to_pylist():
-                whole, found = shingles(encoded(t), width)
-                keys.append(whole - (whole >> 63 << 64))
-                fps.append(majority(found))
-                signs.append(bands(found))
-            fp = np.array(fps, np.uint64).view(np.int64)
-            values = pa.array(np.concatenate(signs) if signs else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(signs) + 1, dtype=np.int32) * BANDS), values)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64()), pa.array(fp), lists], names=[*batch.schema.names, "key", "fp", "bands"])
+                found = minhash.shingle_set(t.encode("utf-8") if t else b"", width)
+                sizes.append(len(found))
+                keys.append(xxhash.xxh3_128_digest(found.tobytes()))
+                fp = majority(found) if len(found) else 0
+                fps.append(fp - (fp >> 63 << 64))
+                minimum = minhash.minima(found, bands * per_band) if len(found) >= enough else None
+                lists.append(None if minimum is None else minhash.band_keys(minimum, bands))
+                signatures.append(None if minimum is None else minimum.astype(np.uint8).tobytes())
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, t) for x, t in zip((sizes, keys, fps, lists, signatures), kinds, strict=True))], names=[*batch.schema.names, *made])
 
     rows = scratch_table(inner.mapInArrow(sign, fields), "resemblance-rows")
     own = rows.select(F.col(f"c{id_at}").cast("long").alias("doc_id"), "key", "row")
-    # a text's node is its smallest doc_id, so that a text and another of the same document are one
-    node = F.coalesce(F.min("doc_id"), F.lit(NAMELESS) + F.shiftrightunsigned(F.first("key"), 2))
-    distinct = scratch_table(rows.select(F.col(f"c{id_at}").cast("long").alias("doc_id"), "key", "row", "fp").groupBy("key").agg(node.alias("node"), F.min("row").alias("row"), F.min("fp").alias("fp")), "resemblance-distinct")
-    trees = links(scratch_table(distinct.groupBy("fp").agg(F.min("key").alias("node")), "resemblance-fingerprints"), radius)
-    grouped = components(_candidates(rows.select("bands", "fp", "key")).unionByName(trees)).withColumnRenamed("node", "member")
-    members = scratch_table(distinct.join(grouped, distinct.key == grouped.member).select("key", "node", "row", "root"), "resemblance-members")
-
-    def take(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingles(encoded(t), width)[1].tobytes() for t in batch.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], names=["key", "shingles"])
-
-    texts = keep_in_place(rows.select(F.col(f"c{text_at}").cast("string").alias("text"), "key", "row"), members.select("row"), "row", "resemblance-texts", take, "key long, shingles binary")
-    sets = texts.join(members, "key").select("root", "node", "shingles")
-    found = components(_verified(sets, similarity)).withColumnRenamed("node", "member")
-    root = F.coalesce("root", "node")
-    classes = distinct.join(found, distinct.node == found.member, "left").select("key", root.alias("of"))
+    distinct = scratch_table(rows.groupBy("key").agg(F.min("row").alias("node"), F.min("n").alias("n"), F.min("fp").alias("fp")), "resemblance-distinct")
+    # what BK-trees connect within the radius is a bucket, named by one of its fingerprints
+    some = distinct.where(F.col("n") >= (enough if enough < float("inf") else 1 << 62))
+    trees = components(links(some.select("fp", F.col("fp").alias("node")).distinct(), radius))
+    near = some.join(trees.select(F.col("node").alias("fp"), "root"), "fp", "left").select(F.xxhash64(F.coalesce("root", "fp"), F.lit("fingerprint")).alias("band"), "node")
+    signed = keep_in_place(rows.select("row", "bands"), distinct.select(F.col("node").alias("row")), "row", "resemblance-distinct-rows")
+    banded = signed.select(F.explode("bands").alias("band"), F.col("row").alias("node")).unionByName(near)
+    texts = rows.select("row", "n", "sig", F.coalesce(F.col(f"c{text_at}").cast("string"), F.lit("")).cast("binary").alias("text"))
+    found = minhash.connected(texts, banded, width, bound, least)
+    classes = distinct.join(found.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("key", F.coalesce("root", "node").alias("of"))
     # the smallest row of each group, by (doc_id, row); ids that are null come last
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     kept = own.join(classes, "key").groupBy("of").agg(F.min(order).alias("best")).select(F.col("best.row").alias("row"))

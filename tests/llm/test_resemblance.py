@@ -2,8 +2,6 @@
 
 import random
 
-import numpy as np
-
 import corpus_pipeline
 from barloom.llm import resemblance
 
@@ -47,14 +45,3 @@ def test_near_copies_of_similarity_08_go(spark, sf):
     nameless = docs.selectExpr("text", "cast(null as long) doc_id", "key")
     assert resemblance.one_of_each(nameless.unionByName(nameless)).count() == len(set(root))
     assert resemblance.one_of_each(docs.where("false")).count() == 0
-
-
-def test_links_are_complete():
-    rng = np.random.default_rng(3)
-    for _ in range(20):
-        base = rng.integers(0, 1 << 60, 60, np.uint64)
-        sets = [np.unique(np.where(rng.random(60) < rng.choice([0.02, 0.06, 0.12]), rng.integers(0, 1 << 60, 60, np.uint64), base)) for _ in range(25)]
-        whole = [set(s.tolist()) for s in sets]
-        links = {frozenset(x) for x in resemblance.similar(sets, 0.8)}
-        assert all(jaccard(*(whole[i] for i in x)) >= 0.8 for x in links)
-        assert groups(25, lambda i, j: frozenset((i, j)) in links) == groups(25, lambda i, j: jaccard(whole[i], whole[j]) >= 0.8)
