@@ -70,16 +70,19 @@ def flagged(enriched: DataFrame, proposals: list[dict]) -> tuple[DataFrame, dict
     return enriched.withColumn("_flags", flags), bits
 
 
-def trial_trades(enriched: DataFrame, proposals: list[dict], splits: int = 3, lot: int = 10, fine: DataFrame | None = None, part: str = "oos") -> tuple[DataFrame, DataFrame]:
+def trial_trades(enriched: DataFrame, proposals: list[dict], splits: int = 3, lot: int = 10, fine: DataFrame | None = None, part: str = "oos", folds: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
     """The trades of all trials in the walk-forward's parts, and the keys (trial, symbol, timeframe, fold) of all parts.
 
     fine: bars of the execution timeframe, on which the signals of `enriched` are carried forward and traded.
+    folds: only these of the parts.
     """
     own, bits = flagged(enriched, proposals)
     if fine is not None:
         carried = asof(fine, own, [c for c in ("_flags", "ATR_14") if c in own.columns], fill=True)
         own = carried.withColumn("_flags", F.coalesce("_flags", F.lit(0).cast("long")))
     parts = walk_forward(own, splits).where(F.col("part") == part)
+    if folds is not None:
+        parts = parts.where(F.col("fold").isin(folds))
     columns = [c for c in ("ts", "high", "low", "close", "ATR_14", "_flags") if c in parts.columns]
     lots = [proposals[i : i + lot] for i in range(0, len(proposals), lot)]
     dealt = parts.select(*IN_FOLD, *columns).withColumn("_lot", F.explode(F.array(*map(F.lit, range(len(lots))))))
@@ -100,9 +103,9 @@ def trial_trades(enriched: DataFrame, proposals: list[dict], splits: int = 3, lo
     return dealt.groupBy(*IN_FOLD, "_lot").applyInPandas(run, schema), keys
 
 
-def evaluate(enriched: DataFrame, proposals: list[dict], splits: int = 3, lot: int = 10, fine: DataFrame | None = None, part: str = "oos") -> DataFrame:
+def evaluate(enriched: DataFrame, proposals: list[dict], splits: int = 3, lot: int = 10, fine: DataFrame | None = None, part: str = "oos", folds: list[int] | None = None) -> DataFrame:
     """trial, symbol, timeframe, fold and the measures of the parts; zeros where there are no trades."""
-    found, keys = trial_trades(enriched, proposals, splits, lot, fine, part)
+    found, keys = trial_trades(enriched, proposals, splits, lot, fine, part, folds)
     return metrics(found, ("trial", *IN_FOLD), series=keys)
 
 

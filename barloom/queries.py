@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions.chunks import kept
 from .functions.indicators import CANDLES, with_indicators
 from .operators import asof, entries, ic, simulate, stats, universe
-from .plans import catalog, rules, search, strategy
+from .plans import catalog, rules, search, strategy, study
 from .sources import bars as source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -962,6 +963,22 @@ def search_top(spark, sf_dir):
     return search.top_strategies(enriched, tried, told)
 
 
+@query()
+def search_study(spark, sf_dir):
+    """A hundred trials in four batches that learn from each other, losing ones dropped by the median."""
+    enriched = kept(with_indicators(hourly(spark, sf_dir), SEARCHED))
+    found = study.Study(spark, f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/study-{uuid.uuid4().hex}", n_series=5, least_trades=1)
+    return found.run(enriched, batches=4, per_batch=25)
+
+
+@query()
+def search_fronts(spark, sf_dir):
+    """A hundred trials bred for mean Sharpe and mean return together."""
+    enriched = kept(with_indicators(hourly(spark, sf_dir), SEARCHED))
+    found = study.Study(spark, f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/study-{uuid.uuid4().hex}", both=True, n_series=5, least_trades=1)
+    return found.run(enriched, batches=4, per_batch=25)
+
+
 # one trial's rules in SQL, and its fold: trial numbers are those of the proposals
 _TRIAL = {"trend": "price_gt_ema50", "setup": "none", "trigger": "macd_hist_cross_0", "context": "none", "exit": "stoch_gt_80", "sl_mode": "fixed", "sl_pct": 0.05, "tp_mode": "fixed", "tp_pct": 0.1, "trail_mode": "none"}
 _TRIAL_SIGNALS = f"signals AS (SELECT symbol, ts, close, 0.0 AS atr, {' AND '.join(rule_sql(rules.SLOTS[x][_TRIAL[x]], rules.MISSING[x]) for x in ('trend', 'setup', 'trigger'))} AS en, {rule_sql(rules.SLOTS['exit']['stoch_gt_80'], False)} AS ex FROM features WINDOW w AS (PARTITION BY symbol ORDER BY ts))"
