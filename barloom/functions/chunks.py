@@ -15,7 +15,6 @@ that of the plain fold in any case.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -24,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import kept
 from ..sources.bars import TIMEFRAMES
 
 KEYS = ("symbol", "timeframe")
@@ -31,17 +31,6 @@ KEYS = ("symbol", "timeframe")
 MARKS = ("_i", "_chunk", "_own")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, computed once, in the shared folder of the session's checkpoints."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="barloom-"))
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()
-
-
 def numbered(bars: DataFrame, rows: int, by: tuple[str, ...] = KEYS) -> DataFrame:
     """bars with _i, the row's place in its series by ts, from 0. Stretches of time of `rows` bars are counted and sorted one by one."""
     seconds = F.create_map(*(F.lit(x) for kv in TIMEFRAMES.items() for x in kv))

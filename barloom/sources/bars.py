@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import kept
+
+#: The columns of a series' name.
 KEYS = ["symbol", "timeframe"]
 PRICES = ["open", "high", "low", "close", "volume"]
 COLUMNS = [*KEYS, "ts", *PRICES]
@@ -45,6 +48,25 @@ def write_bars(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
     bars.repartition("timeframe", "symbol").sortWithinPartitions("timeframe", "symbol", "ts").write.mode(mode).partitionBy("timeframe", "symbol").parquet(path)
 
 
+def replace_series(bars: DataFrame, path: str) -> None:
+    """Writes the series of bars over what is stored of them; other series, which are other folders, stay.
+
+    Rows are written aside first and then moved in, by dynamic partition
+    overwrite, so a job that dies leaves the stored series as they were.
+    """
+    dealt = bars.repartition("timeframe", "symbol").sortWithinPartitions("timeframe", "symbol", "ts")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("timeframe", "symbol").parquet(path)
+
+
+def merge_series(new: DataFrame, path: str) -> None:
+    """Merges new bars into the stored series they belong to (`merge`: stored rows stay); only these series are read and written."""
+    spark = new.sparkSession
+    stored = spark.read.parquet(path)
+    touched = new.select("timeframe", "symbol").distinct()
+    own = stored.join(touched, ["timeframe", "symbol"], "left_semi")
+    replace_series(kept(merge(own, new)), path)
+
+
 def bucket(ts: Column, timeframe: str) -> Column:
     """Beginning of the bar that holds ts, counted from the epoch."""
     w = width(timeframe)
