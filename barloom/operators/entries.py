@@ -29,12 +29,14 @@ def suggestions(effects: DataFrame, least_effect: float = 0.1, least: int = 5, t
 
 
 def threshold_ranges(suggested: DataFrame, effects: DataFrame) -> DataFrame:
-    """col, low, high: where a search looks for a threshold."""
+    """col, operator, low, high: where a search looks for a threshold; low is the smaller, and where both are one, 1 is between them."""
     e = effects.select("col", "winner_p25", "winner_p75", F.col("winner_mean").alias("_m"))
-    out = suggested.join(F.broadcast(e), "col")
+    out = suggested.join(F.broadcast(e), "col")  # a row an indicator
     low, high = F.least("winner_p25", "_m") * 0.5, F.greatest("winner_p75", "_m") * 1.5
     below = F.col("operator") == "<"
-    return out.select("col", F.when(below, high * 0.3).otherwise(low).alias("low"), F.when(below, high * 1.5).otherwise(high).alias("high"))
+    one, other = F.when(below, high * 0.3).otherwise(low), F.when(below, high * 1.5).otherwise(high)
+    least, most = F.least(one, other), F.greatest(one, other)
+    return out.select("col", "operator", least.alias("low"), F.when(most - least < 1e-8, least + 1).otherwise(most).alias("high"))
 
 
 def combined_scores(effects: DataFrame, importances: DataFrame) -> DataFrame:

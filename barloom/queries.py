@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions.chunks import kept
 from .functions.indicators import CANDLES, with_indicators
 from .operators import asof, entries, ic, simulate, stats, universe
-from .plans import catalog, rules, search, strategy, study
+from .plans import catalog, rules, search, strategy, study, thresholds
 from .sources import bars as source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -593,6 +593,34 @@ def filter_suggestions(spark, sf_dir):
     return out.select("col", "operator", F.round("threshold", 6).alias("threshold"), F.round("abs_d", 6).alias("abs_d"))
 
 
+@query(f"""WITH {BARS}, {_ENT}, {_EFF}, g AS (SELECT *, (wm - lm) / sd AS d FROM e WHERE abs((wm - lm) / sd) >= 0.01 AND n_winners >= 5 AND n_losers >= 5),
+r AS (SELECT col, CASE WHEN d > 0 THEN '>' ELSE '<' END AS operator, CASE WHEN d > 0 THEN least(p25, wm) * 0.5 ELSE greatest(p75, wm) * 1.5 * 0.3 END AS a, CASE WHEN d > 0 THEN greatest(p75, wm) * 1.5 ELSE greatest(p75, wm) * 1.5 * 1.5 END AS b FROM g)
+SELECT col, operator, round(least(a, b), 6) AS low, round(CASE WHEN abs(a - b) < 1e-8 THEN least(a, b) + 1 ELSE greatest(a, b) END, 6) AS high FROM r""")
+def threshold_ranges(spark, sf_dir):
+    """Where a search looks for the thresholds of suggested filters."""
+    effects = entries.effect_sizes(entries_of(spark, sf_dir), ["MOM_10", "ZSCORE_20", "volume_ratio"])
+    out = entries.threshold_ranges(entries.suggestions(effects, least_effect=0.01), effects)
+    return out.select("col", "operator", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query()
+def threshold_search(spark, sf_dir):
+    """Fifty trials of thresholds for what the entry analysis suggests, out of sample."""
+    enriched = kept(with_indicators(hourly(spark, sf_dir), ["SMA_20", "MOM_10", "ZSCORE_20", "volume_ratio", "RSI_7", "RSI_14", "RSI_21", "ema_20_50_cross", "ATR_14"]))
+    effects = entries.effect_sizes(entries_of(spark, sf_dir), ["MOM_10", "ZSCORE_20", "volume_ratio"])
+    found = entries.threshold_ranges(entries.suggestions(effects, least_effect=0.01), effects).orderBy("col").limit(5)
+    ranges = [(r.col, r.operator, r.low, r.high) for r in found.collect()]  # five at most
+    return thresholds.evaluate(enriched, "close > SMA_20", ranges, thresholds.proposals(ranges, 50))
+
+
+@query()
+def importance_ranking(spark, sf_dir):
+    """Indicators by effect size and by a forest's importance, together."""
+    columns = ["MOM_10", "ZSCORE_20", "volume_ratio"]
+    own = kept(entries_of(spark, sf_dir))
+    return entries.combined_scores(entries.effect_sizes(own, columns), entries.forest_importances(own, columns))
+
+
 TRADED = simulate.Risk(sl_pct=0.3, tp_pct=0.6, trail_mode="atr", trail_atr=3.0)
 BY = ("symbol", "timeframe")
 

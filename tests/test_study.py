@@ -92,3 +92,48 @@ def test_offspring_takes_after_the_first_fronts():
     olds = [t.params for t in history]
     assert share(new, "trend", "psar_bull") > 2 * share(olds, "trend", "psar_bull") and share(new, "exit", "rsi_gt_75") > 1.5 * share(olds, "exit", "rsi_gt_75")
     assert offspring(history[:2], 4, 2) == study.propose(4, 42, 2) and new == offspring(history, 80, 150)
+
+
+def test_threshold_trials_are_plain_loops(spark, enriched):
+    """Scores of a search over thresholds against the fold run by hand."""
+    import numpy as np
+    import pandas as pd
+
+    from barloom.operators.simulate import Risk, fold, metrics, walk_forward
+    from barloom.plans import thresholds
+
+    own = kept(with_indicators(hourly(spark, "/root/testdata/sf0.01"), ["EMA_20", "RSI_7", "RSI_14", "RSI_21", "volume_ratio", "ema_20_50_cross"]))
+    ranges = [("RSI_14", "<", 30.0, 60.0), ("volume_ratio", ">", 0.5, 1.2)]
+    trials = thresholds.proposals(ranges, 7)
+    assert all(30 <= t["thresholds"]["RSI_14"] <= 60 and 60 <= t["level"] <= 85 for t in trials) and {t["period"] for t in trials} == {7, 14, 21}
+    got = {r.trial: r for r in thresholds.evaluate(own, "close > EMA_20", ranges, trials, lot=3).collect()}
+    rows = walk_forward(own, 3).where("part = 'oos'").toPandas()
+    for t in trials:
+        sharpes, returns, counts = {}, {}, {}
+        for (symbol, _), part in rows.groupby(["symbol", "fold"]):
+            part = part.sort_values("ts", ignore_index=True)
+            enter = (part.close > part.EMA_20) & (part.RSI_14 < t["thresholds"]["RSI_14"]) & (part.volume_ratio > t["thresholds"]["volume_ratio"])
+            leave = (part[f"RSI_{t['period']}"] > t["level"]) | (part.ema_20_50_cross == -1)
+            found = fold(part.assign(entry_signal=enter.astype(int), exit_signal=leave.astype(int)), Risk())
+            r = np.array([x[6] / 100 * x[10] for x in found])
+            sharpes.setdefault(symbol, []).append(r.mean() / (r.std() + 1e-9) * 252**0.5 if len(r) else 0.0)
+            returns.setdefault(symbol, []).append((found[0][-1] / 10_000 - 1) * 100 if found else 0.0)
+            counts[symbol] = counts.get(symbol, 0) + len(found)
+        sharpe, ret, n = (float(np.mean([np.mean(v) for v in x.values()])) for x in (sharpes, returns, counts))
+        assert (got[t["trial"]].mean_sharpe, got[t["trial"]].mean_return, got[t["trial"]].mean_trades) == pytest.approx((sharpe, ret, n))
+        assert got[t["trial"]].score == pytest.approx(-999.0 if n < 5 else sharpe + 0.01 * ret)
+
+
+def test_small_helpers_of_the_analysis(spark):
+    from barloom.operators import entries, ic, universe
+    from barloom.plans import search
+
+    df = spark.range(200).selectExpr("cast(id as double) a", "1.0D b", "if(id < 1, 1.0D, 0.0D) c", "if(id % 3 = 0, null, cast(id as double)) d", "if(id % 3 > 0, null, cast(id as double)) e", "cast(id as string) f")
+    assert ic.informative(df, df.columns) == ["a", "d"] and ic.informative(df, ["f"]) == []
+    pairs = spark.createDataFrame([("A", True), ("B", False)], "symbol string, excluded boolean")
+    assert universe.reset_exclusions(pairs).where("excluded").count() == 0
+    told = search.proposals_table(spark, study.propose(3)).collect()
+    assert [r.trial for r in told] == [0, 1, 2] and len({r.name for r in told}) == 3 and "trend" in told[0].params
+    effects = spark.createDataFrame([("x", -2.0), ("y", 1.0), ("z", 0.0)], "col string, cohens_d double")
+    found = {r.col: r.score for r in entries.combined_scores(effects, spark.createDataFrame([("y", 0.5), ("z", 0.25)], "col string, importance double")).collect()}
+    assert found == {"x": 0.5, "y": 0.75, "z": 0.25}
