@@ -17,7 +17,9 @@ the driver or broadcast.
 
 Defined cases: null text is empty and has the end token alone. A null doc_id
 counts as the empty text for the fold. Repeated rows count each. Without
-training texts N and V are 0, and all tokens score the uniform estimate.
+training texts N and V are 0, and all tokens score the uniform estimate. A
+very long text is a block of its own and is scored whole. An empty table gives
+no rows. Only the two columns named are read, whatever the others are called.
 """
 
 from __future__ import annotations

@@ -16,7 +16,10 @@ A sequence's id is the partition's number in the upper bits and a counter in
 the lower, so ids are unique, not dense.
 
 Defined cases: null text is empty and packs the end id alone. Repeated rows
-are packed once each. Texts of any length stream out in whole sequences.
+are packed once each, in the order in which they are read, whether ids are
+equal, null or neither; of equal sizes the one read first comes first. Texts
+of any length stream out in whole sequences. An empty table gives no pieces.
+Only the two columns named are read, whatever the others are called.
 """
 
 from __future__ import annotations

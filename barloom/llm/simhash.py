@@ -24,7 +24,8 @@ fingerprints is ever in one place.
 Defined cases: rows with one doc_id are one document, which links by each of
 its texts. Null text is empty; without words the fingerprint is zero and
 links as any other; with fewer words than a shingle the whole sequence is one
-shingle. Repeated rows give repeated results. A null doc_id is never a
+shingle. Texts of any length are taken whole, and an empty table gives no
+rows. Repeated rows give repeated results. A null doc_id is never a
 component's id unless all members lack one.
 """
 

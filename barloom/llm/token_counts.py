@@ -15,7 +15,9 @@ nothing is encoded again.
 
 Defined cases: a null text is empty (0 tokens, empty table). Repeated rows
 give repeated results. Bytes that aren't UTF-8 count as U+FFFD. A special
-string inside a text is one token, as by the library's default.
+string inside a text is one token, as by the library's default. Texts of any
+length are counted whole. Ids may be null or repeat: they are handed on. An
+empty table gives no rows. Only the two columns named are read.
 """
 
 from __future__ import annotations
