@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import aggregates
 from .functions.chunks import kept
 from .functions.indicators import CANDLES, with_indicators
 from .operators import asof, entries, ic, simulate, stats, universe
@@ -1161,6 +1162,14 @@ def strategies_together(spark, sf_dir):
     return shown(strategy.run_all(hourly(spark, sf_dir), made), [f"{s.name}_{w}" for s in made for w in ("entry", "exit")])
 
 
+@query("""WITH c AS (SELECT l_returnflag, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1), d AS (SELECT l_returnflag, m, l_extendedprice - m AS d FROM lineitem JOIN c USING (l_returnflag))
+SELECT l_returnflag, count(*) AS n, round(any_value(m), 4) AS mean, round(sum(d * d) / (count(*) - 1), 2) AS variance, round(sqrt(count(*)) * sum(d ** 3) / sum(d * d) ** 1.5, 6) AS skewness, round(count(*) * sum(d ** 4) / sum(d * d) ** 2 - 3, 6) AS kurtosis FROM d GROUP BY 1""")
+def merged_moments(spark, sf_dir):
+    """Moments by a user-defined aggregate whose states are merged."""
+    found = aggregates.aggregate(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_returnflag"], ["l_extendedprice"], aggregates.Moments("l_extendedprice"))
+    return found.select("l_returnflag", "n", F.round("mean", 4).alias("mean"), F.round("variance", 2).alias("variance"), F.round("skewness", 6).alias("skewness"), F.round("kurtosis", 6).alias("kurtosis"))
+
+
 @query("SELECT event_type, (props::JSON->>'k')::BIGINT % 10 AS digit, count(*) AS n, sum((props::JSON->>'k')::BIGINT) AS total, count(*) FILTER (WHERE (props::JSON->>'absent') IS NULL) AS absent FROM events GROUP BY 1, 2")
 def json_decode(spark, sf_dir):
     """Events by what their JSON says."""

@@ -79,3 +79,23 @@ def test_benchmark_of_a_split_series(spark):
     assert set(a) == {"A", "B"} and a["B"]["benchmark_return"] == 0
     for k in a:
         assert {c: v for c, v in a[k].items() if isinstance(v, float)} == pytest.approx({c: v for c, v in b[k].items() if isinstance(v, float)}, rel=1e-9)
+
+
+def test_user_aggregates_merge(spark, monkeypatch):
+    """Any dealing of rows and any number of states handed on gives the same; nulls, empty groups and tables have results."""
+    from barloom.functions import aggregates
+
+    rng = np.random.default_rng(9)
+    rows = [(None if k == 3 else f"g{k}", None if rng.random() < 0.1 else float(rng.gamma(2))) for k in range(5) for _ in range(60)] + [("empty", None), ("one", 4.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    how = aggregates.Moments("x")
+    want = df.groupBy("g").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_samp("x").alias("variance"), F.skewness("x").alias("skewness"), F.kurtosis("x").alias("kurtosis")).toPandas().sort_values("g", ignore_index=True)
+    for parts, most in ((1, 100_000), (7, 1)):
+        monkeypatch.setattr(aggregates, "MOST", most)
+        got = aggregates.aggregate(df.repartition(parts), ["g"], ["x"], how).toPandas().sort_values("g", ignore_index=True)
+        assert got.g.tolist() == want.g.tolist() and got.n.tolist() == want.n.tolist()
+        for c in ("mean", "variance"):
+            assert np.allclose(got[c].astype(float), want[c].astype(float), equal_nan=True)
+        many = got.n > 1
+        assert all(np.allclose(got[many][c].astype(float), want[many][c]) for c in ("skewness", "kurtosis"))
+    assert aggregates.aggregate(df.where("false"), ["g"], ["x"], how).count() == 0
