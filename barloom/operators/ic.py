@@ -99,6 +99,12 @@ def report(per_series: DataFrame, stable: DataFrame | None = None, top: int = 20
     return out.orderBy(F.desc("max_abs_ic"), "col").limit(top)
 
 
+def lookup(found: DataFrame, top: int = 20) -> dict[str, float]:
+    """For a search: of the `top` columns of a report, the size of the coefficient by name."""
+    rows = found.select("col", "max_abs_ic").orderBy(F.desc("max_abs_ic"), "col").limit(top).collect()  # `top` rows
+    return {r["col"]: r["max_abs_ic"] or 0.0 for r in rows if r["col"]}
+
+
 def conditions(df: DataFrame, columns: list[str], horizon: int = 10, least: int = 30) -> DataFrame:
     """By condition (0/1 columns): mean coefficient and hit rate over the series in which it holds in 0.5 % to 99 % of the rows."""
     rate = df.groupBy(*BY).agg(*(F.avg(c).alias(c) for c in columns)).unpivot([*BY], columns, "col", "hit_rate")

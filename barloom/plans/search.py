@@ -27,10 +27,11 @@ RANGES = {"sl_pct": (0.01, 0.08), "sl_atr": (1.0, 4.0), "tp_pct": (0.02, 0.15),
 MODES = {"sl_mode": ["none", "fixed", "atr"], "tp_mode": ["none", "fixed", "atr", "rr"], "trail_mode": ["none", "fixed", "atr"]}
 
 
-def propose(n: int, seed: int = 42, first: int = 0, like: list[dict] | None = None) -> list[dict]:
+def propose(n: int, seed: int = 42, first: int = 0, like: list[dict] | None = None, guide: dict[str, float] | None = None) -> list[dict]:
     """n parameter sets: slots and modes at random, risks by a Halton sequence, which covers their ranges evenly.
 
     like: sets that did well; slots and modes are then drawn by how often those have them, each option once besides.
+    guide: sizes of coefficients by column (ic.lookup); options are drawn up to five times as often the more their columns tell.
     """
     rng, out = random.Random(seed + first), []
     primes = (2, 3, 5, 7, 11, 13, 17)
@@ -44,6 +45,9 @@ def propose(n: int, seed: int = 42, first: int = 0, like: list[dict] | None = No
         return r
 
     def choose(name: str, options: list[str]) -> str:
+        if guide and name in SLOTS and not like:
+            told = lambda o: max((guide.get(str(x).removeprefix("H:"), 0.0) for x in SLOTS[name][o][::2]), default=0.0)
+            return rng.choices(options, [1 + 4 * told(o) / (max(guide.values()) or 1.0) for o in options])[0]
         if not like:
             return rng.choice(options)
         seen = Counter(p[name] for p in like)

@@ -137,3 +137,23 @@ def test_small_helpers_of_the_analysis(spark):
     effects = spark.createDataFrame([("x", -2.0), ("y", 1.0), ("z", 0.0)], "col string, cohens_d double")
     found = {r.col: r.score for r in entries.combined_scores(effects, spark.createDataFrame([("y", 0.5), ("z", 0.25)], "col string, importance double")).collect()}
     assert found == {"x": 0.5, "y": 0.75, "z": 0.25}
+
+
+def test_coefficients_guide_a_search(spark):
+    from barloom.operators import ic, stats
+    from barloom.plans import search
+
+    found = spark.createDataFrame([("RSI_14", 0.2), ("EMA_20", 0.05), ("x", None), ("CCI_20", 0.1)], "col string, max_abs_ic double")
+    guide = ic.lookup(found, top=3)
+    assert guide == {"RSI_14": 0.2, "CCI_20": 0.1, "EMA_20": 0.05}
+    plain, led = search.propose(800), search.propose(800, guide=guide)
+    share = lambda own: sum(p["setup"].startswith("rsi") for p in own) / len(own)
+    assert share(led) > 1.7 * share(plain) and search.propose(800, guide={}) == plain
+    # p-values against the density of Student's t, summed up
+    import math
+
+    for t, df in ((0.5, 3), (2.0, 10), (3.1, 57), (1.96, 100_000), (6.0, 4)):
+        c = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+        step = t / 20_000
+        inside = sum(c * (1 + ((i + 0.5) * step) ** 2 / df) ** (-(df + 1) / 2) for i in range(20_000)) * step
+        assert stats.t_sf(t, df) == pytest.approx(1 - 2 * inside, abs=1e-7)
