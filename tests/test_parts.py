@@ -99,3 +99,26 @@ def test_user_aggregates_merge(spark, monkeypatch):
         many = got.n > 1
         assert all(np.allclose(got[many][c].astype(float), want[many][c]) for c in ("skewness", "kurtosis"))
     assert aggregates.aggregate(df.where("false"), ["g"], ["x"], how).count() == 0
+
+
+def test_quantiles_by_counting(spark, monkeypatch):
+    """Ties, tiny and huge values, infinities' neighbours, nulls; against percentiles over all values."""
+    from barloom.functions import quantiles
+
+    rng = np.random.default_rng(2)
+    groups = {"ties": np.repeat([1.0, 2.0, 5.0], [50, 3, 40]), "one": np.array([7.0]), "two": np.array([-1.0, 3.0]), "wide": 10.0 ** rng.uniform(-300, 300, 200) * rng.choice([-1, 1], 200), "same": np.full(30, 0.1), "many": rng.normal(0, 1, 3000), "ends": np.array([-1.7e308, 1.7e308, 0.0, 1.0])}
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("none", None), ("ties", None), ("two", float("nan")), (None, 4.0)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    shares = [0.0, 0.05, 0.25, 0.5, 0.77, 1.0]
+    for bins in (1024, 3):
+        monkeypatch.setattr(quantiles, "BINS", bins)
+        sub = df if bins > 3 else df.where("g not in ('wide', 'ends')")
+        got = {r.g: r for r in quantiles.exact_quantiles(sub, ["g"], "x", shares).collect()}
+        for g in groups.keys() & got.keys():
+            assert got[g].n == len(groups[g])
+            if g == "ends":
+                assert got[g].quantiles[0] == -1.7e308 and got[g].quantiles[-1] == 1.7e308
+            else:
+                assert np.allclose(got[g].quantiles, np.quantile(groups[g], shares), rtol=1e-9, atol=0 if g == "wide" else 1e-12)
+        assert "none" not in got and len(got) >= 5
+    assert quantiles.exact_quantiles(df.where("false"), ["g"], "x", shares).count() == 0
