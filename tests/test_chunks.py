@@ -93,7 +93,7 @@ def test_all_window_columns(spark):
 
     wanted = [n for n in names() if n not in RECURSIVE]
     assert all(n in COLUMNS for n in wanted)
-    bars = bars_of(spark, 3000, 700, 3)
+    bars = bars_of(spark, 1500, 300, 3)
     for part in (wanted[::2], wanted[1::2]):
         equal(with_indicators(bars, part), with_indicators(bars, part, rows=1), part, 1e-7)
 
