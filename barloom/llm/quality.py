@@ -1,14 +1,17 @@
 """Quality rules and n-gram perplexity.
 
 The language model is a modified Kneser-Ney trigram over the characters of
-words. Spark counts the trigrams of all texts. The alphabet is the `letters`
-most frequent code points, CLASSES symbols for all others, by a hash of the
-code point, so that words of a rare script still differ, and one for the
-word's edge. So the model has at most (letters + CLASSES + 1) ** 3 trigrams
-whatever the corpus: with 111 letters 2 097 152 of 16 bytes, a proven bound
-(34 MB) for what is sent to the workers. It is stored as sorted arrays of
-64-bit hashes with a log-probability (trigrams, bigrams) and a back-off weight
-(contexts) beside each hash, and read by binary search.
+words. Spark counts the trigrams of all reference texts; every code point that
+they have is a symbol of its own, white space stands for the word's edge, and
+code points that none of them has are CLASSES symbols without counts. Nothing
+bounds the alphabet. What is sent to the workers is bounded by `sent`
+trigrams, as sorted arrays of 64-bit hashes with a log-probability (trigrams,
+bigrams) and a back-off weight (contexts) beside each hash, read by binary
+search. A larger model stays in tables: its probabilities are made by joins,
+only the `sent` most frequent trigrams go to the workers, and a document asks
+for its others by a join on the trigram. Trigrams that are asked for most are
+joined by a broadcast, so none makes a task large. Both ways give the same
+probabilities; `sent` changes where they are looked up, never what they are.
 
 The model's reference text is every document of at least 50 words with at most
 `symbol_share` of the contract's symbols a word and at most `upper_share` of
@@ -48,10 +51,12 @@ from .encoding import by_size
 #: Fixed by the contract: the symbols that count.
 SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
-EDGE = "\x00"
-#: Symbols for code points outside the alphabet.
-CLASSES = 16
-OTHERS = [chr(1 + k) for k in range(CLASSES)]
+#: White space, which no word holds, so that these stand for no code point of a word.
+EDGE, *OTHERS = map(chr, (32, 9, 10, 11, 12, 13))
+#: Symbols for code points that the model has not seen.
+CLASSES = len(OTHERS)
+#: Trigrams that are sent to the workers, at most.
+SENT = 1 << 20
 
 
 def other(code: int) -> str:
@@ -60,7 +65,7 @@ def other(code: int) -> str:
 
 
 class _Symbols(dict):
-    """Numbers of the symbols; a code point outside the alphabet has its class's."""
+    """Numbers of the symbols; a code point that the model has not seen has its class's."""
 
     def __missing__(self, c: str) -> int:
         n = self[c] = self[other(ord(c))]
@@ -108,6 +113,45 @@ class Trigrams:
         sums = np.concatenate([[0.0], np.cumsum(found)])
         return sums[starts[1:] - 2] - sums[starts[:-1]]
 
+    def scores(self, words: list[str]) -> tuple[np.ndarray, dict[int, list[str]]]:
+        return self.log10(words), {}
+
+
+@dataclass
+class Frequent:
+    """The most frequent trigrams of a model that isn't sent whole, and where the whole is."""
+
+    known: tuple[np.ndarray, np.ndarray]  # hash, log10 probability
+    tables: tuple[DataFrame, ...]  # not sent
+    unseen: float  # log10 probability of a symbol without counts
+
+    def __getstate__(self):
+        return self.__dict__ | {"tables": ()}
+
+    def scores(self, words: list[str]) -> tuple[np.ndarray, dict[int, list[str]]]:
+        """The summed log10 of each word's trigrams that are here, and the other trigrams of the words that have some."""
+        if not words:
+            return np.zeros(0), {}
+        text = "".join(f"{EDGE}{EDGE}{w}{EDGE}" for w in words)
+        starts = np.cumsum([0] + [len(w) + 3 for w in words])
+        found = _look(self.known, gram_codes(text), np.nan)
+        gone = np.isnan(found)
+        found[gone] = 0
+        sums = np.concatenate([[0.0], np.cumsum(found)])
+        across = np.concatenate([starts[1:-1] - 2, starts[1:-1] - 1])  # trigrams of two words
+        gone[across] = False
+        lost: dict[int, list[str]] = {}
+        gone = np.flatnonzero(gone)
+        for i, k in zip(gone.tolist(), (np.searchsorted(starts, gone, "right") - 1).tolist(), strict=True):
+            lost.setdefault(k, []).append(text[i : i + 3])
+        return sums[starts[1:] - 2] - sums[starts[:-1]], lost
+
+
+def gram_codes(text: str) -> np.ndarray:
+    """A number for each three neighbouring characters: their code points, 21 bits each."""
+    c = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+    return c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+
 
 def _look(table: tuple[np.ndarray, np.ndarray], codes: np.ndarray, default: float) -> np.ndarray:
     keys, values = table
@@ -124,9 +168,8 @@ def _sorted(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h[order], values[order]
 
 
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney: the discount of a count of 0, 1, 2, 3 and more; fixed ones where the data give none."""
-    n1, n2, n3, n4 = (int((counts == k).sum()) for k in (1, 2, 3, 4))
+def _discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
+    """Modified Kneser-Ney: the discount of a count of 0, 1, 2, 3 and more, from how many n-grams have 1 to 4; fixed ones where the data give none."""
     if not (n1 and n2 and n3 and n4):
         return np.array([0, 0.5, 1.0, 1.5])
     y = n1 / (n1 + 2 * n2)
@@ -135,7 +178,7 @@ def _discounts(counts: np.ndarray) -> np.ndarray:
 
 def _level(context: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Discounted probability of each n-gram, and each context's back-off weight (1 for unseen contexts)."""
-    d = _discounts(counts)[np.minimum(counts, 3)]
+    d = _discounts(*(int((counts == k).sum()) for k in (1, 2, 3, 4)))[np.minimum(counts, 3)]
     total = np.bincount(context, counts, size)
     return np.maximum(counts - d, 0) / total[context], np.where(total > 0, np.bincount(context, d, size) / np.maximum(total, 1e-300), 1.0)
 
@@ -157,11 +200,11 @@ def estimate(rows: list[tuple[str, int]], letters: list[str]) -> Trigrams:
     p2, rest2 = _level(pairs // n, types2, n)
     p2 = p2 + rest2[pairs // n] * uni[pairs % n]
     lower = dict(zip(pairs.tolist(), p2.tolist(), strict=True))
-    p3, rest3 = _level(a * n + b, counts, n * n)
-    p3 = p3 + rest3[a * n + b] * np.array([lower[x] for x in (b * n + c).tolist()])
-    contexts = np.unique(a * n + b)
+    contexts, at = np.unique(a * n + b, return_inverse=True)
+    p3, rest3 = _level(at, counts, len(contexts))
+    p3 = p3 + rest3[at] * np.array([lower[x] for x in (b * n + c).tolist()])
     log = lambda x: np.log10(np.maximum(x, 1e-30))
-    return Trigrams(symbols, _sorted((a * n + b) * n + c, log(p3)), _sorted(pairs, log(p2)), log(uni), _sorted(contexts, log(rest3[contexts])), log(rest2))
+    return Trigrams(symbols, _sorted((a * n + b) * n + c, log(p3)), _sorted(pairs, log(p2)), log(uni), _sorted(contexts, log(rest3)), log(rest2))
 
 
 def is_reference(text: bytes, words: int, symbol_share: float, upper_share: float) -> bool:
@@ -170,8 +213,8 @@ def is_reference(text: bytes, words: int, symbol_share: float, upper_share: floa
     return words >= 50 and len(text) - len(text.translate(None, SYMBOLS)) <= symbol_share * words and upper <= upper_share * letters
 
 
-def count_trigrams(df: DataFrame, letters: int = 111, text_col: str = "text", symbol_share: float = 0.1, upper_share: float = 0.3) -> Trigrams:
-    """Counts over all reference texts and estimates; what reaches the driver is bounded by the alphabet."""
+def count_trigrams(df: DataFrame, sent: int = SENT, text_col: str = "text", symbol_share: float = 0.1, upper_share: float = 0.3) -> Trigrams | Frequent:
+    """Counts over all reference texts and estimates; at most `sent` trigrams reach the driver."""
     words = df.select(F.coalesce(df[text_col].cast("string"), F.lit("")).cast("binary").alias("text"))
 
     def run(batches):
@@ -195,41 +238,95 @@ def count_trigrams(df: DataFrame, letters: int = 111, text_col: str = "text", sy
         yield grams(counts)
 
     summed = scratch_table(words.mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")), "trigrams")
-    # EDGE and OTHERS inside texts are control characters; they stand for themselves
-    last = F.substring("gram", 3, 1)
-    top = summed.where(~last.isin(EDGE, *OTHERS)).groupBy(last.alias("c")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(letters)
-    kept = [r.c for r in top.collect()]
-    classes = F.array(*map(F.lit, OTHERS))
-
-    def symbol(c):
-        return F.when(c.isin(EDGE, *OTHERS, *kept), c).otherwise(classes[F.pmod(F.shiftright(F.ascii(c).cast("long") * 40503, 8), F.lit(CLASSES)).cast("int")])
-
-    fold = F.concat(*(symbol(F.substring("gram", i, 1)) for i in (1, 2, 3)))
-    folded = summed.groupBy(fold.alias("gram")).agg(F.sum("n").alias("n"))
-    return estimate([(r.gram, r.n) for r in folded.toLocalIterator()], kept)  # at most (letters + CLASSES + 1) ** 3 rows
+    if summed.count() > sent:
+        return in_tables(summed, sent)
+    rows = [(r.gram, r.n) for r in summed.toLocalIterator()]  # at most `sent`
+    return estimate(rows, sorted({g[2] for g, _ in rows} - {EDGE}))
+
+
+def _order(grams: DataFrame, k: int, under: DataFrame | float) -> tuple[DataFrame, DataFrame]:
+    """gram, n, p of the n-grams of order k, as `_level` and `estimate` have them, and context, rest; under: gram, p of the order below, or one probability for all."""
+    times = dict(grams.where("n <= 4").groupBy("n").count().collect())
+    d = F.array(*map(F.lit, _discounts(*(times.get(i, 0) for i in (1, 2, 3, 4))).tolist()))[F.least("n", F.lit(3)).cast("int")]
+    own = grams.select("gram", "n", d.alias("d"), F.substring("gram", 1, k - 1).alias("context"))
+    by = scratch_table(own.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("rest")), "contexts")
+    joined = own.join(by, "context")
+    if isinstance(under, DataFrame):
+        joined = joined.withColumn("low", F.substring("gram", 2, k - 1)).join(under.select(F.col("gram").alias("low"), F.col("p").alias("under")), "low")
+    else:
+        joined = joined.withColumn("under", F.lit(under))
+    p = F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("rest") * F.col("under")
+    return scratch_table(joined.select("gram", "n", p.alias("p")), "order"), by.select("context", "rest")
+
+
+def _log(p):
+    return F.log10(F.greatest(p, F.lit(1e-30)))
+
+
+def in_tables(summed: DataFrame, sent: int) -> Frequent:
+    """The same model by joins. A symbol or pair has at most as many neighbours as there are code points, so no key is large."""
+    pairs = scratch_table(summed.groupBy(F.substring("gram", 2, 2).alias("gram")).agg(F.count("*").alias("n")), "pairs")
+    singles = scratch_table(pairs.groupBy(F.substring("gram", 2, 1).alias("gram")).agg(F.count("*").alias("n")), "singles")
+    symbols = singles.count() + CLASSES  # the edge is among them
+    p1, rest1 = _order(singles, 1, 1 / symbols)
+    p2, rest2 = _order(pairs, 2, p1)
+    p3, rest3 = _order(summed, 3, p2)
+    # the most frequent by steps of their count, so that nothing is sorted
+    step = F.floor(16 * F.log2("n"))
+    steps = sorted(p3.groupBy(step).count().collect(), reverse=True)
+    least = [s for (s, _), total in zip(steps, np.cumsum([c for _, c in steps]), strict=True) if total <= sent]
+    top = p3.where(step >= least[-1]) if least else p3.where("false")
+    rows = [(r.gram, r.log) for r in top.select("gram", _log(F.col("p")).alias("log")).toLocalIterator()]  # at most `sent`
+    known = _sorted(gram_codes("".join(g for g, _ in rows))[::3], np.array([x for _, x in rows])) if rows else (np.zeros(0, np.uint64), np.zeros(0))
+    return Frequent(known, (p3, rest3, p2, rest2, p1), float(np.log10(max(rest1.first().rest / symbols, 1e-30))))
+
+
+def asked_for(table: DataFrame, model: Frequent) -> DataFrame:
+    """row, log_rest: the summed log10 of the trigrams in the column asked (array of gram, times), for the rows that ask."""
+    p3, rest3, p2, rest2, p1 = model.tables
+    asked = table.select("row", F.inline("asked"))
+    # symbols are no more than there are code points: they are sent
+    logs = (
+        asked.groupBy("gram").agg(F.count("*").alias("rows"))
+        .join(p3.select("gram", _log(F.col("p")).alias("l3")), "gram", "left")
+        .withColumns({"ab": F.substring("gram", 1, 2), "bc": F.substring("gram", 2, 2), "b": F.substring("gram", 2, 1), "c": F.substring("gram", 3, 1)})
+        .join(rest3.select(F.col("context").alias("ab"), _log(F.col("rest")).alias("w3")), "ab", "left")
+        .join(p2.select(F.col("gram").alias("bc"), _log(F.col("p")).alias("l2")), "bc", "left")
+        .join(F.broadcast(rest2.select(F.col("context").alias("b"), _log(F.col("rest")).alias("w2"))), "b", "left")
+        .join(F.broadcast(p1.select(F.col("gram").alias("c"), _log(F.col("p")).alias("l1"))), "c", "left")
+    )
+    zero = F.lit(0.0)
+    low = F.coalesce("l2", F.coalesce("w2", zero) + F.coalesce("l1", F.lit(model.unseen)))
+    logs = scratch_table(logs.select("gram", "rows", F.coalesce("l3", F.coalesce("w3", zero) + low).alias("log")), "asked-logs")
+    hot = F.broadcast(scratch_table(logs.orderBy(F.desc("rows"), "gram").limit(SENT_GRAMS).select("gram", "log"), "asked-most"))
+    others = asked.join(hot.select("gram"), "gram", "left_anti").join(logs.select("gram", "log"), "gram")
+    return scratch_table(asked.join(hot, "gram").unionByName(others).groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("log_rest")), "asked-sums")
 
 
 class Scorer:
     """Base counts and log-probabilities of texts; words are looked up once and kept up to a bound."""
 
-    def __init__(self, model: Trigrams, limit: int = 250_000):
+    def __init__(self, model: Trigrams | Frequent, limit: int = 250_000):
         self.model, self.limit = model, limit
         self.number: dict[bytes, int] = {}
+        self.lost: dict[int, list[str]] = {}
         self.log, self.size = np.zeros(limit + 1), np.zeros(limit + 1, np.int64)
 
     def learn(self, words: set[bytes]) -> None:
         new = list(words.difference(self.number))
         if len(self.number) + len(new) > self.limit:
             self.number.clear()
+            self.lost.clear()
             new = list(words)
         if len(new) > self.limit:
             self.limit = len(new)
             self.log, self.size = np.zeros(self.limit + 1), np.zeros(self.limit + 1, np.int64)
         at = len(self.number)
-        texts = [w.decode("utf-8", "replace").replace(EDGE, OTHERS[0]) for w in new]
+        texts = [w.decode("utf-8", "replace") for w in new]
         for start in range(0, len(texts), 20_000):
             part = texts[start : start + 20_000]
-            self.log[at + start : at + start + len(part)] = self.model.log10(part)
+            self.log[at + start : at + start + len(part)], lost = self.model.scores(part)
+            self.lost.update((at + start + i, grams) for i, grams in lost.items())
             self.size[at + start : at + start + len(part)] = [len(w) + 1 for w in part]
         self.number.update(zip(new, range(at, at + len(new)), strict=True))
 
@@ -239,14 +336,19 @@ class Scorer:
         return [self.row(t, w) for t, w in zip(texts, cut, strict=True)]
 
     def row(self, text: bytes, words: list[bytes]) -> tuple:
-        """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log10 of the perplexity."""
+        """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log10 of the probability, its symbols, trigrams to ask for (or None)."""
         ids = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         lines = [x for x in text.split(b"\n") if x.strip()]
-        symbols = int(self.size[ids].sum())
+        asked: Counter = Counter()
+        if self.lost:
+            for i, k in zip(*(x.tolist() for x in np.unique(ids, return_counts=True)), strict=True):
+                for gram in self.lost.get(i, ()):
+                    asked[gram] += k
         visible = text.translate(None, WHITE)
         return (
             len(words), len(visible.decode("utf-8", "replace")), len(visible) - len(visible.translate(None, SYMBOLS)),
-            len(lines) - len(set(lines)), repeated_words(ids), -float(self.log[ids].sum()) / symbols if symbols else None,
+            len(lines) - len(set(lines)), repeated_words(ids), float(self.log[ids].sum()), int(self.size[ids].sum()),
+            [{"gram": g, "times": n} for g, n in asked.items()] if asked else None,
         )
 
 
@@ -265,27 +367,26 @@ def repeated_words(ids: np.ndarray) -> int:
     return int(covered.sum())
 
 
-def scored(df: DataFrame, model: Trigrams, keys: list[str], text_col: str = "text", prefix: str = "") -> DataFrame:
-    """keys, the base counts, base_failed, log_perplexity; prefix goes before the new names."""
+def scored(df: DataFrame, model: Trigrams | Frequent, keys: list[str], text_col: str = "text") -> DataFrame:
+    """keys, the base counts, base_failed, log_known, symbols, asked: log10 of the probability but for the trigrams that are asked for."""
     spark = df.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # bounded by the alphabet
+    sent = spark.sparkContext.broadcast(model)  # bounded by SENT
     own = df.select(*(df[k].alias(f"k{i}") for i, k in enumerate(keys)), F.coalesce(df[text_col].cast("string"), F.lit("")).cast("binary").alias("text"))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     kinds = [own.schema[f"k{i}"].dataType.simpleString() for i in range(len(keys))]
-    spark_schema = ", ".join([f"k{i} {k}" for i, k in enumerate(kinds)] + [f"{n} long" for n in names] + ["base_failed boolean", "log_perplexity double"])
+    spark_schema = ", ".join([f"k{i} {k}" for i, k in enumerate(kinds)] + [f"{n} long" for n in COUNTS] + ["base_failed boolean", "log_known double", "symbols long", "asked array<struct<gram:string,times:long>>"])
+    grams = pa.list_(pa.struct([("gram", pa.string()), ("times", pa.int64())]))
 
     def run(batches):
         scorer = Scorer(sent.value)
         for batch in batches:
-            schema = pa.schema([*list(batch.schema)[: len(keys)], *((n, pa.int64()) for n in names), ("base_failed", pa.bool_()), ("log_perplexity", pa.float64())])
+            schema = pa.schema([*list(batch.schema)[: len(keys)], *((n, pa.int64()) for n in COUNTS), ("base_failed", pa.bool_()), ("log_known", pa.float64()), ("symbols", pa.int64()), ("asked", grams)])
             for rows in by_size(rows_of(batch)):
                 out = Columns(schema)
                 for row, found in zip(rows, scorer.rows([r[-1] for r in rows]), strict=True):
-                    out.add(*row[:-1], *found[:5], found[0] < 50 or 100 * found[4] > 50 * found[0], found[5])
+                    out.add(*row[:-1], *found[:5], found[0] < 50 or 100 * found[4] > 50 * found[0], *found[5:])
                 yield out.take()
 
-    out = own.mapInArrow(run, spark_schema)
-    return out.toDF(*keys, *(prefix + n for n in (*names, "base_failed", "log_perplexity")))
+    return own.mapInArrow(run, spark_schema)
 
 
 def _quartiles(steps: DataFrame, by: list[str]) -> DataFrame:
@@ -296,22 +397,30 @@ def _quartiles(steps: DataFrame, by: list[str]) -> DataFrame:
     return own.groupBy(*by).agg(F.first("_n").alias("n"), *((F.min(F.when(F.col("_c") >= q * F.col("_n"), F.col("step"))) / STEPS).alias(name) for q, name in ((0.25, "low"), (0.75, "high"))))
 
 
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Steps of the perplexity's logarithm to 1.
 STEPS = 10_000
 #: Rows of bands that are sent to the workers; more are joined by a shuffle, with the same result.
 SENT_BANDS = 100_000
+#: The same for trigrams that are asked for.
+SENT_GRAMS = 100_000
 
 
-def verdicts(df: DataFrame, keys: list[str], letters: int = 111, reach: float = 6.0, prior: int = 100, lang_col: str = "lang", text_col: str = "text", prefix: str = "") -> DataFrame:
+def verdicts(df: DataFrame, keys: list[str], sent: int = SENT, reach: float = 6.0, prior: int = 100, lang_col: str = "lang", text_col: str = "text", prefix: str = "") -> DataFrame:
     """keys (and the language), base counts, base_failed, log_perplexity, kept; prefix goes before the new names.
 
     Columns that have one of the new names already are told apart by the prefix.
     """
     keys = keys if lang_col in keys else [*keys, lang_col]
     inner = [f"k{i}" for i in range(len(keys))]
-    found = scored(df, count_trigrams(df, letters, text_col), keys, text_col)
-    added = found.columns[len(keys) :]
-    table = scratch_table(found.toDF(*inner, *added).withColumn("band", F.coalesce(F.col(inner[keys.index(lang_col)]).cast("string"), F.lit("\x00"))), "quality")
+    model = count_trigrams(df, sent, text_col)
+    band = F.coalesce(F.col(inner[keys.index(lang_col)]).cast("string"), F.lit("\x00"))
+    table = scratch_table(scored(df, model, keys, text_col).withColumns({"band": band, "row": F.monotonically_increasing_id()}), "quality")
+    log = F.col("log_known")
+    if isinstance(model, Frequent):
+        table, log = table.join(asked_for(table, model), "row", "left"), log + F.coalesce("log_rest", F.lit(0.0))
+    table = table.withColumn("log_perplexity", F.when(F.col("symbols") > 0, -log / F.col("symbols")))
+    added = [*COUNTS, "base_failed", "log_perplexity"]
     # the bands are those of texts that the base rules keep
     good = table.where(~F.col("base_failed") & F.col("log_perplexity").isNotNull())
     steps = scratch_table(good.groupBy("band", F.floor(F.col("log_perplexity") * STEPS).alias("step")).agg(F.count("*").alias("n")), "quality-steps")

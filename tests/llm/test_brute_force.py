@@ -135,6 +135,30 @@ def test_trigrams_match_a_plain_model():
     assert len({quality.other(ord(c)) for c in "абвгдежзийклмн"}) > 4  # letters of a rare script still differ
 
 
+def test_every_code_point_is_a_symbol(spark, monkeypatch):
+    """More letters than an alphabet of 127 holds, by the definition; then with most trigrams in tables, which must change nothing."""
+    rng = random.Random(9)
+    letters = [chr(0x4E00 + 7 * k) for k in range(300)] + list("abcdefgh\x00\x01") + ["\U0001f600"]
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randrange(1, 5))) for _ in range(rng.randrange(50, 80))) for _ in range(40)]
+    junk = [" ".join("".join(rng.choices("#QXZ\u0416\u0434", k=4)) for _ in range(60)) for _ in range(3)]
+    df = spark.createDataFrame([(i, t, "zh") for i, t in enumerate([*texts, *junk, texts[0], "ab", None])], "doc_id long, text string, lang string").repartition(4)
+    words = [w for t in [*texts, texts[0]] for w in t.split(" ")]
+    plain = PlainKneserNey(words, [quality.EDGE, *quality.OTHERS, *{c for w in words for c in w}])
+    got, e = by_id(quality.verdicts(df, ["doc_id"])), quality.EDGE
+    for i, t in enumerate([*texts[:5], *junk]):
+        grams = [s[k : k + 3] for s in (f"{e}{e}{w}{e}" for w in t.split(" ")) for k in range(len(s) - 2)]
+        i = i if i < 5 else i + 35
+        assert got[i].log_perplexity == pytest.approx(-sum(math.log10(plain.p(g)) for g in grams) / len(grams), rel=1e-9), i
+    monkeypatch.setattr(quality, "SENT_GRAMS", 5)
+    for sent in (0, 700):
+        parted = by_id(quality.verdicts(df, ["doc_id"], sent=sent))
+        assert parted.keys() == got.keys()
+        for i, r in parted.items():
+            assert r.asDict() | {"log_perplexity": 0} == got[i].asDict() | {"log_perplexity": 0}
+            assert r.log_perplexity == (pytest.approx(got[i].log_perplexity, rel=1e-12) if got[i].log_perplexity else None)
+    assert not any(got[i].kept for i in (40, 41, 42)) and got[1].kept
+
+
 def test_kept_is_the_band_of_the_language(spark):
     rng = random.Random(8)
     rows = []
