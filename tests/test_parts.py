@@ -101,6 +101,26 @@ def test_user_aggregates_merge(spark, monkeypatch):
     assert aggregates.aggregate(df.where("false"), ["g"], ["x"], how).count() == 0
 
 
+def test_quantiles_of_large_groups_stay_where_they_are(spark, monkeypatch):
+    """A group above LARGE values is never shuffled by its key; smaller ones beside it are; both are exact."""
+    from barloom.functions import quantiles
+
+    monkeypatch.setattr(quantiles, "LARGE", 500)
+    rng = np.random.default_rng(4)
+    groups = {"big": rng.normal(0, 1, 4000), "edge": rng.normal(0, 1, 501), "most": rng.normal(5, 2, 500), "few": np.array([3.0, 4.0, 9.0])}
+    df = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v], "g string, x double").repartition(4)
+    plans, whole = [], quantiles.kept
+    monkeypatch.setattr(quantiles, "kept", lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or whole(d))
+    for names in (list(groups), ["big", "edge"], ["most", "few"]):
+        plans.clear()
+        got = {r.g: r for r in quantiles.exact_quantiles(df.where(F.col("g").isin(names)), ["g"], "x", [0.0, 0.1, 0.5, 0.99]).collect()}
+        assert got.keys() == set(names)
+        for g in names:
+            assert got[g].n == len(groups[g]) and np.allclose(got[g].quantiles, np.quantile(groups[g], [0.0, 0.1, 0.5, 0.99]), rtol=1e-12)
+        passes = [p for p in plans if "Window" in p]
+        assert passes and any("SortMergeJoin" in p for p in passes) == (names != ["big", "edge"])
+
+
 def test_quantiles_by_counting(spark, monkeypatch):
     """Ties, tiny and huge values, infinities' neighbours, nulls; against percentiles over all values."""
     from barloom.functions import quantiles
