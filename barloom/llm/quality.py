@@ -356,11 +356,17 @@ def repeated_words(ids: np.ndarray) -> int:
     """Words in 3-word windows that occur twice or more in the text."""
     if len(ids) < 4:
         return 0
-    _, dense = np.unique(ids, return_inverse=True)
-    n = int(dense.max()) + 1
-    pair = np.unique(dense[:-2] * n + dense[1:-1], return_inverse=True)[1]
-    _, at, count = np.unique(pair * n + dense[2:], return_inverse=True, return_counts=True)
-    twice = count[at] > 1
+    if ids.max() >> 21:
+        _, dense = np.unique(ids, return_inverse=True)
+        n = int(dense.max()) + 1
+        windows = np.unique(dense[:-2] * n + dense[1:-1], return_inverse=True)[1] * n + dense[2:]
+    else:
+        windows = ids[:-2] << 42 | ids[1:-1] << 21 | ids[2:]
+    ordered = np.sort(windows)
+    found = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(found):
+        return 0
+    twice = np.isin(windows, found)
     covered = np.zeros(len(ids), bool)
     for k in range(3):
         covered[k : len(ids) - 2 + k] |= twice
